@@ -42,9 +42,9 @@ def _brand_bars(years: int) -> str:
     return f"""
 prices AS (
   SELECT p_brand AS ticker, CAST(CAST(l_shipdate AS DATE) + INTERVAL {years} YEAR AS DATE) AS date,
-         arg_min(l_extendedprice / l_quantity, {when}) AS open,
-         max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-         arg_max(l_extendedprice / l_quantity, {when}) AS close,
+         arg_min(floor(l_extendedprice * 100 / l_quantity) / 100.0, {when}) AS open,
+         max(floor(l_extendedprice * 100 / l_quantity) / 100.0) AS high, min(floor(l_extendedprice * 100 / l_quantity) / 100.0) AS low,
+         arg_max(floor(l_extendedprice * 100 / l_quantity) / 100.0, {when}) AS close,
          CAST(sum(l_quantity) AS BIGINT) AS volume
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
 )"""

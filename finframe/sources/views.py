@@ -67,7 +67,7 @@ def prices_big(spark: SparkSession, sf_dir: str, shift_years: int = 0) -> DataFr
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     ]
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100.0
     when = F.struct(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), *[F.col(c) for c in order[2:]])
     per_part = (
         table(spark, sf_dir, "lineitem")
