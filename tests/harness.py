@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 import duckdb
 
@@ -13,6 +14,8 @@ TABLES = (
 
 def oracle_connection(sf_dir: str):
     con = duckdb.connect()
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='oracle-')}'")
+    con.execute("SET max_temp_directory_size = '4GB'")
     con.execute("SET TimeZone = 'UTC'")
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
