@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-_FAMILIES = ("table_queries", "align_queries", "rate_queries", "price_queries", "text_queries", "cross_queries")
+_FAMILIES = (
+    "table_queries", "align_queries", "rate_queries", "price_queries", "text_queries", "cross_queries", "curate_queries", "score_queries",
+)
 
 
 def load_queries():
