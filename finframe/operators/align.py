@@ -8,7 +8,7 @@ both sides, however many requests a key draws.  The answers then join back on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,32 +45,28 @@ def resolve_points(
     _check_mode(mode)
     row = F.struct(*[F.col(c) for c in series.columns if c not in keys])
     merged = points.select(*keys, F.col(point_date).alias("_d"), F.lit(True).alias("_point")).unionByName(
-        series.select(*keys, F.col(series_date).alias("_d"), row.alias("_row")), allowMissingColumns=True
+        series.select(*keys, F.col(series_date).alias("_d"), F.lit(False).alias("_point"), row.alias("_row")), allowMissingColumns=True
     )
-    # one row per key and day, point and series row side by side
-    merged = merged.groupBy(*keys, "_d").agg(F.max("_point").alias("_point"), F.first("_row", True).alias("_row"))
     group = [F.col(k) for k in keys] or [F.lit(0)]
-    past = Window.partitionBy(*group).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*group).orderBy(F.col("_d").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
+    # on one day the series row sorts before the points, in both directions
+    past = Window.partitionBy(*group).orderBy("_d", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*group).orderBy(F.col("_d").desc(), "_point").rowsBetween(Window.unboundedPreceding, 0)
     before, after = F.last("_row", True).over(past), F.last("_row", True).over(ahead)
     if mode == "previous":
         placed = merged.withColumn("hit", before)
     elif mode == "next":
         placed = merged.withColumn("hit", after)
     elif mode == "exact":
-        placed = merged.withColumn("hit", F.col("_row"))
+        placed = merged.withColumn("_before", before)
+        placed = placed.withColumn("hit", F.when(F.col("_before").getField(series_date) == F.col("_d"), F.col("_before")))
     else:
         placed = merged.withColumn("_before", before).withColumn("_after", after)
         back = F.datediff("_d", F.col("_before").getField(series_date))
         ahead_days = F.datediff(F.col("_after").getField(series_date), "_d")
         earlier = F.col("_after").isNull() | (F.col("_before").isNotNull() & (back <= ahead_days))
         placed = placed.withColumn("hit", F.when(earlier, F.col("_before")).otherwise(F.col("_after")))
-    return (
-        placed.withColumn("known", F.max(F.col("_row").isNotNull()).over(whole))
-        .where(F.col("_point"))
-        .select(*keys, F.col("_d").alias(point_date), "hit", "known")
-    )
+    known = F.max(~F.col("_point")).over(Window.partitionBy(*group))
+    return placed.withColumn("known", known).where(F.col("_point")).select(*keys, F.col("_d").alias(point_date), "hit", "known")
 
 
 def asof(
@@ -84,18 +80,37 @@ def asof(
     prefix: str = "",
 ) -> DataFrame:
     """Every request with the series row that applies on its date, and a status."""
-    points = requests.select(*keys, request_date).where(F.col(request_date).isNotNull()).distinct()
-    answers = resolve_points(points, series, keys, request_date, series_date, mode)
-    out = salted_join(requests, answers, [*keys, request_date], list(row_id) or requests.columns)
+    return asof_many(requests, series, keys, {prefix: request_date}, series_date, mode, row_id)
+
+
+def asof_many(
+    requests: DataFrame, series: DataFrame, keys: Sequence[str], dates: Mapping[str, str], series_date: str,
+    mode: str | Mapping[str, str] = "previous", row_id: Sequence[str] = (),
+) -> DataFrame:
+    """Several dates of each request aligned in one ordered pass per mode.
+
+    ``dates`` maps the prefix of the added columns to a request's date column.
+    """
+    modes = {p: mode if isinstance(mode, str) else mode[p] for p in dates}
     values = [c for c in series.columns if c not in keys]
-    status = (
-        F.when(F.col("hit").isNotNull(), OK)
-        .when(F.col("known"), DATE_OUTSIDE_COVERAGE)
-        .otherwise(UNKNOWN_TICKER if keys else DATE_OUTSIDE_COVERAGE)
-    )
-    return out.withColumn(f"{prefix}status", status).select(
-        *requests.columns, *[F.col("hit").getField(c).alias(prefix + c) for c in values], f"{prefix}status"
-    )
+    answers = {}
+    for one in sorted(set(modes.values())):
+        asked = [requests.select(*keys, F.col(c).alias("_at")) for p, c in dates.items() if modes[p] == one]
+        points = reduce(DataFrame.unionByName, asked).where(F.col("_at").isNotNull()).distinct()
+        answers[one] = resolve_points(points, series, keys, "_at", series_date, one)
+    out = requests
+    for prefix, column in dates.items():
+        lookup = answers[modes[prefix]].select(*keys, F.col("_at").alias(column), F.col("hit").alias("_hit"), F.col("known").alias("_known"))
+        status = (
+            F.when(F.col("_hit").isNotNull(), OK)
+            .when(F.col("_known"), DATE_OUTSIDE_COVERAGE)
+            .otherwise(UNKNOWN_TICKER if keys else DATE_OUTSIDE_COVERAGE)
+        )
+        had = out.columns
+        out = salted_join(out, lookup, [*keys, column], list(row_id) or requests.columns).select(
+            *had, *[F.col("_hit").getField(c).alias(prefix + c) for c in values], status.alias(f"{prefix}status")
+        )
+    return out
 
 
 def moved_note(requested: Column, resolved: Column, mode: str) -> Column:

@@ -21,6 +21,7 @@ from finframe.operators import rates as rt
 from finframe.operators import text as tx
 from finframe.operators.align import OK, in_coverage
 from finframe.operators.ordering import row_numbers
+from finframe.session import checkpointed
 
 
 def of_series(rates: DataFrame, series_key: str) -> DataFrame:
@@ -61,7 +62,8 @@ def event_market_returns(
 
     ``events(event_date)`` of one series (``rates`` holds that series only).
     """
-    days = events.select("event_date").distinct()
+    # at most one row per calendar day, read by several branches below
+    days = checkpointed(events.select("event_date").distinct())
     asked = days.withColumn("series_key", rates.agg(F.first("series_key")).scalar())
     known = rt.rate_at(asked, rates, "event_date", row_id=["event_date"]).where(F.col("status") == OK)
     lo, hi = _span(days, "event_date")

@@ -118,34 +118,40 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def checked_join(many: DataFrame, lookup: DataFrame, on: Sequence[str], row_id: Sequence[str], limit: int = 100_000) -> DataFrame:
+    """Inner join to a checkpointed lookup: broadcast after counting its rows, salted when it has many."""
+    if lookup.limit(limit + 1).count() <= limit:
+        return many.join(F.broadcast(lookup), list(on))
+    return salted_join(many, lookup, on, row_id, "inner")
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str, accuracy: int = 10000) -> DataFrame:
     """Exact median per group, for groups that fit no single task.
 
-    Equal values are counted together first.  A mergeable sketch then gives a
-    bracket that must hold the median; everything below it is only counted and
-    only the bracket (a few parts in ``accuracy`` of the group) is sorted.
+    A mergeable sketch gives a bracket that must hold the median.  Everything
+    below the bracket is only counted, map-side; what is inside (a few parts in
+    ``accuracy`` of the group) is sorted.
     """
     if not keys:
         whole = df.withColumn("_all", F.lit(0))
         return exact_median(whole, ["_all"], value, name, accuracy).drop("_all")
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
     margin = 5.0 / accuracy
     sketch = F.percentile_approx(value, F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), F.lit(accuracy))
-    # fixed by a checkpoint: the bracket is read on two branches and must agree
+    # fixed by a checkpoint, so that every task sees the same bracket
     brackets = checkpointed(known.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_total")))
-    low, high = F.col("_b")[0], F.col("_b")[1]
-    joined = salted_join(counts, brackets, keys, [*keys, value], "inner")
-    below = joined.groupBy(*keys).agg(F.sum(F.when(F.col(value) < low, F.col("_n")).otherwise(0)).alias("_below"))
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    inside = joined.where(F.col(value).between(low, high)).withColumn("_upto", F.sum("_n").over(run))
-    first = F.col("_below") + F.col("_upto") - F.col("_n")
-    upto = F.col("_below") + F.col("_upto")
+    placed = checked_join(known, brackets, keys, [*keys, value]).where(F.col(value) <= F.col("_b")[1])
+    # one row counts all that lies below the bracket; NULL sorts before the values inside
+    inside = F.when(F.col(value) >= F.col("_b")[0], F.col(value))
+    counts = placed.groupBy(*keys, "_total", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_upto", F.sum("_n").over(run))
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < upto), F.col(value).cast("double")))
+        covers = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
+        return F.max(F.when(covers, F.col("_v").cast("double")))
 
-    found = inside.join(below, list(keys)).groupBy(*keys).agg(
+    found = counts.groupBy(*keys).agg(
         at(F.floor((F.col("_total") - 1) / 2)).alias("_lo"), at(F.floor(F.col("_total") / 2)).alias("_hi")
     )
     missed = F.raise_error(F.lit("the bracket missed the median; raise accuracy")).cast("double")

@@ -21,6 +21,7 @@ from finframe.operators.align import (
     OK,
     UNKNOWN_TICKER,
     asof,
+    asof_many,
     coverage,
     moved_note,
     overlap,
@@ -52,8 +53,7 @@ def price_return(
 ) -> DataFrame:
     """Close-to-close return for a table of ``(ticker, start, end)`` requests; one status per row."""
     series = bars.select("ticker", "date", "close", "rn")
-    out = asof(requests, series, ["ticker"], "start", "date", alignment, row_id, "s_")
-    out = asof(out, series, ["ticker"], "end", "date", alignment, row_id, "e_")
+    out = asof_many(requests, series, ["ticker"], {"s_": "start", "e_": "end"}, "date", alignment, row_id)
     status = (
         F.when(F.col("start") > F.col("end"), DATE_RANGE_INVALID)
         .when(F.col("s_status") != OK, F.col("s_status"))

@@ -18,6 +18,7 @@ from finframe.operators.align import (
     NO_MATCHING_RECORDS,
     OK,
     asof,
+    asof_many,
     coverage,
 )
 from finframe.operators.ordering import salted_join
@@ -215,10 +216,10 @@ def compare_requested_periods(rates: DataFrame, requests: DataFrame) -> DataFram
         KEY, DAY, "target_bp", "change_bp",
         F.row_number().over(series).alias("rn"), F.sum("change_bp").over(series).alias("upto"),
     )
-    out = requests
+    ends = {"as_": "a_start", "ae_": "a_end", "bs_": "b_start", "be_": "b_end"}
+    modes = {p: "next" if p[1] == "s" else "previous" for p in ends}
+    out = asof_many(requests, running, [KEY], ends, DAY, modes, ["request_id"])
     for tag in ("a", "b"):
-        out = asof(out, running, [KEY], f"{tag}_start", DAY, "next", ["request_id"], f"{tag}s_")
-        out = asof(out, running, [KEY], f"{tag}_end", DAY, "previous", ["request_id"], f"{tag}e_")
         valid = (F.col(f"{tag}s_status") == OK) & (F.col(f"{tag}e_status") == OK) & (F.col(f"{tag}s_rn") <= F.col(f"{tag}e_rn"))
         move = F.col(f"{tag}e_upto") - F.col(f"{tag}s_upto") + F.col(f"{tag}s_change_bp")
         out = (

@@ -16,6 +16,7 @@ from finframe.functions.matching import combined, literal_regex, tokens
 from finframe.functions.stemming import stem
 from finframe.operators.align import DATE_RANGE_INVALID
 from finframe.operators.ordering import salted_join
+from finframe.session import checkpointed
 
 COUNT_FIELDS = ("headline", "subhead", "intro", "text")
 INDEX_FIELDS = ("headline", "subhead", "text")
@@ -155,38 +156,50 @@ def articles_on_dates(articles: DataFrame, first: int = 10, days: Sequence[str]
 
 @dataclass(frozen=True)
 class TextIndex:
-    """An inverted index as three frames."""
+    """An inverted index: one row per term and article, and the size of the corpus."""
 
     postings: DataFrame  # term, article_id, tf
-    lengths: DataFrame  # article_id, length
-    terms: DataFrame  # term, df, cf
+    articles: DataFrame  # article_id, one row per article of the corpus
     stemmed: bool
     stop_words: tuple[str, ...]
 
+    @property
+    def terms(self) -> DataFrame:
+        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+    @property
+    def lengths(self) -> DataFrame:
+        """Terms per article, zero for articles without any."""
+        counted = self.postings.groupBy("article_id").agg(F.sum("tf").alias("length"))
+        return self.articles.join(counted, "article_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+
     def write(self, path: str) -> None:
         """Postings sorted by term, so a search reads few row groups."""
         self.postings.repartitionByRange("term", "article_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.articles.write.mode("overwrite").parquet(f"{path}/articles")
 
 
 def build_index(articles: DataFrame, stemmed: bool = True, stop_words: Sequence[str] = (), fields: Sequence[str] = INDEX_FIELDS) -> TextIndex:
-    """Terms per article over the whole texts; only distinct terms reach the stemmer."""
-    listed = articles.select("article_id", tokens(combined(*fields), list(stop_words)).alias("tokens"))
-    lengths = listed.select("article_id", F.size("tokens").cast("bigint").alias("length"))
-    postings = listed.select("article_id", F.explode("tokens").alias("term")).groupBy("term", "article_id").agg(F.count(F.lit(1)).alias("tf"))
+    """Terms per article over the whole texts; only distinct terms reach the stemmer.
+
+    The postings are checkpointed: a search reads them several times and the
+    texts should be cut into terms once.
+    """
+    listed = articles.select("article_id", F.explode(tokens(combined(*fields))).alias("term"))
+    if stop_words:
+        listed = listed.where(~F.col("term").isin(*stop_words))
+    postings = checkpointed(listed.groupBy("term", "article_id").agg(F.count(F.lit(1)).alias("tf")))
     if stemmed:
         stems = postings.select("term").distinct().withColumn("stem", stem("term"))
         # frequent terms have long postings, hence the salt
         joined = salted_join(postings, stems, ["term"], ["article_id"], "inner")
-        postings = joined.groupBy(F.col("stem").alias("term"), "article_id").agg(F.sum("tf").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return TextIndex(postings, lengths, terms, stemmed, tuple(stop_words))
+        postings = checkpointed(joined.groupBy(F.col("stem").alias("term"), "article_id").agg(F.sum("tf").alias("tf")))
+    return TextIndex(postings, articles.select("article_id"), stemmed, tuple(stop_words))
 
 
 def read_index(spark, path: str, stemmed: bool = True, stop_words: Sequence[str] = ()) -> TextIndex:
-    frames = [spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "terms")]
-    return TextIndex(*frames, stemmed, tuple(stop_words))
+    postings, articles = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "articles"))
+    return TextIndex(postings, articles, stemmed, tuple(stop_words))
 
 
 def bm25(index: TextIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -198,21 +211,20 @@ def bm25(index: TextIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), list(index.stop_words)))).alias("term"))
     if index.stemmed:
         asked = asked.withColumn("term", stem("term")).distinct()
-    corpus = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    n, mean = corpus.select("n").scalar(), corpus.select("mean").scalar()
-    weighted = asked.join(index.terms, "term").withColumn(
-        "idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    ).select("query_id", "term", "idf")
-    # several queries may share a term: fold them, so the lookup has one row per term
-    hits = _by_term(index.postings, weighted)
-    scored = hits.join(index.lengths, "article_id")
+    n = index.articles.agg(F.count(F.lit(1)).alias("n")).scalar()
+    mean = index.postings.agg(F.sum("tf").alias("t")).scalar() / n
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # a term's weight is settled before the join, so its postings are only salted once
+    weighted = asked.join(index.terms, "term").select("query_id", "term", weight.alias("weight"))
+    lengths = index.postings.groupBy("article_id").agg(F.sum("tf").alias("length"))
+    scored = _by_term(index.postings, weighted).join(lengths, "article_id")
     tf = F.col("tf")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean))
+    part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean))
     return scored.groupBy("query_id", "article_id").agg(F.sum(part).alias("score"))
 
 
-def _by_term(postings: DataFrame, weighted: DataFrame, salts: int = 8) -> DataFrame:
-    salted = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def _by_term(postings: DataFrame, asked: DataFrame, salts: int = 8) -> DataFrame:
+    salted = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = postings.withColumn("_salt", F.pmod(F.xxhash64("article_id"), F.lit(salts)).cast("int"))
     return rows.join(salted, ["term", "_salt"]).drop("_salt")
 

@@ -35,10 +35,7 @@ PRICES_WIDE = _event_bars("prices", "user_id")
 
 
 def _brand_bars(years: int) -> str:
-    when = (
-        "(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
-        "l_discount, l_tax, l_returnflag, l_linestatus)"
-    )
+    when = "(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)"
     return f"""
 prices AS (
   SELECT p_brand AS ticker, CAST(CAST(l_shipdate AS DATE) + INTERVAL {years} YEAR AS DATE) AS date,

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, spread over the cores.
+
+    Only a small input has so few splits; a large one is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def _cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("bigint")
 
@@ -62,36 +71,19 @@ def prices_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices_big(spark: SparkSession, sf_dir: str, shift_years: int = 0) -> DataFrame:
-    """Bars per part brand; line items shrink to bars per part before the join."""
-    order = [
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-    ]
+    """Bars per part brand."""
     price = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100.0
-    when = F.struct(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), *[F.col(c) for c in order[2:]])
-    per_part = (
-        table(spark, sf_dir, "lineitem")
-        .withColumn("price", price)
-        .withColumn("at", when)
-        .groupBy("l_partkey", F.add_months(F.to_date("l_shipdate"), 12 * shift_years).alias("date"))
-        .agg(
-            F.min(F.struct("at", "price")).alias("first"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max(F.struct("at", "price")).alias("last"),
-            F.sum("l_quantity").alias("quantity"),
-        )
-    )
+    # rows that tie on all of these have the same price, so the first and last price are fixed
+    at = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "price")
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return (
-        per_part.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("ticker", "date")
+        lines.withColumn("price", price)
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("ticker", F.add_months(F.to_date("l_shipdate"), 12 * shift_years).alias("date"))
         .agg(
-            F.min("first").getField("price").alias("open"),
-            F.max("high").alias("high"),
-            F.min("low").alias("low"),
-            F.max("last").getField("price").alias("close"),
-            F.sum("quantity").cast("bigint").alias("volume"),
+            F.min(at).getField("price").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+            F.max(at).getField("price").alias("close"), F.sum("l_quantity").cast("bigint").alias("volume"),
         )
     )
 
@@ -102,7 +94,7 @@ def prices_for_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit("2015-01-01").cast("date"), F.pmod("doc_id", F.lit(2555)).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("article_id"),
         F.substring_index("text", "\n", 1).alias("headline"),
         F.col("source").alias("subhead"),
