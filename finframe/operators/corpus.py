@@ -60,14 +60,14 @@ def rate_cases(rates: DataFrame, windows: Sequence[tuple[str, str, str]]) -> Dat
         for direction in ("highest", "lowest"):
             rows = rt.rate_extreme(rates, direction, start, end)
             out.append(cases(
-                rows, said(f"GEN-RATE-{direction}-{label}-", key),
+                rows, said(f"FF-RATE-{direction}-{label}-", key),
                 said(f"What was the {direction} level of ", key, f" from {start} to {end}, and when did it first apply?"),
                 [said(f"The {direction} level was ", level("target_pct"), ", first on ", F.col("first_effective_date"), ", in ", F.col("record_count"), " records.")],
                 ["rates"], "rate_extreme",
             ))
         rows = rt.change_summary(rates, start, end)
         out.append(cases(
-            rows, said(f"GEN-RATE-summary-{label}-", key), said("How often did ", key, f" change from {start} to {end}?"),
+            rows, said(f"FF-RATE-summary-{label}-", key), said("How often did ", key, f" change from {start} to {end}?"),
             [
                 said(F.col("changed_count"), " of ", F.col("record_count"), " records changed it: ", F.col("increases"), " up and ", F.col("decreases"), " down."),
                 said("It moved from ", level("rate_before_pct"), " to ", level("rate_after_pct"), "."),
@@ -76,7 +76,7 @@ def rate_cases(rates: DataFrame, windows: Sequence[tuple[str, str, str]]) -> Dat
         ))
     holds = rt.longest_hold(rates)
     out.append(cases(
-        holds, said("GEN-RATE-hold-", key), said("How long did ", key, " stay unchanged at most?"),
+        holds, said("FF-RATE-hold-", key), said("How long did ", key, " stay unchanged at most?"),
         [said(F.col("gap_days"), " days, from ", F.col("start_date"), " to ", F.col("end_date"), " at ", level("rate_during_pct"), ".")], ["rates"], "longest_hold", "medium",
     ))
     return reduce(DataFrame.unionByName, out)
@@ -86,7 +86,7 @@ def return_cases(bars: DataFrame, windows: Sequence[tuple[str, str, str]]) -> Da
     """Ticker by window returns; windows a ticker does not cover are left out."""
     rows = px.window_returns(bars, windows).where(F.col("status") == OK).withColumn("return_pct", F.round(F.col("return_decimal") * 100, 4))
     return cases(
-        rows, said("GEN-PRICE-return-", F.col("ticker"), "-", F.col("label")),
+        rows, said("FF-PRICE-return-", F.col("ticker"), "-", F.col("label")),
         said("What did ", F.col("ticker"), " return in ", F.col("label"), "?"),
         [
             said(F.col("ticker"), " returned ", signed_pct(F.round("return_pct", 2)), "."),
@@ -102,19 +102,19 @@ def price_cases(bars: DataFrame) -> DataFrame:
     for direction in ("highest", "lowest"):
         rows = px.price_extreme(bars, "close", direction)
         out.append(cases(
-            rows, said(f"GEN-PRICE-{direction}-", F.col("ticker")), said("When did ", F.col("ticker"), f" close {direction}, and at what price?"),
+            rows, said(f"FF-PRICE-{direction}-", F.col("ticker")), said("When did ", F.col("ticker"), f" close {direction}, and at what price?"),
             [said("Its ", f"{direction} close was ", dollars(F.col("value")), " on ", F.col("date"), ".")], ["prices"], "price_extreme",
         ))
     rows = px.price_extreme(bars, "volume", "highest")
     out.append(cases(
-        rows, said("GEN-PRICE-volume-", F.col("ticker")), said("On which day did ", F.col("ticker"), " trade most?"),
+        rows, said("FF-PRICE-volume-", F.col("ticker")), said("On which day did ", F.col("ticker"), " trade most?"),
         [said("It traded ", grouped_int(F.col("value")), " on ", F.col("date"), ".")], ["prices"], "price_extreme",
     ))
     for basis in ("close", "intraday"):
         rows = px.max_drawdown(bars, basis)
         back = F.when(F.col("recovery_date").isNull(), F.lit("It did not recover.")).otherwise(said("It recovered on ", F.col("recovery_date"), "."))
         out.append(cases(
-            rows, said(f"GEN-PRICE-drawdown-{basis}-", F.col("ticker")), said("What was the deepest fall of ", F.col("ticker"), f" ({basis})?"),
+            rows, said(f"FF-PRICE-drawdown-{basis}-", F.col("ticker")), said("What was the deepest fall of ", F.col("ticker"), f" ({basis})?"),
             [said("It fell ", signed_pct(F.round("max_drawdown_pct", 2)), " from ", F.col("peak_date"), " to ", F.col("trough_date"), "."), back], ["prices"], "max_drawdown", "medium",
         ))
     return reduce(DataFrame.unionByName, out)
@@ -124,7 +124,7 @@ def article_cases(articles: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """Pattern by year counts from one scan."""
     rows = tx.pattern_by_year(articles, patterns)
     return cases(
-        rows, said("GEN-TEXT-count-", F.regexp_replace("pattern", " ", "_"), "-", F.col("year")),
+        rows, said("FF-TEXT-count-", F.regexp_replace("pattern", " ", "_"), "-", F.col("year")),
         said("How many articles of ", F.col("year"), " mention \"", F.col("pattern"), "\"?"),
         [said(grouped_int(F.col("article_count")), " of ", grouped_int(F.col("articles")), " articles mention it.")], ["articles"], "pattern_count",
     )
@@ -134,7 +134,7 @@ def event_cases(returns: DataFrame) -> DataFrame:
     """Best and worst ticker around every event and window size."""
     rows = cx.event_best_and_worst(returns)
     return cases(
-        rows, said("GEN-CROSS-event-", F.col("event_date"), "-", F.col("pre")),
+        rows, said("FF-CROSS-event-", F.col("event_date"), "-", F.col("pre")),
         said("What was the level on ", F.col("event_date"), ", and which tickers did best and worst over ", F.col("pre"), " trading days each way?"),
         [
             said("The level was ", level("target_pct"), "."),
@@ -147,7 +147,7 @@ def event_cases(returns: DataFrame) -> DataFrame:
 def year_cases(summary: DataFrame) -> DataFrame:
     """Rates, articles and basket of one year; years a dataset misses cannot be worded and are skipped."""
     return cases(
-        summary, said("GEN-CROSS-year-", F.col("label")), said("Sum up ", F.col("label"), " over rates, articles and prices."),
+        summary, said("FF-CROSS-year-", F.col("label")), said("Sum up ", F.col("label"), " over rates, articles and prices."),
         [
             said(F.col("changed_count"), " changes (", F.col("increases"), " up, ", F.col("decreases"), " down) took the level from ", level("rate_before_pct"), " to ", level("rate_after_pct"), "."),
             said(grouped_int(F.col("article_count")), " articles mention \"", F.col("pattern"), "\"."),
@@ -171,7 +171,7 @@ def unanswerable_price_cases(bars: DataFrame, days: Sequence[str], unknown: Sequ
         said("No. ", F.col("ticker"), " has no bar on ", F.col("day"), "; its data runs from ", F.col("start"), " to ", F.col("end"), ".")
     )
     return cases(
-        rows, said("GEN-UNANS-price-", F.col("ticker"), "-", F.col("day")), said("What did ", F.col("ticker"), " close at on ", F.col("day"), "?"),
+        rows, said("FF-UNANS-price-", F.col("ticker"), "-", F.col("day")), said("What did ", F.col("ticker"), " close at on ", F.col("day"), "?"),
         [fact], ["prices"], "price_return", "easy", UNANSWERABLE,
     )
 
@@ -180,7 +180,7 @@ def unsupported_span_cases(coverages: Sequence[DataFrame], windows: Sequence[tup
     """Windows not all datasets cover, with the ones that miss it."""
     rows = cx.supported_windows(coverages, windows).where(~F.col("supported"))
     return cases(
-        rows, said("GEN-UNANS-span-", F.col("label")), said("Can all datasets support a study from ", F.col("start"), " to ", F.col("end"), "?"),
+        rows, said("FF-UNANS-span-", F.col("label")), said("Can all datasets support a study from ", F.col("start"), " to ", F.col("end"), "?"),
         [F.lit("No."), said("The window is not covered by: ", F.col("missing"), ".")], ["rates", "prices", "articles"], "coverage", "hard", UNANSWERABLE,
     )
 
@@ -190,13 +190,13 @@ def extrapolation_cases(bars: DataFrame, rates: DataFrame, days: Sequence[str])
     last_bar = bars.groupBy("ticker").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
     asked = grid(last_bar, {"day": days})
     prices = cases(
-        asked, said("GEN-EXTRAP-price-", F.col("ticker"), "-", F.col("day")), said("What will ", F.col("ticker"), " close at on ", F.col("day"), "?"),
+        asked, said("FF-EXTRAP-price-", F.col("ticker"), "-", F.col("day")), said("What will ", F.col("ticker"), " close at on ", F.col("day"), "?"),
         [said("The data cannot tell. The last close of ", F.col("ticker"), " is ", dollars(F.col("close")), " on ", F.col("date"), ".")], ["prices"], "price_extreme", "medium", EXTRAPOLATION,
     )
     last_level = rates.groupBy("series_key").agg(F.max("effective_date").alias("date"), bp_to_pct(F.max_by("target_bp", "effective_date")).alias("target_pct"))
     asked = grid(last_level, {"day": days})
     levels = cases(
-        asked, said("GEN-EXTRAP-rate-", F.col("series_key"), "-", F.col("day")), said("What will the level of ", F.col("series_key"), " be on ", F.col("day"), "?"),
+        asked, said("FF-EXTRAP-rate-", F.col("series_key"), "-", F.col("day")), said("What will the level of ", F.col("series_key"), " be on ", F.col("day"), "?"),
         [said("The data cannot tell. The last decision on record is ", F.col("date"), " at ", level("target_pct"), ".")], ["rates"], "rate_at", "medium", EXTRAPOLATION,
     )
     return prices.unionByName(levels)

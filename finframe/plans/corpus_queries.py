@@ -39,7 +39,7 @@ def _flat(records):
     return records.select(*_FLAT, F.size("required_facts").cast("bigint").alias("fact_count"))
 
 
-_RETURN_CASES = windows_sql(pq.YEARS) + f""", cases AS (SELECT 'GEN-PRICE-return-' || ticker || '-' || label AS id, 'GEN-PRICE-return' AS template_family, 'price_return' AS question_type, 'answerable' AS category, 'easy' AS difficulty,
+_RETURN_CASES = windows_sql(pq.YEARS) + f""", cases AS (SELECT 'FF-PRICE-return-' || ticker || '-' || label AS id, 'FF-PRICE-return' AS template_family, 'price_return' AS question_type, 'answerable' AS category, 'easy' AS difficulty,
   'single' AS dataset_scope, 'What did ' || ticker || ' return in ' || label || '?' AS prompt,
   [ticker || ' returned ' || {_pct('round(ret * 100, 4)')} || '.', 'It closed at ' || {_usd('s_close')} || ' on ' || s_date || ' and at ' || {_usd('e_close')} || ' on ' || e_date || '.'] AS facts FROM rets)"""
 _TAIL = " SELECT id, template_family, question_type, category, difficulty, dataset_scope, prompt, list_aggregate(facts, 'string_agg', ' ') AS answer, len(facts) AS fact_count FROM cases"
@@ -80,12 +80,12 @@ _RATE_WINDOW = ("mid", "1996-03-01", "1999-12-31")
         e AS (SELECT series_key, effective_date AS d1, lag(effective_date) OVER k AS d0, lag(target_bp) OVER k AS during FROM rates WHERE change_bp <> 0 WINDOW k AS (PARTITION BY series_key ORDER BY effective_date)),
         h AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date_diff('day', d0, d1) DESC, d0) AS r FROM e WHERE d0 IS NOT NULL),
         cases AS (
-          SELECT 'GEN-RATE-' || direction || '-mid-' || series_key AS id, 'GEN-RATE-' || direction AS template_family, 'rate_extreme' AS question_type, 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
+          SELECT 'FF-RATE-' || direction || '-mid-' || series_key AS id, 'FF-RATE-' || direction AS template_family, 'rate_extreme' AS question_type, 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
             'What was the ' || direction || ' level of ' || series_key || ' from 1996-03-01 to 1999-12-31, and when did it first apply?' AS prompt,
             ['The ' || direction || ' level was ' || {_level('t / 100.0')} || ', first on ' || f || ', in ' || c || ' records.'] AS facts FROM x
-          UNION ALL SELECT 'GEN-RATE-summary-mid-' || series_key, 'GEN-RATE-summary', 'change_summary', 'answerable', 'medium', 'single', 'How often did ' || series_key || ' change from 1996-03-01 to 1999-12-31?',
+          UNION ALL SELECT 'FF-RATE-summary-mid-' || series_key, 'FF-RATE-summary', 'change_summary', 'answerable', 'medium', 'single', 'How often did ' || series_key || ' change from 1996-03-01 to 1999-12-31?',
             [(up + down) || ' of ' || n || ' records changed it: ' || up || ' up and ' || down || ' down.', 'It moved from ' || {_level('b / 100.0')} || ' to ' || {_level('a / 100.0')} || '.'] FROM s
-          UNION ALL SELECT 'GEN-RATE-hold-' || series_key, 'GEN-RATE-hold', 'longest_hold', 'answerable', 'medium', 'single', 'How long did ' || series_key || ' stay unchanged at most?',
+          UNION ALL SELECT 'FF-RATE-hold-' || series_key, 'FF-RATE-hold', 'longest_hold', 'answerable', 'medium', 'single', 'How long did ' || series_key || ' stay unchanged at most?',
             [date_diff('day', d0, d1) || ' days, from ' || d0 || ' to ' || d1 || ' at ' || {_level('during / 100.0')} || '.'] FROM h WHERE r = 1)
         """ + _TAIL,
     ),
@@ -104,7 +104,7 @@ def _(spark, d):
     with_views(
         v.ARTICLES,
         ", cases AS (" + " UNION ALL ".join(
-            f"""SELECT 'GEN-TEXT-count-{p.replace(' ', '_')}-' || year(publication_date) AS id, 'GEN-TEXT-count' AS template_family, 'pattern_count' AS question_type, 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
+            f"""SELECT 'FF-TEXT-count-{p.replace(' ', '_')}-' || year(publication_date) AS id, 'FF-TEXT-count' AS template_family, 'pattern_count' AS question_type, 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
             'How many articles of ' || year(publication_date) || ' mention "{p}"?' AS prompt, [format('{{:,}}', count(*) FILTER (regexp_matches(all_text, {_match(p)}))) || ' of ' || format('{{:,}}', count(*)) || ' articles mention it.'] AS facts
             FROM articles GROUP BY year(publication_date)""" for p in ("the", "der die")
         ) + ")" + _TAIL,
@@ -120,7 +120,7 @@ def _(spark, d):
         cq.ALL,
         cq._AROUND + f""", k AS (SELECT *, row_number() OVER (PARTITION BY event_date, pre ORDER BY r DESC, ticker) AS rank, count(*) OVER (PARTITION BY event_date, pre) AS c FROM ret),
         bw AS (SELECT event_date, pre, target_pct, max(ticker) FILTER (rank = 1) AS best, max(ticker) FILTER (rank = c) AS worst, round(max(r) * 100, 4) AS best_pct, round(min(r) * 100, 4) AS worst_pct FROM k GROUP BY 1, 2, 3),
-        cases AS (SELECT 'GEN-CROSS-event-' || event_date || '-' || pre AS id, 'GEN-CROSS-event' AS template_family, 'event_market_returns' AS question_type, 'answerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
+        cases AS (SELECT 'FF-CROSS-event-' || event_date || '-' || pre AS id, 'FF-CROSS-event' AS template_family, 'event_market_returns' AS question_type, 'answerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
           'What was the level on ' || event_date || ', and which tickers did best and worst over ' || pre || ' trading days each way?' AS prompt,
           ['The level was ' || {_level('target_pct')} || '.', best || ' did best at ' || {_pct('best_pct')} || ' and ' || worst || ' worst at ' || {_pct('worst_pct')} || '.'] AS facts FROM bw)""" + _TAIL,
     ),
@@ -143,7 +143,7 @@ def _(spark, d):
         names AS (SELECT ticker FROM cover UNION ALL SELECT 'nobody' UNION ALL SELECT 'no-one'),
         asked AS (SELECT ticker, unnest([DATE '2024-01-06', DATE '2024-01-15', DATE '2030-06-01']) AS day FROM names),
         bad AS (SELECT asked.*, s, e FROM asked LEFT JOIN prices p ON p.ticker = asked.ticker AND p.date = asked.day LEFT JOIN cover ON cover.ticker = asked.ticker WHERE p.date IS NULL),
-        cases AS (SELECT 'GEN-UNANS-price-' || ticker || '-' || day AS id, 'GEN-UNANS-price' AS template_family, 'price_return' AS question_type, 'unanswerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
+        cases AS (SELECT 'FF-UNANS-price-' || ticker || '-' || day AS id, 'FF-UNANS-price' AS template_family, 'price_return' AS question_type, 'unanswerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
           'What did ' || ticker || ' close at on ' || day || '?' AS prompt,
           [CASE WHEN s IS NULL THEN 'No. ' || ticker || ' is not in the price data.' ELSE 'No. ' || ticker || ' has no bar on ' || day || '; its data runs from ' || s || ' to ' || e || '.' END] AS facts FROM bad)""" + _TAIL,
     ),
@@ -159,7 +159,7 @@ def _(spark, d):
         cq.ALL + "," + v.ARTICLES,
         """, cov AS (SELECT 'articles' AS dataset, min(publication_date) AS s, max(publication_date) AS e FROM articles UNION ALL SELECT 'prices', min(date), max(date) FROM prices UNION ALL SELECT 'rates', min(effective_date), max(effective_date) FROM r1),
         w AS (SELECT * FROM (VALUES ('inside', DATE '2016-01-01', DATE '2017-12-31'), ('late', DATE '2020-01-01', DATE '2024-12-31'), ('early', DATE '2010-01-01', DATE '2016-01-01')) t(label, ws, we)),
-        cases AS (SELECT 'GEN-UNANS-span-' || label AS id, 'GEN-UNANS-span' AS template_family, 'coverage' AS question_type, 'unanswerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
+        cases AS (SELECT 'FF-UNANS-span-' || label AS id, 'FF-UNANS-span' AS template_family, 'coverage' AS question_type, 'unanswerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
           'Can all datasets support a study from ' || ws || ' to ' || we || '?' AS prompt, ['No.', 'The window is not covered by: ' || string_agg(dataset, ', ' ORDER BY dataset) || '.'] AS facts
           FROM w, cov WHERE NOT (s <= ws AND e >= we) GROUP BY label, ws, we)""" + _TAIL,
     ),
@@ -179,9 +179,9 @@ def _(spark, d):
         v.PRICES_BIG + "," + v.RATES,
         f""", lp AS (SELECT ticker, max(date) AS date, arg_max(close, date) AS close, unnest(['2035-01-01', '2040-01-01']) AS day FROM prices GROUP BY 1),
         lr AS (SELECT series_key, max(effective_date) AS date, arg_max(target_bp, effective_date) AS t, unnest(['2035-01-01', '2040-01-01']) AS day FROM rates GROUP BY 1),
-        cases AS (SELECT 'GEN-EXTRAP-price-' || ticker || '-' || day AS id, 'GEN-EXTRAP-price' AS template_family, 'price_extreme' AS question_type, 'extrapolation' AS category, 'medium' AS difficulty, 'single' AS dataset_scope,
+        cases AS (SELECT 'FF-EXTRAP-price-' || ticker || '-' || day AS id, 'FF-EXTRAP-price' AS template_family, 'price_extreme' AS question_type, 'extrapolation' AS category, 'medium' AS difficulty, 'single' AS dataset_scope,
             'What will ' || ticker || ' close at on ' || day || '?' AS prompt, ['The data cannot tell. The last close of ' || ticker || ' is ' || {_usd('close')} || ' on ' || date || '.'] AS facts FROM lp
-          UNION ALL SELECT 'GEN-EXTRAP-rate-' || series_key || '-' || day, 'GEN-EXTRAP-rate', 'rate_at', 'extrapolation', 'medium', 'single', 'What will the level of ' || series_key || ' be on ' || day || '?',
+          UNION ALL SELECT 'FF-EXTRAP-rate-' || series_key || '-' || day, 'FF-EXTRAP-rate', 'rate_at', 'extrapolation', 'medium', 'single', 'What will the level of ' || series_key || ' be on ' || day || '?',
             ['The data cannot tell. The last decision on record is ' || date || ' at ' || {_level('t / 100.0')} || '.'] FROM lr)""" + _TAIL,
     ),
 )

@@ -7,16 +7,24 @@ from finframe.operators import tables as op
 from finframe.plans import sqlviews as v
 from finframe.plans.base import query, with_views
 from finframe.sources import views
-from finframe.sources.views import table
+from finframe.sources.views import SCHEMAS, table
 
 _BIG = [("l_quantity", ">=", 10.0), ("l_returnflag", "in", ["A", "R"]), ("l_shipdate", "is_not_null")]
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
-@query("table_schema")
+_LISTED = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+
+
+@query(
+    "table_schema",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c.split()[0]}' AS column_name, '{c.split()[1]}' AS column_type, (SELECT count(*) FROM {t}) AS row_count"
+        for t in _LISTED for c in SCHEMAS[t].split(", ")
+    ),
+)
 def _(spark, d):
-    names = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
-    return op.table_schema({n: table(spark, d, n) for n in names})
+    return op.table_schema({n: table(spark, d, n) for n in _LISTED})
 
 
 @query("distinct_values", "SELECT DISTINCT p_brand FROM part WHERE p_size > 10 AND p_type LIKE 'E%' ORDER BY 1 LIMIT 100")
@@ -91,11 +99,11 @@ def _(spark, d):
 
 
 _AGG_SQL = """round(min(l_extendedprice), 2) AS l_extendedprice_min, round(max(l_extendedprice), 2) AS l_extendedprice_max,
- round(avg(l_extendedprice), 2) AS l_extendedprice_avg, round(sum(l_extendedprice), 1) AS l_extendedprice_sum,
+ round(avg(l_extendedprice), 4) AS l_extendedprice_avg, round(sum(l_extendedprice), 2) AS l_extendedprice_sum,
  count(l_extendedprice) AS l_extendedprice_count, count(DISTINCT l_extendedprice) AS l_extendedprice_count_distinct,
- round(median(l_extendedprice), 3) AS l_extendedprice_median, round(stddev_samp(l_extendedprice), 2) AS l_extendedprice_stddev"""
+ round(median(l_extendedprice), 3) AS l_extendedprice_median, round(stddev_samp(l_extendedprice), 4) AS l_extendedprice_stddev"""
 _MEASURES = ["min", "max", "avg", "sum", "count", "count_distinct", "median", "stddev"]
-_DIGITS = {"min": 2, "max": 2, "avg": 2, "sum": 1, "median": 3, "stddev": 2}
+_DIGITS = {"min": 2, "max": 2, "avg": 4, "sum": 2, "median": 3, "stddev": 4}
 
 
 def _rounded(df, column):
