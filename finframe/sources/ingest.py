@@ -30,10 +30,10 @@ def split_rejects(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
 
 def csv_text(spark: SparkSession, path: str, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """CSV fields as text; extra fields of ragged lines are dropped and such lines listed."""
-    rows = spark.read.schema(_text_schema(names, "_line")).csv(
-        path, header=True, encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord="_line", enforceSchema=True
-    )
-    ragged = rows.where(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
+    reader = spark.read.schema(_text_schema(names, "_line")).option("columnPruning", "false")
+    rows = reader.csv(path, header=True, encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord="_line", enforceSchema=True)
+    # the reader only judges lines whose fields are read too, so the filter names them all
+    ragged = rows.where(F.col("_line").isNotNull() & (F.length(F.concat_ws(",", "_line", *names)) > 0)).select(F.col("_line").alias("line"))
     return rows.drop("_line"), ragged
 
 
