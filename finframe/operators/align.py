@@ -3,7 +3,7 @@
 A series has one row per key and day.  Requests are first reduced to distinct
 (key, day) points, so the ordered pass over a key is bounded by calendar days on
 both sides, however many requests a key draws.  The answers then join back on
-(key, day) with salting.
+(key, day), with the hot points salted.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finframe.operators.ordering import salted_join
+from finframe.operators.ordering import hot_salted_join, salted_join
 
 # Status of a request row.
 OK = "ok"
@@ -96,18 +96,20 @@ def asof_many(
     answers = {}
     for one in sorted(set(modes.values())):
         asked = [requests.select(*keys, F.col(c).alias("_at")) for p, c in dates.items() if modes[p] == one]
-        points = reduce(DataFrame.unionByName, asked).where(F.col("_at").isNotNull()).distinct()
-        answers[one] = resolve_points(points, series, keys, "_at", series_date, one)
+        points = reduce(DataFrame.unionByName, asked).where(F.col("_at").isNotNull()).groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_w"))
+        answers[one] = resolve_points(points, series, keys, "_at", series_date, one), points
     out = requests
     for prefix, column in dates.items():
-        lookup = answers[modes[prefix]].select(*keys, F.col("_at").alias(column), F.col("hit").alias("_hit"), F.col("known").alias("_known"))
+        found, points = answers[modes[prefix]]
+        lookup = found.select(*keys, F.col("_at").alias(column), F.col("hit").alias("_hit"), F.col("known").alias("_known"))
         status = (
             F.when(F.col("_hit").isNotNull(), OK)
             .when(F.col("_known"), DATE_OUTSIDE_COVERAGE)
             .otherwise(UNKNOWN_TICKER if keys else DATE_OUTSIDE_COVERAGE)
         )
         had = out.columns
-        out = salted_join(out, lookup, [*keys, column], list(row_id) or requests.columns).select(
+        weights = points.withColumnRenamed("_at", column)
+        out = hot_salted_join(out, lookup, [*keys, column], weights, list(row_id) or requests.columns).select(
             *had, *[F.col("_hit").getField(c).alias(prefix + c) for c in values], status.alias(f"{prefix}status")
         )
     return out

@@ -19,7 +19,7 @@ from finframe.functions.scalars import bp_to_pct, decimal_to_pct, round4
 from finframe.operators import prices as px
 from finframe.operators import rates as rt
 from finframe.operators import text as tx
-from finframe.operators.align import OK, in_coverage
+from finframe.operators.align import DATE_OUTSIDE_COVERAGE, OK, in_coverage
 from finframe.operators.ordering import row_numbers
 from finframe.session import checkpointed
 
@@ -64,8 +64,7 @@ def event_market_returns(
     """
     # at most one row per calendar day, read by several branches below
     days = checkpointed(events.select("event_date").distinct())
-    asked = days.withColumn("series_key", rates.agg(F.first("series_key")).scalar())
-    known = rt.rate_at(asked, rates, "event_date", row_id=["event_date"]).where(F.col("status") == OK)
+    known = rate_in_force(days, rates, "event_date").where(F.col("status") == OK)
     lo, hi = _span(days, "event_date")
     caught = aligned_days(px.with_event_windows(bars, sizes), lo, hi, alignment)
     hits = caught.join(F.broadcast(known), caught["day"] == known["event_date"]).select(
@@ -101,16 +100,25 @@ def changes_in_price_coverage(rates: DataFrame, cover: DataFrame) -> DataFrame:
     return in_coverage(moves, cover, "effective_date").select(F.col("effective_date").alias("event_date"), "change_bp")
 
 
-def rate_in_force(rows: DataFrame, rates: DataFrame, date: str, bound: str = "strict") -> DataFrame:
-    """Each row with the level of one series on its date.
+def rate_calendar(rates: DataFrame) -> DataFrame:
+    """The level of one series on every calendar day from its first to its last decision."""
+    series = Window.partitionBy("series_key").orderBy("effective_date")
+    until = F.coalesce(F.date_sub(F.lead("effective_date").over(series), 1), F.col("effective_date"))
+    spans = rates.withColumn("_until", until)
+    return spans.select(
+        F.explode(F.sequence("effective_date", "_until")).alias("_day"), "effective_date",
+        bp_to_pct(F.col("target_bp")).alias("target_pct"), bp_to_pct(F.col("change_bp")).alias("change_pct"),
+    )
+
+
+def rate_in_force(rows: DataFrame, rates: DataFrame, date: str) -> DataFrame:
+    """Each row with the level of one series on its date; outside the decisions' span there is none.
 
-    Only the distinct dates are aligned; they are at most one per calendar day,
-    so the answers are broadcast back by date whatever the size of ``rows``.
+    The calendar has one row per day, so it is broadcast whatever the size of ``rows``.
     """
-    days = rows.select(F.col(date).alias("_day")).where(F.col("_day").isNotNull()).distinct()
-    asked = days.withColumn("series_key", rates.agg(F.first("series_key")).scalar())
-    answers = rt.rate_at(asked, rates, "_day", bound=bound, row_id=["_day"]).drop("series_key")
-    return rows.join(F.broadcast(answers), rows[date] == answers["_day"], "left").drop("_day")
+    calendar = rate_calendar(rates)
+    out = rows.join(F.broadcast(calendar), rows[date] == calendar["_day"], "left").drop("_day")
+    return out.withColumn("status", F.when(F.col("effective_date").isNull(), DATE_OUTSIDE_COVERAGE).otherwise(OK))
 
 
 def literal_queries(spark, queries: Sequence[str]) -> DataFrame:
@@ -126,7 +134,8 @@ def news_rate_context(
     if not 1 <= len(queries) <= 40:
         raise ValueError("give 1 to 40 queries")
     asked = literal_queries(articles.sparkSession, queries)
-    ranked = tx.retrieve(articles, index, asked, limit, start, end, excerpt)
+    # a few rows per query, at most forty queries, read twice below
+    ranked = checkpointed(tx.retrieve(articles, index, asked, limit, start, end, excerpt))
     columns = ["query_id", "rank", "article_id", "headline", "subhead", tx.DAY, "excerpt", "score"]
     rows = tx.in_dates(articles, start, end)
     tests = F.array(*[F.struct(F.lit(i).alias("query_id"), F.col("_text").rlike(literal_regex(q)).alias("hit")) for i, q in enumerate(queries)])
@@ -191,9 +200,12 @@ def basket_after_events(events: DataFrame, bars: DataFrame, days: int = 7, align
     ``events(event_date)``; the two ends of a ticker's window meet in one
     aggregate per ticker and event.
     """
-    ends = events.select("event_date").distinct().select(
-        "event_date", F.inline(F.array(F.struct(F.col("event_date").alias("day"), F.lit(True).alias("opens")), F.struct(F.date_add("event_date", days).alias("day"), F.lit(False).alias("opens"))))
+    both = F.array(
+        F.struct(F.col("event_date").alias("day"), F.lit(True).alias("opens")),
+        F.struct(F.date_add("event_date", days).alias("day"), F.lit(False).alias("opens")),
     )
+    # two rows per event day, read by several branches below
+    ends = checkpointed(events.select("event_date").distinct().select("event_date", F.inline(both)))
     lo, hi = _span(ends, "day")
     caught = aligned_days(bars.select("ticker", "date", "close"), lo, hi, alignment)
     pairs = caught.join(F.broadcast(ends), "day").groupBy("event_date", "ticker").agg(

@@ -118,6 +118,26 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+HOT_ROWS = 1_000_000
+
+
+def hot_salted_join(
+    many: DataFrame, lookup: DataFrame, on: Sequence[str], weights: DataFrame, row_id: Sequence[str], salts: int = 32, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Left join to a lookup with one row per key, where only hot keys are salted.
+
+    ``weights(on, _w)`` holds the rows per key.  At most rows / ``hot_rows`` keys
+    can be hot, so their list is small whatever the data; all other keys join
+    unrepeated.
+    """
+    hot = weights.where(F.col("_w") > hot_rows).select(*on, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")).otherwise(0)
+    left = many.join(F.broadcast(hot), list(on), "left").withColumn("_salt", salt).drop("_hot")
+    repeats = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.explode(repeats)).drop("_hot")
+    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+
+
 def checked_join(many: DataFrame, lookup: DataFrame, on: Sequence[str], row_id: Sequence[str], limit: int = 100_000) -> DataFrame:
     """Inner join to a checkpointed lookup: broadcast after counting its rows, salted when it has many."""
     if lookup.limit(limit + 1).count() <= limit:
@@ -132,19 +152,20 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str, accu
     below the bracket is only counted, map-side; what is inside (a few parts in
     ``accuracy`` of the group) is sorted.
     """
-    if not keys:
-        whole = df.withColumn("_all", F.lit(0))
-        return exact_median(whole, ["_all"], value, name, accuracy).drop("_all")
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
     margin = 5.0 / accuracy
     sketch = F.percentile_approx(value, F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), F.lit(accuracy))
     # fixed by a checkpoint, so that every task sees the same bracket
     brackets = checkpointed(known.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_total")))
-    placed = checked_join(known, brackets, keys, [*keys, value]).where(F.col(value) <= F.col("_b")[1])
+    if keys:
+        placed = checked_join(known, brackets, keys, [*keys, value])
+    else:
+        placed = known.withColumns({c: brackets.select(c).scalar() for c in ("_b", "_total")})
+    placed = placed.where(F.col(value) <= F.col("_b")[1])
     # one row counts all that lies below the bracket; NULL sorts before the values inside
     inside = F.when(F.col(value) >= F.col("_b")[0], F.col(value))
     counts = placed.groupBy(*keys, "_total", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_upto", F.sum("_n").over(run))
 
     def at(rank: Column) -> Column:

@@ -141,11 +141,13 @@ def aggregate_many(
     plain = [(a, c) for a, c in measures if a != "median"]
     medians = [c for a, c in measures if a == "median"]
     exprs = [_AGGREGATES[a](c).alias(f"{c}_{a}") for a, c in plain] or [F.count(F.lit(1)).alias("_rows")]
-    keys = list(group_by) or ["_all"]
-    base = rows if group_by else rows.withColumn("_all", F.lit(0))
-    out = base.groupBy(*keys).agg(*exprs)
+    out = rows.groupBy(*group_by).agg(*exprs)
     for c in medians:
-        out = out.join(exact_median(base, keys, c, f"{c}_median"), keys, "left")
+        found = exact_median(rows, group_by, c, f"{c}_median")
+        if group_by:
+            out = out.join(found, list(group_by), "left")
+        else:
+            out = out.withColumn(f"{c}_median", found.scalar())
     return out.select(*group_by, *[f"{c}_{a}" for a, c in measures])
 
 
