@@ -140,7 +140,7 @@ def news_rate_context(
     rows = tx.in_dates(articles, start, end)
     tests = F.array(*[F.struct(F.lit(i).alias("query_id"), F.col("_text").rlike(literal_regex(q)).alias("hit")) for i, q in enumerate(queries)])
     literal = (
-        rows.withColumn("_text", tx.all_text()).select("*", F.inline(F.filter(tests, lambda t: t["hit"])))
+        rows.withColumn("_text", tx.all_text(articles)).select("*", F.inline(F.filter(tests, lambda t: t["hit"])))
         .withColumn("excerpt", F.substring(F.coalesce("text", F.lit("")), 1, excerpt)).withColumn("score", F.lit(None).cast("double"))
     )
     place = Window.partitionBy("query_id").orderBy(tx.DAY, "headline", "article_id")

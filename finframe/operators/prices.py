@@ -17,14 +17,11 @@ from finframe.functions.scalars import decimal_to_pct, present, round4
 from finframe.operators.align import (
     DATE_OUTSIDE_COVERAGE,
     DATE_RANGE_INVALID,
-    NO_MATCHING_RECORDS,
     OK,
     UNKNOWN_TICKER,
     asof,
     asof_many,
-    coverage,
     moved_note,
-    overlap,
 )
 from finframe.operators.ordering import row_numbers
 from finframe.operators.rates import in_window

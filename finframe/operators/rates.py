@@ -19,9 +19,7 @@ from finframe.operators.align import (
     OK,
     asof,
     asof_many,
-    coverage,
 )
-from finframe.operators.ordering import salted_join
 
 KEY, DAY = "series_key", "effective_date"
 

@@ -23,8 +23,9 @@ INDEX_FIELDS = ("headline", "subhead", "text")
 DAY = "publication_date"
 
 
-def all_text() -> Column:
-    return combined(*COUNT_FIELDS)
+def all_text(articles: DataFrame) -> Column:
+    """The searched text: the column kept at ingest, else the four fields joined."""
+    return F.col("all_text") if "all_text" in articles.columns else combined(*COUNT_FIELDS)
 
 
 def in_dates(articles: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -58,7 +59,7 @@ def pattern_count(
     """Articles that hold each pattern, ranked; one scan for the whole list."""
     if not 1 <= len(patterns) <= 40:
         raise ValueError("give 1 to 40 patterns")
-    rows = in_dates(articles, start, end).select(all_text().alias("_text"))
+    rows = in_dates(articles, start, end).select(all_text(articles).alias("_text"))
     one = rows.agg(*_counts(patterns, whole_word, anchor, F.col("_text")), F.count(F.lit(1)).alias("articles_in_window"))
     out = one.select(_unfold(patterns), "articles_in_window")
     # at most forty rows are left here, so one sorted window is enough
@@ -73,7 +74,7 @@ def pattern_share(articles: DataFrame, patterns: Sequence[str], **kw) -> DataFra
 
 def pattern_by_year(articles: DataFrame, patterns: Sequence[str], whole_word: bool = True) -> DataFrame:
     """Pattern by year grid, one scan."""
-    rows = articles.select(F.year(DAY).cast("bigint").alias("year"), all_text().alias("_text"))
+    rows = articles.select(F.year(DAY).cast("bigint").alias("year"), all_text(articles).alias("_text"))
     grid = rows.groupBy("year").agg(*_counts(patterns, whole_word, "edge", F.col("_text")), F.count(F.lit(1)).alias("articles"))
     return grid.select("year", "articles", _unfold(patterns))
 
@@ -83,7 +84,7 @@ def _matching(
 ) -> DataFrame:
     rows = in_dates(articles, start, end)
     if pattern:
-        text = F.coalesce(F.col("headline"), F.lit("")) if field == "headline" else all_text()
+        text = F.coalesce(F.col("headline"), F.lit("")) if field == "headline" else all_text(articles)
         rows = rows.where(text.rlike(literal_regex(pattern, whole_word)))
     return rows
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from finframe.operators import align
 from finframe.operators import corpus as op
 from finframe.operators import cross as cx
-from finframe.operators import prices as px
 from finframe.plans import cross_queries as cq
 from finframe.plans import price_queries as pq
 from finframe.plans import sqlviews as v

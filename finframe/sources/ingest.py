@@ -95,7 +95,7 @@ def with_all_text(articles: DataFrame) -> DataFrame:
     """The searched text kept next to the articles, so counts need not join the fields again."""
     from finframe.operators.text import all_text
 
-    return articles.withColumn("all_text", all_text())
+    return articles.withColumn("all_text", all_text(articles))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
