@@ -150,6 +150,12 @@ def news_rate_context(
     return rate_in_force(found, rates, tx.DAY).join(F.broadcast(asked), "query_id")
 
 
+def article_lookup(asked: DataFrame, articles: DataFrame, rates: DataFrame) -> DataFrame:
+    """Articles by exact ``(headline, publication_date)`` with the rate in force; unknown ones keep NULLs."""
+    found = articles.groupBy("headline", tx.DAY).agg(F.min("article_id").alias("article_id"))
+    return rate_in_force(asked.join(found, ["headline", tx.DAY], "left"), rates, tx.DAY)
+
+
 def rate_on_peak_day(prices: DataFrame, rates: DataFrame) -> DataFrame:
     """The level on the day each ticker closed highest."""
     return rate_in_force(px.price_extreme(prices, "close", "highest", 1), rates, "date")

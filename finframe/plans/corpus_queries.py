@@ -93,7 +93,32 @@ def _(spark, d):
     return _flat(op.build_records(op.rate_cases(views.rates(spark, d), [_RATE_WINDOW])))
 
 
-@query("qa_prices")
+def _falls(basis, peak, trough):
+    return f"""t_{basis} AS (SELECT ticker, date, close, {peak} AS p, {trough} AS t, max({peak}) OVER (PARTITION BY ticker ORDER BY date) AS top FROM prices),
+    w_{basis} AS (SELECT ticker, arg_min(date, (t / top - 1, date)) AS d, arg_min(top, (t / top - 1, date)) AS pk, min(t / top - 1) AS fall FROM t_{basis} GROUP BY 1),
+    x_{basis} AS (SELECT ticker, fall, d, (SELECT min(date) FROM t_{basis} t WHERE t.ticker = w.ticker AND t.p = w.pk) AS pd,
+      (SELECT min(date) FROM t_{basis} t WHERE t.ticker = w.ticker AND t.date > w.d AND t.close >= w.pk) AS back FROM w_{basis} w)"""
+
+
+def _fall_case(basis):
+    return f"""SELECT 'FF-PRICE-drawdown-{basis}-' || ticker AS id, 'FF-PRICE-drawdown' AS template_family, 'max_drawdown' AS question_type, 'answerable' AS category, 'medium' AS difficulty, 'single' AS dataset_scope,
+      'What was the deepest fall of ' || ticker || ' ({basis})?' AS prompt,
+      ['It fell ' || {_pct('round(fall * 100, 4)')} || ' from ' || pd || ' to ' || d || '.', coalesce('It recovered on ' || back || '.', 'It did not recover.')] AS facts FROM x_{basis}"""
+
+
+def _extreme_case(direction, order):
+    return f"""SELECT 'FF-PRICE-{direction}-' || ticker AS id, 'FF-PRICE-{direction}' AS template_family, 'price_extreme' AS question_type, 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
+      'When did ' || ticker || ' close {direction}, and at what price?' AS prompt,
+      ['Its {direction} close was ' || {_usd('arg_min(close, (' + order + ', date))')} || ' on ' || arg_min(date, ({order}, date)) || '.'] AS facts FROM prices GROUP BY ticker"""
+
+
+_PRICE_CASES = f""", {_falls('close', 'close', 'close')}, {_falls('intraday', 'high', 'low')},
+price_cases AS ({_extreme_case('highest', '-close')} UNION ALL {_extreme_case('lowest', 'close')} UNION ALL {_fall_case('close')} UNION ALL {_fall_case('intraday')} UNION ALL
+  SELECT 'FF-PRICE-volume-' || ticker, 'FF-PRICE-volume', 'price_extreme', 'answerable', 'easy', 'single', 'On which day did ' || ticker || ' trade most?',
+    ['It traded ' || format('{{:,}}', max(volume)) || ' on ' || arg_min(date, (-volume, date)) || '.'] FROM prices GROUP BY ticker)"""
+
+
+@query("qa_prices", with_views(v.PRICES_BIG, _PRICE_CASES + _TAIL.replace("FROM cases", "FROM price_cases")))
 def _(spark, d):
     return _flat(op.build_records(op.price_cases(views.prices_big(spark, d))))
 
@@ -128,7 +153,17 @@ def _(spark, d):
     return _flat(op.build_records(op.event_cases(cq._event_returns(spark, d))))
 
 
-@query("qa_years")
+_YEARS = windows_sql(cq.YEARS) + f""", b AS (SELECT label, round(avg(ret) * 100, 4) AS ret FROM rets GROUP BY 1),
+m AS (SELECT CAST(year(effective_date) AS VARCHAR) AS label, count(*) FILTER (change_bp > 0) AS up, count(*) FILTER (change_bp < 0) AS down,
+  arg_min(target_bp - change_bp, effective_date) / 100.0 AS before, arg_max(target_bp, effective_date) / 100.0 AS after FROM r1 GROUP BY 1),
+c AS (SELECT CAST(year(publication_date) AS VARCHAR) AS label, count(*) FILTER (regexp_matches(all_text, {_match('the')})) AS n FROM articles GROUP BY 1),
+cases AS (SELECT 'FF-CROSS-year-' || label AS id, 'FF-CROSS-year' AS template_family, 'change_summary+pattern_count+basket_held' AS question_type, 'answerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
+  'Sum up ' || label || ' over rates, articles and prices.' AS prompt,
+  [(up + down) || ' changes (' || up || ' up, ' || down || ' down) took the level from ' || {_level('before')} || ' to ' || {_level('after')} || '.', format('{{:,}}', n) || ' articles mention "the".', 'The basket returned ' || {_pct('ret')} || '.'] AS facts
+  FROM b JOIN m USING (label) JOIN c USING (label))"""
+
+
+@query("qa_years", with_views(cq.ALL + "," + v.ARTICLES, _YEARS + _TAIL))
 def _(spark, d):
     summary = cx.year_summary(cq._rates(spark, d), views.articles(spark, d), cq._bars(spark, d), "the", cq.YEARS)
     return _flat(op.build_records(op.year_cases(summary)))

@@ -205,6 +205,25 @@ def _(spark, d):
     return shaped(op.rate_in_force(articles, _rates(spark, d), "publication_date").drop("change_pct"))
 
 
+@query(
+    "article_lookup",
+    with_views(
+        ONE + "," + v.ARTICLES,
+        f""", asked AS (SELECT article_id AS request_id, headline, CAST(publication_date + CASE WHEN article_id % 4 = 1 THEN 1 ELSE 0 END AS DATE) AS publication_date FROM articles),
+        found AS (SELECT headline, publication_date, min(article_id) AS article_id FROM articles GROUP BY 1, 2),
+        q AS (SELECT request_id, asked.headline, asked.publication_date, article_id, {_FORCE.format(day='asked.publication_date')} AS day FROM asked LEFT JOIN found ON found.headline = asked.headline AND found.publication_date = asked.publication_date)
+        SELECT request_id, headline, CAST(publication_date AS VARCHAR) AS publication_date, article_id, CAST(day AS VARCHAR) AS effective_date, target_bp / 100.0 AS target_pct,
+          CASE WHEN day IS NULL THEN 'DATE_OUTSIDE_COVERAGE' ELSE 'ok' END AS status FROM q LEFT JOIN r1 ON effective_date = day""",
+    ),
+)
+def _(spark, d):
+    articles = views.articles(spark, d)
+    # one in four requests is a day off
+    late = F.when(F.col("article_id") % 4 == 1, 1).otherwise(0)
+    asked = articles.select(F.col("article_id").alias("request_id"), "headline", F.date_add("publication_date", late).alias("publication_date"))
+    return shaped(op.article_lookup(asked, articles, _rates(spark, d)).drop("change_pct"))
+
+
 _NEWS = ["the", "license copyright", "zzzz"]
 
 

@@ -13,21 +13,17 @@ from finframe.plans.base import query, with_views
 from finframe.session import scratch_path
 from finframe.sources import ingest, views
 
-KEY = "1-URGENT"
-
-
 @query(
     "ingest_rates_csv",
-    with_views(v.RATES, f"SELECT series_key, CAST(effective_date AS VARCHAR) AS effective_date, target_bp, change_bp FROM rates WHERE series_key = '{KEY}'"),
+    with_views(v.RATES, "SELECT series_key, CAST(effective_date AS VARCHAR) AS effective_date, target_bp, change_bp FROM rates"),
 )
 def _(spark, d):
     path = scratch_path(spark, "rates-csv")
-    rows = views.rates(spark, d).where(F.col("series_key") == KEY)
-    rows.select(
-        F.date_format("effective_date", "d MMM yyyy").alias("Effective Date"), F.format_string("%+.2f", F.col("change_bp") / 100.0).alias("Change % points"),
+    views.rates(spark, d).select(
+        "series_key", F.date_format("effective_date", "d MMM yyyy").alias("Effective Date"), F.format_string("%+.2f", F.col("change_bp") / 100.0).alias("Change % points"),
         F.format_string("%.2f", F.col("target_bp") / 100.0).alias("Cash rate target%"),
-    ).write.csv(path, header=True)
-    kept, _ = ingest.read_rates_csv(spark, path, KEY)
+    ).write.partitionBy("series_key").csv(path, header=True)
+    kept, _ = ingest.read_rates_csv(spark, path)
     return shaped(kept)
 
 
@@ -43,13 +39,13 @@ def _(spark, d):
     return shaped(kept)
 
 
-@query("ingest_prices_partitioned", with_views(v.PRICES_WIDE, _BAR_SQL.format(volume="volume") + " WHERE ticker BETWEEN '1' AND '5'"))
+@query("ingest_prices_partitioned", with_views(v.PRICES_WIDE, _BAR_SQL.format(volume="volume")))
 def _(spark, d):
     path = scratch_path(spark, "prices-parquet")
     bars = views.prices_wide(spark, d)
     ingest.write_parquet(bars, path, ["ticker"])
     back = ingest.read_parquet(spark, path, bars.schema)
-    return shaped(back.where(F.col("ticker").between("1", "5")).select("ticker", "date", "open", "high", "low", "close", "volume"))
+    return shaped(back.select("ticker", "date", "open", "high", "low", "close", "volume"))
 
 
 def _read_articles(spark, d):

@@ -41,7 +41,7 @@ def damped_bars(spark, d):
     with_views(
         BARS,
         """, req AS (SELECT o_orderkey AS request_id, 'Brand#' || (o_custkey % 26) AS ticker, CAST(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 50 AS INTEGER) AS DATE) AS start,
-               CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 700 - 20 AS INTEGER) AS DATE) AS "end" FROM orders WHERE o_orderpriority = '1-URGENT'),
+               CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 700 - 20 AS INTEGER) AS DATE) AS "end" FROM orders),
         days AS (SELECT DISTINCT ticker, start AS day FROM req UNION SELECT DISTINCT ticker, "end" FROM req),
         prevs AS (SELECT d.ticker, d.day, b.date AS p FROM days d ASOF LEFT JOIN bars b ON b.ticker = d.ticker AND b.date <= d.day),
         nexts AS (SELECT d.ticker, d.day, b.date AS x FROM days d ASOF LEFT JOIN bars b ON b.ticker = d.ticker AND b.date >= d.day),
@@ -59,7 +59,7 @@ def damped_bars(spark, d):
 )
 def _(spark, d):
     key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
-    asked = views.table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT").select(
+    asked = views.table(spark, d, "orders").select(
         key.alias("request_id"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 26).cast("string")).alias("ticker"),
         F.date_sub(day, (key % 50).cast("int")).alias("start"), F.date_add(day, (key % 700 - 20).cast("int")).alias("end"),
     )
@@ -202,14 +202,14 @@ def _(spark, d):
     return op.volume_rank(views.prices_big(spark, d), "average", "1997-01-01", "1998-12-31")
 
 
-_EVENTS = """, ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS ticker, CAST(CAST(ts AS DATE) + CAST(event_id % 9 - 4 AS INTEGER) AS DATE) AS event_date FROM events WHERE event_type = 'purchase')"""
+_EVENTS = """, ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS ticker, CAST(CAST(ts AS DATE) + CAST(event_id % 9 - 4 AS INTEGER) AS DATE) AS event_date FROM events)"""
 
 
 @query(
     "price_event_window",
     with_views(
         WIDE_BARS,
-        _EVENTS + """, hit AS (SELECT ev.*, (SELECT arg_min(b.rn, (abs(date_diff('day', b.date, ev.event_date)), b.date)) FROM bars b WHERE b.ticker = ev.ticker) AS pos FROM ev),
+        _EVENTS + """, hit AS (SELECT event_id, ev.ticker, event_date, arg_min(b.rn, (abs(date_diff('day', b.date, ev.event_date)), b.date)) AS pos FROM ev JOIN bars b ON b.ticker = ev.ticker GROUP BY 1, 2, 3),
         w AS (SELECT hit.event_id, hit.ticker, hit.event_date, pos, n, pre, greatest(1, pos - pre) AS lo, least(n, pos + pre) AS hi, (pos - pre < 1 OR pos + pre > n) AS truncated
               FROM hit JOIN bars b ON b.ticker = hit.ticker AND b.rn = pos, (VALUES (3), (5)) s(pre))
         SELECT event_id, w.ticker, CAST(event_date AS VARCHAR) AS event_date, CAST(a.date AS VARCHAR) AS resolved_event_date, a.close AS event_close, pre, pre AS post,
@@ -220,7 +220,7 @@ _EVENTS = """, ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS ticker, CAST(
 )
 def _(spark, d):
     key = F.col("event_id")
-    events = views.table(spark, d, "events").where(F.col("event_type") == "purchase").select(
+    events = views.table(spark, d, "events").select(
         key, F.col("user_id").cast("string").alias("ticker"), F.date_add(F.to_date("ts"), (key % 9 - 4).cast("int")).alias("event_date")
     )
     wide = op.enrich(views.prices_wide(spark, d))

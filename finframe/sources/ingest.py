@@ -37,11 +37,15 @@ def csv_text(spark: SparkSession, path: str, names: Sequence[str]) -> tuple[Data
     return rows.drop("_line"), ragged
 
 
-def read_rates_csv(spark: SparkSession, path: str, series_key: str) -> tuple[DataFrame, DataFrame]:
-    """A decision series with day, signed change and level columns, as whole basis points."""
+def read_rates_csv(spark: SparkSession, path: str, series_key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Decision series with day, signed change and level columns, as whole basis points.
+
+    Without a key, ``path`` holds one ``series_key=...`` folder per series.
+    """
     rows, _ = csv_text(spark, path, ["day", "change", "level"])
+    key = F.lit(series_key) if series_key else F.col("series_key").cast("string")
     typed = rows.select(
-        F.lit(series_key).alias("series_key"), parse_date(F.col("day")).alias("effective_date"),
+        key.alias("series_key"), parse_date(F.col("day")).alias("effective_date"),
         pct_to_bp(F.col("level").try_cast("double")).alias("target_bp"),
         F.coalesce(pct_to_bp(F.col("change").try_cast("double")), F.lit(0)).alias("change_bp"),
     )
