@@ -68,27 +68,29 @@ def _(spark, d):
 _RATE_WINDOW = ("mid", "1996-03-01", "1999-12-31")
 
 
-@query(
-    "qa_rates",
-    with_views(
-        v.RATES,
-        f""", w AS (SELECT * FROM rates WHERE effective_date BETWEEN DATE '1996-03-01' AND DATE '1999-12-31'),
-        m AS (SELECT series_key, 'highest' AS direction, max(target_bp) AS t FROM w GROUP BY 1 UNION ALL SELECT series_key, 'lowest', min(target_bp) FROM w GROUP BY 1),
-        x AS (SELECT w.series_key, direction, t, min(effective_date) AS f, count(*) AS c FROM w JOIN m ON m.series_key = w.series_key AND target_bp = t GROUP BY 1, 2, 3),
-        s AS (SELECT series_key, count(*) AS n, count(*) FILTER (change_bp > 0) AS up, count(*) FILTER (change_bp < 0) AS down, arg_min(target_bp - change_bp, effective_date) AS b, arg_max(target_bp, effective_date) AS a FROM w GROUP BY 1),
-        e AS (SELECT series_key, effective_date AS d1, lag(effective_date) OVER k AS d0, lag(target_bp) OVER k AS during FROM rates WHERE change_bp <> 0 WINDOW k AS (PARTITION BY series_key ORDER BY effective_date)),
-        h AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date_diff('day', d0, d1) DESC, d0) AS r FROM e WHERE d0 IS NOT NULL),
-        cases AS (
-          SELECT 'FF-RATE-' || direction || '-mid-' || series_key AS id, 'FF-RATE-' || direction AS template_family, 'rate_extreme' AS question_type, 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
-            'What was the ' || direction || ' level of ' || series_key || ' from 1996-03-01 to 1999-12-31, and when did it first apply?' AS prompt,
-            ['The ' || direction || ' level was ' || {_level('t / 100.0')} || ', first on ' || f || ', in ' || c || ' records.'] AS facts FROM x
-          UNION ALL SELECT 'FF-RATE-summary-mid-' || series_key, 'FF-RATE-summary', 'change_summary', 'answerable', 'medium', 'single', 'How often did ' || series_key || ' change from 1996-03-01 to 1999-12-31?',
-            [(up + down) || ' of ' || n || ' records changed it: ' || up || ' up and ' || down || ' down.', 'It moved from ' || {_level('b / 100.0')} || ' to ' || {_level('a / 100.0')} || '.'] FROM s
-          UNION ALL SELECT 'FF-RATE-hold-' || series_key, 'FF-RATE-hold', 'longest_hold', 'answerable', 'medium', 'single', 'How long did ' || series_key || ' stay unchanged at most?',
-            [date_diff('day', d0, d1) || ' days, from ' || d0 || ' to ' || d1 || ' at ' || {_level('during / 100.0')} || '.'] FROM h WHERE r = 1)
-        """ + _TAIL,
-    ),
-)
+def _rate_cases(label, start, end):
+    asked = f"from {start} to {end}"
+    return f""", r_w AS (SELECT * FROM rates WHERE effective_date BETWEEN DATE '{start}' AND DATE '{end}'),
+    r_m AS (SELECT series_key, 'highest' AS direction, max(target_bp) AS t FROM r_w GROUP BY 1 UNION ALL SELECT series_key, 'lowest', min(target_bp) FROM r_w GROUP BY 1),
+    r_x AS (SELECT r_w.series_key, direction, t, min(effective_date) AS f, count(*) AS c FROM r_w JOIN r_m ON r_m.series_key = r_w.series_key AND target_bp = t GROUP BY 1, 2, 3),
+    r_s AS (SELECT series_key, count(*) AS n, count(*) FILTER (change_bp > 0) AS up, count(*) FILTER (change_bp < 0) AS down, arg_min(target_bp - change_bp, effective_date) AS b, arg_max(target_bp, effective_date) AS a FROM r_w GROUP BY 1),
+    r_e AS (SELECT series_key, effective_date AS d1, lag(effective_date) OVER k AS d0, lag(target_bp) OVER k AS during FROM rates WHERE change_bp <> 0 WINDOW k AS (PARTITION BY series_key ORDER BY effective_date)),
+    r_h AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date_diff('day', d0, d1) DESC, d0) AS r FROM r_e WHERE d0 IS NOT NULL),
+    rate_cases AS (
+      SELECT 'FF-RATE-' || direction || '-{label}-' || series_key AS id, 'FF-RATE-' || direction AS template_family, 'rate_extreme' AS question_type, 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
+        'What was the ' || direction || ' level of ' || series_key || ' {asked}, and when did it first apply?' AS prompt,
+        ['The ' || direction || ' level was ' || {_level('t / 100.0')} || ', first on ' || f || ', in ' || c || ' records.'] AS facts FROM r_x
+      UNION ALL SELECT 'FF-RATE-summary-{label}-' || series_key, 'FF-RATE-summary', 'change_summary', 'answerable', 'medium', 'single', 'How often did ' || series_key || ' change {asked}?',
+        [(up + down) || ' of ' || n || ' records changed it: ' || up || ' up and ' || down || ' down.', 'It moved from ' || {_level('b / 100.0')} || ' to ' || {_level('a / 100.0')} || '.'] FROM r_s
+      UNION ALL SELECT 'FF-RATE-hold-' || series_key, 'FF-RATE-hold', 'longest_hold', 'answerable', 'medium', 'single', 'How long did ' || series_key || ' stay unchanged at most?',
+        [date_diff('day', d0, d1) || ' days, from ' || d0 || ' to ' || d1 || ' at ' || {_level('during / 100.0')} || '.'] FROM r_h WHERE r = 1)"""
+
+
+def _tail(*names):
+    return _TAIL.replace("FROM cases", "FROM (" + " UNION ALL ".join(f"SELECT * FROM {n}" for n in names) + ")")
+
+
+@query("qa_rates", with_views(v.RATES, _rate_cases(*_RATE_WINDOW) + _tail("rate_cases")))
 def _(spark, d):
     return _flat(op.build_records(op.rate_cases(views.rates(spark, d), [_RATE_WINDOW])))
 
@@ -123,17 +125,15 @@ def _(spark, d):
     return _flat(op.build_records(op.price_cases(views.prices_big(spark, d))))
 
 
-@query(
-    "qa_articles",
-    with_views(
-        v.ARTICLES,
-        ", cases AS (" + " UNION ALL ".join(
-            f"""SELECT 'FF-TEXT-count-{p.replace(' ', '_')}-' || year(publication_date) AS id, 'FF-TEXT-count' AS template_family, 'pattern_count' AS question_type, 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
-            'How many articles of ' || year(publication_date) || ' mention "{p}"?' AS prompt, [format('{{:,}}', count(*) FILTER (regexp_matches(all_text, {_match(p)}))) || ' of ' || format('{{:,}}', count(*)) || ' articles mention it.'] AS facts
-            FROM articles GROUP BY year(publication_date)""" for p in ("the", "der die")
-        ) + ")" + _TAIL,
-    ),
-)
+def _article_cases(patterns):
+    return ", article_cases AS (" + " UNION ALL ".join(
+        f"""SELECT 'FF-TEXT-count-{p.replace(' ', '_')}-' || year(publication_date) AS id, 'FF-TEXT-count' AS template_family, 'pattern_count' AS question_type, 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
+        'How many articles of ' || year(publication_date) || ' mention "{p}"?' AS prompt, [format('{{:,}}', count(*) FILTER (regexp_matches(all_text, {_match(p)}))) || ' of ' || format('{{:,}}', count(*)) || ' articles mention it.'] AS facts
+        FROM articles GROUP BY year(publication_date)""" for p in patterns
+    ) + ")"
+
+
+@query("qa_articles", with_views(v.ARTICLES, _article_cases(["the", "der die"]) + _tail("article_cases")))
 def _(spark, d):
     return _flat(op.build_records(op.article_cases(views.articles(spark, d), ["the", "der die"])))
 
@@ -207,18 +207,17 @@ def _(spark, d):
     return _flat(op.build_records(op.unsupported_span_cases(covers, cq._ASKED_WINDOWS)))
 
 
-@query(
-    "qa_extrapolation",
-    with_views(
-        v.PRICES_BIG + "," + v.RATES,
-        f""", lp AS (SELECT ticker, max(date) AS date, arg_max(close, date) AS close, unnest(['2035-01-01', '2040-01-01']) AS day FROM prices GROUP BY 1),
-        lr AS (SELECT series_key, max(effective_date) AS date, arg_max(target_bp, effective_date) AS t, unnest(['2035-01-01', '2040-01-01']) AS day FROM rates GROUP BY 1),
-        cases AS (SELECT 'FF-EXTRAP-price-' || ticker || '-' || day AS id, 'FF-EXTRAP-price' AS template_family, 'price_extreme' AS question_type, 'extrapolation' AS category, 'medium' AS difficulty, 'single' AS dataset_scope,
-            'What will ' || ticker || ' close at on ' || day || '?' AS prompt, ['The data cannot tell. The last close of ' || ticker || ' is ' || {_usd('close')} || ' on ' || date || '.'] AS facts FROM lp
-          UNION ALL SELECT 'FF-EXTRAP-rate-' || series_key || '-' || day, 'FF-EXTRAP-rate', 'rate_at', 'extrapolation', 'medium', 'single', 'What will the level of ' || series_key || ' be on ' || day || '?',
-            ['The data cannot tell. The last decision on record is ' || date || ' at ' || {_level('t / 100.0')} || '.'] FROM lr)""" + _TAIL,
-    ),
-)
+def _future_cases(days):
+    listed = "[" + ", ".join(f"'{x}'" for x in days) + "]"
+    return f""", lp AS (SELECT ticker, max(date) AS date, arg_max(close, date) AS close, unnest({listed}) AS day FROM prices GROUP BY 1),
+    lr AS (SELECT series_key, max(effective_date) AS date, arg_max(target_bp, effective_date) AS t, unnest({listed}) AS day FROM rates GROUP BY 1),
+    future_cases AS (SELECT 'FF-EXTRAP-price-' || ticker || '-' || day AS id, 'FF-EXTRAP-price' AS template_family, 'price_extreme' AS question_type, 'extrapolation' AS category, 'medium' AS difficulty, 'single' AS dataset_scope,
+        'What will ' || ticker || ' close at on ' || day || '?' AS prompt, ['The data cannot tell. The last close of ' || ticker || ' is ' || {_usd('close')} || ' on ' || date || '.'] AS facts FROM lp
+      UNION ALL SELECT 'FF-EXTRAP-rate-' || series_key || '-' || day, 'FF-EXTRAP-rate', 'rate_at', 'extrapolation', 'medium', 'single', 'What will the level of ' || series_key || ' be on ' || day || '?',
+        ['The data cannot tell. The last decision on record is ' || date || ' at ' || {_level('t / 100.0')} || '.'] FROM lr)"""
+
+
+@query("qa_extrapolation", with_views(v.PRICES_BIG + "," + v.RATES, _future_cases(["2035-01-01", "2040-01-01"]) + _tail("future_cases")))
 def _(spark, d):
     found = op.extrapolation_cases(views.prices_big(spark, d), views.rates(spark, d), ["2035-01-01", "2040-01-01"])
     return _flat(op.build_records(found))
@@ -228,7 +227,14 @@ def _whole(spark, d):
     return op.evaluation_set(views.rates(spark, d), pq.bars(spark, d), views.articles(spark, d), ["the", "und"], pq.YEARS)
 
 
-@query("qa_evaluation_set")
+@query(
+    "qa_evaluation_set",
+    with_views(
+        pq.BARS + "," + v.RATES + "," + v.ARTICLES,
+        _rate_cases(*pq.YEARS[0]) + _RETURN_CASES + _PRICE_CASES + _article_cases(["the", "und"]) + _future_cases(["2035-01-01"])
+        + _tail("rate_cases", "cases", "price_cases", "article_cases", "future_cases"),
+    ),
+)
 def _(spark, d):
     return _flat(_whole(spark, d))
 

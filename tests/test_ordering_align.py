@@ -147,3 +147,23 @@ def test_nulls_last_both_ways(spark):
     df = spark.createDataFrame([(1, None), (2, 5.0), (3, 1.0)], "i int, v double")
     assert [r.i for r in tables.extremes(df, "v", "min", 3).collect()] == [3, 2, 1]
     assert [r.i for r in tables.extremes(df, "v", "max", 3).collect()] == [2, 3, 1]
+
+
+def test_hot_keys_join_like_cold_ones(spark):
+    many = spark.range(0, 3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).alias("k"))
+    weights = many.groupBy("k").agg(F.count("*").alias("_w"))
+    lookup = spark.range(0, 500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = op.hot_salted_join(many, lookup, ["k"], weights, ["id"], salts=7, hot_rows=50)
+    want = many.join(lookup, "k", "left")
+    assert got.count() == 3000
+    assert got.select("id", "k", "v").exceptAll(want.select("id", "k", "v")).count() == 0
+
+
+def test_asof_with_a_hot_point(spark, monkeypatch):
+    monkeypatch.setattr(op, "HOT_ROWS", 5)
+    monkeypatch.setattr(op.hot_salted_join, "__defaults__", (4, 5))
+    series = spark.createDataFrame([("a", day) for day in GAPPY], "k string, day date")
+    asked = spark.range(0, 300).select("id", F.lit("a").alias("k"), F.when(F.col("id") % 3 == 0, F.lit(GAPPY[2])).otherwise(F.date_add(F.lit(GAPPY[0]), (F.col("id") % 9).cast("int"))).alias("at"))
+    got = align.asof(asked, series, ["k"], "at", "day", "nearest", ["id"]).collect()
+    assert len(got) == 300
+    assert all(r.day == expected(GAPPY, r["at"], "nearest") for r in got)
