@@ -1,8 +1,7 @@
-"""Session settings the library relies on."""
+"""Session settings the library relies on, and tables written between steps."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,29 +12,40 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    Only a local session (tests) may fall back to a folder of this machine.
+    Where ``spark.checkpoint.dir`` is unset, steps go below the warehouse, which
+    a cluster shares too; no folder of one machine is ever chosen.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    named = tempfile.mkdtemp(prefix="finframe-")
-    spark.conf.set(CHECKPOINT_CONF, named)
-    return named
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/finframe-steps"
+
+
+def step_root(spark: SparkSession) -> str:
+    """The folder of this application's steps, below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/steps-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder for a table written mid-job."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a table written mid-job."""
+    return f"{step_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows as a table written to the shared folder and read back.
 
-    Later readers see one fixed set of rows, survive lost executors without
-    redoing the work, read only the columns they need, and know the size.
+    The write runs at once, while the plan is being built.  Later readers see
+    one fixed set of rows, survive lost executors without redoing the work,
+    read only the columns they need, and know the size.
     """
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Delete the tables this application wrote between steps.
+
+    To be called when a job has written its results; frames that still read a
+    step cannot be used afterwards.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
