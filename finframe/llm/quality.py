@@ -194,11 +194,15 @@ def estimates(rows: DataFrame, keys: list[str], *, keep: float = KEEP, steps: in
 
 def judge(
     docs: DataFrame, *, text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), cut: float = CUT,
-    keep: float = KEEP, steps: int = STEPS, least: int = LEAST,
+    keep: float = KEEP, steps: int = STEPS, least: int = LEAST, carry_text: bool = False,
 ) -> DataFrame:
-    """The rows with their statistics, ``distance`` (squared, null without an estimate) and ``kept``."""
+    """The rows with their statistics, ``distance`` (squared, null without an estimate) and ``kept``.
+
+    The texts are left out, and so not written between the steps, unless ``carry_text``.
+    """
     keys = list(group_cols)
-    rows = checkpointed(_vectors(statistics(docs, text_col=text_col)).drop(text_col) if text_col in docs.columns else docs)
+    rows = _vectors(statistics(docs, text_col=text_col))
+    rows = checkpointed(rows if carry_text else rows.drop(text_col))
     fit = rows.where(~F.col("base_failed")).select(*keys, *FEATURES)
     found = estimates(fit, keys, keep=keep, steps=steps, least=least)
     judged = _with(_join(rows, checkpointed(found), keys), distance_sql())

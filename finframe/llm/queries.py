@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finframe.llm import chat, packing, pii, quality, shards, topk, urls
+from finframe.llm import bpe, chat, neardup, packing, pii, quality, shards, tokencount, topk, urls
 from finframe.llm.oracles import ORACLES  # noqa: F401 - part of this module's interface
+from finframe.session import scratch_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +33,11 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -79,6 +85,26 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat files written from the table; the manifest tells the documents apart."""
+    docs = table(spark, sf_dir, "documents")
+    folder = scratch_path(spark, "flat")
+    tokencount.write_flat(docs, folder, BYTE_BPE)
+    counted = tokencount.count_tokens(spark, folder).withColumn("part", tokencount.part_of(F.col("file")))
+    named = tokencount.manifest(docs).join(counted, ["part", "doc"], "full_outer")
+    lost = F.raise_error(F.lit("the flat files and the documents do not match")).cast("long")
+    return named.select("doc_id", F.coalesce("n_tokens", lost).alias("n_tokens"), "part", "doc", "start", "closed")
+
+
+def op10_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE).drop("text")
+    rows = bpe.decode(encoded, BYTE_BPE)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ring_shards, op2_pack_sequences, op4_quality_rules, op5_chat_windows, op6_url_rules, op7_top_k, op8_personal_data,
+    op1_ring_shards, op2_pack_sequences, op3_near_duplicates, op4_quality_rules, op5_chat_windows,
+    op6_url_rules, op7_top_k, op8_personal_data, op9_token_counts, op10_encode_decode,
 )}

@@ -69,7 +69,10 @@ class _Memo(dict):
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        split = [self.parts(t) for t in texts]
+        return self.encode_parts([self.parts(t) for t in texts])
+
+    def encode_parts(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of each list of parts."""
         new = [p for p in set().union(*split) if p not in self]
         if len(self) + len(new) > MEMO_PARTS:
             self.clear()
