@@ -34,8 +34,8 @@ HISTORY_TOKENS = 192
 MARK_TOKENS = 4  # the template's own tokens of a turn
 
 BEGIN, TURN, END = "<s>", "<|turn|>", "<|end|>"
-#: What follows the first character of a control string, this template's and the common ones.
-CONTROL = r"(?:\|[a-z_]+\|>|/?s>|/?INST\]|/?SYS>>|<SYS>>|</SYS>>)"
+#: What follows the first character of a control string, this template's and the common ones; it holds no such character.
+CONTROL = r"(?:\|[a-z_]+\|>|/?s>|/?INST\]|/?SYS>>)"
 WORD_OR_SIGN = r"[\p{L}]+|\p{N}|[^\s\p{L}\p{N}]+"
 
 

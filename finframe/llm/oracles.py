@@ -28,3 +28,53 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+# sequential insertion into the ring, one key after the other
+ORACLES["op1_ring_shards"] = """
+WITH RECURSIVE
+place AS (
+  SELECT s::INTEGER AS shard, ('0x' || substr(md5('shard:' || s || ':' || n), 1, 15))::BIGINT AS at
+  FROM range(8) a(s), range(64) b(n)),
+k AS (SELECT doc_id, coalesce(text, '') AS t, md5('key:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+o AS (
+  SELECT doc_id, t, ('0x' || substr(h, 1, 15))::BIGINT AS at, row_number() OVER (ORDER BY ('0x' || substr(h, 17, 15))::BIGINT, doc_id) AS turn FROM k),
+near AS (
+  SELECT o.turn, place.shard, min((place.at - o.at + 1152921504606846976) % 1152921504606846976) AS ahead
+  FROM o, place GROUP BY ALL),
+choice AS (SELECT turn, list(shard ORDER BY ahead) AS choices FROM near GROUP BY turn),
+tab AS (
+  SELECT list(v ORDER BY n) AS tab FROM (
+    SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) t(n))),
+crc AS (
+  SELECT turn, xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || b)::UBIGINT for b in regexp_extract_all(hex(encode(t)), '..')]),
+                               lambda c, b: xor(c >> 8, tab[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM o, tab),
+size AS (SELECT count(*) AS n FROM o),
+walk(turn, loads, shard) AS (
+  SELECT 0::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], NULL::INTEGER
+  UNION ALL
+  SELECT turn, [loads[i] + CASE WHEN i = pick + 1 THEN 1 ELSE 0 END for i in range(1, 9)], pick
+  FROM (SELECT choice.turn, w.loads,
+               [s for s in choice.choices if w.loads[s + 1] < size.n // 8 + CASE WHEN s < size.n % 8 THEN 1 ELSE 0 END][1] AS pick
+        FROM walk w JOIN choice ON choice.turn = w.turn + 1 CROSS JOIN size))
+SELECT doc_id, (strlen(t) + 1)::BIGINT AS size, text_crc32, 'rows' AS law, walk.shard,
+       row_number() OVER (PARTITION BY walk.shard ORDER BY turn) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM o JOIN walk USING (turn) JOIN crc USING (turn)
+"""
+
+# every pair of documents that shares a shingle, and what can be reached from each
+ORACLES["op3_near_duplicates"] = r"""
+WITH RECURSIVE
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)] END) AS g FROM w),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, a AS c FROM edge UNION SELECT edge.b, reach.c FROM reach JOIN edge ON edge.a = reach.doc_id),
+low AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY ALL)
+SELECT doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(low.c, doc_id) AS component_id, coalesce(low.c, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN low USING (doc_id)
+"""

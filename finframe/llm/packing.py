@@ -10,8 +10,8 @@ what lies in sequences that stayed open is dealt again to fewer lanes.
 Defined results: a null text counts as empty and gives one piece with the
 separator alone; a null or negative length counts as 0; a length of the
 capacity or more takes a sequence of its own.  Repeated rows are packed each.
-An empty table gives no rows.  Columns of the input are kept; they must not be
-named ``sequence_id`` or ``offset``.
+An empty table gives no rows.  Columns of the input are kept, but for those that
+clash with the outputs or begin with an underscore.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finframe.llm.columns import without
 from finframe.llm.tokens import word_ids
 from finframe.session import checkpointed
 
@@ -125,6 +126,7 @@ def pack(
     pieces in sequences with more than ``slack`` free tokens are packed again,
     while their number falls.
     """
+    pieces = without(pieces, ["sequence_id", "offset"], [length_col])
     rows = checkpointed(pieces.withColumn("_row", F.monotonically_increasing_id()))
     size = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0))
     slim = rows.select("_row", size.alias("_size"))

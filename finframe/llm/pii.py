@@ -11,7 +11,8 @@ nested repetition that Java would run by recursion, and every run is entered at
 its first character only, so long runs cost no square of their length.
 
 Defined results: a null text has no spans; an empty one neither.  Repeated rows
-are judged each.  Other columns are kept; ``spans`` must not be among them.
+are judged each.  Other columns are kept, but for those that clash with ``spans``
+or begin with an underscore.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finframe.llm.columns import without
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "secret")
 KINDS = BASE + ADDED
@@ -125,7 +128,7 @@ def _spans(kind: str, text: Column, threshold: float) -> Column:
 def find(docs: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows with ``spans``: (start, end, kind, score), by kind as listed, then by start; ends are exclusive."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("spans", F.concat(*[_spans(kind, text, threshold) for kind in KINDS]))
+    return without(docs, ["spans"], [text_col]).withColumn("spans", F.concat(*[_spans(kind, text, threshold) for kind in KINDS]))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -20,7 +20,8 @@ not kept and take no part in the estimates.  A group with fewer than ``LEAST``
 such rows has no estimate and rejects none.  A floor under each coordinate's
 deviation keeps a coordinate without spread from rejecting what barely differs.
 Null languages and sources are groups of their own.  Repeated rows are judged
-each.  Columns of the input are kept; clashing names are replaced.
+each.  Columns of the input are kept, but for those that clash with the outputs
+or the steps (``f_word``, ``m_0`` ...) or begin with an underscore.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finframe.llm.columns import without
 from finframe.session import checkpointed
 
 SPACE = r"\x20\x09-\x0D"
@@ -46,6 +48,7 @@ FEATURES = {
     "f_mark": "round(1000 * ln(1 + 100 * cast(n_marks as double) / word_chars))",
     "f_repeat": "round(1000 * ln(1 + 100 * cast(n_repeat_words as double) / n_words))",
 }
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "base_failed")
 #: Least standard deviation of each, in thousandths.
 FLOOR = {"f_word": 40.0, "f_symbol": 250.0, "f_capital": 200.0, "f_mark": 250.0, "f_repeat": 400.0}
 #: Documents are clean within this squared distance: about eleven deviations, as clean statistics have long tails.
@@ -58,6 +61,13 @@ LEAST = 50
 CLASSES = 64  # per doubling of the squared distance
 
 
+def _internal() -> list[str]:
+    """Names of the columns that hold steps of the estimate."""
+    d = len(FEATURES)
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    return ["d2", "scale", "n", *FEATURES, *[f"{x}_{i}" for x in "zmsw" for i in range(d)], *[f"{x}_{i}_{j}" for x in "lpc" for i, j in pairs]]
+
+
 def _less(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
@@ -201,6 +211,7 @@ def judge(
     The texts are left out, and so not written between the steps, unless ``carry_text``.
     """
     keys = list(group_cols)
+    docs = without(docs, [*COUNTS, "distance", "kept", *_internal()], [text_col, *keys])
     rows = _vectors(statistics(docs, text_col=text_col))
     rows = checkpointed(rows if carry_text else rows.drop(text_col))
     fit = rows.where(~F.col("base_failed")).select(*keys, *FEATURES)
@@ -208,5 +219,4 @@ def judge(
     judged = _with(_join(rows, checkpointed(found), keys), distance_sql())
     judged = judged.withColumn("distance", F.col("d2") / F.greatest(F.col("scale"), F.lit(1.0)))
     judged = judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cut, F.lit(False)))
-    d = len(FEATURES)
-    return judged.drop("d2", "scale", *FEATURES, *[f"z_{i}" for i in range(d)], *[f"m_{i}" for i in range(d)], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)])
+    return judged.drop(*_internal())

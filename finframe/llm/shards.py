@@ -15,7 +15,8 @@ take that share more, and fewer keys leave their first place.
 
 Defined results: null ids share one place on the ring.  Repeated rows are keys
 of their own in a fixed order.  An empty table gives no rows.  Columns of the
-input are kept.  The ring is a table of ``shards * nodes`` rows, whatever the
+input are kept, but for those that clash with the outputs or begin with an
+underscore.  The ring is a table of ``shards * nodes`` rows, whatever the
 data; it is worked out from parameters alone and is the only thing broadcast.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finframe.llm.columns import without
 from finframe.session import checkpointed
 
 NODES = 64
@@ -137,6 +139,7 @@ def assign(
     rows: DataFrame, *, key: str = "doc_id", shards: int = 8, nodes: int = NODES, slack: float = 0.0,
 ) -> DataFrame:
     """The rows with ``home_shard`` (first place), ``shard`` and ``slot``, gapless from 0 in each shard."""
+    rows = without(rows, ["home_shard", "shard", "slot"], [key])
     ranked = checkpointed(_choices(in_turn(rows, F.col(key)), shards, nodes).drop("_at"))
     total = ranked.count()
     if slack:

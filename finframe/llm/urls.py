@@ -17,7 +17,8 @@ size of the table decides how Spark joins it.
 Defined results: a null URL, or one without ``://``, has empty host and path and
 fits only rules with both empty.  A null in a rule's host or path is empty; other
 verdicts than ``block`` allow.  Repeated pages get a row each, repeated rules
-count once, an empty table of rules gives the default.  Other columns are kept.
+count once, an empty table of rules gives the default.  Other columns are
+kept, but for those that clash with the outputs or begin with an underscore.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finframe.llm.columns import without
+
 DEFAULT = "allow"
 
 
@@ -81,6 +84,7 @@ def match(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     ``rules`` has the columns host, path and verdict.
     """
     known = _rules(rules)
+    pages = without(pages, ["host", "path", "rule", "verdict"], [url_col])
     urls = pages.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
     # what has no host is the same to every rule: one empty URL stands for it
     urls = urls.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"))
