@@ -14,16 +14,16 @@ from pyspark.sql.types import StringType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The suffix tables of the published algorithm.
-_STEP2 = [
+STEP2 = [
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"),
     ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
     ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"),
     ("iviti", "ive"), ("biliti", "ble"),
 ]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = (
-    "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-).split()
+STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP4 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+)
 
 
 def _shape(stem: str) -> str:
@@ -76,8 +76,8 @@ def stem_word(word: str) -> str:
             word = cut
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
-    word = _replace(_replace(word, _STEP2), _STEP3)
-    for suffix in sorted(_STEP4, key=len, reverse=True):
+    word = _replace(_replace(word, STEP2), STEP3)
+    for suffix in sorted(STEP4, key=len, reverse=True):
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):

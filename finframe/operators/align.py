@@ -183,12 +183,34 @@ def in_coverage(events: DataFrame, cover: DataFrame, date: str) -> DataFrame:
     return events.where(F.col(date).between(lo, hi))
 
 
+def answered(
+    found: DataFrame, rows: DataFrame, key: str, date: str, start: str | None = None, end: str | None = None, asked: Sequence[str] = ()
+) -> DataFrame:
+    """What an operator found, and one row for every asked key without a result.
+
+    Adds ``status``, ``available_start`` and ``available_end`` (the days the key
+    has at all).  Without ``asked`` every key of ``rows`` is asked for.
+    """
+    cover = rows.groupBy(key).agg(F.min(date).alias("available_start"), F.max(date).alias("available_end"))
+    if asked:
+        named = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(a) for a in dict.fromkeys(asked)])).alias(key))
+        cover = named.join(cover, key, "left")
+    inverted = bool(start and end and start > end)
+    status = (
+        F.when(F.col("available_start").isNull(), UNKNOWN_TICKER).when(F.lit(inverted), DATE_RANGE_INVALID)
+        .when(F.col("_found"), OK).otherwise(NO_MATCHING_RECORDS)
+    )
+    out = cover.join(found.withColumn("_found", F.lit(True)), key, "left")
+    return out.select(*found.columns, status.alias("status"), "available_start", "available_end")
+
+
 def unknown_keys(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Requested keys the dataset does not hold, each with the number of valid keys."""
+    """Requested keys the dataset does not hold, each with the number of valid keys and the first and last of them."""
     valid = known.select(key).distinct()
-    total = valid.agg(F.count(F.lit(1)).alias("n")).scalar()
+    summed = valid.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+    told = {n: summed.select(c).scalar() for n, c in (("available", "n"), ("first_key", "first"), ("last_key", "last"))}
     return requests.select(key).distinct().join(valid, key, "left_anti").select(
-        key, F.lit(UNKNOWN_TICKER).alias("status"), total.alias("available")
+        key, F.lit(UNKNOWN_TICKER).alias("status"), *[c.alias(n) for n, c in told.items()]
     )
 
 

@@ -134,8 +134,8 @@ def event_cases(returns: DataFrame) -> DataFrame:
     """Best and worst ticker around every event and window size."""
     rows = cx.event_best_and_worst(returns)
     return cases(
-        rows, said("FF-CROSS-event-", F.col("event_date"), "-", F.col("pre")),
-        said("What was the level on ", F.col("event_date"), ", and which tickers did best and worst over ", F.col("pre"), " trading days each way?"),
+        rows, said("FF-CROSS-event-", F.col("series_key"), "-", F.col("event_date"), "-", F.col("pre")),
+        said("What was the level of ", F.col("series_key"), " on ", F.col("event_date"), ", and which tickers did best and worst over ", F.col("pre"), " trading days each way?"),
         [
             said("The level was ", level("target_pct"), "."),
             said(F.col("best"), " did best at ", signed_pct(F.round("best_pct", 2)), " and ", F.col("worst"), " worst at ", signed_pct(F.round("worst_pct", 2)), "."),
@@ -145,9 +145,10 @@ def event_cases(returns: DataFrame) -> DataFrame:
 
 
 def year_cases(summary: DataFrame) -> DataFrame:
-    """Rates, articles and basket of one year; years a dataset misses cannot be worded and are skipped."""
+    """Rates of a series, articles and basket of one year; years a dataset misses cannot be worded and are skipped."""
     return cases(
-        summary, said("FF-CROSS-year-", F.col("label")), said("Sum up ", F.col("label"), " over rates, articles and prices."),
+        summary, said("FF-CROSS-year-", F.col("series_key"), "-", F.col("label")),
+        said("Sum up ", F.col("label"), " over the rates of ", F.col("series_key"), ", articles and prices."),
         [
             said(F.col("changed_count"), " changes (", F.col("increases"), " up, ", F.col("decreases"), " down) took the level from ", level("rate_before_pct"), " to ", level("rate_after_pct"), "."),
             said(grouped_int(F.col("article_count")), " articles mention \"", F.col("pattern"), "\"."),

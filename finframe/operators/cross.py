@@ -1,10 +1,10 @@
 """Questions that join rates, prices and articles.
 
-Where every ticker meets every event, each bar lists the calendar days that
-align to it and joins the event days by equality.  The result has one row per
-ticker and event, but no step pairs bars with events they do not answer.  Event
-days of one series are at most one per calendar day, so that side is small
-enough to broadcast.
+Rates hold any number of series, and every result on rates carries its
+``series_key``.  Where every ticker meets every event, each bar lists the
+calendar days that align to it and joins the event days by equality.  The result
+has one row per ticker and event, but no step pairs bars with events they do not
+answer.  How the sides are joined is left to their sizes.
 """
 
 from __future__ import annotations
@@ -24,8 +24,17 @@ from finframe.operators.ordering import row_numbers
 from finframe.session import checkpointed
 
 
+KEY = "series_key"
+
+
 def of_series(rates: DataFrame, series_key: str) -> DataFrame:
-    return rates.where(F.col("series_key") == series_key)
+    return rates.where(F.col(KEY) == series_key)
+
+
+def per_series(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """Every row once for each series of the rates; the list of series is one value."""
+    listed = rates.agg(F.array_sort(F.collect_set(KEY)).alias("s")).scalar()
+    return rows.withColumn(KEY, F.explode(listed))
 
 
 def aligned_days(bars: DataFrame, lo: Column, hi: Column, alignment: str = "nearest") -> DataFrame:
@@ -58,21 +67,21 @@ def _span(events: DataFrame, day: str) -> tuple[Column, Column]:
 def event_market_returns(
     events: DataFrame, rates: DataFrame, bars: DataFrame, sizes: Sequence[tuple[int, int]] = ((3, 3),), alignment: str = "nearest"
 ) -> DataFrame:
-    """Window return of every ticker around every event day, with the level in force.
+    """Window return of every ticker around every event day of a series, with its level in force.
 
-    ``events(event_date)`` of one series (``rates`` holds that series only).
+    ``events(series_key, event_date)``.
     """
-    # at most one row per calendar day, read by several branches below
-    days = checkpointed(events.select("event_date").distinct())
+    # at most one row per series and calendar day, read by several branches below
+    days = checkpointed(events.select(KEY, "event_date").distinct())
     known = rate_in_force(days, rates, "event_date").where(F.col("status") == OK)
     lo, hi = _span(days, "event_date")
     caught = aligned_days(px.with_event_windows(bars, sizes), lo, hi, alignment)
-    hits = caught.join(F.broadcast(known), caught["day"] == known["event_date"]).select(
-        "event_date", "effective_date", "target_pct", "change_pct", "ticker", F.col("date").alias("resolved_event_date"),
+    hits = caught.join(known, caught["day"] == known["event_date"]).select(
+        KEY, "event_date", "effective_date", "target_pct", "change_pct", "ticker", F.col("date").alias("resolved_event_date"),
         round4(F.col("close")).alias("event_close"), F.inline("windows"),
     )
     return hits.select(
-        "event_date", F.col("effective_date").alias("rate_effective_date"), "target_pct", "change_pct", "ticker", "resolved_event_date",
+        KEY, "event_date", F.col("effective_date").alias("rate_effective_date"), "target_pct", "change_pct", "ticker", "resolved_event_date",
         "event_close", "pre", "post", (F.col("pre") + F.col("post") + 1).cast("bigint").alias("window_trading_days"),
         F.col("lo.date").alias("window_start_date"), F.col("hi.date").alias("window_end_date"),
         (F.try_divide(F.col("hi.close"), F.col("lo.close")) - 1).alias("return_decimal"), "truncated",
@@ -80,44 +89,46 @@ def event_market_returns(
 
 
 def event_best_and_worst(returns: DataFrame) -> DataFrame:
-    """Best and worst ticker per event and window, by map-side combined extremes."""
-    order = F.struct((-F.col("return_decimal")).alias("k"), F.col("ticker"))
-    return returns.groupBy("event_date", "pre", "target_pct").agg(
-        F.min_by("ticker", order).alias("best"), F.max_by("ticker", order).alias("worst"), F.count(F.lit(1)).alias("tickers"),
+    """Best and worst ticker per event and window, by map-side combined extremes; tickers without a return do not count."""
+    order = F.when(F.col("return_decimal").isNotNull(), F.struct((-F.col("return_decimal")).alias("k"), F.col("ticker")))
+    return returns.groupBy(KEY, "event_date", "pre", "target_pct").agg(
+        F.min_by("ticker", order).alias("best"), F.max_by("ticker", order).alias("worst"), F.count("return_decimal").alias("tickers"),
         decimal_to_pct(F.max("return_decimal")).alias("best_pct"), decimal_to_pct(F.min("return_decimal")).alias("worst_pct"),
     )
 
 
 def ranked_event_returns(returns: DataFrame) -> DataFrame:
     """Tickers ranked within each event and window."""
-    ranked = row_numbers(returns, [F.col("return_decimal").desc_nulls_last(), F.col("ticker")], ["event_date", "pre"])
+    ranked = row_numbers(returns, [F.col("return_decimal").desc_nulls_last(), F.col("ticker")], [KEY, "event_date", "pre"])
     return ranked.withColumn("window_return_pct", decimal_to_pct(F.col("return_decimal"))).drop("return_decimal")
 
 
 def changes_in_price_coverage(rates: DataFrame, cover: DataFrame) -> DataFrame:
     """Days of rate changes that prices cover."""
     moves = rates.where(F.col("change_bp") != 0)
-    return in_coverage(moves, cover, "effective_date").select(F.col("effective_date").alias("event_date"), "change_bp")
+    return in_coverage(moves, cover, "effective_date").select(KEY, F.col("effective_date").alias("event_date"), "change_bp")
 
 
 def rate_calendar(rates: DataFrame) -> DataFrame:
-    """The level of one series on every calendar day from its first to its last decision."""
+    """The level of each series on every calendar day from its first to its last decision."""
     series = Window.partitionBy("series_key").orderBy("effective_date")
     until = F.coalesce(F.date_sub(F.lead("effective_date").over(series), 1), F.col("effective_date"))
     spans = rates.withColumn("_until", until)
     return spans.select(
-        F.explode(F.sequence("effective_date", "_until")).alias("_day"), "effective_date",
+        F.col(KEY).alias("_key"), F.explode(F.sequence("effective_date", "_until")).alias("_day"), "effective_date",
         bp_to_pct(F.col("target_bp")).alias("target_pct"), bp_to_pct(F.col("change_bp")).alias("change_pct"),
     )
 
 
 def rate_in_force(rows: DataFrame, rates: DataFrame, date: str) -> DataFrame:
-    """Each row with the level of one series on its date; outside the decisions' span there is none.
+    """Each row with the level on its date; outside the decisions' span there is none.
 
-    The calendar has one row per day, so it is broadcast whatever the size of ``rows``.
+    Rows with a ``series_key`` get the level of that series, other rows one
+    answer for each series.  The calendar has one row per series and day.
     """
     calendar = rate_calendar(rates)
-    out = rows.join(F.broadcast(calendar), rows[date] == calendar["_day"], "left").drop("_day")
+    rows = rows if KEY in rows.columns else per_series(rows, rates)
+    out = rows.join(calendar, (rows[KEY] == calendar["_key"]) & (rows[date] == calendar["_day"]), "left").drop("_key", "_day")
     return out.withColumn("status", F.when(F.col("effective_date").isNull(), DATE_OUTSIDE_COVERAGE).otherwise(OK))
 
 
@@ -127,14 +138,12 @@ def literal_queries(spark, queries: Sequence[str]) -> DataFrame:
 
 
 def news_rate_context(
-    articles: DataFrame, index: tx.TextIndex, rates: DataFrame, queries: Sequence[str], limit: int = 5,
+    articles: DataFrame, index: tx.TextIndex, rates: DataFrame, queries: Sequence[str], limit: int | None = None,
     start: str | None = None, end: str | None = None, excerpt: int = 600,
 ) -> DataFrame:
     """BM25 articles per query, whole-word matches for queries without any, and the rate on each day."""
-    if not 1 <= len(queries) <= 40:
-        raise ValueError("give 1 to 40 queries")
     asked = literal_queries(articles.sparkSession, queries)
-    # a few rows per query, at most forty queries, read twice below
+    # a few rows per query, read twice below
     ranked = checkpointed(tx.retrieve(articles, index, asked, limit, start, end, excerpt))
     columns = ["query_id", "rank", "article_id", "headline", "subhead", tx.DAY, "excerpt", "score"]
     rows = tx.in_dates(articles, start, end)
@@ -145,9 +154,11 @@ def news_rate_context(
     )
     place = Window.partitionBy("query_id").orderBy(tx.DAY, "headline", "article_id")
     missed = asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
-    fallback = literal.join(F.broadcast(missed), "query_id").withColumn("rank", F.row_number().over(place).cast("bigint")).where(F.col("rank") <= limit)
+    fallback = literal.join(missed, "query_id").withColumn("rank", F.row_number().over(place).cast("bigint"))
+    if limit is not None:
+        fallback = fallback.where(F.col("rank") <= limit)
     found = ranked.select(*columns).unionByName(fallback.select(*columns))
-    return rate_in_force(found, rates, tx.DAY).join(F.broadcast(asked), "query_id")
+    return rate_in_force(found, rates, tx.DAY).join(asked, "query_id")
 
 
 def article_lookup(asked: DataFrame, articles: DataFrame, rates: DataFrame) -> DataFrame:
@@ -162,22 +173,23 @@ def rate_on_peak_day(prices: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def rate_around_worst_day(bars: DataFrame, rates: DataFrame, ahead: int = 2) -> DataFrame:
-    """The level on each ticker's worst day and the first decision in the days after it."""
+    """The level of each series on each ticker's worst day and the first decision in the days after it."""
     worst = rate_in_force(px.biggest_move(bars, "decline", 1), rates, "date")
     # each decision answers the days up to ``ahead`` before it: few rows per calendar day
     near = rates.select(
-        F.explode(F.sequence(F.date_sub("effective_date", ahead), F.col("effective_date"))).alias("day"), F.col("effective_date").alias("next_decision"), "target_bp"
-    ).groupBy("day").agg(F.min("next_decision").alias("next_decision"), F.min_by("target_bp", "next_decision").alias("next_bp"))
-    return worst.join(F.broadcast(near), worst["date"] == near["day"], "left").drop("day").withColumn("next_target_pct", bp_to_pct(F.col("next_bp"))).drop("next_bp")
+        F.col(KEY).alias("_key"), F.explode(F.sequence(F.date_sub("effective_date", ahead), F.col("effective_date"))).alias("day"), F.col("effective_date").alias("next_decision"), "target_bp"
+    ).groupBy("_key", "day").agg(F.min("next_decision").alias("next_decision"), F.min_by("target_bp", "next_decision").alias("next_bp"))
+    on = (worst[KEY] == near["_key"]) & (worst["date"] == near["day"])
+    return worst.join(near, on, "left").drop("_key", "day").withColumn("next_target_pct", bp_to_pct(F.col("next_bp"))).drop("next_bp")
 
 
 def decisions_in_peak_month(prices: DataFrame, rates: DataFrame) -> DataFrame:
-    """Decisions in the calendar month of each ticker's peak volume."""
+    """Decisions of each series in the calendar month of each ticker's peak volume."""
     peaks = px.price_extreme(prices, "volume", "highest", 1).select("ticker", "date", F.col("value").alias("volume"), F.trunc("date", "month").alias("month"))
-    monthly = rates.groupBy(F.trunc("effective_date", "month").alias("month")).agg(
+    monthly = rates.groupBy(KEY, F.trunc("effective_date", "month").alias("month")).agg(
         F.count(F.lit(1)).alias("decisions"), F.count_if(F.col("change_bp") != 0).alias("changes"), F.sum("change_bp").alias("net_bp")
     )
-    joined = peaks.join(F.broadcast(monthly), "month", "left")
+    joined = per_series(peaks, rates).join(monthly, [KEY, "month"], "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("decisions", "changes")})
 
 
@@ -191,33 +203,33 @@ def articles_in_low_month(articles: DataFrame, rates: DataFrame) -> DataFrame:
 def year_summary(
     rates: DataFrame, articles: DataFrame, bars: DataFrame, pattern: str, windows: Sequence[tuple[str, str, str]], exclude: Sequence[str] = ()
 ) -> DataFrame:
-    """Rate changes, articles with a pattern and the held basket, per year."""
-    moves = rt.change_summary(rates, by=[F.year("effective_date").cast("string").alias("label")]).select(
-        "label", "changed_count", "increases", "decreases", "rate_before_pct", "rate_after_pct"
+    """Rate changes of each series, articles with a pattern and the held basket, per year."""
+    moves = rt.change_summary(rates, by=[KEY, F.year("effective_date").cast("string").alias("label")]).select(
+        KEY, "label", "changed_count", "increases", "decreases", "rate_before_pct", "rate_after_pct"
     )
     counts = tx.pattern_by_year(articles, [pattern]).select(F.col("year").cast("string").alias("label"), "pattern", "article_count")
     basket = px.basket_held(bars, windows, exclude=exclude).select("label", "return_pct", "member_count")
-    return basket.join(moves, "label", "left").join(counts, "label", "left")
+    return per_series(basket, rates).join(moves, [KEY, "label"], "left").join(counts, "label", "left")
 
 
 def basket_after_events(events: DataFrame, bars: DataFrame, days: int = 7, alignment: str = "nearest") -> DataFrame:
-    """Mean return of all tickers from each event day to some days later.
+    """Mean return of all tickers from each event day of a series to some days later.
 
-    ``events(event_date)``; the two ends of a ticker's window meet in one
+    ``events(series_key, event_date)``; the two ends of a ticker's window meet in one
     aggregate per ticker and event.
     """
     both = F.array(
         F.struct(F.col("event_date").alias("day"), F.lit(True).alias("opens")),
         F.struct(F.date_add("event_date", days).alias("day"), F.lit(False).alias("opens")),
     )
-    # two rows per event day, read by several branches below
-    ends = checkpointed(events.select("event_date").distinct().select("event_date", F.inline(both)))
+    # two rows per series and event day, read by several branches below
+    ends = checkpointed(events.select(KEY, "event_date").distinct().select(KEY, "event_date", F.inline(both)))
     lo, hi = _span(ends, "day")
     caught = aligned_days(bars.select("ticker", "date", "close"), lo, hi, alignment)
-    pairs = caught.join(F.broadcast(ends), "day").groupBy("event_date", "ticker").agg(
+    pairs = caught.join(ends, "day").groupBy(KEY, "event_date", "ticker").agg(
         F.max(F.when(F.col("opens"), F.col("close"))).alias("a"), F.max(F.when(~F.col("opens"), F.col("close"))).alias("b")
     )
-    return pairs.groupBy("event_date").agg(
+    return pairs.groupBy(KEY, "event_date").agg(
         decimal_to_pct(F.avg(F.try_divide(F.col("b"), F.col("a")) - 1)).alias("return_pct"), F.count("b").alias("member_count")
     )
 
@@ -229,9 +241,9 @@ def annual_count_and_rank(
     counts = tx.pattern_by_year(articles, [pattern]).select(F.col("year").cast("string").alias("label"), "article_count")
     returns = px.window_returns(bars, windows).where(F.col("status") == OK)
     own = returns.where(F.col("ticker") == ticker).select("label", F.col("return_decimal").alias("own"))
-    # a handful of windows: the ticker's own returns ride along and only better ones are counted
+    # one own return per window rides along and only better ones are counted
     ahead = (F.col("return_decimal") > F.col("own")) | ((F.col("return_decimal") == F.col("own")) & (F.col("ticker") < ticker))
-    ranked = returns.join(F.broadcast(own), "label").groupBy("label").agg(
+    ranked = returns.join(own, "label").groupBy("label").agg(
         (F.count_if(ahead) + 1).alias("rank"), decimal_to_pct(F.max("own")).alias("return_pct")
     )
     return ranked.join(counts, "label", "left").withColumn("ticker", F.lit(ticker))

@@ -59,9 +59,9 @@ def input_hash(inputs: str = "inputs") -> Column:
 
 
 def dedupe_inputs(records: DataFrame) -> DataFrame:
-    """The first record of each distinct input; copies collapse before the shuffle."""
+    """The first record of each distinct input, by row index and id; copies collapse before the shuffle."""
     names = records.columns
-    kept = records.groupBy(input_hash().alias("input_hash")).agg(F.min_by(F.struct(*names), F.col("row_index")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    kept = records.groupBy(input_hash().alias("input_hash")).agg(F.min_by(F.struct(*names), F.struct("row_index", "id")).alias("r"), F.count(F.lit(1)).alias("copies"))
     return kept.select("r.*", "input_hash", "copies")
 
 

@@ -17,6 +17,7 @@ from finframe.functions.scalars import decimal_to_pct, present, round4
 from finframe.operators.align import (
     DATE_OUTSIDE_COVERAGE,
     DATE_RANGE_INVALID,
+    NO_MATCHING_RECORDS,
     OK,
     UNKNOWN_TICKER,
     asof,
@@ -333,9 +334,9 @@ def summary_stat(
 
 
 def high_and_low(prices: DataFrame) -> DataFrame:
-    """Highest and lowest close with their first dates, in one aggregate."""
+    """Highest and lowest close with their first dates, in one aggregate; bars without a close are left out."""
     close, date = F.col("close"), F.col("date")
-    return prices.groupBy("ticker").agg(
+    return prices.where(close.isNotNull()).groupBy("ticker").agg(
         F.min(F.struct(-close, date)).alias("h"), F.min(F.struct(close, date)).alias("l")
     ).select(
         "ticker", round4(-F.col("h").getField("col1")).alias("highest_close"), F.col("h.date").alias("highest_date"),
@@ -357,20 +358,26 @@ def total_return_ranks(prices: DataFrame) -> DataFrame:
 
 
 def rank_of(prices: DataFrame, ticker: str) -> DataFrame:
-    """Rank of one ticker by whole-sample return: one more than the tickers that beat it, no sort needed."""
+    """Rank of one ticker by whole-sample return: one more than the tickers that beat it, no sort needed.
+
+    A ticker the panel lacks, or one without a return, has no rank but a status.
+    """
     returns = total_return(prices)
     own = returns.where(F.col("ticker") == ticker).select("return_decimal").scalar()
     ahead = (F.col("return_decimal") > own) | ((F.col("return_decimal") == own) & (F.col("ticker") < ticker))
+    held = F.count_if(F.col("ticker") == ticker) > 0
+    ranked = F.max(F.when(F.col("ticker") == ticker, F.col("return_decimal"))).isNotNull()
     return returns.agg(
-        F.lit(ticker).alias("ticker"), (F.count_if(ahead) + 1).alias("rank"), F.count(F.lit(1)).alias("ticker_count"),
+        F.lit(ticker).alias("ticker"), F.when(ranked, F.count_if(ahead) + 1).alias("rank"), F.count(F.lit(1)).alias("ticker_count"),
         decimal_to_pct(F.max(F.when(F.col("ticker") == ticker, F.col("return_decimal")))).alias("return_pct"),
+        F.when(ranked, OK).when(held, NO_MATCHING_RECORDS).otherwise(UNKNOWN_TICKER).alias("status"),
     )
 
 
 def top_performers(prices: DataFrame) -> DataFrame:
-    """Best and worst ticker by whole-sample return."""
+    """Best and worst ticker by whole-sample return; tickers without one are left out."""
     value, name = F.col("return_decimal"), F.col("ticker")
-    return total_return(prices).agg(
+    return total_return(prices).where(value.isNotNull()).agg(
         F.min_by("ticker", F.struct(-value, name)).alias("best"), decimal_to_pct(F.max(value)).alias("best_pct"),
         F.max_by("ticker", F.struct(-value, name)).alias("worst"), decimal_to_pct(F.min(value)).alias("worst_pct"),
     )

@@ -25,9 +25,7 @@ KEY, DAY = "series_key", "effective_date"
 
 
 def in_window(df: DataFrame, date: str, start: str | None, end: str | None) -> DataFrame:
-    """Rows of a literal window; open where a bound is missing."""
-    if start and end and start > end:
-        raise ValueError(DATE_RANGE_INVALID)
+    """Rows of a literal window; open where a bound is missing, empty where the bounds are inverted."""
     if start:
         df = df.where(F.col(date) >= F.lit(start).cast("date"))
     if end:

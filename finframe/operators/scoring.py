@@ -108,7 +108,7 @@ def format_health(answers: DataFrame, given: Column, max_chars: int = 400) -> Da
             "preamble_rate": opened.cast("double"),
             "over_length_rate": (F.length(text) > max_chars).cast("double"),
             "answer_chars": F.length(text).cast("double"),
-            "invented_number_rate": (F.size(invented_numbers(text, given)) > 0).cast("double"),
+            "hallucinated_number_rate": (F.size(invented_numbers(text, given)) > 0).cast("double"),
         }
     )
 

@@ -59,7 +59,7 @@ def table_schema(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [listing(n, d) for n, d in sorted(tables.items())])
 
 
-def distinct_values(df: DataFrame, column: str, filters: Sequence[Filter] = (), limit: int | None = 100) -> DataFrame:
+def distinct_values(df: DataFrame, column: str, filters: Sequence[Filter] = (), limit: int | None = None) -> DataFrame:
     out = where(df, filters).select(column).distinct().orderBy(F.col(column).asc_nulls_last())
     return out if limit is None else out.limit(limit)
 
@@ -71,7 +71,7 @@ def filter_rows(
     order_by: str | None = None,
     ascending: bool = True,
     ties: Sequence[str] = (),
-    limit: int | None = 50,
+    limit: int | None = None,
 ) -> DataFrame:
     out = where(df, filters)
     if order_by:
@@ -158,7 +158,7 @@ def aggregate(
     filters: Sequence[Filter] = (),
     group_by: Sequence[str] = (),
     order_by_agg: str = "none",
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """One aggregate, optionally grouped, ordered by its value and limited."""
     name = f"{column}_{agg}"
@@ -232,7 +232,7 @@ def text_search(
     keyword: str,
     match_all: bool = False,
     filters: Sequence[Filter] = (),
-    limit: int | None = 50,
+    limit: int | None = None,
     ties: Sequence[str] = (),
 ) -> DataFrame:
     """Case-insensitive substring search; wildcards in the keyword stand for themselves."""

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from finframe.functions.matching import combined, literal_regex, tokens
 from finframe.functions.stemming import stem
-from finframe.operators.align import DATE_RANGE_INVALID
-from finframe.operators.ordering import salted_join
+from finframe.operators.align import NO_MATCHING_RECORDS, OK
+from finframe.operators.tables import where
 from finframe.session import checkpointed
 
 COUNT_FIELDS = ("headline", "subhead", "intro", "text")
@@ -29,9 +29,7 @@ def all_text(articles: DataFrame) -> Column:
 
 
 def in_dates(articles: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows of a publication window, with the partition column narrowed too."""
-    if start and end and start > end:
-        raise ValueError(DATE_RANGE_INVALID)
+    """Rows of a publication window, with the partition column narrowed too; none where the bounds are inverted."""
     for bound, low in ((start, True), (end, False)):
         if bound:
             day = F.lit(bound).cast("date")
@@ -56,13 +54,11 @@ def pattern_count(
     articles: DataFrame, patterns: Sequence[str], whole_word: bool = True, start: str | None = None, end: str | None = None,
     anchor: str = "edge",
 ) -> DataFrame:
-    """Articles that hold each pattern, ranked; one scan for the whole list."""
-    if not 1 <= len(patterns) <= 40:
-        raise ValueError("give 1 to 40 patterns")
+    """Articles that hold each pattern, ranked; one scan for the whole list, however long."""
     rows = in_dates(articles, start, end).select(all_text(articles).alias("_text"))
     one = rows.agg(*_counts(patterns, whole_word, anchor, F.col("_text")), F.count(F.lit(1)).alias("articles_in_window"))
     out = one.select(_unfold(patterns), "articles_in_window")
-    # at most forty rows are left here, so one sorted window is enough
+    # one row per given pattern is left here, so one sorted window is enough
     ranked = Window.partitionBy("articles_in_window").orderBy(F.col("article_count").desc(), "pattern")
     return out.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
 
@@ -95,17 +91,20 @@ def _bucket(granularity: str) -> Column:
 
 def date_count(
     articles: DataFrame, granularity: str = "total", pattern: str | None = None, whole_word: bool = True,
-    field: str = "all", start: str | None = None, end: str | None = None, limit: int | None = 20,
+    field: str = "all", start: str | None = None, end: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Totals and span, or buckets by day, month or year, the busiest first.
 
-    The total comes from all buckets before the limit.  No match gives a total
-    of zero with NULL dates, or no bucket.
+    The total comes from all buckets before the limit, which are written once and
+    read twice.  No match gives a total of zero with NULL dates and a status, or
+    no bucket.
     """
     rows = _matching(articles, pattern, whole_word, field, start, end)
     if granularity == "total":
-        return rows.agg(F.count(F.lit(1)).alias("article_count"), F.min(DAY).alias("earliest"), F.max(DAY).alias("latest"))
-    buckets = rows.groupBy(_bucket(granularity).alias("period")).agg(F.count(F.lit(1)).alias("article_count"))
+        status = F.when(F.count(F.lit(1)) > 0, OK).otherwise(NO_MATCHING_RECORDS)
+        return rows.agg(F.count(F.lit(1)).alias("article_count"), F.min(DAY).alias("earliest"), F.max(DAY).alias("latest"), status.alias("status"))
+    # at most one row per day
+    buckets = checkpointed(rows.groupBy(_bucket(granularity).alias("period")).agg(F.count(F.lit(1)).alias("article_count")))
     total = buckets.agg(F.sum("article_count").alias("t")).scalar()
     out = buckets.withColumn("total", total).orderBy(F.col("article_count").desc(), "period")
     return out if limit is None else out.limit(limit)
@@ -122,10 +121,11 @@ def busiest_periods(articles: DataFrame, pattern: str) -> DataFrame:
     )
 
 
-def exact_search(articles: DataFrame, query: str, limit: int = 5, start: str | None = None, end: str | None = None, excerpt: int = 400) -> DataFrame:
+def exact_search(articles: DataFrame, query: str, limit: int | None = None, start: str | None = None, end: str | None = None, excerpt: int = 400) -> DataFrame:
     """Whole-word matches by date, headline and id."""
     rows = _matching(articles, query, True, "all", start, end)
-    return rows.orderBy(DAY, "headline", "article_id").limit(limit).select(
+    found = rows.orderBy(DAY, "headline", "article_id")
+    return (found if limit is None else found.limit(limit)).select(
         "article_id", "headline", "subhead", DAY, F.substring(F.coalesce("text", F.lit("")), 1, excerpt).alias("excerpt")
     )
 
@@ -157,91 +157,113 @@ def articles_on_dates(articles: DataFrame, first: int = 10, days: Sequence[str]
 
 @dataclass(frozen=True)
 class TextIndex:
-    """An inverted index: one row per term and article, and the size of the corpus."""
+    """An inverted index with its statistics, all written tables.
 
-    postings: DataFrame  # term, article_id, tf
-    articles: DataFrame  # article_id, one row per article of the corpus
-    stemmed: bool
-    stop_words: tuple[str, ...]
-
-    @property
-    def terms(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    A search reads the postings of its own terms and the lengths of the rows it
+    finds; nothing is grouped over all postings again.
+    """
 
-    @property
-    def lengths(self) -> DataFrame:
-        """Terms per article, zero for articles without any."""
-        counted = self.postings.groupBy("article_id").agg(F.sum("tf").alias("length"))
-        return self.articles.join(counted, "article_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    postings: DataFrame  # term, <id>, tf; sorted by term
+    terms: DataFrame  # term, df, cf
+    lengths: DataFrame  # <id>, length: terms per row, zero for rows without any
+    stats: DataFrame  # n, mean: rows and mean length; one row
+    stems: DataFrame | None  # word, term: the words of the corpus and their stems
+    stop_words: tuple[str, ...]
+    id_col: str = "article_id"
 
     def write(self, path: str) -> None:
-        """Postings sorted by term, so a search reads few row groups."""
-        self.postings.repartitionByRange("term", "article_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.articles.write.mode("overwrite").parquet(f"{path}/articles")
+        for name in ("postings", "terms", "lengths", "stats", "stems"):
+            part = getattr(self, name)
+            if part is not None:
+                part.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def build_index(articles: DataFrame, stemmed: bool = True, stop_words: Sequence[str] = (), fields: Sequence[str] = INDEX_FIELDS) -> TextIndex:
-    """Terms per article over the whole texts; only distinct terms reach the stemmer.
+def _sorted(postings: DataFrame, id_col: str) -> DataFrame:
+    """Written in the order of the terms, so a search reads few row groups."""
+    return checkpointed(postings.repartitionByRange("term", id_col).sortWithinPartitions("term"))
 
-    The postings are checkpointed: a search reads them several times and the
-    texts should be cut into terms once.
-    """
-    listed = articles.select("article_id", F.explode(tokens(combined(*fields))).alias("term"))
+
+def build_index(
+    rows: DataFrame, stemmed: bool = True, stop_words: Sequence[str] = (), fields: Sequence[str] = INDEX_FIELDS, id_col: str = "article_id",
+) -> TextIndex:
+    """Terms per row over the whole texts of any table; only distinct words reach the stemmer."""
+    listed = rows.select(id_col, F.explode(tokens(combined(*fields))).alias("word"))
     if stop_words:
-        listed = listed.where(~F.col("term").isin(*stop_words))
-    postings = checkpointed(listed.groupBy("term", "article_id").agg(F.count(F.lit(1)).alias("tf")))
+        listed = listed.where(~F.col("word").isin(*stop_words))
+    words = listed.groupBy("word", id_col).agg(F.count(F.lit(1)).alias("tf"))
+    stems = None
     if stemmed:
-        stems = postings.select("term").distinct().withColumn("stem", stem("term"))
-        # frequent terms have long postings, hence the salt
-        joined = salted_join(postings, stems, ["term"], ["article_id"], "inner")
-        postings = checkpointed(joined.groupBy(F.col("stem").alias("term"), "article_id").agg(F.sum("tf").alias("tf")))
-    return TextIndex(postings, articles.select("article_id"), stemmed, tuple(stop_words))
+        words = checkpointed(words)
+        stems = checkpointed(words.select("word").distinct().withColumn("term", stem("word")))
+        # a frequent word has long postings; Spark splits its partition
+        words = words.join(stems, "word").groupBy("term", id_col).agg(F.sum("tf").alias("tf"))
+    else:
+        words = words.withColumnRenamed("word", "term")
+    postings = _sorted(words, id_col)
+    terms = checkpointed(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+    counted = postings.groupBy(id_col).agg(F.sum("tf").alias("length"))
+    lengths = checkpointed(rows.select(id_col).join(counted, id_col, "left").withColumn("length", F.coalesce("length", F.lit(0))))
+    stats = checkpointed(lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")))
+    return TextIndex(postings, terms, lengths, stats, stems, tuple(stop_words), id_col)
+
 
+def read_index(spark, path: str, stemmed: bool = True, stop_words: Sequence[str] = (), id_col: str = "article_id") -> TextIndex:
+    """An index that ``TextIndex.write`` left at a path."""
+    parts = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "lengths", "stats")}
+    return TextIndex(**parts, stems=spark.read.parquet(f"{path}/stems") if stemmed else None, stop_words=tuple(stop_words), id_col=id_col)
 
-def read_index(spark, path: str, stemmed: bool = True, stop_words: Sequence[str] = ()) -> TextIndex:
-    postings, articles = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "articles"))
-    return TextIndex(postings, articles, stemmed, tuple(stop_words))
+
+SALT_ROWS = 200_000  # postings of one term that one task scores
 
 
 def bm25(index: TextIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 of every (query, article) that shares a term.
+    """Okapi BM25 of every (query, row) that shares a term.
 
-    ``queries(query_id, query)``.  Postings of a frequent term are salted by
-    article, so no task takes a whole term.
+    ``queries(query_id, query)``.  The asked terms are looked up first; each
+    term's postings are spread over as many parts as its document frequency
+    asks for, so no task takes a whole frequent term.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), list(index.stop_words)))).alias("term"))
-    if index.stemmed:
-        asked = asked.withColumn("term", stem("term")).distinct()
-    n = index.articles.agg(F.count(F.lit(1)).alias("n")).scalar()
-    mean = index.postings.agg(F.sum("tf").alias("t")).scalar() / n
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), list(index.stop_words)))).alias("word"))
+    if index.stems is None:
+        asked = asked.withColumnRenamed("word", "term")
+    else:
+        # words the corpus lacks have no postings under any stem of their own spelling, but may share one
+        known = asked.join(index.stems, "word", "left")
+        asked = known.withColumn("term", F.coalesce("term", stem("word"))).select("query_id", "term").distinct()
+    n, mean = index.stats.select("n").scalar(), index.stats.select("mean").scalar()
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # a term's weight is settled before the join, so its postings are only salted once
-    weighted = asked.join(index.terms, "term").select("query_id", "term", weight.alias("weight"))
-    lengths = index.postings.groupBy("article_id").agg(F.sum("tf").alias("length"))
-    scored = _by_term(index.postings, weighted).join(lengths, "article_id")
+    parts = F.ceil(F.col("df") / SALT_ROWS).cast("int")
+    weighted = asked.join(index.terms, "term").select("query_id", "term", weight.alias("weight"), parts.alias("_parts"))
+    terms = weighted.select("term", "_parts").distinct()
+    # the parts of a term ride with its postings, which are few after this semi-join
+    rows = index.postings.join(terms, "term").withColumn("_salt", F.pmod(F.xxhash64(index.id_col), F.col("_parts")).cast("int")).drop("_parts")
+    salted = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    scored = rows.join(salted, ["term", "_salt"]).join(index.lengths, index.id_col)
     tf = F.col("tf")
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean))
-    return scored.groupBy("query_id", "article_id").agg(F.sum(part).alias("score"))
-
+    return scored.groupBy("query_id", index.id_col).agg(F.sum(part).alias("score"))
 
-def _by_term(postings: DataFrame, asked: DataFrame, salts: int = 8) -> DataFrame:
-    salted = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = postings.withColumn("_salt", F.pmod(F.xxhash64("article_id"), F.lit(salts)).cast("int"))
-    return rows.join(salted, ["term", "_salt"]).drop("_salt")
 
-
-def top_articles(scores: DataFrame, articles: DataFrame, limit: int = 5, excerpt: int = 400) -> DataFrame:
-    """The best articles per query by score, date, headline and id."""
+def top_articles(scores: DataFrame, articles: DataFrame, limit: int | None = None, excerpt: int = 400) -> DataFrame:
+    """The articles per query by score, date, headline and id; the best ``limit`` of them, if given."""
     shown = articles.select("article_id", "headline", "subhead", DAY, F.substring(F.coalesce("text", F.lit("")), 1, excerpt).alias("excerpt"))
     best = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), DAY, "headline", "article_id")
-    return (
-        scores.join(shown, "article_id").withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= limit)
-        .withColumn("score", F.round("score", 4))
-    )
+    ranked = scores.join(shown, "article_id").withColumn("rank", F.row_number().over(best).cast("bigint"))
+    return (ranked if limit is None else ranked.where(F.col("rank") <= limit)).withColumn("score", F.round("score", 4))
 
 
 def retrieve(
-    articles: DataFrame, index: TextIndex, queries: DataFrame, limit: int = 5, start: str | None = None, end: str | None = None, excerpt: int = 400
+    articles: DataFrame, index: TextIndex, queries: DataFrame, limit: int | None = None, start: str | None = None, end: str | None = None, excerpt: int = 400
 ) -> DataFrame:
     """BM25 search in a publication window; the filter applies before the ranking."""
     return top_articles(bm25(index, queries), in_dates(articles, start, end), limit, excerpt)
+
+
+def search_table(
+    rows: DataFrame, index: TextIndex, queries: DataFrame, columns: Sequence[str], filters: Sequence[tuple] = (), limit: int | None = None,
+) -> DataFrame:
+    """BM25 search over any indexed table: filters apply before the ranking; ties go to the smaller id."""
+    held = where(rows, filters).select(index.id_col, *[c for c in columns if c != index.id_col])
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), index.id_col)
+    ranked = bm25(index, queries).join(held, index.id_col).withColumn("rank", F.row_number().over(best).cast("bigint"))
+    return (ranked if limit is None else ranked.where(F.col("rank") <= limit)).withColumn("score", F.round("score", 4))

@@ -144,7 +144,7 @@ def _(spark, d):
     "unknown_tickers",
     with_views(
         v.PRICES_BIG,
-        _REQUESTS + """ SELECT DISTINCT ticker, 'UNKNOWN_TICKER' AS status, (SELECT count(DISTINCT ticker) FROM prices) AS available
+        _REQUESTS + """ SELECT DISTINCT ticker, 'UNKNOWN_TICKER' AS status, (SELECT count(DISTINCT ticker) FROM prices) AS available, (SELECT min(ticker) FROM prices) AS first_key, (SELECT max(ticker) FROM prices) AS last_key
         FROM requests WHERE ticker NOT IN (SELECT ticker FROM prices)""",
     ),
 )

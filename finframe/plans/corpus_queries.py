@@ -142,10 +142,10 @@ def _(spark, d):
     "qa_events",
     with_views(
         cq.ALL,
-        cq._AROUND + f""", k AS (SELECT *, row_number() OVER (PARTITION BY event_date, pre ORDER BY r DESC, ticker) AS rank, count(*) OVER (PARTITION BY event_date, pre) AS c FROM ret),
-        bw AS (SELECT event_date, pre, target_pct, max(ticker) FILTER (rank = 1) AS best, max(ticker) FILTER (rank = c) AS worst, round(max(r) * 100, 4) AS best_pct, round(min(r) * 100, 4) AS worst_pct FROM k GROUP BY 1, 2, 3),
-        cases AS (SELECT 'FF-CROSS-event-' || event_date || '-' || pre AS id, 'FF-CROSS-event' AS template_family, 'event_market_returns' AS question_type, 'answerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
-          'What was the level on ' || event_date || ', and which tickers did best and worst over ' || pre || ' trading days each way?' AS prompt,
+        cq._AROUND + f""", k AS (SELECT *, row_number() OVER (PARTITION BY series_key, event_date, pre ORDER BY r DESC, ticker) AS rank, count(*) OVER (PARTITION BY series_key, event_date, pre) AS c FROM ret),
+        bw AS (SELECT series_key, event_date, pre, target_pct, max(ticker) FILTER (rank = 1) AS best, max(ticker) FILTER (rank = c) AS worst, round(max(r) * 100, 4) AS best_pct, round(min(r) * 100, 4) AS worst_pct FROM k GROUP BY 1, 2, 3, 4),
+        cases AS (SELECT 'FF-CROSS-event-' || series_key || '-' || event_date || '-' || pre AS id, 'FF-CROSS-event' AS template_family, 'event_market_returns' AS question_type, 'answerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
+          'What was the level of ' || series_key || ' on ' || event_date || ', and which tickers did best and worst over ' || pre || ' trading days each way?' AS prompt,
           ['The level was ' || {_level('target_pct')} || '.', best || ' did best at ' || {_pct('best_pct')} || ' and ' || worst || ' worst at ' || {_pct('worst_pct')} || '.'] AS facts FROM bw)""" + _TAIL,
     ),
 )
@@ -154,11 +154,11 @@ def _(spark, d):
 
 
 _YEARS = windows_sql(cq.YEARS) + f""", b AS (SELECT label, round(avg(ret) * 100, 4) AS ret FROM rets GROUP BY 1),
-m AS (SELECT CAST(year(effective_date) AS VARCHAR) AS label, count(*) FILTER (change_bp > 0) AS up, count(*) FILTER (change_bp < 0) AS down,
-  arg_min(target_bp - change_bp, effective_date) / 100.0 AS before, arg_max(target_bp, effective_date) / 100.0 AS after FROM r1 GROUP BY 1),
+m AS (SELECT series_key, CAST(year(effective_date) AS VARCHAR) AS label, count(*) FILTER (change_bp > 0) AS up, count(*) FILTER (change_bp < 0) AS down,
+  arg_min(target_bp - change_bp, effective_date) / 100.0 AS before, arg_max(target_bp, effective_date) / 100.0 AS after FROM r1 GROUP BY 1, 2),
 c AS (SELECT CAST(year(publication_date) AS VARCHAR) AS label, count(*) FILTER (regexp_matches(all_text, {_match('the')})) AS n FROM articles GROUP BY 1),
-cases AS (SELECT 'FF-CROSS-year-' || label AS id, 'FF-CROSS-year' AS template_family, 'change_summary+pattern_count+basket_held' AS question_type, 'answerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
-  'Sum up ' || label || ' over rates, articles and prices.' AS prompt,
+cases AS (SELECT 'FF-CROSS-year-' || series_key || '-' || label AS id, 'FF-CROSS-year' AS template_family, 'change_summary+pattern_count+basket_held' AS question_type, 'answerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
+  'Sum up ' || label || ' over the rates of ' || series_key || ', articles and prices.' AS prompt,
   [(up + down) || ' changes (' || up || ' up, ' || down || ' down) took the level from ' || {_level('before')} || ' to ' || {_level('after')} || '.', format('{{:,}}', n) || ' articles mention "the".', 'The basket returned ' || {_pct('ret')} || '.'] AS facts
   FROM b JOIN m USING (label) JOIN c USING (label))"""
 
@@ -191,7 +191,7 @@ def _(spark, d):
     "qa_unsupported_spans",
     with_views(
         cq.ALL + "," + v.ARTICLES,
-        """, cov AS (SELECT 'articles' AS dataset, min(publication_date) AS s, max(publication_date) AS e FROM articles UNION ALL SELECT 'prices', min(date), max(date) FROM prices UNION ALL SELECT 'rates', min(effective_date), max(effective_date) FROM r1),
+        """, cov AS (SELECT 'articles' AS dataset, min(publication_date) AS s, max(publication_date) AS e FROM articles UNION ALL SELECT 'prices', min(date), max(date) FROM prices UNION ALL SELECT 'rates ' || series_key, min(effective_date), max(effective_date) FROM r1 GROUP BY series_key),
         w AS (SELECT * FROM (VALUES ('inside', DATE '2016-01-01', DATE '2017-12-31'), ('late', DATE '2020-01-01', DATE '2024-12-31'), ('early', DATE '2010-01-01', DATE '2016-01-01')) t(label, ws, we)),
         cases AS (SELECT 'FF-UNANS-span-' || label AS id, 'FF-UNANS-span' AS template_family, 'coverage' AS question_type, 'unanswerable' AS category, 'hard' AS difficulty, 'cross' AS dataset_scope,
           'Can all datasets support a study from ' || ws || ' to ' || we || '?' AS prompt, ['No.', 'The window is not covered by: ' || string_agg(dataset, ', ' ORDER BY dataset) || '.'] AS facts
@@ -202,7 +202,7 @@ def _(spark, d):
     covers = [
         align.coverage(views.articles(spark, d), "articles", "publication_date"),
         align.coverage(views.prices_for_articles(spark, d), "prices", "date"),
-        align.coverage(cq._rates(spark, d), "rates", "effective_date"),
+        align.coverage(cq._rates(spark, d), "rates", "effective_date", ["series_key"]).withColumn("dataset", F.concat_ws(" ", "dataset", "series_key")),
     ]
     return _flat(op.build_records(op.unsupported_span_cases(covers, cq._ASKED_WINDOWS)))
 
@@ -262,8 +262,8 @@ def _(spark, d):
     "qa_unrendered",
     with_views(
         pq.BARS + "," + v.RATES_MOVED,
-        """SELECT 'change_summary+pattern_count+basket_held' AS question_type, 7 - (SELECT count(DISTINCT year(effective_date)) FROM rates_moved WHERE series_key = '1-URGENT' AND year(effective_date) IN
-          (SELECT year(CAST(DATE '2015-01-01' + CAST(doc_id % 2555 AS INTEGER) AS DATE)) FROM documents)) AS skipped, 7 AS cases""",
+        """SELECT 'change_summary+pattern_count+basket_held' AS question_type, (SELECT 7 * count(DISTINCT series_key) - count(DISTINCT (series_key, year(effective_date))) FILTER (year(effective_date) IN
+          (SELECT year(CAST(DATE '2015-01-01' + CAST(doc_id % 2555 AS INTEGER) AS DATE)) FROM documents)) FROM rates_moved) AS skipped, (SELECT 7 * count(DISTINCT series_key) FROM rates_moved) AS cases""",
     ),
 )
 def _(spark, d):

@@ -3,19 +3,21 @@
 from pyspark.sql import functions as F
 
 from finframe.operators import curate as op
+from finframe.operators.ordering import row_numbers
 from finframe.plans import sqlviews as v
 from finframe.plans.base import query, with_views
 from finframe.sources import views
 
 # conversation turns as records; the shortest turns repeat their prompt so that copies exist
-_RECORDS = """, raw AS (SELECT number AS row_index, id AS qid, CASE WHEN number % 3 = 0 THEN task ELSE prompt END AS question, task, CASE WHEN number % 50 = 7 THEN NULL ELSE target END AS target, group_key, components FROM qa),
+_RECORDS = """, raw AS (SELECT row_number() OVER (ORDER BY id) AS row_index, id AS qid, CASE WHEN number % 3 = 0 THEN task ELSE prompt END AS question, task, CASE WHEN number % 50 = 7 THEN NULL ELSE target END AS target, group_key, components FROM qa),
 records AS (SELECT *, coalesce(qid, '') AS id FROM raw WHERE target IS NOT NULL)"""
 
 
 def _raw(spark, d):
     number = F.col("number")
-    return views.qa(spark, d).select(
-        number.alias("row_index"), F.col("id").alias("qid"), F.when(number % 3 == 0, F.col("task")).otherwise(F.col("prompt")).alias("question"), "task",
+    # question ids are unique, so the index is one per row
+    return row_numbers(views.qa(spark, d), [F.col("id")], name="row_index").select(
+        "row_index", F.col("id").alias("qid"), F.when(number % 3 == 0, F.col("task")).otherwise(F.col("prompt")).alias("question"), "task",
         F.when(number % 50 != 7, F.col("target")).alias("target"), "group_key", "components",
     )
 
@@ -65,10 +67,10 @@ def _(spark, d):
 
 @query(
     "dedupe_inputs",
-    with_views(v.QA, _RECORDS + """, k AS (SELECT question, min(row_index) AS row_index, count(*) AS copies FROM records GROUP BY 1) SELECT question, row_index, copies FROM k"""),
+    with_views(v.QA, _RECORDS + """, k AS (SELECT question, min(row_index) AS row_index, arg_min(id, row_index) AS id, count(*) AS copies FROM records GROUP BY 1) SELECT id, question, row_index, copies FROM k"""),
 )
 def _(spark, d):
-    return op.dedupe_inputs(_records(spark, d)).select(F.element_at("inputs", "question").alias("question"), "row_index", "copies")
+    return op.dedupe_inputs(_records(spark, d)).select("id", F.element_at("inputs", "question").alias("question"), "row_index", "copies")
 
 
 _SPLIT = _RECORDS + """, g AS (SELECT group_key, row_number() OVER (ORDER BY sha256('7:' || group_key)) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT group_key FROM records)),

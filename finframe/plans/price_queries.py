@@ -354,7 +354,7 @@ def _(spark, d):
     return shaped(op.total_return_ranks(views.prices_wide(spark, d)))
 
 
-@query("price_rank_of_ticker", with_views(v.PRICES_BIG, _TOTAL + " SELECT ticker, rank, c AS ticker_count, round(r * 100, 4) AS return_pct FROM k WHERE ticker = 'Brand#3'"))
+@query("price_rank_of_ticker", with_views(v.PRICES_BIG, _TOTAL + " SELECT ticker, rank, c AS ticker_count, round(r * 100, 4) AS return_pct, 'ok' AS status FROM k WHERE ticker = 'Brand#3'"))
 def _(spark, d):
     return op.rank_of(views.prices_big(spark, d), "Brand#3")
 
@@ -395,3 +395,44 @@ def _(spark, d):
 )
 def _(spark, d):
     return op.correlation_with(bars(spark, d), "Brand#4")
+
+
+# the bars with one close in five unknown
+_GAPPED = v.PRICES_WIDE.replace("prices AS", "whole AS") + """, prices AS (
+  SELECT ticker, date, open, high, low, CASE WHEN volume % 5 <> 0 THEN close END AS close, volume FROM whole)"""
+
+
+def _gapped(spark, d):
+    bars = views.prices_wide(spark, d)
+    return bars.withColumn("close", F.when(F.col("volume") % 5 != 0, F.col("close")))
+
+
+@query("price_rank_unknown", with_views(v.PRICES_BIG, "SELECT 'nobody' AS ticker, CAST(NULL AS BIGINT) AS rank, count(DISTINCT ticker) AS ticker_count, CAST(NULL AS DOUBLE) AS return_pct, 'UNKNOWN_TICKER' AS status FROM prices"))
+def _(spark, d):
+    return op.rank_of(views.prices_big(spark, d), "nobody")
+
+
+@query(
+    "price_high_low_nulls",
+    with_views(
+        _GAPPED,
+        """SELECT ticker, max(close) AS highest_close, CAST(arg_min(date, (-close, date)) FILTER (close IS NOT NULL) AS VARCHAR) AS highest_date, min(close) AS lowest_close,
+        CAST(arg_min(date, (close, date)) FILTER (close IS NOT NULL) AS VARCHAR) AS lowest_date FROM prices GROUP BY 1 HAVING count(close) > 0""",
+    ),
+)
+def _(spark, d):
+    return shaped(op.high_and_low(_gapped(spark, d)))
+
+
+@query(
+    "price_top_performer_nulls",
+    with_views(
+        _GAPPED,
+        """, e AS (SELECT ticker, min(date) AS a, max(date) AS b FROM prices GROUP BY 1),
+        t AS (SELECT e.ticker, y.close / x.close - 1 AS r FROM e JOIN prices x ON x.ticker = e.ticker AND x.date = a JOIN prices y ON y.ticker = e.ticker AND y.date = b),
+        k AS (SELECT *, row_number() OVER (ORDER BY r DESC, ticker) AS rank, count(*) OVER () AS c FROM t WHERE r IS NOT NULL)
+        SELECT max(ticker) FILTER (rank = 1) AS best, round(max(r) * 100, 4) AS best_pct, max(ticker) FILTER (rank = c) AS worst, round(min(r) * 100, 4) AS worst_pct FROM k""",
+    ),
+)
+def _(spark, d):
+    return op.top_performers(_gapped(spark, d))

@@ -52,8 +52,8 @@ health AS (SELECT label, step, id, task,
   CAST(len(list_filter({_sql_list(op.HEDGES)}, lambda p: contains(lower(prediction), p))) > 0 AS DOUBLE) AS hedge_rate,
   CAST(len(list_filter({_sql_list(op.PREAMBLES)}, lambda p: starts_with(lower(prediction), p) OR contains(lower(prediction), '. ' || p))) > 0 AS DOUBLE) AS preamble_rate,
   CAST(length(prediction) > 400 AS DOUBLE) AS over_length_rate, CAST(length(prediction) AS DOUBLE) AS answer_chars,
-  CAST(len(list_filter(used, lambda u: NOT list_contains(known, u) AND len(list_filter(known, lambda k: abs(CAST(k AS DOUBLE) - CAST(u AS DOUBLE)) < 1e-9)) = 0)) > 0 AS DOUBLE) AS invented_number_rate FROM nums)"""
-_HEALTH_COLUMNS = ["hedge_rate", "preamble_rate", "over_length_rate", "answer_chars", "invented_number_rate"]
+  CAST(len(list_filter(used, lambda u: NOT list_contains(known, u) AND len(list_filter(known, lambda k: abs(CAST(k AS DOUBLE) - CAST(u AS DOUBLE)) < 1e-9)) = 0)) > 0 AS DOUBLE) AS hallucinated_number_rate FROM nums)"""
+_HEALTH_COLUMNS = ["hedge_rate", "preamble_rate", "over_length_rate", "answer_chars", "hallucinated_number_rate"]
 
 
 def _health(spark, d):
@@ -136,11 +136,11 @@ def _(spark, d):
     return out.groupBy("label", "id", "fact", "absent").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SLICED = _HEALTH + "," + _COMPONENTS[len(_JOINED) + 1 :].replace("nums AS", "cnums AS").replace("FROM nums", "FROM cnums") + """, scores AS (SELECT comp.*, preamble_rate, invented_number_rate FROM comp JOIN health USING (label, id)),
-sliced AS (SELECT label, step, 'all' AS slice_field, 'all' AS slice, component_recall, preamble_rate, invented_number_rate FROM scores UNION ALL SELECT label, step, 'task', task, component_recall, preamble_rate, invented_number_rate FROM scores),
-means AS (UNPIVOT (SELECT label, step, slice_field, slice, round(avg(component_recall), 4) AS component_recall, round(avg(preamble_rate), 4) AS preamble_rate, round(avg(invented_number_rate), 4) AS invented_number_rate FROM sliced GROUP BY 1, 2, 3, 4)
-  ON component_recall, preamble_rate, invented_number_rate INTO NAME metric VALUE value)"""
-_METRICS = ["component_recall", "preamble_rate", "invented_number_rate"]
+_SLICED = _HEALTH + "," + _COMPONENTS[len(_JOINED) + 1 :].replace("nums AS", "cnums AS").replace("FROM nums", "FROM cnums") + """, scores AS (SELECT comp.*, preamble_rate, hallucinated_number_rate FROM comp JOIN health USING (label, id)),
+sliced AS (SELECT label, step, 'all' AS slice_field, 'all' AS slice, component_recall, preamble_rate, hallucinated_number_rate FROM scores UNION ALL SELECT label, step, 'task', task, component_recall, preamble_rate, hallucinated_number_rate FROM scores),
+means AS (UNPIVOT (SELECT label, step, slice_field, slice, round(avg(component_recall), 4) AS component_recall, round(avg(preamble_rate), 4) AS preamble_rate, round(avg(hallucinated_number_rate), 4) AS hallucinated_number_rate FROM sliced GROUP BY 1, 2, 3, 4)
+  ON component_recall, preamble_rate, hallucinated_number_rate INTO NAME metric VALUE value)"""
+_METRICS = ["component_recall", "preamble_rate", "hallucinated_number_rate"]
 
 
 def _means(spark, d):

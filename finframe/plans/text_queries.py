@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from finframe.functions.matching import ACCENTED, PLAIN, STOP_WORDS
 from finframe.functions.scalars import shaped
+from finframe.functions.stemming import STEP2, STEP3, STEP4
 from finframe.operators import tables
 from finframe.operators import text as op
 from finframe.plans import sqlviews as v
@@ -77,12 +78,12 @@ def _(spark, d):
     return op.pattern_by_year(views.articles(spark, d), PATTERNS[:4])
 
 
-@query("article_date_total", with_views(v.ARTICLES, f"SELECT count(*) AS article_count, CAST(min(publication_date) AS VARCHAR) AS earliest, CAST(max(publication_date) AS VARCHAR) AS latest FROM articles WHERE regexp_matches(all_text, {_match('und')})"))
+@query("article_date_total", with_views(v.ARTICLES, f"SELECT count(*) AS article_count, CAST(min(publication_date) AS VARCHAR) AS earliest, CAST(max(publication_date) AS VARCHAR) AS latest, 'ok' AS status FROM articles WHERE regexp_matches(all_text, {_match('und')})"))
 def _(spark, d):
     return shaped(op.date_count(views.articles(spark, d), pattern="und"))
 
 
-def _date_count(granularity, limit, pattern, field, cond, bounds):
+def _date_count(granularity, pattern, field, cond, bounds):
     scope = "headline" if field == "headline" else "all_text"
     test = f"regexp_matches({scope}, {_match(pattern)})" if pattern else "true"
 
@@ -91,16 +92,16 @@ def _date_count(granularity, limit, pattern, field, cond, bounds):
         with_views(
             v.ARTICLES,
             f""", b AS (SELECT CAST(date_trunc('{granularity}', publication_date) AS DATE) AS period, count(*) AS article_count FROM articles WHERE {test} AND {cond} GROUP BY 1)
-            SELECT CAST(period AS VARCHAR) AS period, article_count, (SELECT CAST(sum(article_count) AS BIGINT) FROM b) AS total FROM b ORDER BY article_count DESC, b.period LIMIT {limit}""",
+            SELECT CAST(period AS VARCHAR) AS period, article_count, (SELECT CAST(sum(article_count) AS BIGINT) FROM b) AS total FROM b """,
         ),
     )
     def _(spark, d):
-        return shaped(op.date_count(views.articles(spark, d), granularity, pattern, field=field, start=bounds[0], end=bounds[1], limit=limit))
+        return shaped(op.date_count(views.articles(spark, d), granularity, pattern, field=field, start=bounds[0], end=bounds[1]))
 
 
-_date_count("day", 20, None, "all", "true", (None, None))
-_date_count("month", 20, "the", "all", _SPAN, ("2016-02-01", "2018-06-30"))
-_date_count("year", 200, "the", "headline", "true", (None, None))
+_date_count("day", None, "all", "true", (None, None))
+_date_count("month", "the", "all", _SPAN, ("2016-02-01", "2018-06-30"))
+_date_count("year", "the", "headline", "true", (None, None))
 
 
 @query(
@@ -147,10 +148,10 @@ def _(spark, d):
 
 @query(
     "article_substring_search_all",
-    with_views(v.ARTICLES, "SELECT article_id FROM articles WHERE contains(lower(headline), 'the') AND contains(lower(text), 'the') ORDER BY article_id LIMIT 50"),
+    with_views(v.ARTICLES, "SELECT article_id FROM articles WHERE contains(lower(headline), 'the') AND contains(lower(text), 'the')"),
 )
 def _(spark, d):
-    return tables.text_search(views.articles(spark, d), ["headline", "text"], "the", match_all=True, ties=["article_id"]).select("article_id")
+    return tables.text_search(views.articles(spark, d), ["headline", "text"], "the", match_all=True).select("article_id")
 
 
 @query(
@@ -199,7 +200,54 @@ def _(spark, d):
     return op.build_index(views.articles(spark, d), False, STOP_WORDS).lengths
 
 
-@query("text_index_stems")
+@query("article_total_without_match", with_views(v.ARTICLES, "SELECT count(*) AS article_count, CAST(NULL AS VARCHAR) AS earliest, CAST(NULL AS VARCHAR) AS latest, 'NO_MATCHING_RECORDS' AS status FROM articles WHERE contains(all_text, 'no article holds this')"))
+def _(spark, d):
+    return shaped(op.date_count(views.articles(spark, d), pattern="no article holds this"))
+
+
+#: Sixty patterns: syllables of the corpus, doubled ones, and some that never occur.
+SIXTY = [a + b for a in ("an", "er", "on", "th", "in", "es") for b in ("", "an", "er", "on", "th", "in", "es", "zq", "ou", "re")]
+
+
+@query(
+    "pattern_count_sixty",
+    with_views(v.ARTICLES, f", c AS ({_counts_sql(SIXTY, True)}) SELECT *, row_number() OVER (ORDER BY article_count DESC, pattern) AS rank FROM c"),
+)
+def _(spark, d):
+    return op.pattern_count(views.articles(spark, d), SIXTY)
+
+
+# Porter's algorithm as regular expressions over distinct words, one step per table
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_M0, _M1, _ONE = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}{_V}{_C}", f"^({_C})?{_V}{_C}({_V})?$"
+_HAS_V, _CVC = f"^({_C})?[aeiouy]", f"^{_C}[aeiouy][^aeiouwxy]$"
+
+
+def _swap(column, table, measure):
+    """The first fitting suffix, longest first, is replaced if the rest measures enough."""
+    cases = " ".join(
+        f"WHEN ends_with({column}, '{old}') THEN CASE WHEN regexp_matches(left({column}, length({column}) - {len(old)}), '{measure}') THEN left({column}, length({column}) - {len(old)}) || '{new}' ELSE {column} END"
+        for old, new in sorted(table, key=lambda p: -len(p[0])))
+    return f"CASE WHEN length(word) < 3 THEN {column} {cases} ELSE {column} END"
+
+
+_STEMS = f""", words AS (SELECT DISTINCT unnest(toks) AS word FROM listed),
+p1 AS (SELECT word, CASE WHEN length(word) < 3 THEN word WHEN regexp_matches(word, '(sses|ies)$') THEN left(word, length(word) - 2) WHEN regexp_matches(word, '[^s]s$') THEN left(word, length(word) - 1) ELSE word END AS w FROM words),
+p2 AS (SELECT word, w, CASE WHEN ends_with(w, 'ed') THEN left(w, length(w) - 2) WHEN ends_with(w, 'ing') THEN left(w, length(w) - 3) END AS cut FROM p1),
+p3 AS (SELECT word, CASE WHEN length(word) < 3 THEN w WHEN ends_with(w, 'eed') THEN CASE WHEN regexp_matches(left(w, length(w) - 3), '{_M0}') THEN left(w, length(w) - 1) ELSE w END
+  WHEN cut IS NOT NULL AND regexp_matches(cut, '{_HAS_V}') THEN CASE WHEN regexp_matches(cut, '(at|bl|iz)$') THEN cut || 'e'
+    WHEN length(cut) > 1 AND right(cut, 1) = left(right(cut, 2), 1) AND regexp_matches(cut, '[^aeiouylsz]$') THEN left(cut, length(cut) - 1) WHEN regexp_matches(cut, '{_CVC}') THEN cut || 'e' ELSE cut END ELSE w END AS w FROM p2),
+p4 AS (SELECT word, CASE WHEN length(word) > 2 AND ends_with(w, 'y') AND regexp_matches(left(w, length(w) - 1), '{_HAS_V}') THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM p3),
+p5 AS (SELECT word, {_swap('w', STEP2, _M0)} AS w FROM p4),
+p6 AS (SELECT word, {_swap('w', STEP3, _M0)} AS w FROM p5),
+p7 AS (SELECT word, {_swap('w', [(s, '') for s in STEP4 if s != 'ion'], _M1)} AS a, w FROM p6),
+p8 AS (SELECT word, CASE WHEN length(word) > 2 AND regexp_matches(w, '[st]ion$') THEN CASE WHEN regexp_matches(left(w, length(w) - 3), '{_M1}') THEN left(w, length(w) - 3) ELSE w END ELSE a END AS w FROM p7),
+p9 AS (SELECT word, CASE WHEN length(word) > 2 AND ends_with(w, 'e') AND (regexp_matches(left(w, length(w) - 1), '{_M1}') OR (regexp_matches(left(w, length(w) - 1), '{_ONE}') AND NOT regexp_matches(left(w, length(w) - 1), '{_CVC}'))) THEN left(w, length(w) - 1) ELSE w END AS w FROM p8),
+stemmed AS (SELECT word, CASE WHEN length(word) > 2 AND ends_with(w, 'll') AND regexp_matches(w, '{_M1}') THEN left(w, length(w) - 1) ELSE w END AS stem FROM p9)"""
+
+
+@query("text_index_stems", with_views(v.ARTICLES, _TOKENS + _STEMS + """, sp AS (SELECT article_id, stem AS term, CAST(sum(tf) AS BIGINT) AS tf FROM postings JOIN stemmed ON word = term GROUP BY 1, 2)
+        SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM sp GROUP BY 1"""))
 def _(spark, d):
     return op.build_index(views.articles(spark, d), True, STOP_WORDS).terms
 
@@ -235,9 +283,44 @@ def _(spark, d):
     return shaped(out.select("query_id", "article_id", "headline", "publication_date", "rank", "score"))
 
 
-@query("bm25_search_stemmed")
+@query(
+    "bm25_search_stemmed",
+    with_views(
+        v.ARTICLES,
+        _TOKENS.replace("FROM articles)", "FROM articles UNION ALL SELECT NULL, list_filter(string_split(trim(regexp_replace(translate(lower(text), '%s', '%s'), '[^a-z]+', ' ', 'g')), ' '), lambda t: t <> '') FROM benchmark)" % (ACCENTED, PLAIN), 1)
+        + _STEMS + """, sp AS (SELECT article_id, stem AS term, CAST(sum(tf) AS BIGINT) AS tf FROM postings JOIN stemmed ON word = term WHERE article_id IS NOT NULL GROUP BY 1, 2),
+        sd AS (SELECT term, count(*) AS df FROM sp GROUP BY 1),
+        asked AS (SELECT DISTINCT query_id, stem AS term FROM (SELECT item_id AS query_id, unnest(string_split(trim(regexp_replace(translate(lower(text), '%s', '%s'), '[^a-z]+', ' ', 'g')), ' ')) AS word FROM benchmark) JOIN stemmed USING (word)
+          WHERE NOT list_contains([%s], word)),
+        stats AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM listed WHERE article_id IS NOT NULL),
+        scores AS (SELECT query_id, p.article_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / mean))) AS score
+          FROM asked JOIN sd USING (term) JOIN sp p USING (term) JOIN listed l ON l.article_id = p.article_id, stats GROUP BY 1, 2),
+        r AS (SELECT query_id, article_id, headline, publication_date, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, publication_date, headline, article_id) AS rank FROM scores JOIN articles USING (article_id))
+        SELECT query_id, article_id, headline, CAST(publication_date AS VARCHAR) AS publication_date, rank, round(score, 4) AS score FROM r WHERE rank <= 5""" % (ACCENTED, PLAIN, ", ".join(f"'{w}'" for w in STOP_WORDS)),
+    ),
+)
 def _(spark, d):
     articles = views.articles(spark, d)
     index = op.build_index(articles, True, STOP_WORDS)
     out = op.retrieve(articles, index, benchmark_queries(spark, d), 5)
     return shaped(out.select("query_id", "article_id", "headline", "publication_date", "rank", "score"))
+
+
+@query(
+    "search_conversations",
+    """WITH words AS (SELECT conv_id * 100 + turn AS turn_id, conv_id, role, string_split(trim(regexp_replace(translate(lower(role || ' ' || text), '%s', '%s'), '[^a-z]+', ' ', 'g')), ' ') AS toks FROM conversations),
+    listed AS (SELECT turn_id, conv_id, role, list_filter(toks, lambda t: t <> '') AS toks FROM words),
+    postings AS (SELECT turn_id, term, count(*) AS tf FROM (SELECT turn_id, unnest(toks) AS term FROM listed) GROUP BY 1, 2),
+    terms AS (SELECT term, count(*) AS df FROM postings GROUP BY 1), stats AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM listed),
+    asked AS (SELECT * FROM (VALUES (0, 'the'), (0, 'and'), (1, 'der'), (1, 'die')) t(query_id, term)),
+    scores AS (SELECT query_id, p.turn_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / mean))) AS score
+      FROM asked JOIN terms USING (term) JOIN postings p USING (term) JOIN listed l ON l.turn_id = p.turn_id, stats GROUP BY 1, 2),
+    r AS (SELECT query_id, turn_id, conv_id, role, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, turn_id) AS rank FROM scores JOIN listed USING (turn_id) WHERE role <> 'system')
+    SELECT * FROM r WHERE rank <= 20""" % (ACCENTED, PLAIN),
+)
+def _(spark, d):
+    turns = views.table(spark, d, "conversations").withColumn("turn_id", F.col("conv_id") * 100 + F.col("turn"))
+    index = op.build_index(turns, False, fields=["role", "text"], id_col="turn_id")
+    asked = spark.sql("SELECT * FROM VALUES (0, 'the and'), (1, 'der die') AS q(query_id, query)")
+    found = op.search_table(turns, index, asked, ["conv_id", "role"], [("role", "!=", "system")], 20)
+    return found.select("query_id", "turn_id", "conv_id", "role", "rank", "score")

@@ -7,7 +7,6 @@ and leaves counting to ``ingest_report``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +27,19 @@ def split_rejects(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(~flag), df.where(flag)
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """The column names of the first line, as Spark reads them; folder columns are not among them."""
+    named = spark.read.option("header", True).option("encoding", "UTF-8").csv(path).columns
+    folders = {f.split("=", 1)[0] for f in path_parts(spark, path)}
+    return [n.lstrip("\ufeff").strip() for n in named if n not in folders]
+
+
+def path_parts(spark: SparkSession, path: str) -> list[str]:
+    """``name=value`` parts of the folders below a path, from one of its files."""
+    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path).select("path").limit(1).collect()
+    return [p for r in files for p in r["path"].split("/") if "=" in p]
+
+
 def csv_text(spark: SparkSession, path: str, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """CSV fields as text; extra fields of ragged lines are dropped and such lines listed."""
     reader = spark.read.schema(_text_schema(names, "_line")).option("columnPruning", "false")
@@ -37,12 +49,26 @@ def csv_text(spark: SparkSession, path: str, names: Sequence[str]) -> tuple[Data
     return rows.drop("_line"), ragged
 
 
+# The columns of the raw decision file.
+RATE_COLUMNS = {"Effective Date": "day", "Change % points": "change", "Cash rate target%": "level"}
+
+
+def rates_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, ragged lines) of a decision file, with its columns found by their names in any order."""
+    header = csv_header(spark, path)
+    missing = [c for c in RATE_COLUMNS if c not in header]
+    if missing:
+        raise ValueError(f"the file lacks the columns {missing}; it has {header}")
+    return csv_text(spark, path, [RATE_COLUMNS.get(c, c) for c in header])
+
+
 def read_rates_csv(spark: SparkSession, path: str, series_key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Decision series with day, signed change and level columns, as whole basis points.
 
     Without a key, ``path`` holds one ``series_key=...`` folder per series.
+    ``rates_text`` lists the ragged lines.
     """
-    rows, _ = csv_text(spark, path, ["day", "change", "level"])
+    rows, _ = rates_text(spark, path)
     key = F.lit(series_key) if series_key else F.col("series_key").cast("string")
     typed = rows.select(
         key.alias("series_key"), parse_date(F.col("day")).alias("effective_date"),
@@ -130,13 +156,11 @@ def normalise_dates(df: DataFrame, formats: Sequence[str] = NORMAL_DATE_FORMATS)
     """
     names = [f.name for f in df.schema.fields if "date" in f.name.lower() and isinstance(f.dataType, T.StringType)]
     fixed = df.withColumns({n: F.coalesce(iso(parse_date(F.col(n), formats)), F.col(n)) for n in names})
-    bad = [
-        df.where((F.trim(n) != "") & parse_date(F.col(n), formats).isNull()).select(F.lit(n).alias("column"), F.trim(n).alias("value"))
-        for n in names
-    ]
-    if not bad:
-        return fixed, df.sparkSession.createDataFrame([], "column string, value string")
-    return fixed, reduce(DataFrame.unionByName, bad)
+    unread = F.array(*[
+        F.when((F.trim(n) != "") & parse_date(F.col(n), formats).isNull(), F.struct(F.lit(n).alias("column"), F.trim(n).alias("value"))) for n in names
+    ]).cast("array<struct<column:string,value:string>>")
+    # one scan for all columns
+    return fixed, df.select(F.inline(F.array_compact(unread)))
 
 
 def _json_value(column: str) -> Column:

@@ -98,8 +98,8 @@ def test_health(spark):
         (4, "x" * 401, "", [], ""),
     ])
     got = {r.id: r for r in sc.format_health(df, F.col("inputs")).collect()}
-    assert (got[1].hedge_rate, got[1].preamble_rate, got[1].invented_number_rate) == (1.0, 1.0, 0.0)
-    assert got[2].invented_number_rate == 1.0 and got[3].preamble_rate == 1.0
+    assert (got[1].hedge_rate, got[1].preamble_rate, got[1].hallucinated_number_rate) == (1.0, 1.0, 0.0)
+    assert got[2].hallucinated_number_rate == 1.0 and got[3].preamble_rate == 1.0
     assert got[4].over_length_rate == 1.0 and got[4].answer_chars == 401.0
 
 
