@@ -3,7 +3,8 @@
 A series has one row per key and day.  Requests are first reduced to distinct
 (key, day) points, so the ordered pass over a key is bounded by calendar days on
 both sides, however many requests a key draws.  The answers then join back on
-(key, day), with the hot points salted.
+(key, day), each a lookup with one row per point, so Spark can split the
+requests of a hot point.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finframe.operators.ordering import hot_salted_join, salted_join
-
 # Status of a request row.
 OK = "ok"
 UNKNOWN_TICKER = "UNKNOWN_TICKER"
@@ -96,20 +95,18 @@ def asof_many(
     answers = {}
     for one in sorted(set(modes.values())):
         asked = [requests.select(*keys, F.col(c).alias("_at")) for p, c in dates.items() if modes[p] == one]
-        points = reduce(DataFrame.unionByName, asked).where(F.col("_at").isNotNull()).groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_w"))
-        answers[one] = resolve_points(points, series, keys, "_at", series_date, one), points
+        points = reduce(DataFrame.unionByName, asked).where(F.col("_at").isNotNull()).distinct()
+        answers[one] = resolve_points(points, series, keys, "_at", series_date, one)
     out = requests
     for prefix, column in dates.items():
-        found, points = answers[modes[prefix]]
-        lookup = found.select(*keys, F.col("_at").alias(column), F.col("hit").alias("_hit"), F.col("known").alias("_known"))
+        lookup = answers[modes[prefix]].select(*keys, F.col("_at").alias(column), F.col("hit").alias("_hit"), F.col("known").alias("_known"))
         status = (
             F.when(F.col("_hit").isNotNull(), OK)
             .when(F.col("_known"), DATE_OUTSIDE_COVERAGE)
             .otherwise(UNKNOWN_TICKER if keys else DATE_OUTSIDE_COVERAGE)
         )
         had = out.columns
-        weights = points.withColumnRenamed("_at", column)
-        out = hot_salted_join(out, lookup, [*keys, column], weights, list(row_id) or requests.columns).select(
+        out = out.join(lookup, [*keys, column], "left").select(
             *had, *[F.col("_hit").getField(c).alias(prefix + c) for c in values], status.alias(f"{prefix}status")
         )
     return out
@@ -161,7 +158,7 @@ def clamp(requests: DataFrame, cover: DataFrame, keys: Sequence[str] = (), row_i
     """
     if keys:
         side = cover.select(*keys, F.col("start").alias("_cs"), F.col("end").alias("_ce"))
-        out = salted_join(requests, side, keys, list(row_id) or requests.columns)
+        out = requests.join(side, list(keys), "left")
     else:
         bounds = {"_cs": cover.select("start").scalar(), "_ce": cover.select("end").scalar()}
         out = requests.withColumns(bounds)
@@ -204,6 +201,18 @@ def answered(
     return out.select(*found.columns, status.alias("status"), "available_start", "available_end")
 
 
+def skipped_warning(results: DataFrame, key: str) -> DataFrame:
+    """One warning text that names the keys without a result, or NULL."""
+    missed = F.array_sort(F.collect_set(F.when(F.col("status") != OK, F.col(key).cast("string"))))
+    return results.agg(F.when(F.size(missed) > 0, F.concat(F.lit("skipped: "), F.array_join(missed, ", "))).alias("warning"))
+
+
+def dependent(results: DataFrame) -> DataFrame:
+    """Requests that rest on these results: a failed one fails them, with its own status as the cause."""
+    failed = F.col("status") != OK
+    return results.withColumn("cause", F.when(failed, F.col("status"))).withColumn("status", F.when(failed, DEPENDENCY_FAILED).otherwise(OK))
+
+
 def unknown_keys(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Requested keys the dataset does not hold, each with the number of valid keys and the first and last of them."""
     valid = known.select(key).distinct()

@@ -99,7 +99,8 @@ def event_best_and_worst(returns: DataFrame) -> DataFrame:
 
 def ranked_event_returns(returns: DataFrame) -> DataFrame:
     """Tickers ranked within each event and window."""
-    ranked = row_numbers(returns, [F.col("return_decimal").desc_nulls_last(), F.col("ticker")], [KEY, "event_date", "pre"])
+    # written first: the ranking reads its rows twice, once for the cuts
+    ranked = row_numbers(checkpointed(returns), [F.col("return_decimal").desc_nulls_last(), F.col("ticker")], [KEY, "event_date", "pre"])
     return ranked.withColumn("window_return_pct", decimal_to_pct(F.col("return_decimal"))).drop("return_decimal")
 
 

@@ -99,50 +99,16 @@ def lagged(
     return reduce(lambda d, n: d.withColumnRenamed(f"_lag_{n}", n), values, joined)
 
 
-def salted_join(
-    many: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    row_id: Sequence[str],
-    how: str = "left",
-    salts: int = 8,
-) -> DataFrame:
-    """Join many rows to a lookup that has one row per key, spreading hot keys.
-
-    The lookup is repeated ``salts`` times; rows of one key are spread over the
-    repeats by a hash of ``row_id``, so a hot key is shared by ``salts`` tasks.
-    """
-    salt = F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")
-    left = many.withColumn("_salt", salt)
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-HOT_ROWS = 1_000_000
-
-
-def hot_salted_join(
-    many: DataFrame, lookup: DataFrame, on: Sequence[str], weights: DataFrame, row_id: Sequence[str], salts: int = 32, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Left join to a lookup with one row per key, where only hot keys are salted.
-
-    ``weights(on, _w)`` holds the rows per key.  At most rows / ``hot_rows`` keys
-    can be hot, so their list is small whatever the data; all other keys join
-    unrepeated.
-    """
-    hot = weights.where(F.col("_w") > hot_rows).select(*on, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")).otherwise(0)
-    left = many.join(F.broadcast(hot), list(on), "left").withColumn("_salt", salt).drop("_hot")
-    repeats = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.explode(repeats)).drop("_hot")
-    return left.join(right, [*on, "_salt"], "left").drop("_salt")
-
-
-def checked_join(many: DataFrame, lookup: DataFrame, on: Sequence[str], row_id: Sequence[str], limit: int = 100_000) -> DataFrame:
-    """Inner join to a checkpointed lookup: broadcast after counting its rows, salted when it has many."""
-    if lookup.limit(limit + 1).count() <= limit:
-        return many.join(F.broadcast(lookup), list(on))
-    return salted_join(many, lookup, on, row_id, "inner")
+def running_sum(df: DataFrame, order: Sequence[Column], partition: Sequence[str], value: str, name: str) -> DataFrame:
+    """The sum of a value up to each row, per group, without gathering a group in one task."""
+    rows = positioned(df, order, partition)
+    inside = Window.partitionBy(*partition, _PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(name, F.sum(value).over(inside))
+    sums = rows.groupBy(*partition, _PID).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(_PID)  # one row per group and range
+    sums = sums.withColumn("_before", F.sum("_sum").over(before) - F.col("_sum")).drop("_sum")
+    joined = _join_ranges(rows, sums, partition)
+    return joined.withColumn(name, F.col(name) + F.col("_before")).drop(_POS, _PID, "_before")
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str, accuracy: int = 10000) -> DataFrame:
@@ -158,15 +124,14 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str, accu
     # fixed by a checkpoint, so that every task sees the same bracket
     brackets = checkpointed(known.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_total")))
     if keys:
-        placed = checked_join(known, brackets, keys, [*keys, value])
+        placed = _match_nulls(known, brackets, keys, "inner")
     else:
         placed = known.withColumns({c: brackets.select(c).scalar() for c in ("_b", "_total")})
     placed = placed.where(F.col(value) <= F.col("_b")[1])
     # one row counts all that lies below the bracket; NULL sorts before the values inside
     inside = F.when(F.col(value) >= F.col("_b")[0], F.col(value))
     counts = placed.groupBy(*keys, "_total", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_upto", F.sum("_n").over(run))
+    counts = running_sum(counts, [F.col("_v").asc_nulls_first()], keys, "_n", "_upto")
 
     def at(rank: Column) -> Column:
         covers = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))

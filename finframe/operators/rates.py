@@ -127,8 +127,8 @@ def _events(rates: DataFrame, kind: str) -> DataFrame:
     return rates.where(test)
 
 
-def longest_hold(rates: DataFrame, kind: str = "any_change", n: int = 1) -> DataFrame:
-    """The n longest stretches between consecutive moves of a kind, per series."""
+def longest_hold(rates: DataFrame, kind: str = "any_change", n: int | None = 1) -> DataFrame:
+    """The n longest stretches between consecutive moves of a kind, per series; all of them without n."""
     series = Window.partitionBy(KEY).orderBy(DAY)
     gaps = (
         _events(rates, kind)
@@ -141,7 +141,8 @@ def longest_hold(rates: DataFrame, kind: str = "any_change", n: int = 1) -> Data
         .withColumn("gap_days", F.datediff("end_date", "start_date").cast("bigint"))
     )
     ranked = Window.partitionBy(KEY).orderBy(F.col("gap_days").desc(), "start_date")
-    return gaps.withColumn("rank", F.row_number().over(ranked).cast("bigint")).where(F.col("rank") <= n)
+    placed = gaps.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
+    return placed if n is None else placed.where(F.col("rank") <= n)
 
 
 def rate_cycles(rates: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

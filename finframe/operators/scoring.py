@@ -20,7 +20,6 @@ from finframe.functions.scalars import (
     any_of,
     normalised,
 )
-from finframe.operators.ordering import salted_join
 
 # Phrases that mark hedging.
 HEDGES = (
@@ -234,7 +233,7 @@ def answers_for_cases(cases: DataFrame, recorded: DataFrame) -> DataFrame:
     fields = F.struct("answer", "seconds")
     by_id = recorded.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(fields).alias("_a"))
     by_text = recorded.where(F.col("question").isNotNull()).groupBy("question").agg(F.min(fields).alias("_b"))
-    joined = salted_join(salted_join(cases, by_id, ["id"], cases.columns), by_text, ["question"], cases.columns)
+    joined = cases.join(by_id, "id", "left").join(by_text, "question", "left")
     found = F.coalesce("_a", "_b")
     return joined.select(*cases.columns, found["answer"].alias("answer"), found["seconds"].alias("seconds"))
 

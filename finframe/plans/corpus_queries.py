@@ -253,9 +253,14 @@ def _(spark, d):
     return op.corpus_summary(_whole(spark, d))
 
 
-@query("qa_duplicate_ids", "SELECT 'x' AS id, CAST(1 AS BIGINT) AS n FROM events WHERE false")
+@query(
+    "qa_duplicate_ids",
+    with_views(v.RATES, """SELECT 'planted' AS input, 'FF-EXTRAP-rate-' || series_key || '-2035-01-01' AS id, CAST(2 AS BIGINT) AS n FROM (SELECT DISTINCT series_key FROM rates)"""),
+)
 def _(spark, d):
-    return op.duplicate_ids(_whole(spark, d))
+    whole = _whole(spark, d)
+    planted = whole.unionByName(whole.where(F.col("id").startswith("FF-EXTRAP-rate-")))
+    return op.duplicate_ids(whole).withColumn("input", F.lit("clean")).unionByName(op.duplicate_ids(planted).withColumn("input", F.lit("planted")))
 
 
 @query(

@@ -11,6 +11,7 @@ from finframe.plans import sqlviews as v
 from finframe.plans.base import query, with_views
 from finframe.plans.price_queries import windows_sql
 from finframe.plans.text_queries import BM25, _match
+from finframe.session import checkpointed
 from finframe.sources import views
 
 ONE = v.RATES_MOVED + ", r1 AS (SELECT * FROM rates_moved), keys AS (SELECT DISTINCT series_key FROM r1)"
@@ -37,9 +38,10 @@ ret AS (SELECT w.series_key, event_date, event_date AS rate_effective_date, r1.t
 
 
 def _event_returns(spark, d):
-    rates, prices = _rates(spark, d), views.prices_for_articles(spark, d)
-    events = op.changes_in_price_coverage(rates, align.coverage(prices, "prices", "date"))
-    return op.event_market_returns(events, rates, px.enrich(prices), [(3, 3), (5, 5), (7, 7)])
+    # the enriched bars are derived once, for the coverage and for the windows
+    rates, bars = _rates(spark, d), checkpointed(_bars(spark, d))
+    events = op.changes_in_price_coverage(rates, align.coverage(bars, "prices", "date"))
+    return op.event_market_returns(events, rates, bars, [(3, 3), (5, 5), (7, 7)])
 
 
 @query(

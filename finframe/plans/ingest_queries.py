@@ -7,7 +7,7 @@ back through the reader under test.
 from pyspark.sql import functions as F
 
 from finframe.functions.scalars import shaped
-from finframe.operators import checks, prices as px, rates as rt, text as tx
+from finframe.operators import checks, rates as rt
 from finframe.plans import sqlviews as v
 from finframe.plans.base import query, with_views
 from finframe.session import scratch_path
@@ -142,19 +142,119 @@ def _(spark, d):
     return ingest.resolve_tickers(asked, ingest.ticker_aliases(names), "name").select("request", "ticker")
 
 
-def _empty(name, build):
-    @query(name, "SELECT 'x' AS rule, CAST(0 AS BIGINT) AS n FROM events WHERE false")
+@query(
+    "ingest_rates_reordered",
+    with_views(v.RATES, "SELECT series_key, CAST(effective_date AS VARCHAR) AS effective_date, target_bp, change_bp FROM rates"),
+)
+def _(spark, d):
+    path = scratch_path(spark, "rates-reordered")
+    views.rates(spark, d).select(
+        "series_key", F.format_string("%.2f", F.col("target_bp") / 100.0).alias("Cash rate target%"), F.lit("-").alias("Note"),
+        F.date_format("effective_date", "d MMM yyyy").alias("Effective Date"), F.format_string("%+.2f", F.col("change_bp") / 100.0).alias("Change % points"),
+    ).write.partitionBy("series_key").csv(path, header=True)
+    kept, _ = ingest.read_rates_csv(spark, path)
+    return shaped(kept)
+
+
+def _ragged_file(spark, d):
+    """The decision lines of one series, every fifth with a field too many."""
+    path = scratch_path(spark, "rates-ragged")
+    rates = views.rates(spark, d).where("series_key = '1-URGENT'")
+    line = F.concat_ws(",", F.date_format("effective_date", "d MMM yyyy"), F.format_string("%+.2f", F.col("change_bp") / 100.0), F.format_string("%.2f", F.col("target_bp") / 100.0))
+    line = F.when(F.month("effective_date") % 5 == 0, F.concat(line, F.lit(",surplus"))).otherwise(line)
+    lines = rates.select(F.lit(1).alias("o"), line.alias("value")).unionByName(spark.range(1).select(F.lit(0).alias("o"), F.lit("Effective Date,Change % points,Cash rate target%").alias("value")))
+    lines.coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    return path
+
+
+@query(
+    "ingest_ragged_lines",
+    with_views(v.RATES, """SELECT strftime(effective_date, '%-d %b %Y') || ',' || printf('%+.2f', change_bp / 100.0) || ',' || printf('%.2f', target_bp / 100.0) || ',surplus' AS line
+       FROM rates WHERE series_key = '1-URGENT' AND month(effective_date) % 5 = 0"""),
+)
+def _(spark, d):
+    return ingest.rates_text(spark, _ragged_file(spark, d))[1]
+
+
+@query("ingest_ragged_rows", with_views(v.RATES, "SELECT '1-URGENT' AS series_key, CAST(effective_date AS VARCHAR) AS effective_date, target_bp, change_bp FROM rates WHERE series_key = '1-URGENT'"))
+def _(spark, d):
+    return shaped(ingest.read_rates_csv(spark, _ragged_file(spark, d), "1-URGENT")[0])
+
+
+@query("ingest_plain_parquet", with_views(v.RATES, "SELECT series_key, CAST(effective_date AS VARCHAR) AS effective_date, target_bp, change_bp FROM rates"))
+def _(spark, d):
+    path, rates = scratch_path(spark, "rates-parquet"), views.rates(spark, d)
+    ingest.write_parquet(rates, path)
+    return shaped(ingest.read_parquet(spark, path, rates.schema))
+
+
+@query(
+    "ingest_articles_partitioned",
+    with_views(v.ARTICLES, "SELECT article_id, headline, text, CAST(year(publication_date) AS INTEGER) AS year, CAST(month(publication_date) AS INTEGER) AS month FROM articles WHERE year(publication_date) = 2016"),
+)
+def _(spark, d):
+    path = scratch_path(spark, "articles-parquet")
+    articles = views.articles(spark, d).select("article_id", "headline", "text", "year", "month")
+    ingest.write_parquet(articles, path, ["year", "month"])
+    # the year names folders, so only its files are read
+    return ingest.read_parquet(spark, path, articles.schema).where("year = 2016").select("article_id", "headline", "text", "year", "month")
+
+
+@query(
+    "csv_to_json_lines",
+    "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment, 'customers' AS source FROM customer",
+)
+def _(spark, d):
+    source, target = scratch_path(spark, "customers-csv"), scratch_path(spark, "customers-jsonl")
+    views.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).otherwise("").alias("segment"),
+    ).write.csv(source, header=True)
+    ingest.csv_to_jsonl(spark, source, target, {"source": "customers"})
+    return spark.read.schema("id bigint, name string, balance double, segment string, source string").json(target)
+
+
+def _records(spark, d, form):
+    """Supplier names as JSON lines, or as the list under a key of one object per file."""
+    path = scratch_path(spark, f"records-{form}") + (".jsonl" if form == "lines" else "")
+    rows = views.table(spark, d, "supplier").select("s_suppkey", "s_name")
+    if form == "lines":
+        rows.write.json(path)
+    else:
+        item = F.struct("s_suppkey", "s_name")
+        per_file = rows.groupBy((F.col("s_suppkey") % 4).alias("k")).agg(F.collect_list(item).alias("items"))
+        text = F.to_json(F.struct("items")) if form == "object" else F.to_json("items")
+        per_file.select(text.alias("value"), "k").repartition(4, "k").write.partitionBy("k").text(path)
+    return path
+
+
+def _record_query(form):
+    @query(f"read_records_{form}", "SELECT s_suppkey, s_name FROM supplier")
     def _(spark, d):
-        return build(spark, d).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+        from pyspark.sql.types import StructType
+
+        found = ingest.read_records(spark, _records(spark, d, form), StructType.fromDDL("s_suppkey bigint, s_name string"), "items" if form == "object" else None)
+        return found.select("s_suppkey", "s_name")
+
+
+for _form in ("lines", "object"):
+    _record_query(_form)
 
 
-_empty("check_change_summary", lambda s, d: checks.summary_reconciles(rt.change_summary(views.rates(s, d))))
-_empty("check_cycles", lambda s, d: checks.cycles_reconcile(rt.rate_cycles(views.rates(s, d))))
-_empty("check_gaps", lambda s, d: checks.gaps_match_dates(rt.longest_hold(views.rates(s, d), n=1000)))
-_empty("check_returns", lambda s, d: checks.returns_match_prices(px.window_returns(px.enrich(views.prices_big(s, d)), [("all", "1995-01-01", "2001-12-31")])))
-_empty("check_drawdowns", lambda s, d: checks.drawdowns_ordered(px.max_drawdown(views.prices_big(s, d), "intraday")))
-_empty("check_pattern_counts", lambda s, d: checks.counts_within_window(tx.pattern_count(views.articles(s, d), ["the", "und"])))
-_empty("check_buckets", lambda s, d: checks.buckets_within_total(tx.date_count(views.articles(s, d), "month", "the", limit=10)))
+@query(
+    "grading_cases_shapes",
+    with_views(v.QA, """SELECT id, prompt AS question, target AS reference_answer, unnest(range(1, 1 + len(components))) AS place, unnest(components) AS fact, CAST(CASE WHEN number % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS points FROM qa"""),
+)
+def _(spark, d):
+    qa = views.qa(spark, d)
+    rich = F.col("number") % 2 == 0
+    parts = F.transform("components", lambda c, i: F.struct(F.format_string("K%d", i).alias("component_id"), c.alias("expected_fact"), F.lit(2.0).alias("points")))
+    rows = qa.select(
+        "id", F.lit(None).cast("string").alias("difficulty"), F.when(rich, F.col("prompt")).alias("prompt"), F.when(~rich, F.col("prompt")).alias("question"),
+        F.when(rich, F.col("target")).alias("reference_answer"), F.when(~rich, F.col("target")).alias("answer"),
+        F.when(rich, F.struct(parts.alias("components"), F.lit("note").alias("tolerance_note"))).alias("grading"), F.when(~rich, F.col("components")).alias("grading_components"),
+    )
+    cases = ingest.grading_cases(rows).select("id", "question", "reference_answer", F.posexplode("components").alias("i", "c"))
+    return cases.select("id", "question", "reference_answer", (F.col("i") + 1).cast("bigint").alias("place"), F.col("c.expected_fact").alias("fact"), F.col("c.points").alias("points"))
 
 
 @query(

@@ -72,7 +72,7 @@ qa AS (
          CASE a.conv_id % 3 WHEN 0 THEN 'rate' WHEN 1 THEN 'price' ELSE 'article' END AS task,
          a.text AS prompt,
          b.text || ' The level was ' || printf('%d.%02d', number // 100, number % 100) || '% on ' || strftime(day, '%-d %B %Y') || '.' AS target,
-         list_concat(string_split(b.text, ' ')[1:3], [rtrim(printf('%d.%02d', number // 100, number % 100), '0'), CAST(day AS VARCHAR)]) AS components,
+         list_concat(list_sort(list_distinct(string_split(b.text, ' '))), [rtrim(printf('%d.%02d', number // 100, number % 100), '0'), CAST(day AS VARCHAR)]) AS components,
          CAST(a.conv_id AS VARCHAR) AS group_key, number
   FROM (SELECT *, (conv_id * 37 + turn * 11) % 800 AS number,
                CAST(DATE '2015-01-01' + CAST((conv_id * 37 + turn * 11) % 800 AS INTEGER) AS DATE) AS day

@@ -35,15 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Rows of a scan with fewer splits than cores, spread over the cores.
-
-    Only a small input has so few splits; a large one is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
-
-
 def _cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("bigint")
 
@@ -96,7 +87,7 @@ def prices_big(spark: SparkSession, sf_dir: str, shift_years: int = 0) -> DataFr
     # rows that tie on all of these have the same price, so the first and last price are fixed
     at = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "price")
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
     return (
         lines.withColumn("price", price)
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -114,7 +105,7 @@ def prices_for_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit("2015-01-01").cast("date"), F.pmod("doc_id", F.lit(2555)).cast("int"))
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("article_id"),
         F.substring_index("text", "\n", 1).alias("headline"),
         F.col("source").alias("subhead"),
@@ -145,7 +136,8 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.pmod(F.col("conv_id") * 37 + F.col("turn") * 11, F.lit(800))
     level = F.format_string("%d.%02d", F.floor(number / 100), F.pmod(number, F.lit(100)))
     day = F.date_add(F.lit("2015-01-01").cast("date"), number.cast("int"))
-    words = F.slice(F.split("said", " "), 1, 3)
+    # every word of the answer is a fact, next to its level and day
+    words = F.array_sort(F.array_distinct(F.split("said", " ")))
     return asked.join(told, ["conv_id", "turn"]).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
         F.element_at(F.array(F.lit("rate"), F.lit("price"), F.lit("article")), (F.col("conv_id") % 3 + 1).cast("int")).alias("task"),

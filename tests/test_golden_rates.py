@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from finframe.operators import align
 from finframe.operators import checks
 from finframe.operators import rates as op
 
@@ -138,9 +139,13 @@ def test_period_comparison_literal_and_requested(spark, rates):
     assert two[2].status == "DATE_RANGE_INVALID"
 
 
-def test_window_rejects_inverted(rates):
-    with pytest.raises(ValueError):
-        op.change_summary(rates, "2020-01-01", "2019-01-01")
+def test_inverted_window_is_a_status(rates):
+    window = ("2020-01-01", "2019-01-01")
+    found = rt.rate_extreme(rates, "lowest", *window)
+    assert found.count() == 0
+    told = align.answered(found, rates, "series_key", "effective_date", *window, ["nobody"]).collect()
+    assert [r.status for r in told] == ["UNKNOWN_TICKER"]
+    assert {r.status for r in align.answered(found, rates, "series_key", "effective_date", *window).collect()} == {"DATE_RANGE_INVALID"}
 
 
 def test_levels_in_set(rates):

@@ -8,6 +8,7 @@ import statistics
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from finframe.operators import align
@@ -121,13 +122,13 @@ def test_exact_median(spark, size):
     assert got == {"a": statistics.median(values), "b": 2.0}
 
 
-def test_checked_join_both_ways(spark):
-    many = spark.range(0, 100).select("id", (F.col("id") % 3).alias("k"))
-    side = spark.createDataFrame([(0, "x"), (1, "y")], "k bigint, s string")
-    wide = op.checked_join(many, side, ["k"], ["id"])
-    salted = op.checked_join(many, side, ["k"], ["id"], limit=1)
-    order = ["id", "k", "s"]
-    assert sorted(wide.select(order).collect()) == sorted(salted.select(order).collect())
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_running_sum_across_ranges(spark, keys):
+    rows = spark.range(0, 500).select("id", (F.col("id") % 3).alias("k"), (F.col("id") * 7 % 11).alias("v"))
+    got = op.running_sum(rows, [F.col("id")], keys, "v", "upto")
+    window = Window.partitionBy(*keys).orderBy("id")
+    want = rows.withColumn("upto", F.sum("v").over(window))
+    assert got.select("id", "upto").exceptAll(want.select("id", "upto")).count() == 0 and got.count() == 500
 
 
 def test_unknown_filter():
@@ -149,19 +150,7 @@ def test_nulls_last_both_ways(spark):
     assert [r.i for r in tables.extremes(df, "v", "max", 3).collect()] == [2, 3, 1]
 
 
-def test_hot_keys_join_like_cold_ones(spark):
-    many = spark.range(0, 3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).alias("k"))
-    weights = many.groupBy("k").agg(F.count("*").alias("_w"))
-    lookup = spark.range(0, 500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = op.hot_salted_join(many, lookup, ["k"], weights, ["id"], salts=7, hot_rows=50)
-    want = many.join(lookup, "k", "left")
-    assert got.count() == 3000
-    assert got.select("id", "k", "v").exceptAll(want.select("id", "k", "v")).count() == 0
-
-
-def test_asof_with_a_hot_point(spark, monkeypatch):
-    monkeypatch.setattr(op, "HOT_ROWS", 5)
-    monkeypatch.setattr(op.hot_salted_join, "__defaults__", (4, 5))
+def test_asof_with_a_hot_point(spark):
     series = spark.createDataFrame([("a", day) for day in GAPPY], "k string, day date")
     asked = spark.range(0, 300).select("id", F.lit("a").alias("k"), F.when(F.col("id") % 3 == 0, F.lit(GAPPY[2])).otherwise(F.date_add(F.lit(GAPPY[0]), (F.col("id") % 9).cast("int"))).alias("at"))
     got = align.asof(asked, series, ["k"], "at", "day", "nearest", ["id"]).collect()
