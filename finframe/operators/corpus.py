@@ -250,5 +250,6 @@ def evaluation_set(
         price_cases(bars),
         article_cases(articles, patterns),
         extrapolation_cases(bars, rates, ["2035-01-01"]),
+        unanswerable_price_cases(bars, ["2035-01-01"], ["nobody"]),
     ]
     return build_records(reduce(DataFrame.unionByName, families))

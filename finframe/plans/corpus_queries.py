@@ -223,6 +223,13 @@ def _(spark, d):
     return _flat(op.build_records(found))
 
 
+_NO_BAR = """, cover AS (SELECT ticker, min(date) AS s, max(date) AS e FROM prices GROUP BY 1),
+no_bar AS (SELECT 'FF-UNANS-price-' || ticker || '-2035-01-01' AS id, 'FF-UNANS-price' AS template_family, 'price_return' AS question_type, 'unanswerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope,
+  'What did ' || ticker || ' close at on 2035-01-01?' AS prompt,
+  [CASE WHEN s IS NULL THEN 'No. ' || ticker || ' is not in the price data.' ELSE 'No. ' || ticker || ' has no bar on 2035-01-01; its data runs from ' || s || ' to ' || e || '.' END] AS facts
+  FROM (SELECT * FROM cover UNION ALL SELECT 'nobody', NULL, NULL))"""
+
+
 def _whole(spark, d):
     return op.evaluation_set(views.rates(spark, d), pq.bars(spark, d), views.articles(spark, d), ["the", "und"], pq.YEARS)
 
@@ -231,8 +238,8 @@ def _whole(spark, d):
     "qa_evaluation_set",
     with_views(
         pq.BARS + "," + v.RATES + "," + v.ARTICLES,
-        _rate_cases(*pq.YEARS[0]) + _RETURN_CASES + _PRICE_CASES + _article_cases(["the", "und"]) + _future_cases(["2035-01-01"])
-        + _tail("rate_cases", "cases", "price_cases", "article_cases", "future_cases"),
+        _rate_cases(*pq.YEARS[0]) + _RETURN_CASES + _PRICE_CASES + _article_cases(["the", "und"]) + _future_cases(["2035-01-01"]) + _NO_BAR
+        + _tail("rate_cases", "cases", "price_cases", "article_cases", "future_cases", "no_bar"),
     ),
 )
 def _(spark, d):
@@ -246,7 +253,8 @@ def _(spark, d):
         """, t AS (SELECT count(DISTINCT ticker) AS tickers FROM prices), s AS (SELECT count(DISTINCT series_key) AS series, count(DISTINCT series_key) FILTER (effective_date BETWEEN DATE '1995-01-02' AND DATE '1995-12-30') AS inside FROM rates),
         hold AS (SELECT count(*) AS c FROM (SELECT series_key FROM rates WHERE change_bp <> 0 GROUP BY 1 HAVING count(*) > 1)), y AS (SELECT count(DISTINCT year(publication_date)) AS years FROM articles)
         SELECT 'answerable' AS category, 'easy' AS difficulty, 'single' AS dataset_scope, 2 * inside + 7 * tickers + 3 * tickers + 2 * years AS n FROM t, s, y
-        UNION ALL SELECT 'answerable', 'medium', 'single', inside + c + 2 * tickers FROM t, s, hold UNION ALL SELECT 'extrapolation', 'medium', 'single', tickers + series FROM t, s""",
+        UNION ALL SELECT 'answerable', 'medium', 'single', inside + c + 2 * tickers FROM t, s, hold UNION ALL SELECT 'extrapolation', 'medium', 'single', tickers + series FROM t, s
+        UNION ALL SELECT 'unanswerable', 'easy', 'single', tickers + 1 FROM t""",
     ),
 )
 def _(spark, d):

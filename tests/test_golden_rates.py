@@ -5,8 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from finframe.operators import align
-from finframe.operators import checks
+from finframe.operators import align, checks
 from finframe.operators import rates as op
 
 # A published policy-rate series, as day, change and level in percent.
@@ -141,7 +140,7 @@ def test_period_comparison_literal_and_requested(spark, rates):
 
 def test_inverted_window_is_a_status(rates):
     window = ("2020-01-01", "2019-01-01")
-    found = rt.rate_extreme(rates, "lowest", *window)
+    found = op.rate_extreme(rates, "lowest", *window)
     assert found.count() == 0
     told = align.answered(found, rates, "series_key", "effective_date", *window, ["nobody"]).collect()
     assert [r.status for r in told] == ["UNKNOWN_TICKER"]
