@@ -11,6 +11,7 @@ import harness  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from finframe.session import clear_steps  # noqa: E402
 
 
 def main():
@@ -19,7 +20,7 @@ def main():
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.checkpoint.dir", os.path.abspath("spark-warehouse/check")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = harness.oracle_connection(sf_dir)
@@ -37,6 +38,7 @@ def main():
             took, note, got = time.time() - began, f"ERROR {type(exc).__name__}: {str(exc)[:600]}", ([], [])
         bad += bool(note) and note != "no oracle"
         print(f"{'ok ' if note is None else '-- '} {name:34s} {took:6.2f}s rows={len(got[1])} {note or ''}", flush=True)
+    clear_steps(spark)
     print("failures:", bad)
 
 
