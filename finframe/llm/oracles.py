@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from finframe.llm import pii, quality
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op6_url_rules"] = r"""
@@ -78,3 +80,86 @@ low AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY ALL)
 SELECT doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(low.c, doc_id) AS component_id, coalesce(low.c, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN low USING (doc_id)
 """
+
+# the stated patterns as they read, places as sums of the lengths before them
+_PII_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "secret": r"\b(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b",
+}
+_PII_CHECKS = {
+    "email": "true", "ip": "list_max([len(ltrim(p, '0')) for p in string_split(hit, '.')]) <= 3 AND list_max([CAST(right(p, 3) AS INTEGER) for p in string_split(hit, '.')]) <= 255",
+    "card": "len(digits) BETWEEN 13 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(digits), i, 1) AS INTEGER) WHEN CAST(substr(reverse(digits), i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) END for i in range(1, len(digits) + 1)]) % 10 = 0",
+    "phone": "len(digits) BETWEEN 9 AND 15",
+    "iban": "list_reduce(list_prepend(0::BIGINT, [CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT for c in string_split(substr(replace(hit, ' ', ''), 5) || left(hit, 4), '') if c <> '']), lambda a, b: CASE WHEN b > 9 THEN a * 100 + b ELSE a * 10 + b END % 97) = 1",
+    "secret": "true",
+}
+
+
+def _pii_kind(i: int, kind: str) -> str:
+    score = f"{pii.SCORE[kind]} + CASE WHEN regexp_matches(near, '(?:^|[^a-z0-9])(?:{pii.WORDS[kind]})') THEN {pii.CONTEXT} ELSE 0 END >= {pii.THRESHOLD if kind in pii.ADDED else 0}"
+    return f"""SELECT r, {i} AS k, '{kind}' AS kind, start, start + len(hit) AS stop FROM (
+      SELECT r, hit, start, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, lower(substr(t, greatest(start - {pii.NEAR}, 0) + 1, start - greatest(start - {pii.NEAR}, 0))) AS near FROM (
+        SELECT r, t, hits[i] AS hit, CAST(list_sum([len(gaps[j]) for j in range(1, i + 1)]) + coalesce(list_sum([len(hits[j]) for j in range(1, i)]), 0) AS BIGINT) AS start FROM (
+          SELECT r, t, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT r, t, regexp_extract_all(t, '{_PII_PATTERNS[kind]}') AS hits, regexp_split_to_array(t, '{_PII_PATTERNS[kind]}') AS gaps FROM d))))
+      WHERE {_PII_CHECKS[kind]} AND {score}"""
+
+
+ORACLES["op8_personal_data"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_pii_kind(i, kind) for i, kind in enumerate(pii.KINDS))}),
+g AS (SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)},
+        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) FILTER (k < {len(pii.BASE)}), '') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) AS spans
+      FROM s GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+def _steps(name: str, source: str, steps: list[dict[str, str]]) -> str:
+    """CTEs that add columns step by step; the last one has the name."""
+    parts = []
+    for i, step in enumerate(steps):
+        to = name if i == len(steps) - 1 else f"{name}_{i}"
+        parts.append(f"{to} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM {source})")
+        source = to
+    return ",\n".join(parts)
+
+
+def _quality_sql() -> str:
+    names, d = list(quality.FEATURES), len(quality.FEATURES)
+    low = [(i, j) for i in range(d) for j in range(i + 1)]
+    same = "{0}.lang IS NOT DISTINCT FROM {1}.lang AND {0}.source IS NOT DISTINCT FROM {1}.source"
+    sql = [r"""base AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM base WHERE len(w) > 3),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win SEMI JOIN (SELECT r, g FROM win GROUP BY ALL HAVING count(*) > 1) m USING (r, g)) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM base) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+stat AS (SELECT r, doc_id, lang, source, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(t) - len(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, len(t) - len(translate(t, '""" + quality.MARKS.replace("'", "''") + r"""', '')) AS n_marks, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM base LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stat)""",
+        "v AS (SELECT *, " + ", ".join(f"CASE WHEN NOT base_failed THEN CAST({e} AS BIGINT) END AS {f}" for f, e in quality.FEATURES.items()) + " FROM failed)",
+        "fit AS (SELECT * FROM v WHERE NOT base_failed)",
+        "med AS (SELECT lang, source, " + ", ".join(f"quantile_disc({f}, 0.5) AS x_{f}" for f in names) + " FROM fit GROUP BY ALL)",
+        "mad AS (SELECT fit.lang, fit.source, " + ", ".join(f"any_value(x_{f}) AS x_{f}, quantile_disc(abs({f} - x_{f}), 0.5) AS y_{f}" for f in names) + f" FROM fit JOIN med ON {same.format('fit', 'med')} GROUP BY fit.lang, fit.source)",
+        "est0 AS (SELECT lang, source, " + ", ".join(f"CAST(x_{f} AS DOUBLE) AS m_{i}" for i, f in enumerate(names)) + ", " + ", ".join(
+            (f"sqrt(pow(1.4826 * y_{names[i]}, 2) + {quality.FLOOR[names[i]] ** 2})" if i == j else "CAST(0 AS DOUBLE)") + f" AS l_{i}_{j}" for i, j in low) + " FROM mad)"]
+    sums = {"n": "count(*)"} | {f"s_{i}": f"sum({f})" for i, f in enumerate(names)} | {f"p_{i}_{j}": f"sum({names[i]} * {names[j]})" for i, j in low}
+    est_cols = [f"m_{i}" for i in range(d)] + [f"l_{i}_{j}" for i, j in low]
+    for k in range(quality.STEPS + 1):
+        sql.append(f"at{k} AS (SELECT fit.*, {', '.join(est_cols)} FROM fit JOIN est{k} e ON {same.format('fit', 'e')})")
+        sql.append(_steps(f"d{k}", f"at{k}", quality.distance_sql()))
+        sql.append(f"cell{k} AS (SELECT lang, source, {quality.CLASS_SQL} AS c, {', '.join(f'{e} AS {n}' for n, e in sums.items())} FROM d{k} GROUP BY ALL)")
+        sql.append(f"grown{k} AS (SELECT lang, source, c, n AS own, sum(n) OVER (PARTITION BY lang, source) AS all_n, {', '.join(f'sum({n}) OVER (PARTITION BY lang, source ORDER BY c) AS {n}' for n in sums)} FROM cell{k})")
+        sql.append(f"near{k} AS (SELECT * FROM grown{k} WHERE n - own < {quality.KEEP} * all_n AND n >= {quality.KEEP} * all_n AND all_n >= {quality.LEAST})")
+        if k < quality.STEPS:
+            centre = {f"m_{i}": f"CAST(s_{i} AS DOUBLE) / n" for i in range(d)} | {f"w_{i}": f"CAST({quality.FLOOR[f] ** 2} AS DOUBLE)" for i, f in enumerate(names)}
+            cov = {f"c_{i}_{j}": f"CAST(p_{i}_{j} AS DOUBLE) / n - m_{i} * m_{j}" + (f" + {quality.FLOOR[names[i]] ** 2}" if i == j else "") for i, j in low}
+            sql.append(_steps(f"est{k + 1}", f"near{k}", [centre, cov, *quality.factor_sql()]))
+    last = quality.STEPS
+    sql.append(f"found AS (SELECT e.lang, e.source, {', '.join(est_cols)}, pow(2.0, CAST(x.c + 1 AS DOUBLE) / {quality.CLASSES} - 10) / {quality.MIDDLE} AS scale FROM near{last} x JOIN est{last} e ON {same.format('x', 'e')})")
+    sql.append(f"placed AS (SELECT v.*, {', '.join(est_cols)}, scale FROM v LEFT JOIN found ON {same.format('v', 'found')})")
+    sql.append(_steps("judged", "placed", quality.distance_sql()))
+    return "WITH " + ",\n".join(sql) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d2 / greatest(scale, 1.0) > {quality.CUT}, false) AS kept FROM judged"""
+
+
+ORACLES["op4_quality_rules"] = _quality_sql()

@@ -116,7 +116,7 @@ def _spans(kind: str, text: Column, threshold: float) -> Column:
 
     def scored(s: Column) -> Column:
         near = F.lower(F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - NEAR, F.lit(0))))
-        score = F.least(F.lit(1.0), F.lit(SCORE[kind]) + F.when(near.rlike(rf"\b(?:{WORDS[kind]})"), CONTEXT).otherwise(0.0))
+        score = F.least(F.lit(1.0), F.lit(SCORE[kind]) + F.when(near.rlike(rf"(?:^|[^a-z0-9])(?:{WORDS[kind]})"), CONTEXT).otherwise(0.0))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
     spans = F.transform(sure, scored)
