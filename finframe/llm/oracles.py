@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finframe.llm import pii, quality
+from finframe.llm import chat, pii, quality
 
 ORACLES: dict[str, str] = {}
 
@@ -163,3 +163,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLES["op4_quality_rules"] = _quality_sql()
+
+_MARKS = len(chat.TURN) + 1 + len(chat.END)
+ORACLES["op5_chat_windows"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i, len(regexp_extract_all(text, '{chat.WORD_OR_SIGN}')) + {chat.MARK_TOKENS} AS tokens,
+        {_MARKS} + len(role) + len(regexp_replace(text, '([<\\[]\\\\*)({chat.CONTROL})', '\\1\\\\\\2', 'g')) AS chars FROM t),
+p AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) AS BIGINT) AS upto FROM n),
+f AS (SELECT *, upto - tokens AS begins FROM p),
+sys AS (SELECT conv_id, tokens AS sys_tokens, chars AS sys_chars FROM f WHERE begins = 0 AND role = 'system'),
+c AS (SELECT f.*, sys_chars, greatest(1, ({chat.BUDGET} - {chat.HISTORY_TOKENS} - least(coalesce(sys_tokens, 0), {chat.BUDGET // 2})) // 2) AS cell FROM f LEFT JOIN sys USING (conv_id)),
+g AS (SELECT *, 2 * (begins // cell) + CASE WHEN tokens > cell THEN 1 ELSE 0 END AS span FROM c),
+w AS (SELECT conv_id, span, min(begins) AS start, max(upto) AS stop, sum(chars) AS chars, any_value(sys_chars) AS sys_chars FROM g GROUP BY conv_id, span),
+old AS (SELECT g.conv_id, w.stop, g.chars, row_number() OVER (PARTITION BY g.conv_id, w.stop ORDER BY g.begins DESC) AS back
+        FROM g JOIN w ON w.conv_id = g.conv_id AND w.span = g.span WHERE w.stop - g.begins <= {chat.HISTORY_TOKENS} AND NOT (g.begins = 0 AND g.role = 'system')),
+h AS (SELECT conv_id, stop, sum(chars) AS chars FROM old WHERE back <= {chat.HISTORY_TURNS} GROUP BY conv_id, stop),
+shown AS (SELECT w.conv_id, sum({len(chat.BEGIN)} + w.chars + coalesce(h.chars, 0) + CASE WHEN start > 0 THEN coalesce(sys_chars, 0) ELSE 0 END) AS formatted_chars
+          FROM w LEFT JOIN h ON h.conv_id = w.conv_id AND h.stop = w.start GROUP BY w.conv_id),
+said AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM said JOIN shown USING (conv_id)
+"""
