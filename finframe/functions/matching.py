@@ -15,11 +15,13 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 # Frequent English words left out of the search index.
 STOP_WORDS = (
-    "a about after all also an and any are as at be because been but by can could did do does for from had has have he "
-    "her his how i if in into is it its just more most my no not now of on only or other our out over she so some such "
-    "than that the their them then there these they this those to too up very was we were what when where which who will "
-    "with would you your"
-).split()
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "but", "by",
+    "can", "could", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "his", "how", "i", "if",
+    "in", "into", "is", "it", "its", "just", "more", "most", "my", "no", "not", "now", "of", "on", "only", "or",
+    "other", "our", "out", "over", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then",
+    "there", "these", "they", "this", "those", "to", "too", "up", "very", "was", "we", "were", "what", "when",
+    "where", "which", "who", "will", "with", "would", "you", "your",
+)
 
 
 def literal_regex(pattern: str, whole_word: bool = True, anchor: str = "edge") -> str:

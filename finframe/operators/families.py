@@ -157,6 +157,16 @@ def unanswerable_event_cases(rates: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
+def news_cases(context: DataFrame) -> DataFrame:
+    """The best article of each query and the level of each series on its day; ``context`` comes from ``news_rate_context``."""
+    rows = context.where((F.col("rank") == 1) & (F.col("status") == OK))
+    return cases(
+        rows, said("FF-CROSS-news-", F.regexp_replace("query", " ", "_"), "-", KEY("series_key")),
+        said('Which article fits "', KEY("query"), '" best, and what was the level of ', KEY("series_key"), " on its day?"),
+        [said("Article ", KEY("article_id"), " of ", KEY(tx.DAY), "."), said("The level was ", level("target_pct"), ".")], ["articles", "rates"], "news_rate_context", "hard",
+    )
+
+
 def next_decision_cases(rates: DataFrame) -> DataFrame:
     """Whether the next decision will be a rise: only the record so far can be told."""
     by_day = Window.partitionBy("series_key").orderBy(F.col("effective_date").desc())

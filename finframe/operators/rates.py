@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finframe.functions.scalars import bp_to_pct
+from finframe.functions.scalars import bp_to_pct, day_span
 from finframe.operators.align import (
     DATE_OUTSIDE_COVERAGE,
     DATE_RANGE_INVALID,
@@ -138,7 +138,7 @@ def longest_hold(rates: DataFrame, kind: str = "any_change", n: int | None = 1)
             bp_to_pct(F.col("target_bp")).alias("rate_after_pct"),
         )
         .where(F.col("start_date").isNotNull())
-        .withColumn("gap_days", F.datediff("end_date", "start_date").cast("bigint"))
+        .withColumn("gap_days", day_span(F.col("start_date"), F.col("end_date")))
     )
     ranked = Window.partitionBy(KEY).orderBy(F.col("gap_days").desc(), "start_date")
     placed = gaps.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
@@ -159,7 +159,7 @@ def rate_cycles(rates: DataFrame, start: str | None = None, end: str | None = No
         F.max(DAY).alias("end_date"),
         F.min_by(F.col("target_bp") - F.col("change_bp"), F.col(DAY)).alias("before_bp"),
         F.max_by("target_bp", F.col(DAY)).alias("after_bp"),
-        F.datediff(F.max(DAY), F.min(DAY)).cast("bigint").alias("duration_days"),
+        day_span(F.min(DAY), F.max(DAY)).alias("duration_days"),
     )
 
 

@@ -34,6 +34,8 @@ PREAMBLES = (
 # Date layouts of the absence check.
 DAY_FORMATS = ("yyyy-MM-dd", "d MMM yyyy", "d MMMM yyyy")
 MONTH_FORMATS = ("MMM yyyy", "MMMM yyyy", "yyyy-MM")
+# Fixed value: how a tolerance note states a margin.
+TOLERANCE_NOTE = r"[+\-]/?-?\s*(\d+(?:\.\d+)?)"
 
 SLOW_SECONDS, TIMEOUT_SECONDS = 60.0, 300.0
 
@@ -190,7 +192,7 @@ def provably_absent(fact: Column, answer: Column, note: Column) -> Column:
     day_forms = [F.date_format(day, f) for f in ("yyyy-MM-dd", "dd MMM yyyy", "dd MMMM yyyy")]
     month_forms = [F.date_format(month, f) for f in ("MMM yyyy", "MMMM yyyy", "yyyy-MM")]
     target = _stated_number(text)
-    stated = F.regexp_extract(F.coalesce(note, F.lit("")), r"[+\-]/?-?\s*(\d+(?:\.\d+)?)", 1).try_cast("double")
+    stated = F.regexp_extract(F.coalesce(note, F.lit("")), TOLERANCE_NOTE, 1).try_cast("double")
     base = F.greatest(F.lit(0.02), F.abs(target) * 0.005)
     tolerance = F.greatest(base, F.coalesce(stated, F.lit(0.0)))
     near = F.exists(_numbers(answer, GROUPED_NUMBER), lambda n: F.abs(n - target) <= tolerance)

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from finframe.operators import corpus, families as op
+from finframe.functions.matching import STOP_WORDS
+from finframe.operators import corpus, cross, families as op, text
+from finframe.plans import cross_queries as cq
 from finframe.plans import price_queries as pq
 from finframe.plans import sqlviews as v
 from finframe.plans.base import query, with_views
@@ -129,6 +131,15 @@ _family(
       FROM articles HAVING count(*) FILTER (regexp_matches(all_text, {_match(p)})) = 0""" for p in _NONE),
     lambda s, d: op.unanswerable_article_cases(views.articles(s, d), _NONE))
 
+# "the" is a stop word, so the context falls back to the first whole-word match
+_family(
+    "news", cq.ONE + "," + v.ARTICLES,
+    f""", a AS (SELECT * FROM articles WHERE regexp_matches(all_text, {_match('the')}) ORDER BY publication_date, headline, article_id LIMIT 1),
+    q AS (SELECT a.article_id, a.publication_date, series_key, {cq._FORCE.format(day='publication_date')} AS day FROM a, keys)
+    SELECT 'FF-CROSS-news-the-' || q.series_key AS id, 'Which article fits "the" best, and what was the level of ' || q.series_key || ' on its day?' AS prompt,
+    'Article ' || article_id || ' of ' || publication_date || '. The level was ' || {_level('target_bp / 100.0')} || '.' AS answer FROM q JOIN r1 ON r1.series_key = q.series_key AND effective_date = day""",
+    lambda s, d: op.news_cases(cross.news_rate_context(views.articles(s, d), text.build_index(views.articles(s, d), False, STOP_WORDS), views.rates_for_articles(s, d), ["the"], 1)))
+
 
 @query(
     "qa_records",

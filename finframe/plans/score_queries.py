@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from finframe.functions.scalars import preview
 from finframe.operators import scoring as op
 from finframe.plans import sqlviews as v
 from finframe.plans.base import query, with_views
@@ -224,3 +225,22 @@ def _(spark, d):
         F.when(number % 2 == 0, F.col("id")).alias("id"), F.when(number % 2 == 1, F.col("prompt")).alias("question"), F.col("target").alias("answer"), number.cast("double").alias("seconds")
     )
     return op.answers_for_cases(qa.select("id", F.col("prompt").alias("question")), recorded).select("id", "answer", "seconds")
+
+
+# predictions for records that do not exist keep their row
+@query(
+    "score_unmatched",
+    with_views(
+        v.PREDICTIONS,
+        """, asked AS (SELECT label, CASE WHEN seconds % 7 = 0 THEN 'gone-' || id ELSE id END AS id FROM predictions)
+        SELECT label, asked.id, task, qa.id IS NOT NULL AS matched FROM asked LEFT JOIN qa ON qa.id = asked.id""",
+    ),
+)
+def _(spark, d):
+    moved = views.predictions(spark, d).withColumn("id", F.when(F.col("seconds") % 7 == 0, F.concat(F.lit("gone-"), "id")).otherwise(F.col("id")))
+    return op.with_records(moved, views.qa(spark, d), keep_unmatched=True).select("label", "id", "task", F.col("target").isNotNull().alias("matched"))
+
+
+@query("answer_previews", with_views(v.QA, """ SELECT id, CASE WHEN length(target) <= 200 THEN target ELSE left(target, 200) || '... (truncated, ' || length(target) || ' chars total)' END AS shown FROM qa"""))
+def _(spark, d):
+    return views.qa(spark, d).select("id", preview(F.col("target"), 200).alias("shown"))
