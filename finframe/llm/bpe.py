@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finframe.llm.tokens import ODD_SPACE, ByteIds, byte_ids
+from finframe.llm.tokens import ODD_SPACE, ByteIds, byte_ids, portions
 
 AVERAGE = 256  # bytes of a chunk; a power of two
-MEMO_CHUNKS = 60_000  # of one generation
+MEMO_CHUNKS = 30_000  # of one generation
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 
@@ -144,7 +144,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text") -> D
     """The rows with ``ids``, the tokeniser's ids of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, text_col):
             found = coder(tokenizer_path).encode_all([t or "" for t in batch.column(text_col).to_pylist()])
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(i) // 4 for i in found], out=offsets[1:])
@@ -161,7 +161,7 @@ def decode(rows: DataFrame, tokenizer_path: str, *, ids_col: str = "ids") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_ids(tokenizer_path).bytes_of
-        for batch in batches:
+        for batch in portions(batches, ids_col):
             lists = batch.column(ids_col)
             flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
             ends = lists.offsets.to_numpy()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finframe.llm.columns import without
-from finframe.llm.tokens import word_ids
+from finframe.llm.tokens import portions, word_ids
 from finframe.session import checkpointed
 
 CAPACITY = 4096
@@ -50,7 +50,7 @@ def token_pieces(
         encode = word_ids(tokenizer_path).encode_all
         end = int(separator).to_bytes(4, "little")
         step = 4 * capacity
-        for batch in batches:
+        for batch in portions(batches, "_text"):
             keys, piece, start, length, ids = [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for key, flat in zip(batch.column(0).to_pylist(), encode(texts), strict=True):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finframe.llm.tokens import byte_ids
+from finframe.llm.tokens import byte_ids, portions
 from finframe.session import checkpointed
 
 SEPARATOR = 50256
@@ -45,7 +45,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer_path: str, *, text_col: s
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_ids(tokenizer_path, False).encode_all
-        for batch in batches:
+        for batch in portions(batches, text_col):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             ids = [np.frombuffer(i, np.uint32).astype(">u2").tobytes() + bytes([high]) for i in encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])

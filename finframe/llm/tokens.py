@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -33,7 +36,18 @@ ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 SPACED = re.compile(r"\s*\S+|\s+")
 
 LONG_PART = 500  # characters; longer parts go to ``tokenizers``, whose merges stay fast on long words
-MEMO_PARTS = 600_000  # entries a Python worker remembers between batches
+MEMO_PARTS = 300_000  # entries a Python worker remembers between batches
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows that hold about ``most`` bytes of text, or list items, in a column."""
+    for batch in batches:
+        lists = batch.column(column)
+        sizes = pc.list_value_length(lists) if pa.types.is_list(lists.type) else pc.binary_length(lists)
+        portion = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+        edges = np.flatnonzero(np.r_[True, portion[1:] != portion[:-1], True]) if batch.num_rows else []
+        for at, end in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(at, end - at)
 
 
 def _byte_of_char() -> dict[str, int]:
