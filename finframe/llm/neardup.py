@@ -4,17 +4,21 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles.
 Documents of equal sets are one class from the start; only one of each class is
 compared.  Signatures of ``BANDS * ROWS`` minima are cut into bands; documents
 that share a band are candidates.  A pair of similarity s shares one with
-probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.99998 at 0.75.
+probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.9999 at 0.75 and 0.00005
+at 0.1, so that passages many documents share bring few candidates.
 
 Candidates are never expanded to all pairs of a bucket.  First each member of a
 bucket meets one leader (of its part of the bucket, then the parts' leaders meet
 the bucket's).  Pairs compare their signatures batch by batch; after each batch
 a pair goes on only while the posterior probability of a similarity of at least
 ``THRESHOLD`` (uniform prior, m of n minima equal) stays above ``MISS``.
-Survivors are checked on their full sets, and links give components.  Then only
-pairs that share a bucket across different components are left; they are
-compared the same way.  So every candidate pair ends up in one component or is
-compared itself, and no link is lost but by the two stated probabilities.
+Survivors are checked on their full sets, and links give components.  What is
+left are pairs that share a bucket across components.  Blocks of a bucket's rows
+meet in groups that compare signatures the same way and hand on, per group, one
+row with the pairs that stay possible; the sets of their rows then join the
+group, and only links that join components come out.  So every candidate pair
+ends up in one component or is compared itself, no link is lost but by the two
+stated probabilities, and pairs are no rows of their own.
 
 Components come from alternating star contraction on the links.  Neither links
 nor labels leave the executors.
@@ -44,11 +48,12 @@ from pyspark.sql import functions as F
 from finframe.session import checkpointed
 
 SHINGLE = 5
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 48, 6
 THRESHOLD = 75  # percent
-MISS = 1e-6
-BATCH = 40  # minima compared before each look at the posterior
+MISS = 1e-5
+BATCH = 48  # minima compared before each look at the posterior
 PARTS = 64  # leaders of one bucket
+BLOCK = 512  # rows of a bucket that are compared with each other in one group
 
 _RANDOM = np.random.default_rng(20240229)
 _MULTIPLY = (_RANDOM.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))
@@ -134,35 +139,121 @@ def _pruned(looks: dict[int, int]):
     return prune
 
 
-def _legs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to their sets, which must be those of the first reading."""
-    last, held = None, b""
     for batch in batches:
         sets = []
-        for row, text, key in zip(*(batch.column(c).to_pylist() for c in ("_row", "_text", "_key")), strict=True):
-            if row != last:
-                shingles = shingle_set(text.encode())
-                if set_key(shingles) != key:
-                    raise ValueError("the documents changed between two readings; write them as a table first")
-                last, held = row, shingles.tobytes()
-            sets.append(held)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sets, pa.binary())], ["a", "b", "_set"])
+        for text, key in zip(batch.column("_text").to_pylist(), batch.column("_key").to_pylist(), strict=True):
+            shingles = shingle_set(text.encode())
+            if set_key(shingles) != key:
+                raise ValueError("the documents changed between two readings; write them as a table first")
+            sets.append(shingles.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sets, pa.binary())], ["_row", "_set"])
+
+
+def _similar(one: bytes, other: bytes, threshold: int) -> bool:
+    x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= threshold * (len(x) + len(y) - common)
 
 
 def _verified(threshold: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (one, other) in enumerate(batch.column("_sets").to_pylist()):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= threshold * (len(x) + len(y) - common):
-                    keep.append(i)
+            keep = [i for i, (one, other) in enumerate(batch.column("_sets").to_pylist()) if _similar(one, other, threshold)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return verify
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of a partition sorted by a key, cut between keys only, a few thousand rows at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        if not len(keys):
+            continue
+        first_of_last = int(np.searchsorted(keys, keys[-1]))
+        if first_of_last or (held and held[-1].column(key)[-1].as_py() != keys[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, first_of_last)])
+            held = []
+        held.append(batch.slice(first_of_last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compared(looks: dict[int, int], threshold: int):
+    """Groups of rows that share a band, to the pairs of them that stay possible, one row per group.
+
+    A pair that shares several bands is taken up in the first of them only.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "_group"):
+            col = {n: table.column(n).to_numpy() for n in ("_group", "_band", "_row", "n", "comp", "_side")}
+            sig = np.frombuffer(b"".join(table.column("_sig").to_pylist()), np.uint16).reshape(len(table), -1)
+            edges = np.flatnonzero(np.r_[True, col["_group"][1:] != col["_group"][:-1], True])
+            out = {n: [] for n in ("rows", "comps", "i", "j")}
+            for at, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                pairs = [p for k in range(at, end - 1) if len(p := _possible(col, sig, k, end, looks, threshold))]
+                if not pairs:
+                    continue
+                left, right = np.concatenate(pairs).T
+                used, places = np.unique(np.r_[left, right], return_inverse=True)
+                out["rows"].append(col["_row"][used])
+                out["comps"].append(col["comp"][used])
+                out["i"].append(places[: len(left)])
+                out["j"].append(places[len(left) :])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out["rows"], pa.list_(pa.int64())), pa.array(out["comps"], pa.list_(pa.int64())), pa.array(out["i"], pa.list_(pa.int32())), pa.array(out["j"], pa.list_(pa.int32()))],
+                ["rows", "comps", "i", "j"])
+
+    return compare
+
+
+def _possible(col: dict, sig: np.ndarray, k: int, end: int, looks: dict[int, int], threshold: int) -> np.ndarray:
+    """Pairs of row k with later rows of its group that no look at the posterior rules out."""
+    other = np.arange(k + 1, end)
+    n, m = col["n"][k], col["n"][other]
+    fit = (col["comp"][other] != col["comp"][k]) & (100 * np.minimum(n, m) >= threshold * np.maximum(n, m))
+    fit &= (col["_side"][other] < 0) | (col["_side"][other] != col["_side"][k])
+    other, equal, at = other[fit], 0, 0
+    for upto, fewest in looks.items():
+        equal = equal + (sig[other, at:upto] == sig[k, at:upto]).sum(1)
+        going = equal >= fewest
+        other, equal, at = other[going], equal[going], upto
+    if len(other):
+        same = (sig[other] == sig[k]).reshape(len(other), BANDS, ROWS).all(2)
+        other = other[same.argmax(1) == col["_band"][k]]
+    return np.stack([np.full(len(other), k), other], 1)
+
+
+def _joined_up(threshold: int):
+    """Links that join components, among the possible pairs of each group; pairs already joined are not checked."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for g in batch.to_pylist():
+                sets = {s["_pos"]: s["_set"] for s in g["_sets"]}
+                up = {c: c for c in g["comps"]}
+
+                def top(c, up=up):
+                    while up[c] != c:
+                        c = up[c]
+                    return c
+
+                for i, j in zip(g["i"], g["j"], strict=True):
+                    x, y = top(g["comps"][i]), top(g["comps"][j])
+                    if x != y and _similar(sets[i], sets[j], threshold):
+                        up[max(x, y)] = min(x, y)
+                        a.append(g["rows"][i])
+                        b.append(g["rows"][j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return join
+
+
 def _similar_size(n: Column, m: Column, threshold: int) -> Column:
     """Whether sets of these sizes can be similar enough."""
     return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
@@ -172,7 +263,7 @@ def _banded(signed: DataFrame, *carry: str) -> DataFrame:
     width = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     rows = signed.select("_row", "n", *carry, "_sig", band.alias("_band"))
-    return rows.select("_row", "n", *carry, F.xxhash64("_band", F.substring("_sig", F.col("_band") * width + 1, width)).alias("_bucket"))
+    return rows.withColumn("_bucket", F.xxhash64("_band", F.substring("_sig", F.col("_band") * width + 1, width)))
 
 
 def _leader_pairs(bands: DataFrame, threshold: int) -> DataFrame:
@@ -192,13 +283,36 @@ def _survivors(pairs: DataFrame, signed: DataFrame, looks: dict[int, int]) -> Da
     return checkpointed(both.select("a", "b", "_sig_a", "_sig_b").mapInArrow(_pruned(looks), "a long, b long"))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    legs = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_row")).join(texts, "_row")
-    sets = legs.select("_row", "_text", "_key", "a", "b").mapInArrow(_legs, "a long, b long, _set binary")
-    met = sets.groupBy("a", "b").agg(F.collect_list("_set").alias("_sets"))  # two sets each
+def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    legs = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_row")).join(sets, "_row")
+    met = legs.groupBy("a", "b").agg(F.collect_list("_set").alias("_sets"))  # two sets each
     return checkpointed(met.mapInArrow(_verified(threshold), "a long, b long"))
 
 
+def _links_across(labelled: DataFrame, sets: DataFrame, looks: dict[int, int], threshold: int) -> DataFrame:
+    """Links between components among all rows that share a bucket.
+
+    A bucket is cut into blocks of at most about ``BLOCK`` rows, and every block
+    meets itself and every other block of the bucket in a group of its own.
+    """
+    bands = _banded(labelled, "comp").select("_bucket", "_band", "_row", "n", "comp")
+    mixed = bands.groupBy("_bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_c")).where("_lo < _hi")
+    rows = bands.join(mixed.select("_bucket", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks")), "_bucket")
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select(
+        F.xxhash64("_bucket", F.least("_block", "_with"), F.greatest("_block", "_with")).alias("_group"),
+        # two blocks are compared with each other only, one block with itself
+        F.when(F.col("_block") == F.col("_with"), -1).otherwise(F.col("_block")).alias("_side"), "_band", "_row", "n", "comp")
+    # signatures join what is left only
+    rows = rows.join(labelled.select("_row", "_sig"), "_row").repartition("_group").sortWithinPartitions("_group")
+    groups = rows.mapInArrow(_compared(looks, threshold), "rows array<long>, comps array<long>, i array<int>, j array<int>")
+    groups = checkpointed(groups.withColumn("_g", F.monotonically_increasing_id()))
+    legs = groups.select("_g", F.posexplode("rows").alias("_pos", "_row")).join(sets, "_row")
+    held = legs.groupBy("_g").agg(F.collect_list(F.struct("_pos", "_set")).alias("_sets"))  # two blocks at most
+    return checkpointed(groups.join(held, "_g").mapInArrow(_joined_up(threshold), "a long, b long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``_row, comp``: the smallest row of the component, for every row that has a link (a, b)."""
     now = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -237,19 +351,11 @@ def near_duplicates(
     chosen = checkpointed(signed.where(F.col("_key").isNotNull()).join(classes.select(F.col("_rep").alias("_row")), "_row", "left_semi").select("_row", "n", "_key", "_sig"))
     pairs = checkpointed(_leader_pairs(_banded(chosen), threshold))
     active = checkpointed(chosen.join(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "_row", "left_semi"))
-    texts = checkpointed(texts.join(active.select("_row", "_key"), "_row").select("_row", "_key", "_text"))
-    links = _links(_survivors(pairs, active, looks), texts, threshold)
-
-    # what shares a bucket across components and has not been compared
-    labelled = active.join(components(links), "_row", "left").withColumn("comp", F.coalesce("comp", "_row"))
-    bands = _banded(labelled, "comp")
-    mixed = bands.groupBy("_bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("_bucket")
-    bands = checkpointed(bands.join(mixed, "_bucket", "left_semi"))
-    left, right = (bands.withColumnsRenamed({"_row": r, "n": f"n_{r}", "comp": f"comp_{r}"}) for r in ("a", "b"))
-    rest = left.join(right, "_bucket").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _similar_size(F.col("n_a"), F.col("n_b"), threshold))
-    rest = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _links(_survivors(rest, active, looks), texts, threshold)
-    comps = checkpointed(components(links.unionByName(more)))
+    known = texts.join(active.select("_row", "_key"), "_row").select("_row", "_key", "_text")
+    sets = checkpointed(known.mapInArrow(_sets, "_row long, _set binary"))
+    links = _links(_survivors(pairs, active, looks), sets, threshold)
+    labelled = checkpointed(active.join(components(links), "_row", "left").withColumn("comp", F.coalesce("comp", "_row")))
+    comps = checkpointed(components(links.unionByName(_links_across(labelled, sets, looks, threshold))))
 
     # rows to classes to components, and the smallest id back to every row
     reps = classes.join(comps.withColumnRenamed("_row", "_rep"), "_rep", "left").select("_key", F.coalesce("comp", "_rep").alias("_comp"))

@@ -122,9 +122,28 @@ def test_links_through_a_chain_and_far_leaders(spark):
     assert got(df, "doc_id", "n_shingles", "component_id", "kept") == brute.groups(list(enumerate(texts)))
 
 
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    # copies with more and more words replaced: many share buckets, few link
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(120), i % 18):
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    want = brute.groups(list(enumerate(texts)))
+    assert len({c for _, c, _ in want.values()}) > 10
+    for block in (512, 8):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        assert got(neardup.near_duplicates(docs(spark, texts)), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_posterior_bound():
-    looks = neardup.fewest_matches(75, 1e-6, 200, 40)
-    assert list(looks) == [40, 80, 120, 160, 200]
+    looks = neardup.fewest_matches(75, 1e-5, 200, 40)
+    assert list(looks) == [40, 80, 120, 160, 200] and list(neardup.fewest_matches())[-1] == neardup.BANDS * neardup.ROWS
     shares = [m / n for n, m in looks.items()]
     assert shares == sorted(shares) and shares[-1] < 0.75
 
