@@ -9,7 +9,7 @@ at 0.1, so that passages many documents share bring few candidates.
 
 Candidates are never expanded to all pairs of a bucket.  First each member of a
 bucket meets one leader (of its part of the bucket, then the parts' leaders meet
-the bucket's).  Pairs compare their signatures batch by batch; after each batch
+the bucket's); a leader of too different a size only leaves the member to later.  Pairs compare their signatures batch by batch; after each batch
 a pair goes on only while the posterior probability of a similarity of at least
 ``THRESHOLD`` (uniform prior, m of n minima equal) stays above ``MISS``.
 Survivors are checked on their full sets, and links give components.  What is
@@ -267,14 +267,17 @@ def _banded(signed: DataFrame, *carry: str) -> DataFrame:
 
 
 def _leader_pairs(bands: DataFrame, threshold: int) -> DataFrame:
-    """Distinct (a, b), a < b: members with the leader of their part, and those leaders with their bucket's."""
+    """Distinct (a, b, fit), a < b: members with the leader of their part, and those leaders with their bucket's.
+
+    Every row that shares a bucket is in a pair; ``fit`` tells whether the sizes allow a link.
+    """
     part = F.pmod(F.xxhash64("_row"), F.lit(PARTS)).cast("int")
     own = F.struct("_row", "n")
     rows = bands.withColumn("_lead", F.first(own).over(Window.partitionBy("_bucket", part).orderBy("_row")))
     heads = rows.where(F.col("_row") == F.col("_lead._row")).withColumn("_lead", F.first(own).over(Window.partitionBy("_bucket").orderBy("_row")))
     met = rows.unionByName(heads).where(F.col("_row") != F.col("_lead._row"))
-    met = met.where(_similar_size(F.col("n"), F.col("_lead.n"), threshold))
-    return met.select(F.col("_lead._row").alias("a"), F.col("_row").alias("b")).distinct()
+    fit = _similar_size(F.col("n"), F.col("_lead.n"), threshold)
+    return met.select(F.col("_lead._row").alias("a"), F.col("_row").alias("b"), fit.alias("fit")).distinct()
 
 
 def _survivors(pairs: DataFrame, signed: DataFrame, looks: dict[int, int]) -> DataFrame:
@@ -349,8 +352,10 @@ def near_duplicates(
 
     classes = checkpointed(signed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_row").alias("_rep")))
     chosen = checkpointed(signed.where(F.col("_key").isNotNull()).join(classes.select(F.col("_rep").alias("_row")), "_row", "left_semi").select("_row", "n", "_key", "_sig"))
-    pairs = checkpointed(_leader_pairs(_banded(chosen), threshold))
-    active = checkpointed(chosen.join(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "_row", "left_semi"))
+    met = checkpointed(_leader_pairs(_banded(chosen), threshold))
+    pairs = met.where("fit").select("a", "b")
+    # a leader of another size must not keep a row from the other rows of its bucket
+    active = checkpointed(chosen.join(met.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "_row", "left_semi"))
     known = texts.join(active.select("_row", "_key"), "_row").select("_row", "_key", "_text")
     sets = checkpointed(known.mapInArrow(_sets, "_row long, _set binary"))
     links = _links(_survivors(pairs, active, looks), sets, threshold)

@@ -141,6 +141,17 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
         assert got(neardup.near_duplicates(docs(spark, texts)), "doc_id", "n_shingles", "component_id", "kept") == want
 
 
+def test_near_copies_in_buckets_led_by_longer_texts(spark):
+    # a passage and its near copy come after longer texts that quote it, so every bucket they share is led by a text of another size
+    words = [f"p{i}" for i in range(204)]
+    quotes = [" ".join([*(f"q{i}_{j}" for j in range(30)), *words, *(f"q{i}_{j}" for j in range(30, 72))]) for i in range(400)]
+    texts = [*quotes, " ".join(words), " ".join([*words[:100], "changed", *words[101:]])]
+    want = brute.groups(list(enumerate(texts)))
+    assert want[400][1] == want[401][1] == 400
+    df = neardup.near_duplicates(docs(spark, texts).coalesce(1).orderBy("doc_id"))
+    assert got(df, "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_posterior_bound():
     looks = neardup.fewest_matches(75, 1e-5, 200, 40)
     assert list(looks) == [40, 80, 120, 160, 200] and list(neardup.fewest_matches())[-1] == neardup.BANDS * neardup.ROWS
