@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles.
 Documents of equal sets are one class from the start; only one of each class is
 compared.  Signatures of ``BANDS * ROWS`` minima are cut into bands; documents
 that share a band are candidates.  A pair of similarity s shares one with
-probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.9999 at 0.75 and 0.00005
+probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.99998 at 0.75 and 0.0004
 at 0.1, so that passages many documents share bring few candidates.
 
 Candidates are never expanded to all pairs of a bucket.  First each member of a
@@ -15,7 +15,7 @@ a pair goes on only while the posterior probability of a similarity of at least
 Survivors are checked on their full sets, and links give components.  What is
 left are pairs that share a bucket across components.  Blocks of a bucket's rows
 meet in groups that compare signatures the same way and hand on, per group, one
-row with the pairs that stay possible; the sets of their rows then join the
+row with the pairs that stay possible; the texts of their rows then join the
 group, and only links that join components come out.  So every candidate pair
 ends up in one component or is compared itself, no link is lost but by the two
 stated probabilities, and pairs are no rows of their own.
@@ -48,10 +48,10 @@ from pyspark.sql import functions as F
 from finframe.session import checkpointed
 
 SHINGLE = 5
-BANDS, ROWS = 48, 6
+BANDS, ROWS = 40, 5
 THRESHOLD = 75  # percent
-MISS = 1e-5
-BATCH = 48  # minima compared before each look at the posterior
+MISS = 1e-6
+BATCH = 40  # minima compared before each look at the posterior
 PARTS = 64  # leaders of one bucket
 BLOCK = 512  # rows of a bucket that are compared with each other in one group
 
@@ -139,20 +139,15 @@ def _pruned(looks: dict[int, int]):
     return prune
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to their sets, which must be those of the first reading."""
-    for batch in batches:
-        sets = []
-        for text, key in zip(batch.column("_text").to_pylist(), batch.column("_key").to_pylist(), strict=True):
-            shingles = shingle_set(text.encode())
-            if set_key(shingles) != key:
-                raise ValueError("the documents changed between two readings; write them as a table first")
-            sets.append(shingles.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sets, pa.binary())], ["_row", "_set"])
+def _checked_set(text: str, key: bytes) -> np.ndarray:
+    """The set of a text, which must be that of the first reading."""
+    shingles = shingle_set(text.encode())
+    if set_key(shingles) != key:
+        raise ValueError("the documents changed between two readings; write them as a table first")
+    return shingles
 
 
-def _similar(one: bytes, other: bytes, threshold: int) -> bool:
-    x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= threshold * (len(x) + len(y) - common)
 
@@ -160,7 +155,7 @@ def _similar(one: bytes, other: bytes, threshold: int) -> bool:
 def _verified(threshold: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [i for i, (one, other) in enumerate(batch.column("_sets").to_pylist()) if _similar(one, other, threshold)]
+            keep = [i for i, pair in enumerate(batch.column("_texts").to_pylist()) if _similar(*(_checked_set(t["_text"], t["_key"]) for t in pair), threshold)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return verify
@@ -235,7 +230,14 @@ def _joined_up(threshold: int):
         for batch in batches:
             a, b = [], []
             for g in batch.to_pylist():
-                sets = {s["_pos"]: s["_set"] for s in g["_sets"]}
+                texts = {t["_pos"]: t for t in g["_texts"]}
+                sets: dict[int, np.ndarray] = {}
+
+                def shingles(k, texts=texts, sets=sets):
+                    if k not in sets:
+                        sets[k] = _checked_set(texts[k]["_text"], texts[k]["_key"])
+                    return sets[k]
+
                 up = {c: c for c in g["comps"]}
 
                 def top(c, up=up):
@@ -245,7 +247,7 @@ def _joined_up(threshold: int):
 
                 for i, j in zip(g["i"], g["j"], strict=True):
                     x, y = top(g["comps"][i]), top(g["comps"][j])
-                    if x != y and _similar(sets[i], sets[j], threshold):
+                    if x != y and _similar(shingles(i), shingles(j), threshold):
                         up[max(x, y)] = min(x, y)
                         a.append(g["rows"][i])
                         b.append(g["rows"][j])
@@ -286,33 +288,33 @@ def _survivors(pairs: DataFrame, signed: DataFrame, looks: dict[int, int]) -> Da
     return checkpointed(both.select("a", "b", "_sig_a", "_sig_b").mapInArrow(_pruned(looks), "a long, b long"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    legs = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_row")).join(sets, "_row")
-    met = legs.groupBy("a", "b").agg(F.collect_list("_set").alias("_sets"))  # two sets each
+def _links(pairs: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
+    legs = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_row")).join(known, "_row")
+    met = legs.groupBy("a", "b").agg(F.collect_list(F.struct("_key", "_text")).alias("_texts"))  # two texts each
     return checkpointed(met.mapInArrow(_verified(threshold), "a long, b long"))
 
 
-def _links_across(labelled: DataFrame, sets: DataFrame, looks: dict[int, int], threshold: int) -> DataFrame:
+def _links_across(labelled: DataFrame, known: DataFrame, looks: dict[int, int], threshold: int) -> DataFrame:
     """Links between components among all rows that share a bucket.
 
     A bucket is cut into blocks of at most about ``BLOCK`` rows, and every block
     meets itself and every other block of the bucket in a group of its own.
     """
-    bands = _banded(labelled, "comp").select("_bucket", "_band", "_row", "n", "comp")
+    bands = _banded(labelled, "comp")
     mixed = bands.groupBy("_bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_c")).where("_lo < _hi")
-    rows = bands.join(mixed.select("_bucket", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks")), "_bucket")
+    rows = bands.select("_bucket", "_band", "_row").join(mixed.select("_bucket", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks")), "_bucket")
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select(
         F.xxhash64("_bucket", F.least("_block", "_with"), F.greatest("_block", "_with")).alias("_group"),
         # two blocks are compared with each other only, one block with itself
-        F.when(F.col("_block") == F.col("_with"), -1).otherwise(F.col("_block")).alias("_side"), "_band", "_row", "n", "comp")
-    # signatures join what is left only
-    rows = rows.join(labelled.select("_row", "_sig"), "_row").repartition("_group").sortWithinPartitions("_group")
+        F.when(F.col("_block") == F.col("_with"), -1).otherwise(F.col("_block")).alias("_side"), "_band", "_row")
+    # sizes, components and signatures join what is left only
+    rows = rows.join(labelled.select("_row", "n", "comp", "_sig"), "_row").repartition("_group").sortWithinPartitions("_group")
     groups = rows.mapInArrow(_compared(looks, threshold), "rows array<long>, comps array<long>, i array<int>, j array<int>")
     groups = checkpointed(groups.withColumn("_g", F.monotonically_increasing_id()))
-    legs = groups.select("_g", F.posexplode("rows").alias("_pos", "_row")).join(sets, "_row")
-    held = legs.groupBy("_g").agg(F.collect_list(F.struct("_pos", "_set")).alias("_sets"))  # two blocks at most
+    legs = groups.select("_g", F.posexplode("rows").alias("_pos", "_row")).join(known, "_row")
+    held = legs.groupBy("_g").agg(F.collect_list(F.struct("_pos", "_key", "_text")).alias("_texts"))  # two blocks at most
     return checkpointed(groups.join(held, "_g").mapInArrow(_joined_up(threshold), "a long, b long"))
 
 
@@ -355,12 +357,13 @@ def near_duplicates(
     met = checkpointed(_leader_pairs(_banded(chosen), threshold))
     pairs = met.where("fit").select("a", "b")
     # a leader of another size must not keep a row from the other rows of its bucket
-    active = checkpointed(chosen.join(met.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "_row", "left_semi"))
-    known = texts.join(active.select("_row", "_key"), "_row").select("_row", "_key", "_text")
-    sets = checkpointed(known.mapInArrow(_sets, "_row long, _set binary"))
-    links = _links(_survivors(pairs, active, looks), sets, threshold)
-    labelled = checkpointed(active.join(components(links), "_row", "left").withColumn("comp", F.coalesce("comp", "_row")))
-    comps = checkpointed(components(links.unionByName(_links_across(labelled, sets, looks, threshold))))
+    active = checkpointed(met.select(F.explode(F.array("a", "b")).alias("_row")).distinct().join(chosen.select("_row", "_key"), "_row"))
+    # texts take less room than their sets, which are worked out where they are compared
+    known = checkpointed(texts.join(active, "_row").select("_row", "_key", "_text"))
+    links = _links(_survivors(pairs, chosen, looks), known, threshold)
+    labelled = chosen.join(active.select("_row"), "_row", "left_semi").join(components(links), "_row", "left")
+    labelled = checkpointed(labelled.withColumn("comp", F.coalesce("comp", "_row")))
+    comps = checkpointed(components(links.unionByName(_links_across(labelled, known, looks, threshold))))
 
     # rows to classes to components, and the smallest id back to every row
     reps = classes.join(comps.withColumnRenamed("_row", "_rep"), "_rep", "left").select("_key", F.coalesce("comp", "_rep").alias("_comp"))
