@@ -10,6 +10,10 @@ the matches themselves add up to positions in code points.  Patterns hold no
 nested repetition that Java would run by recursion, and every run is entered at
 its first character only, so long runs cost no square of their length.
 
+An account number ends where its country's does, whatever capitals or digits
+follow.  One of a country without a listed length, as long as it can be, is cut
+at its blanks until the checksum holds.
+
 Defined results: a null text has no spans; an empty one neither.  Repeated rows
 are judged each.  Other columns are kept, but for those that clash with ``spans``
 or begin with an underscore.
@@ -28,6 +32,16 @@ KINDS = BASE + ADDED
 THRESHOLD = 0.6
 NEAR = 48  # code points before a span in which context words count
 
+#: Length of an account number with country and check digits, by country, as the IBAN registry lists them.
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 33: "LC RU",
+}
+LISTED = "|".join(IBAN_LENGTH.values()).replace(" ", "|")
+_EXACT = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTH.items())
+
 LOCAL = r"A-Za-z0-9._%+-"
 #: The pattern of each kind; the card's runs over a text whose blanks and hyphens stand between digits only.
 PATTERN = {
@@ -35,7 +49,8 @@ PATTERN = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9][0-9\x20-]{12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # the country's own length first; what is of no listed length ends before a number that is
+    "iban": rf"(?<![A-Za-z0-9])(?:{_EXACT}|[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_EXACT}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
 }
 #: What a text must hold for the pattern to be tried at all.
@@ -73,6 +88,15 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(add(r, c))) == 1
 
 
+def account(m: Column) -> Column:
+    """The account number at the start of a proposed span: all of it, or of unlisted countries the longest part up to a blank that fits; null if none does."""
+    words = F.split(m, " ")
+    shorter = F.when(m.rlike(f"^(?:{LISTED})"), F.array(m)).otherwise(
+        F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, 1, n), " ")))
+    bare = lambda p: F.replace(p, F.lit(" "), F.lit(""))
+    return F.get(F.filter(shorter, lambda p: (F.length(bare(p)) >= 15) & mod97(bare(p))), F.lit(0))
+
+
 def _confirmed(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
@@ -82,7 +106,7 @@ def _confirmed(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        return mod97(F.replace(m, F.lit(" "), F.lit("")))
+        return m.isNotNull()  # cut and checked by ``account``
     return F.lit(True)
 
 
@@ -112,7 +136,11 @@ def _spans(kind: str, text: Column, threshold: float) -> Column:
         return F.struct(F.coalesce(end, start).alias("at"), F.when(p["hit"].isNull(), done["out"]).otherwise(F.concat(done["out"], one)).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
-    sure = F.filter(F.aggregate(found, begin, place, lambda d: d["out"]), lambda s: _confirmed(kind, s["hit"]))
+    placed = F.aggregate(found, begin, place, lambda d: d["out"])
+    if kind == "iban":
+        placed = F.transform(placed, lambda s: F.struct(s["start"].alias("start"), account(s["hit"]).alias("hit")))
+        placed = F.transform(placed, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["hit"])).alias("end"), s["hit"].alias("hit")))
+    sure = F.filter(placed, lambda s: _confirmed(kind, s["hit"]))
 
     def scored(s: Column) -> Column:
         near = F.lower(F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - NEAR, F.lit(0))))

@@ -276,6 +276,17 @@ def test_personal_data_patterns(spark):
     assert pii.find(empty(spark)).count() == 0
 
 
+def test_account_numbers_before_capitals_and_numbers(spark):
+    want = {
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": [(5, 32)], "DE89370400440532013000 2024": [(0, 22)], "GB82WEST12345698765432 OK": [(0, 22)],
+        "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 FR14 2004 1010 0505 0001 3M02 606 X": [(0, 27), (28, 55), (56, 89)],
+        "REF AB12 KONTO NR DE89370400440532013000": [(18, 40)], "DE88370400440532013000 2024": [], "DE89370400440532013000X": [],
+        "XX57 1234 5678 9012 345 THEN": [(0, 23)], "NO93 8601 1117 947 A": [(0, 18)],
+    }
+    rows = pii.find(docs(spark, list(want))).collect()
+    assert {list(want)[r.doc_id]: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in rows} == want
+
+
 # token counts
 
 def test_documents_across_blocks(spark):
