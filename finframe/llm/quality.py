@@ -19,6 +19,8 @@ Defined results: a null text has no words and counts 0.  ``base_failed`` rows ar
 not kept and take no part in the estimates.  A group with fewer than ``LEAST``
 such rows has no estimate and rejects none.  A floor under each coordinate's
 deviation keeps a coordinate without spread from rejecting what barely differs.
+Where half of a group or more is junk of one kind, the estimate cannot tell
+which is junk.
 Null languages and sources are groups of their own.  Repeated rows are judged
 each.  Columns of the input are kept, but for those that clash with the outputs
 or the steps (``f_word``, ``m_0`` ...) or begin with an underscore.
@@ -53,9 +55,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FLOOR = {"f_word": 40.0, "f_symbol": 250.0, "f_capital": 200.0, "f_mark": 250.0, "f_repeat": 400.0}
 #: Documents are clean within this squared distance: about eleven deviations, as clean statistics have long tails.
 CUT = 120.0
-KEEP = 0.75
-#: 0.75 quantile of chi-squared with five degrees: brings the estimate to the scale of normal data.
-MIDDLE = 6.626
+#: Half of the rows, so that junk of nearly half of a group does not enter the estimate.
+KEEP = 0.5
+#: 0.5 quantile of chi-squared with five degrees: brings the estimate to the scale of normal data.
+MIDDLE = 4.351
 STEPS = 5
 LEAST = 50
 CLASSES = 64  # per doubling of the squared distance

@@ -189,6 +189,26 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(kept[i] == (i < 1000,) for i in kept)
 
 
+def judged_groups(spark, sizes):
+    """Rejected ids of groups of (clean, junk) rows, junk ids from 1000 on in each group."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for g, (clean, junk) in enumerate(sizes):
+        rows += [(i, " ".join(word() for _ in range(rng.randint(60, 400))), "en", f"s{g}") for i in range(clean)]
+        rows += [(1000 + i, " ".join(word() + "$#%" for _ in range(100)), "en", f"s{g}") for i in range(junk)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    gone = {(r.source, r.doc_id) for r in quality.judge(df).where("not kept").collect()}
+    return gone, {(source, i) for i, _, _, source in rows if i >= 1000}
+
+
+def test_junk_of_up_to_two_fifths_goes(spark):
+    gone, junk = judged_groups(spark, [(74, 26), (60, 40)])
+    assert gone == junk
+
+
 # chat
 
 def turns(spark, rows):
