@@ -16,11 +16,12 @@ the shuffle as one row per task and class.  The estimates are one row per group;
 the join back lets Spark choose by their size.
 
 Defined results: a null text has no words and counts 0.  ``base_failed`` rows are
-not kept and take no part in the estimates.  A group with fewer than ``LEAST``
-such rows has no estimate and rejects none.  A floor under each coordinate's
-deviation keeps a coordinate without spread from rejecting what barely differs.
-Where half of a group or more is junk of one kind, the estimate cannot tell
-which is junk.
+not kept and take no part in the estimates.  A group of
+any size from ``LEAST`` has its own estimate.  A floor under each coordinate's
+deviation keeps a coordinate without spread, as in small groups, from rejecting
+what barely differs.  Where half of a group or more is junk of one kind (so a
+group of one or two rows with one of junk), the estimate cannot tell which is
+junk.
 Null languages and sources are groups of their own.  Repeated rows are judged
 each.  Columns of the input are kept, but for those that clash with the outputs
 or the steps (``f_word``, ``m_0`` ...) or begin with an underscore.
@@ -60,7 +61,7 @@ KEEP = 0.5
 #: 0.5 quantile of chi-squared with five degrees: brings the estimate to the scale of normal data.
 MIDDLE = 4.351
 STEPS = 5
-LEAST = 50
+LEAST = 1
 CLASSES = 64  # per doubling of the squared distance
 
 

@@ -209,6 +209,11 @@ def test_junk_of_up_to_two_fifths_goes(spark):
     assert gone == junk
 
 
+def test_junk_in_small_groups_goes(spark):
+    gone, junk = judged_groups(spark, [(8, 2), (9, 1), (3, 1), (10, 0)])
+    assert gone == junk
+
+
 # chat
 
 def turns(spark, rows):
