@@ -30,6 +30,36 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+ORACLES["op13_nearest"] = """
+WITH v AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+# every phrase of one to five words counted by itself
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) r(k)),
+f AS (SELECT lang, k, ws[i:i + k - 1] AS words, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE f >= 100),
+parts AS (SELECT lang, words, f AS a, cut, words[1:cut] AS head, words[cut + 1:] AS tail FROM c, range(1, 5) t(cut) WHERE cut < k),
+cut AS (
+  SELECT p.lang, p.words, p.a, p.cut, h.f AS l, t.f AS r, n.n, ((1000::HUGEINT * p.a * n.n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM parts p JOIN n ON n.lang = p.lang JOIN f h ON h.lang = p.lang AND h.words = p.head JOIN f t ON t.lang = p.lang AND t.words = p.tail),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
+sub AS (SELECT c.lang, c.f, words[i:i + m - 1] AS part FROM c, range(2, 5) s(m), range(1, 5) t(i) WHERE m < c.k AND i + m - 1 <= c.k),
+held AS (SELECT lang, part, max(f) AS f FROM sub GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN held ON held.lang = low.lang AND held.part = low.words WHERE coalesce(held.f, 0) * 100 < 100 * a),
+named AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM named
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 # sequential insertion into the ring, one key after the other
 ORACLES["op1_ring_shards"] = """
 WITH RECURSIVE

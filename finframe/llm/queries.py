@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finframe.llm import bpe, chat, neardup, packing, pii, quality, shards, tokencount, topk, urls
+from finframe.llm import bpe, chat, collocations, crosstok, nearest, neardup, packing, pii, quality, shards, tokencount, topk, urls
 from finframe.llm.oracles import ORACLES  # noqa: F401 - part of this module's interface
 from finframe.session import scratch_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 8
 
 
@@ -104,7 +105,21 @@ def op10_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = crosstok.link_figures(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), top=2000)
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ring_shards, op2_pack_sequences, op3_near_duplicates, op4_quality_rules, op5_chat_windows,
     op6_url_rules, op7_top_k, op8_personal_data, op9_token_counts, op10_encode_decode,
+    op11_token_links, op12_collocations, op13_nearest,
 )}

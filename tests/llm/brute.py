@@ -1,6 +1,7 @@
-"""The contracts of the ten queries, computed row by row in plain Python."""
+"""The contracts of the numbered queries, computed row by row in plain Python."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -133,3 +134,117 @@ def encoded(docs):
         ids = tok.encode(text or "", add_special_tokens=False).ids
         out[doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
     return out
+
+
+def byte_values():
+    """{character: byte} as byte-level vocabularies write bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def both_tokens(text, byte_tok, byte_names, of_char, pieces):
+    """[(id, bytes)] of A and of B; two empty lists where they do not spell the space and the text."""
+    if not text:
+        return [], []
+    a = [(i, bytes(of_char[c] for c in byte_names[i])) for i in byte_tok.encode(" " + text, add_special_tokens=False).ids]
+    b = []
+    for i in pieces.encode(text):
+        piece = pieces.id_to_piece(i)
+        b.append((i, bytes([int(piece[3:5], 16)]) if pieces.is_byte(i) else piece.replace("▁", " ").encode()))
+    raw = (" " + text).encode()
+    return (a, b) if b"".join(x for _, x in a) == raw == b"".join(x for _, x in b) else ([], [])
+
+
+def spans(tokens):
+    at, out = 0, []
+    for i, raw in tokens:
+        out.append((i, at, at + len(raw)))
+        at += len(raw)
+    return out
+
+
+def token_links(docs):
+    """{doc_id: (n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_group_links)}, every pair of tokens compared nearby."""
+    import sentencepiece
+
+    tok = tokenizer("byte_bpe_50k.json")
+    tok.encode_special_tokens = True
+    names = {i: t for t, i in tok.get_vocab(with_added_tokens=False).items()}
+    of_char, model = byte_values(), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    found, counts = {}, Counter()
+    for doc_id, text in docs:
+        a, b = (spans(t) for t in both_tokens(text, tok, names, of_char, model))
+        ends = sorted({e for *_, e in a} & {e for *_, e in b})
+        groups, ia, ib = [], 0, 0
+        for end in ends:
+            left, right = [], []
+            while ia < len(a) and a[ia][2] <= end:
+                left.append(a[ia][0])
+                ia += 1
+            while ib < len(b) and b[ib][2] <= end:
+                right.append(b[ib][0])
+                ib += 1
+            groups.append((left, right))
+        links, first = [], 0
+        for i, s, e in a:
+            while first < len(b) and b[first][2] <= s:
+                first += 1
+            k = first
+            while k < len(b) and b[k][1] < e:
+                links.append((i, b[k][0]))
+                k += 1
+        counts.update(links)
+        said = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        found[doc_id] = (len(a), len(b), len(groups), links, sha(said) if said else "", sum(len(x) * len(y) for x, y in groups))
+    top = {}
+    for (_, b), n in counts.items():
+        top[b] = max(top.get(b, 0), n)
+    return {
+        d: (na, nb, ng, len(links), sum(counts[p] == top[p[1]] for p in links), sum(counts[p] for p in links), digest, shared)
+        for d, (na, nb, ng, links, digest, shared) in found.items()
+    }
+
+
+def collocations(rows, least=100, top=2000, absorb=100):
+    """{lang: [(phrase, a, l, r, n, score)]}; rows are (lang, text), every phrase counted by itself."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            f.update((lang, tuple(words[i : i + k])) for k in range(1, 6) for i in range(len(words) - k + 1))
+    often = {p: c for p, c in f.items() if c >= least and len(p[1]) > 1}
+    longer = Counter()
+    for (lang, w), c in often.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                longer[lang, w[i : i + k]] = max(longer[lang, w[i : i + k]], c)
+    out = {}
+    for (lang, w), a in often.items():
+        if 100 * longer[lang, w] >= absorb * a:
+            continue
+        score, k = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w)))
+        out.setdefault(lang, []).append((" ".join(w), a, f[lang, w[:k]], f[lang, w[k:]], n[lang], score))
+    return {lang: sorted(v, key=lambda r: (-r[5], -r[1], r[0].encode()))[:top] for lang, v in out.items()}
+
+
+def nearest(vectors, asked, k=20):
+    """{(query_id, rank): (vec_id, score)}; vectors are (id, list)."""
+    good = [(i, v) for i, v in vectors if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for at, (i, q) in enumerate(good):
+        if i is None or not asked(i):
+            continue
+        scored = []
+        for other, (j, c) in enumerate(good):
+            if other != at:
+                total = 0.0
+                for x, y in zip(q, c, strict=False):
+                    total += x * y
+                scored.append((-total, j is None, j or 0, other))
+        for rank, (score, none, j, _) in enumerate(sorted(scored)[:k], 1):
+            out.setdefault((i, rank), []).append((None if none else j, -score))
+    return {key: sorted(v, key=str) for key, v in out.items()}

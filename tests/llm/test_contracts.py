@@ -102,3 +102,20 @@ def test_token_counts(spark, docs):
 def test_encode_decode(spark, docs):
     got = by_id(Q.op10_encode_decode(spark, SF_DIR), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert got == brute.encoded(docs)
+
+
+def test_token_links(spark, docs):
+    got = by_id(Q.op11_token_links(spark, SF_DIR), "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
+    assert got == brute.token_links(docs)
+
+
+def test_collocations(spark):
+    got = defaultdict(list)
+    for r in sorted(Q.op12_collocations(spark, SF_DIR).collect(), key=lambda r: (r.lang, r["rank"])):
+        got[r.lang].append((r.phrase, r.a, r.l, r.r, r.n, r.score))
+    assert got == brute.collocations(rows("documents", "lang", "text"))
+
+
+def test_nearest(spark):
+    got = {(r.query_id, r["rank"]): [(r.vec_id, r.score)] for r in Q.op13_nearest(spark, SF_DIR).collect()}
+    assert got == brute.nearest(rows("embeddings", "vec_id", "embedding"), lambda i: i % 20 == 0)
