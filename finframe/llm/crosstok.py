@@ -8,8 +8,8 @@ an overlap link with the number of bytes in common.  Byte offsets where an A and
 a B token both end cut the tokens into groups; tokens by groups are incidence
 matrices too, and their product gives the links between tokens of one group.
 
-Counts over the corpus need every link once.  A task takes documents a few
-megabytes at a time, as a block, and keeps of a block only: its distinct id
+Counts over the corpus need every link once.  A task takes documents a
+megabyte at a time, as a block, and keeps of a block only: its distinct id
 pairs with their counts, and a matrix of documents by distinct pairs.  The pairs
 of all blocks are summed, the sums go back to the blocks that hold them, and
 each block's matrix times its vector of sums gives its documents' figures.  So
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from finframe.llm.tokens import byte_ids, portions
 from finframe.session import checkpointed
 
-BLOCK = 4 << 20  # bytes of text of a block
+BLOCK = 1 << 20  # bytes of text of a block
 PART = 1 << 16  # characters of a text that B encodes at a time
 ROWS = 1 << 18  # rows of a product worked out at a time
 _MARK = "▁"
