@@ -7,11 +7,11 @@ of exactly one window, so ``ROLLUP (lang, w1, .., w5)`` sums them to the counts
 of all shorter phrases, of single words, and of all words of a language.
 
 Windows are also padded where a phrase can no longer be frequent: a phrase that
-occurs ``least`` times has no pair of neighbours that occurs less often.  A first
-pass counts the hashes of neighbouring words and folds the frequent ones into a
-bitmap of fixed size (8 MB at any size of the corpus).  Two pairs that share a
-hash or a bit only leave a window longer than need be, so counts stay exact.  A
-window that ends early still counts for its first words.
+occurs ``least`` times holds no pair and no three neighbours that occur less
+often.  Two passes (pairs, then threes of frequent pairs) count hashes and fold
+the frequent ones into a bitmap of fixed size (8 MB at any size of the corpus).
+What shares a hash or a bit only leaves a window longer than need be, so counts
+stay exact.  A window that ends early still counts for its first words.
 
 Words are runs of anything but space and tab, with A-Z lower-cased, inside
 pieces cut at ``[.,;:!?\x0A-\x0D]``.  A phrase cut after its first k words has
@@ -27,6 +27,9 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import batched
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,12 @@ from finframe.session import checkpointed
 
 LONGEST = 5  # words of a phrase
 LEAST = 100  # occurrences of a candidate
-PORTION = 4 << 20  # bytes of text a task counts at a time
-PAIR_BITS = 26  # the bitmap of frequent pairs holds 2**26 bits
+PORTION = 2 << 20  # bytes of text a task counts at a time
+HELD = 300_000  # distinct windows a task adds up before it hands them on
+ROWS = 20_000  # windows of one Arrow batch
+COUNTED = (2, 3)  # words of the phrases whose hashes a pass counts
+KEY_BITS = 40  # of a hash; the three bytes that are left out cost nothing in a shuffle
+MAP_BITS = 26  # the bitmap of what is frequent holds 2**26 bits
 PAGE = 1 << 15  # bits of one row of a bitmap
 SALTS = 64  # parts of a language that are ranked alone first
 UNKNOWN = "und"
@@ -55,7 +62,7 @@ class _Hashes(dict):
     """Words to odd 64-bit hashes and the full stop to 0, with a bounded number remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = found = 0 if word == _STOP else xxhash.xxh3_64_intdigest(word) | 1
         return found
@@ -72,14 +79,34 @@ def segments(texts: list[str], size: int) -> Iterator[list[bytes]]:
         at = end + 1
 
 
-def pair_keys(words: list[bytes], lang: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word with its follower, and whether the two stand in one piece."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    stop = h == 0
-    within = np.r_[~(stop[:-1] | stop[1:]), np.zeros(min(1, len(h)), bool)]
-    key = (h * _LEFT) ^ (np.roll(h, -1) * _RIGHT) ^ np.uint64(xxhash.xxh3_64_intdigest(lang))
+def _spread(key: np.ndarray) -> np.ndarray:
     key = (key ^ (key >> np.uint64(32))) * _LEFT
-    return key ^ (key >> np.uint64(29)), within
+    return (key ^ (key >> np.uint64(29))) & np.uint64((1 << KEY_BITS) - 1)
+
+
+def _ahead(values: np.ndarray, by: int) -> np.ndarray:
+    """What stands ``by`` places further on, and nothing past the end."""
+    return np.r_[values[by:], np.zeros(min(by, len(values)), values.dtype)]
+
+
+def _known(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key & np.uint64(8 * len(bitmap) - 1)
+    return ((bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def phrases_of(words: list[bytes], lang: str, hashes: _Hashes, upto: int, bitmap: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of 1 to ``upto`` words at each word: their hash, and whether they stand in one piece.
+
+    With a bitmap, a phrase must also consist of pairs, or longer ones, that may be frequent.
+    """
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    key, shorter = h * _LEFT ^ np.uint64(xxhash.xxh3_64_intdigest(lang)), h != 0
+    out = [(key, shorter)]
+    for k in range(1, upto):
+        able, key = shorter & _ahead(shorter, 1), _spread(key * _LEFT ^ _ahead(h, k) * _RIGHT)
+        out.append((key, able))
+        shorter = able if bitmap is None else able & _known(bitmap, key)
+    return out
 
 
 def _by_lang(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[bytes]]]:
@@ -92,55 +119,63 @@ def _by_lang(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str
                 yield lang, words
 
 
-def _pairs(size: int):
+def _keys(length: int, bitmap: np.ndarray | None, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for lang, words in _by_lang(batches, size):
-            key, within = pair_keys(words, lang, hashes)
-            keys, n = np.unique(key[within].view(np.int64), return_counts=True)
+            key, able = phrases_of(words, lang, hashes, length, bitmap)[-1]
+            keys, n = np.unique(key[able].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["_key", "_n"])
 
     return run
 
 
-def frequent_pairs(docs: DataFrame, least: int, size: int = PORTION, bits: int = PAIR_BITS) -> np.ndarray:
-    """A bitmap with the bits of all pairs of neighbours that occur ``least`` times, and of few others."""
-    counted = docs.mapInArrow(_pairs(size), "_key long, _n long").groupBy("_key").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least)
-    at = F.col("_key").bitwiseAND(F.lit((1 << bits) - 1))
-    pages = counted.select(F.floor(at / PAGE).cast("int").alias("_page"), (at % PAGE).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+def frequent(docs: DataFrame, least: int, longest: int, size: int, bits: int) -> np.ndarray:
+    """A bitmap with the bits of all phrases of two or three words that occur ``least`` times, and of few others."""
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for page in pages.collect():  # at most 2**bits / PAGE rows of 4 KB, whatever the number of pairs
-        out[page["_page"] * PAGE // 8 : (page["_page"] + 1) * PAGE // 8] = np.frombuffer(page["_bits"], np.uint8)
+    for length in COUNTED:
+        if length > longest:
+            break
+        counted = docs.mapInArrow(_keys(length, out if out.any() else None, size), "_key long, _n long").groupBy("_key").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least)
+        at = F.col("_key").bitwiseAND(F.lit((1 << bits) - 1))
+        pages = counted.select(F.floor(at / PAGE).cast("int").alias("_page"), (at % PAGE).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+        found = pages.collect()  # at most 2**bits / PAGE rows of 4 KB, whatever the number of phrases
+        if not found:
+            break  # what is longer is not frequent either
+        for page in found:
+            out[page["_page"] * PAGE // 8 : (page["_page"] + 1) * PAGE // 8] |= np.frombuffer(page["_bits"], np.uint8)
     return out
 
 
 def _windows(bitmap: np.ndarray, longest: int, size: int):
-    mask = np.uint64(8 * len(bitmap) - 1)
+    upto = min(longest, COUNTED[-1])
+
+    def lengths(words: list[bytes], lang: str, hashes: _Hashes) -> np.ndarray:
+        """How many words a window holds from each place on; none at the end of a piece."""
+        (_, word), *longer = phrases_of(words, lang, hashes, upto, bitmap)
+        often = [word, *[able & _known(bitmap, key) for key, able in longer]]
+        length, going = np.sum(often, axis=0, dtype=np.int64), often[-1]
+        for k in range(1, longest - upto + 1):
+            going = going & _ahead(often[-1], k)
+            length += going
+        return length
+
+    def rows(windows: Counter) -> Iterator[pa.RecordBatch]:
+        for some in batched(windows.items(), ROWS):
+            columns = [pa.array([w[k].decode() if len(w) > k else None for (_, w), _ in some], pa.string()) for k in range(longest)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang for (lang, _), _ in some], pa.string()), *columns, pa.array([n for _, n in some], pa.int64())], ["lang", *_leads(longest), "_n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, windows = _Hashes(), Counter()
         for lang, words in _by_lang(batches, size):
-            key, within = pair_keys(words, lang, hashes)
-            at = key & mask
-            going = within & ((bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            # how many words a window holds: one more than pairs in a row that may be frequent
-            length = np.ones(len(words), np.int64)
-            after, run_on = np.r_[going, np.zeros(longest, bool)], going.copy()
-            for step in range(1, longest):
-                length += run_on
-                run_on &= after[step : step + len(words)]
-            counts = Counter(words)
-            del counts[_STOP]
-            longer = np.flatnonzero(length > 1)
-            alone = Counter(map(words.__getitem__, longer.tolist()))
-            windows: Counter = Counter()
-            for k in range(2, longest + 1):
-                starts = np.flatnonzero(length == k).tolist()
-                windows.update(tuple(words[i : i + k]) for i in starts)
-            windows.update({(w,): n - alone[w] for w, n in counts.items() if n > alone[w]})
-            columns = [pa.array([w[k].decode() if len(w) > k else None for w in windows], pa.string()) for k in range(longest)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(windows), pa.string()), *columns, pa.array(list(windows.values()), pa.int64())], ["lang", *_leads(longest), "_n"])
+            length = lengths(words, lang, hashes)
+            for k in range(1, longest + 1):
+                windows.update((lang, tuple(words[i : i + k])) for i in np.flatnonzero(length == k).tolist())
+            if len(windows) > HELD:
+                yield from rows(windows)
+                windows = Counter()
+        yield from rows(windows)
 
     return run
 
@@ -149,19 +184,18 @@ def _leads(longest: int) -> list[str]:
     return [f"w{k}" for k in range(1, longest + 1)]
 
 
-def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, portion: int = PORTION) -> DataFrame:
+def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST,
+    portion: int = PORTION, bits: int = MAP_BITS) -> DataFrame:
     """``lang, words, f``: all phrases of 1 to ``longest`` words that occur ``least`` times, and all words of a language as the phrase of none."""
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("_lang"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    bitmap = frequent_pairs(source, least, portion)
+    bitmap = frequent(source, least, longest, portion, bits)
     leads = _leads(longest)
     schema = ", ".join(["lang string", *[f"{w} string" for w in leads], "_n long"])
-    windows = checkpointed(source.mapInArrow(_windows(bitmap, longest, portion), schema).groupBy("lang", *leads).agg(F.sum("_n").alias("_n")))
-    sums = windows.rollup("lang", *leads).agg(F.sum("_n").alias("f"), F.grouping_id().alias("_level"))
-    words = F.array_compact(F.array(*leads))
+    sums = source.mapInArrow(_windows(bitmap, longest, portion), schema).rollup("lang", *leads).agg(F.sum("_n").alias("f"), F.grouping_id().alias("_level"))
+    held = reduce(add, [F.col(w).isNotNull().cast("int") for w in leads])
     # a sum over the first k leads stands for a phrase where the k-th is a word and no padding
-    summed = F.lit(longest) - F.bit_count("_level")
-    whole = sums.where(F.col("lang").isNotNull()).where(F.size(words) == summed)
-    return whole.where((F.col("f") >= least) | (F.size(words) == 0)).select("lang", words.alias("words"), "f")
+    whole = sums.where(F.col("lang").isNotNull()).where(held == F.lit(longest) - F.bit_count("_level"))
+    return whole.where((F.col("f") >= least) | (held == 0)).select("lang", F.array_compact(F.array(*leads)).alias("words"), "f")
 
 
 def _text(words: Column) -> Column:

@@ -2,7 +2,8 @@
 
 import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
@@ -115,21 +116,16 @@ def test_collocations_of_random_texts(spark, seed, least, absorb):
     assert got == brute.collocations(made, least=least, top=50, absorb=absorb)
 
 
-def test_small_portions_and_a_full_bitmap_change_nothing(spark, monkeypatch):
+def test_small_portions_and_a_full_bitmap_change_nothing(spark):
     made = corpus(9, 80)
     df = spark.createDataFrame(made, "lang string, text string").repartition(3)
     want = {(lang, w): n for lang, w, n in _phrases(made, 3)}
     for portion, bits in ((40, 26), (1 << 20, 15)):
-        monkeypatch.setattr(collocations, "PAIR_BITS", bits)
-        got = {(r.lang, tuple(r.words)): r.f for r in collocations.phrase_counts(df, least=3, portion=portion).collect()}
+        got = {(r.lang, tuple(r.words)): r.f for r in collocations.phrase_counts(df, least=3, portion=portion, bits=bits).collect()}
         assert got == want
 
 
 def _phrases(made, least):
-    from collections import Counter
-
-    import re
-
     f, n = Counter(), Counter()
     for lang, text in made:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
