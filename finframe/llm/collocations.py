@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finframe.llm.bitmaps import gathered, known
 from finframe.llm.tokens import portions
 from finframe.session import checkpointed
 
@@ -48,7 +49,6 @@ ROWS = 20_000  # windows of one Arrow batch
 COUNTED = (2, 3)  # words of the phrases whose hashes a pass counts
 KEY_BITS = 40  # of a hash; the three bytes that are left out cost nothing in a shuffle
 MAP_BITS = 26  # the bitmap of what is frequent holds 2**26 bits
-PAGE = 1 << 15  # bits of one row of a bitmap
 SALTS = 64  # parts of a language that are ranked alone first
 UNKNOWN = "und"
 
@@ -89,11 +89,6 @@ def _ahead(values: np.ndarray, by: int) -> np.ndarray:
     return np.r_[values[by:], np.zeros(min(by, len(values)), values.dtype)]
 
 
-def _known(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key & np.uint64(8 * len(bitmap) - 1)
-    return ((bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
-
 def phrases_of(words: list[bytes], lang: str, hashes: _Hashes, upto: int, bitmap: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For phrases of 1 to ``upto`` words at each word: their hash, and whether they stand in one piece.
 
@@ -105,7 +100,7 @@ def phrases_of(words: list[bytes], lang: str, hashes: _Hashes, upto: int, bitmap
     for k in range(1, upto):
         able, key = shorter & _ahead(shorter, 1), _spread(key * _LEFT ^ _ahead(h, k) * _RIGHT)
         out.append((key, able))
-        shorter = able if bitmap is None else able & _known(bitmap, key)
+        shorter = able if bitmap is None else able & known(bitmap, key)
     return out
 
 
@@ -132,19 +127,16 @@ def _keys(length: int, bitmap: np.ndarray | None, size: int):
 
 def frequent(docs: DataFrame, least: int, longest: int, size: int, bits: int) -> np.ndarray:
     """A bitmap with the bits of all phrases of two or three words that occur ``least`` times, and of few others."""
-    out = np.zeros((1 << bits) // 8, np.uint8)
+    out = None
     for length in COUNTED:
         if length > longest:
             break
-        counted = docs.mapInArrow(_keys(length, out if out.any() else None, size), "_key long, _n long").groupBy("_key").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least)
-        at = F.col("_key").bitwiseAND(F.lit((1 << bits) - 1))
-        pages = counted.select(F.floor(at / PAGE).cast("int").alias("_page"), (at % PAGE).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-        found = pages.collect()  # at most 2**bits / PAGE rows of 4 KB, whatever the number of phrases
-        if not found:
+        counted = docs.mapInArrow(_keys(length, out, size), "_key long, _n long").groupBy("_key").agg(F.sum("_n").alias("_n"))
+        new = gathered(counted.where(F.col("_n") >= least), "_key", bits)
+        if not new.any():
             break  # what is longer is not frequent either
-        for page in found:
-            out[page["_page"] * PAGE // 8 : (page["_page"] + 1) * PAGE // 8] |= np.frombuffer(page["_bits"], np.uint8)
-    return out
+        out = new if out is None else out | new
+    return np.zeros((1 << bits) // 8, np.uint8) if out is None else out
 
 
 def _windows(bitmap: np.ndarray, longest: int, size: int):
@@ -153,7 +145,7 @@ def _windows(bitmap: np.ndarray, longest: int, size: int):
     def lengths(words: list[bytes], lang: str, hashes: _Hashes) -> np.ndarray:
         """How many words a window holds from each place on; none at the end of a piece."""
         (_, word), *longer = phrases_of(words, lang, hashes, upto, bitmap)
-        often = [word, *[able & _known(bitmap, key) for key, able in longer]]
+        often = [word, *[able & known(bitmap, key) for key, able in longer]]
         length, going = np.sum(often, axis=0, dtype=np.int64), often[-1]
         for k in range(1, longest - upto + 1):
             going = going & _ahead(often[-1], k)

@@ -7,14 +7,21 @@ that share a band are candidates.  A pair of similarity s shares one with
 probability ``1 - (1 - s**ROWS)**BANDS``, which is 0.99998 at 0.75 and 0.0004
 at 0.1, so that passages many documents share bring few candidates.
 
+Most buckets hold one class.  They are found by a bitmap of the hashes of the
+buckets that hold several, of fixed size; only rows with such a bucket go on,
+and only their texts are read again, found by hashes of their content.
+
 Candidates are never expanded to all pairs of a bucket.  First each member of a
 bucket meets one leader (of its part of the bucket, then the parts' leaders meet
-the bucket's); a leader of too different a size only leaves the member to later.  Pairs compare their signatures batch by batch; after each batch
-a pair goes on only while the posterior probability of a similarity of at least
-``THRESHOLD`` (uniform prior, m of n minima equal) stays above ``MISS``.
-Survivors are checked on their full sets, and links give components.  What is
-left are pairs that share a bucket across components.  Blocks of a bucket's rows
-meet in groups that compare signatures the same way and hand on, per group, one
+the bucket's); a leader of too different a size only leaves the member to later.
+Pairs compare their signatures batch by batch; after each batch a pair goes on
+only while the posterior probability of a similarity of at least ``THRESHOLD``
+(uniform prior, m of n minima equal) stays above ``MISS``.  Survivors are checked
+on their full sets, each leader's text beside its members', and links give
+components.  What is left are pairs that share a bucket across components.  In
+such a bucket the rows of its largest component meet the others, never
+themselves, and the others meet each other: blocks of bounded weight (rows and
+shingles) in groups that compare signatures the same way.  A group hands on one
 row with the pairs that stay possible; the texts of their rows then join the
 group, and only links that join components come out.  So every candidate pair
 ends up in one component or is compared itself, no link is lost but by the two
@@ -30,13 +37,13 @@ Defined results: a text without words, or null, has an empty set, is its own
 component and is kept.  ``component_id`` is the smallest id of the component
 (null ids only if it has no other).  Repeated rows are one class; each gets a
 row.  ``first_row`` is true for one row of each component.  The documents are
-read twice and must read the same each time, as files do; a change is an error.
+read twice, in any order; a text that is gone at the second time is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import comb
 
 import numpy as np
@@ -45,6 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finframe.llm.bitmaps import gathered, known, marked
 from finframe.session import checkpointed
 
 SHINGLE = 5
@@ -54,11 +62,16 @@ MISS = 1e-6
 BATCH = 40  # minima compared before each look at the posterior
 PARTS = 64  # leaders of one bucket
 BLOCK = 512  # rows of a bucket that are compared with each other in one group
+HEAVY = 1 << 20  # shingles of such rows
+MAP_BITS = 26  # of the bitmap of buckets
+KEY_BITS = 40  # of a bucket's hash that is counted
 
 _RANDOM = np.random.default_rng(20240229)
 _MULTIPLY = (_RANDOM.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))
 _ADD = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _WEIGHTS = _RANDOM.integers(1, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_WEIGHTS = _RANDOM.integers(1, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_SEEDS = _RANDOM.integers(1, 1 << 63, BANDS, np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -96,16 +109,49 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best.astype(np.uint16)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(carried: list[str]):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys, sigs = [], [], []
+            for text in batch.column("_text").cast(pa.binary()).to_pylist():
+                shingles = shingle_set(text)
+                sizes.append(len(shingles))
+                keys.append(set_key(shingles) if len(shingles) else None)
+                sigs.append(signature(shingles).tobytes() if len(shingles) else None)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in carried], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], [*carried, "n", "_key", "_sig"])
+
+    return sign
+
+
+def buckets(sigs: list[bytes]) -> np.ndarray:
+    """One row per signature with the hash of its values in every band."""
+    sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+    return _mixed((sig * _BAND_WEIGHTS).sum(2) + _BAND_SEEDS)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of every bucket with one of the class that is in it."""
     for batch in batches:
-        sizes, keys, sigs = [], [], []
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            shingles = shingle_set(text)
-            sizes.append(len(shingles))
-            keys.append(set_key(shingles) if len(shingles) else None)
-            sigs.append(signature(shingles).tobytes() if len(shingles) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["_id", "n", "_key", "_sig"])
+        held = buckets(batch.column("_sig").to_pylist()) & np.uint64((1 << KEY_BITS) - 1)
+        classes = np.frombuffer(b"".join(k[:6] + b"\0\0" for k in batch.column("_key").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(held.ravel().astype(np.int64)), pa.array(np.repeat(classes, BANDS))], ["_bucket", "_class"])
+
+
+def _sharing(bitmap: np.ndarray):
+    """Rows that have a bucket of the bitmap, with those buckets."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = buckets(batch.column("_sig").to_pylist())
+            shared = known(bitmap, held)
+            some = np.flatnonzero(shared.any(1))
+            lists = [held[i, shared[i]].view(np.int64) for i in some]
+            bands = [np.flatnonzero(shared[i]).astype(np.int32) for i in some]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.take(pa.array(some)).columns, pa.array(lists, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int32()))], [*batch.schema.names, "_buckets", "_bands"])
+
+    return share
 
 
 def fewest_matches(threshold: int = THRESHOLD, miss: float = MISS, total: int = BANDS * ROWS, batch: int = BATCH) -> dict[int, int]:
@@ -153,9 +199,19 @@ def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
 
 
 def _verified(threshold: int):
+    """Rows of a leader and its members, the leader first, to the pairs that are similar."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, shingles = None, None
         for batch in batches:
-            keep = [i for i, pair in enumerate(batch.column("_texts").to_pylist()) if _similar(*(_checked_set(t["_text"], t["_key"]) for t in pair), threshold)]
+            keep = []
+            for i, (a, b, key, text) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("a", "b", "_key", "_text")), strict=True)):
+                if a == b:
+                    leader, shingles = a, _checked_set(text, key)
+                elif a != leader:
+                    raise ValueError("a member without its leader")
+                elif _similar(shingles, _checked_set(text, key), threshold):
+                    keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return verify
@@ -261,13 +317,6 @@ def _similar_size(n: Column, m: Column, threshold: int) -> Column:
     return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
 
 
-def _banded(signed: DataFrame, *carry: str) -> DataFrame:
-    width = 2 * ROWS
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    rows = signed.select("_row", "n", *carry, "_sig", band.alias("_band"))
-    return rows.withColumn("_bucket", F.xxhash64("_band", F.substring("_sig", F.col("_band") * width + 1, width)))
-
-
 def _leader_pairs(bands: DataFrame, threshold: int) -> DataFrame:
     """Distinct (a, b, fit), a < b: members with the leader of their part, and those leaders with their bucket's.
 
@@ -288,32 +337,54 @@ def _survivors(pairs: DataFrame, signed: DataFrame, looks: dict[int, int]) -> Da
     return checkpointed(both.select("a", "b", "_sig_a", "_sig_b").mapInArrow(_pruned(looks), "a long, b long"))
 
 
-def _links(pairs: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
-    legs = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_row")).join(known, "_row")
-    met = legs.groupBy("a", "b").agg(F.collect_list(F.struct("_key", "_text")).alias("_texts"))  # two texts each
-    return checkpointed(met.mapInArrow(_verified(threshold), "a long, b long"))
+def _links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that are similar; a leader's text travels once to each part of its members."""
+    part = F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")
+    members = pairs.select("a", "b", part.alias("_part"))
+    leaders = members.select("a", F.col("a").alias("b"), "_part").distinct()
+    met = members.unionByName(leaders).join(texts.withColumnRenamed("_row", "b"), "b")
+    met = met.repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("a") != F.col("b"))
+    return checkpointed(met.select("a", "b", "_key", "_text").mapInArrow(_verified(threshold), "a long, b long"))
 
 
-def _links_across(labelled: DataFrame, known: DataFrame, looks: dict[int, int], threshold: int) -> DataFrame:
-    """Links between components among all rows that share a bucket.
+def _groups(bands: DataFrame) -> DataFrame:
+    """``_group, _side, _band, _row``: the rows that share a bucket across components, dealt to groups that compare them.
 
-    A bucket is cut into blocks of at most about ``BLOCK`` rows, and every block
-    meets itself and every other block of the bucket in a group of its own.
+    In a bucket the largest component's rows are cut into blocks, and so are the
+    others.  Every block of others meets every block of the largest component
+    (sides 0 and 1), itself (side -1, with the first of those) and every other
+    block of others.  Rows of one side are not compared, but for side -1.
     """
-    bands = _banded(labelled, "comp")
-    mixed = bands.groupBy("_bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_c")).where("_lo < _hi")
-    rows = bands.select("_bucket", "_band", "_row").join(mixed.select("_bucket", F.ceil(F.col("_c") / BLOCK).cast("int").alias("_blocks")), "_bucket")
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select(
-        F.xxhash64("_bucket", F.least("_block", "_with"), F.greatest("_block", "_with")).alias("_group"),
-        # two blocks are compared with each other only, one block with itself
-        F.when(F.col("_block") == F.col("_with"), -1).otherwise(F.col("_block")).alias("_side"), "_band", "_row")
+    weight = F.sum(F.lit(HEAVY // BLOCK) + F.least(F.col("n"), F.lit(HEAVY)))
+    sizes = bands.groupBy("_bucket", "comp").agg(weight.alias("_w"))
+    main = sizes.groupBy("_bucket").agg(F.max(F.struct("_w", "comp")).alias("_m"), F.sum("_w").alias("_all")).where(F.col("_all") > F.col("_m._w"))
+
+    def cut(weight):
+        return F.greatest(F.lit(1), F.ceil(weight / HEAVY)).cast("int")
+
+    main = main.select("_bucket", F.col("_m.comp").alias("_main"), cut(F.col("_m._w")).alias("_mains"), cut(F.col("_all") - F.col("_m._w")).alias("_others"))
+    rows = bands.join(main, "_bucket").withColumn("_own", F.col("comp") == F.col("_main"))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_row"), F.when(F.col("_own"), F.col("_mains")).otherwise(F.col("_others"))).cast("int"))
+    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.when(F.col("_own"), F.col("_others")).otherwise(F.col("_mains")) - 1)))
+    across = rows.select(
+        F.xxhash64("_bucket", F.when(F.col("_own"), F.col("_block")).otherwise(F.col("_with")), F.when(F.col("_own"), F.col("_with")).otherwise(F.col("_block"))).alias("_group"),
+        F.when(F.col("_own"), 0).when(F.col("_with") == 0, -1).otherwise(1).alias("_side"), "_band", "_row")
+    others = bands.join(main.where("_others > 1"), "_bucket").where(F.col("comp") != F.col("_main"))
+    others = others.withColumn("_block", F.pmod(F.xxhash64("_row"), F.col("_others")).cast("int"))
+    others = others.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_others") - 1))).where(F.col("_with") != F.col("_block"))
+    between = others.select(
+        F.xxhash64("_bucket", F.least("_block", "_with"), F.greatest("_block", "_with"), F.lit("others")).alias("_group"), F.col("_block").alias("_side"), "_band", "_row")
+    return across.unionByName(between)
+
+
+def _links_across(labelled: DataFrame, bands: DataFrame, texts: DataFrame, looks: dict[int, int], threshold: int) -> DataFrame:
+    """Links between components among all rows that share a bucket."""
+    rows = _groups(bands.join(labelled.select("_row", "comp"), "_row"))
     # sizes, components and signatures join what is left only
     rows = rows.join(labelled.select("_row", "n", "comp", "_sig"), "_row").repartition("_group").sortWithinPartitions("_group")
     groups = rows.mapInArrow(_compared(looks, threshold), "rows array<long>, comps array<long>, i array<int>, j array<int>")
     groups = checkpointed(groups.withColumn("_g", F.monotonically_increasing_id()))
-    legs = groups.select("_g", F.posexplode("rows").alias("_pos", "_row")).join(known, "_row")
+    legs = groups.select("_g", F.posexplode("rows").alias("_pos", "_row")).join(texts, "_row")
     held = legs.groupBy("_g").agg(F.collect_list(F.struct("_pos", "_key", "_text")).alias("_texts"))  # two blocks at most
     return checkpointed(groups.join(held, "_g").mapInArrow(_joined_up(threshold), "a long, b long"))
 
@@ -338,37 +409,58 @@ def components(links: DataFrame) -> DataFrame:
         now = checkpointed(small.distinct())
 
 
+def _content(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")]
+
+
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, miss: float = MISS,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), threshold: int = THRESHOLD, miss: float = MISS,
 ) -> DataFrame:
-    """``<id_col>, n_shingles, component_id, kept, first_row, _row`` for every document.
+    """``<id_col>, n_shingles, component_id, kept, first_row`` and the ``carry`` columns for every document.
 
-    ``kept`` holds for the component's smallest id, ``first_row`` for one of its
-    rows; ``_row`` numbers the rows as ``monotonically_increasing_id`` does.
+    ``kept`` holds for the component's smallest id, ``first_row`` for one of its rows.
     """
     looks = fewest_matches(threshold, miss)
-    source = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
-    kind = source.schema["_id"].dataType.simpleString()
-    signed = checkpointed(source.mapInArrow(_sign, f"_id {kind}, n long, _key binary, _sig binary").withColumn("_row", F.monotonically_increasing_id()))
-    texts = source.withColumn("_row", F.monotonically_increasing_id()).select("_row", "_text")
-
-    classes = checkpointed(signed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_row").alias("_rep")))
-    chosen = checkpointed(signed.where(F.col("_key").isNotNull()).join(classes.select(F.col("_rep").alias("_row")), "_row", "left_semi").select("_row", "n", "_key", "_sig"))
-    met = checkpointed(_leader_pairs(_banded(chosen), threshold))
-    pairs = met.where("fit").select("a", "b")
+    text, names = F.col(text_col), [f"_c{i}" for i in range(len(carry))]
+    source = docs.select(text.alias("_text"), F.col(id_col).alias("_id"), *_content(text), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
+    carried = ["_id", "_h1", "_h2", *names]
+    kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in carried)
+    signed = source.mapInArrow(_sign(carried), f"{kinds}, n long, _key binary, _sig binary")
+    signed = checkpointed(signed.withColumn("_row", F.monotonically_increasing_id()))
+    worded = signed.where(F.col("_key").isNotNull())
+    classes = checkpointed(worded.groupBy("_key").agg(F.min("_row").alias("_rep")))
+
+    # rows that share a bucket with another class, one of each class
+    held = worded.select("_key", "_sig").mapInArrow(_counted, "_bucket long, _class long").groupBy("_bucket").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi"))
+    bitmap = gathered(held.where("_lo < _hi"), "_bucket", MAP_BITS)
+    kept = "_row long, n long, _key binary, _sig binary, _h1 long, _h2 long"
+    sharing = worded.select("_row", "n", "_key", "_sig", "_h1", "_h2").mapInArrow(_sharing(bitmap), f"{kept}, _buckets array<long>, _bands array<int>")
+    chosen = checkpointed(sharing.join(classes.select(F.col("_rep").alias("_row")), "_row", "left_semi"))
+    bands = chosen.select("_row", "n", F.inline(F.arrays_zip(F.col("_buckets").alias("_bucket"), F.col("_bands").alias("_band"))))
+    met = checkpointed(_leader_pairs(bands, threshold))
     # a leader of another size must not keep a row from the other rows of its bucket
-    active = checkpointed(met.select(F.explode(F.array("a", "b")).alias("_row")).distinct().join(chosen.select("_row", "_key"), "_row"))
-    # texts take less room than their sets, which are worked out where they are compared
-    known = checkpointed(texts.join(active, "_row").select("_row", "_key", "_text"))
-    links = _links(_survivors(pairs, chosen, looks), known, threshold)
-    labelled = chosen.join(active.select("_row"), "_row", "left_semi").join(components(links), "_row", "left")
+    active = checkpointed(met.select(F.explode(F.array("a", "b")).alias("_row")).distinct().join(chosen, "_row"))
+    texts = _texts_of(active, docs.select(text.alias("_text"), *_content(text)))
+
+    links = _links(_survivors(met.where("fit").select("a", "b"), active, looks), texts, threshold)
+    labelled = active.select("_row", "n", "_sig").join(components(links), "_row", "left")
     labelled = checkpointed(labelled.withColumn("comp", F.coalesce("comp", "_row")))
-    comps = checkpointed(components(links.unionByName(_links_across(labelled, known, looks, threshold))))
+    comps = checkpointed(components(links.unionByName(_links_across(labelled, bands, texts, looks, threshold))))
 
     # rows to classes to components, and the smallest id back to every row
     reps = classes.join(comps.withColumnRenamed("_row", "_rep"), "_rep", "left").select("_key", F.coalesce("comp", "_rep").alias("_comp"))
-    rows = checkpointed(signed.select("_id", "n", "_key", "_row").join(reps, "_key", "left").withColumn("_comp", F.coalesce("_comp", "_row")).drop("_key"))
+    rows = checkpointed(signed.select("_id", "n", "_key", "_row", *names).join(reps, "_key", "left").withColumn("_comp", F.coalesce("_comp", "_row")).drop("_key"))
     low = rows.groupBy("_comp").agg(F.min("_id").alias("component_id"), F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"].alias("_first"))
     return rows.join(low, "_comp").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        (F.col("_row") == F.col("_first")).alias("first_row"), "_row")
+        (F.col("_row") == F.col("_first")).alias("first_row"), *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)])
+
+
+def _texts_of(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``_row, _key, _text`` of the rows, found among all texts by their content."""
+    wanted = rows.select("_row", "_key", "_h1", "_h2")
+    found = marked(source, wanted, "_h1", "_maybe").where("_maybe").drop("_maybe")
+    # copies of a text are one before they travel
+    one = found.groupBy("_h1", "_h2").agg(F.first("_text").alias("_text"))
+    lost = F.raise_error(F.lit("the documents changed between two readings; write them as a table first")).cast("string")
+    return checkpointed(wanted.join(one, ["_h1", "_h2"], "left").select("_row", "_key", F.coalesce("_text", lost).alias("_text")))

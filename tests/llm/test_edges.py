@@ -152,6 +152,28 @@ def test_near_copies_in_buckets_led_by_longer_texts(spark):
     assert got(df, "doc_id", "n_shingles", "component_id", "kept") == want
 
 
+def test_documents_in_another_order_at_the_second_reading(spark):
+    texts = near_cases() * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    assert got(neardup.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == brute.groups(list(enumerate(texts)))
+
+
+def test_group_rows_grow_with_the_rows_of_a_bucket(spark):
+    # one stray row beside a large component, and a component beside many small ones
+    rows = spark.range(20_000).selectExpr("1L AS _bucket", "0 AS _band", "id AS _row", "300L AS n", "IF(id = 7, 7L, 0L) AS comp")
+    groups = neardup._groups(rows)
+    assert groups.count() < 20_100
+    sides = {(r._group, r._side) for r in groups.select("_group", "_side").distinct().collect()}
+    assert len({g for g, _ in sides}) * 2 == len(sides)
+    mixed = spark.range(300).selectExpr("1L AS _bucket", "0 AS _band", "id AS _row", f"{neardup.HEAVY // 20}L AS n", "IF(id < 200, 0L, id) AS comp")
+    held = {}
+    for r in neardup._groups(mixed).collect():
+        held.setdefault(r._group, []).append((r._row, r._side))
+    met = {(min(a, b), max(a, b)) for g in held.values() for a, s in g for b, t in g if a != b and (t < 0 or s != t)}
+    assert {(a, b) for a in range(300) for b in range(max(a + 1, 200), 300)} <= met
+    assert max(map(len, held.values())) < 120  # heavy texts come in small groups
+
+
 def test_posterior_bound():
     looks = neardup.fewest_matches(75, 1e-5, 200, 40)
     assert list(looks) == [40, 80, 120, 160, 200] and list(neardup.fewest_matches())[-1] == neardup.BANDS * neardup.ROWS
@@ -268,21 +290,45 @@ def test_url_edges(spark):
 
 # top-k
 
+def top_of(rows, asked, k):
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    want = []
+    for q in asked:
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i is None, i or 0, i) for i, v in whole.items() if i != q)[:k]
+        want += [(q, n + 1, i, -s) for n, (s, *_, i) in enumerate(scored)]
+    return sorted(want, key=str)
+
+
+def top_rows(df, asked, k, **more):
+    return sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id").isin(*asked), k=k, **more).collect()), key=str)
+
+
 def test_top_k_ties_and_unfit_vectors(spark):
-    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, [1e30, 0.0]),
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, [200000.0, 0.0]),
             (8, [0.25]), (9, []), (10, [-1.0, -1.0]), (11, [1.0, 0.5]), (12, [2.0, 0.0]), (None, [1.0, 0.5])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id").isin(0, 3, 9), k=4, row_block=3).collect()]
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) and abs(x) < 2**17 for x in v)}
-    want = []
-    for q in (0, 9):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i is None, i or 0, i) for i, v in whole.items() if i != q)[:4]
-        want += [(q, k + 1, i, -s) for k, (s, *_, i) in enumerate(scored)]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    assert top_rows(df, [0, 3, 9], 4, row_block=3) == top_of(rows, [0, 9], 4)
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    three = [(0, [0.5, 1.0]), (2, [1.0, 2.0]), (50, [200000.0, 1.0])]
+    df = spark.createDataFrame(three, "vec_id long, embedding array<double>")
+    assert top_rows(df, [0, 50], 5) == top_of(three, [0, 50], 5)
+    # products beyond 2**53 and near 2**63, exact to the last unit
+    rows = [(0, [1e6, 3.0]), (1, [1e6, 1.0]), (2, [1e6 + 1 / 256, 1.0]), (3, [-1e6, 0.0]), (4, [5e7, -1.0]), (5, [5e7, -1.0]), (6, [1e8, 7.0]), (7, [0.0, 1e9]), (8, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    assert top_rows(df, [0, 3, 8], 4, row_block=2) == top_of(rows, [0, 3, 8], 4)
+
+
+@pytest.mark.parametrize("large", [1e30, 1e307])
+def test_top_k_raises_where_a_score_does_not_fit(spark, large):
+    df = spark.createDataFrame([(0, [1.0]), (1, [large])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit|too large"):
+        topk.top_k(df, F.col("vec_id") == 0).collect()
+
+
 # personal data
 
 def test_personal_data_patterns(spark):

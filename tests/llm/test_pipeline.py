@@ -71,3 +71,13 @@ def test_stages_take_odd_documents(spark):
         assert out.count() >= kept.count() == (0 if start is not docs else kept.count())
         assert corpus_pipeline.STAGES[0][1](spark, start, SF_DIR).count() == 0
     assert kept.where(F.col("text").contains("a@b.co")).count() == 0
+
+
+def test_shuffled_copies_lose_no_text(spark):
+    rows = [(i, f"text {i % 200} " + " ".join(f"w{i % 200}_{k}" for k in range(30)), "en", "s", 5) for i in range(400)]
+    rows += [(900, rows[3][1], "en", "s", 5)] * 3 + [(None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF_DIR).collect()
+    texts = [r.text for r in kept if r.text]
+    assert len(texts) == len(set(texts)) == 200 and sum(r.text is None for r in kept) == 2
+    assert {r.doc_id for r in kept if r.text} == set(range(200))
