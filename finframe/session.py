@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
     Where ``spark.checkpoint.dir`` is unset, steps go below the warehouse, which
-    a cluster shares too; no folder of one machine is ever chosen.
+    must then be a folder that all machines share.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/finframe-steps"
@@ -24,9 +28,19 @@ def step_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/steps-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def steps(name: str) -> Iterator[None]:
+    """Tables written inside lie in a folder of this name, which ``clear_steps`` can delete alone."""
+    before = _SCOPE.set(f"{_SCOPE.get()}{name}/")
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for a table written mid-job."""
-    return f"{step_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{step_root(spark)}/{_SCOPE.get()}{label}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -41,11 +55,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_steps(spark: SparkSession) -> None:
-    """Delete the tables this application wrote between steps.
+def clear_steps(spark: SparkSession, name: str = "") -> None:
+    """Delete the tables this application wrote between steps, or those of one name.
 
     To be called when a job has written its results; frames that still read a
     step cannot be used afterwards.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step_root(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{step_root(spark)}/{name}".rstrip("/"))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
