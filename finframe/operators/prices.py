@@ -96,14 +96,15 @@ def window_returns(
     """Return of every ticker over a short list of literal ``(label, start, end)`` windows.
 
     All windows come from one aggregate per ticker, without a join.  A ticker
-    that a window misses keeps its row with a status.
+    that a window misses keeps its row with a status, and so does every ticker
+    for a window that ends before it begins.
     """
-    for _, start, end in windows:
-        if start > end:
-            raise ValueError(DATE_RANGE_INVALID)
     point = F.struct("date", "close", "rn")
-    aggs = []
-    for i, (_, start, end) in enumerate(windows):
+    aggs, inverted = [], [label for label, start, end in windows if start > end]
+    for i, (label, start, end) in enumerate(windows):
+        if label in inverted:
+            aggs += [F.first(F.when(F.lit(False), point)).alias(f"{side}{i}") for side in "se"]
+            continue
         aggs += [_aligned(start, alignment, point).alias(f"s{i}"), _aligned(end, alignment, point).alias(f"e{i}")]
     per_window = F.array(
         *[F.struct(F.lit(label).alias("label"), F.col(f"s{i}").alias("s"), F.col(f"e{i}").alias("e")) for i, (label, _, _) in enumerate(windows)]
@@ -117,7 +118,7 @@ def window_returns(
         (F.try_divide(F.col("e.close"), F.col("s.close")) - 1).alias("return_decimal"),
         F.col("s.rn").alias("start_rn"), F.col("e.rn").alias("end_rn"),
         (F.col("e.rn") - F.col("s.rn") + 1).cast("bigint").alias("trading_days"),
-        F.when(ok, OK).otherwise(DATE_OUTSIDE_COVERAGE).alias("status"),
+        F.when(F.col("label").isin(*inverted), DATE_RANGE_INVALID).when(ok, OK).otherwise(DATE_OUTSIDE_COVERAGE).alias("status"),
     )
 
 
@@ -319,7 +320,10 @@ def summary_stat(
     prices: DataFrame, field: str = "close", agg: str = "avg", start: str | None = None, end: str | None = None,
     tickers: Sequence[str] = (), compare_to: str | None = None,
 ) -> DataFrame:
-    """Tickers ranked by one statistic; with ``compare_to``, flagged above or below that ticker."""
+    """Tickers ranked by one statistic; with ``compare_to``, flagged above or below that ticker.
+
+    ``anchor_status`` says whether that ticker is known; if not, the flags are NULL.
+    """
     rows = in_window(prices, "date", start, end)
     rows = rows.where(F.col("ticker").isin(*tickers)) if tickers else rows
     out = rows.groupBy("ticker").agg(round4(_STATS[agg](field).cast("double")).alias("value"), F.count(F.lit(1)).alias("trading_days"))
@@ -328,8 +332,8 @@ def summary_stat(
         return out
     # the anchor is taken from the one set of ranked rows, so both sides agree
     anchor = out.where(F.col("ticker") == compare_to).select("value").scalar()
-    missing = F.raise_error(F.lit(f"{UNKNOWN_TICKER}: {compare_to}")).cast("double")
-    out = out.withColumn("anchor_value", F.coalesce(anchor, missing))
+    out = out.withColumn("anchor_value", anchor)
+    out = out.withColumn("anchor_status", F.when(out.where(F.col("ticker") == compare_to).select(F.count(F.lit(1))).scalar() > 0, OK).otherwise(UNKNOWN_TICKER))
     return out.withColumn("above", F.col("value") > F.col("anchor_value")).withColumn("below", F.col("value") < F.col("anchor_value"))
 
 

@@ -59,20 +59,30 @@ def _date_of(text: Column) -> Column:
     return F.coalesce(*[F.try_to_date(F.trim(text), f) for f in ANSWER_DATE_FORMATS])
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once per row, not once per place it is used in."""
+    return F.transform(F.array(value), use)[0]
+
+
 def component_hits(components: Column, prediction: Column, tolerance: float = 0.0) -> Column:
     """Per component: contained, or the same date, or its one number within the tolerance."""
-    answer = F.lower(F.trim(prediction))
-    dates = F.transform(F.regexp_extract_all(F.trim(prediction), F.lit(DATE_IN_TEXT), F.lit(0)), _date_of)
-    numbers = _numbers(F.trim(prediction), PLAIN_NUMBER)
+    clean = F.trim(prediction)
+    dates = F.transform(F.regexp_extract_all(clean, F.lit(DATE_IN_TEXT), F.lit(0)), _date_of)
+    answer = F.struct(F.lower(clean).alias("text"), dates.alias("dates"), _numbers(clean, PLAIN_NUMBER).alias("numbers"))
 
-    def hit(component: Column) -> Column:
+    def fact(component: Column) -> Column:
         text = F.trim(component)
         own = _numbers(text, PLAIN_NUMBER)
-        same_date = F.exists(dates, lambda d: d == _date_of(text))
-        close = (F.size(own) == 1) & F.exists(numbers, lambda n: F.abs(n - F.element_at(own, 1)) <= tolerance)
-        return F.coalesce(F.contains(answer, F.lower(text)), F.lit(False)) | F.coalesce(same_date, F.lit(False)) | F.coalesce(close, F.lit(False))
+        # every date layout has a year of four digits
+        day = F.when(text.rlike(r"\d{4}"), _date_of(text))
+        return F.struct(F.lower(text).alias("text"), day.alias("day"), F.when(F.size(own) == 1, F.element_at(own, 1)).alias("number"))
+
+    def hit(f: Column, a: Column) -> Column:
+        same_date = F.when(f["day"].isNotNull(), F.array_contains(a["dates"], f["day"]))
+        close = F.when(f["number"].isNotNull(), F.exists(a["numbers"], lambda n: F.abs(n - f["number"]) <= tolerance))
+        return F.coalesce(F.contains(a["text"], f["text"]), F.lit(False)) | F.coalesce(same_date, F.lit(False)) | F.coalesce(close, F.lit(False))
 
-    return F.transform(components, hit)
+    return _bound(answer, lambda a: F.transform(components, lambda c: _bound(fact(c), lambda f: hit(f, a))))
 
 
 def component_scores(answers: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -138,16 +148,17 @@ def _stated_number(text: Column) -> Column:
 
 def fact_hits(facts: Column, answer: Column) -> Column:
     """Per fact: a number within ``max(0.02, 0.5 %)``, or the text itself."""
-    numbers = _numbers(answer, GROUPED_NUMBER)
-    low = F.lower(answer)
+    given = F.struct(F.lower(answer).alias("text"), _numbers(answer, GROUPED_NUMBER).alias("numbers"))
 
-    def hit(fact: Column) -> Column:
+    def stated(fact: Column) -> Column:
         text = F.trim(fact)
-        target = _stated_number(text)
-        near = F.exists(numbers, lambda n: F.abs(n - target) <= F.greatest(F.lit(0.02), F.abs(target) * 0.005))
-        return (text != "") & F.when(target.isNotNull(), F.coalesce(near, F.lit(False))).otherwise(F.contains(low, F.lower(text)))
+        return F.struct(text.alias("text"), F.lower(text).alias("low"), _stated_number(text).alias("number"))
+
+    def hit(f: Column, a: Column) -> Column:
+        near = F.exists(a["numbers"], lambda n: F.abs(n - f["number"]) <= F.greatest(F.lit(0.02), F.abs(f["number"]) * 0.005))
+        return (f["text"] != "") & F.when(f["number"].isNotNull(), F.coalesce(near, F.lit(False))).otherwise(F.contains(a["text"], f["low"]))
 
-    return F.transform(facts, hit)
+    return _bound(given, lambda a: F.transform(facts, lambda x: _bound(stated(x), lambda f: hit(f, a))))
 
 
 def fact_recall(answers: DataFrame) -> DataFrame:

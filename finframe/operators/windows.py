@@ -73,6 +73,12 @@ def _answered(asked: DataFrame, found: DataFrame, key: str, columns: Sequence[st
     return out.select(*kept, *columns, status.alias("status"), "available_start", "available_end")
 
 
+def _merged(stretches: Column, kind: str, merge) -> Column:
+    """The stretches of an array of (place, stretch), merged in the order of places."""
+    return F.aggregate(
+        F.array_sort(stretches), F.lit(None).cast(kind), lambda a, s: F.when(a.isNull(), s["_stretch"].cast(kind)).otherwise(merge(a, s["_stretch"]).cast(kind)))
+
+
 def extremes(
     requests: DataFrame, series: DataFrame, value: str, *, direction: str = "highest", n: int = 1, carry: Sequence[str] = (), key: str = "ticker", date: str = "date",
 ) -> DataFrame:
@@ -161,13 +167,6 @@ def _followed(a: Column, b: Column) -> Column:
         ordered["w"].alias("worst"), (a["days"] + b["days"]).alias("days"))
 
 
-def _in_order(stretches: Column) -> Column:
-    """One stretch of an array of (place, stretch), merged in the order of places."""
-    none = F.lit(None).cast(_STRETCH)
-    return F.aggregate(
-        F.array_sort(stretches), none, lambda a, s: F.when(a.isNull(), s["_stretch"].cast(_STRETCH)).otherwise(_followed(a, s["_stretch"]).cast(_STRETCH)))
-
-
 def drawdowns(requests: DataFrame, prices: DataFrame, basis: str = "close", key: str = "ticker", date: str = "date") -> DataFrame:
     """Deepest fall from a running peak in each request's window, and the first later close of the window back at that peak.
 
@@ -183,14 +182,14 @@ def drawdowns(requests: DataFrame, prices: DataFrame, basis: str = "close", key:
     alone = F.struct(F.col("_day").alias("_place"), _day_alone(F.col("_p"), F.col("_t"), F.col("_day")).alias("_stretch"))
     # a block holds at most its calendar days
     days = F.array_sort(F.collect_list(F.struct("_day", "_c")))
-    blocks = in_blocks(rows).groupBy(key, *_BLOCK).agg(_in_order(F.collect_list(alone)).alias("_stretch"), F.max("_c").alias("_top"), days.alias("_days"))
+    blocks = in_blocks(rows).groupBy(key, *_BLOCK).agg(_merged(F.collect_list(alone), _STRETCH, _followed).alias("_stretch"), F.max("_c").alias("_top"), days.alias("_days"))
     # closes that are higher than all before them in the block
     none = F.array().cast("array<struct<_day: int, _c: double>>")
     rising = F.aggregate("_days", none, lambda a, d: F.when((F.size(a) == 0) | (d["_c"] > F.element_at(a, -1)["_c"]), F.concat(a, F.array(d))).otherwise(a))
     blocks = checkpointed(blocks.withColumn("_rising", rising).drop("_days"))
 
     met = pieces(asked, key).join(blocks.select(key, *_BLOCK, "_stretch"), [key, *_BLOCK])
-    worst = met.groupBy(key, "_s", "_e").agg(_in_order(F.collect_list(F.struct(F.col("_at").alias("_place"), "_stretch"))).alias("_w"))  # two blocks of each size
+    worst = met.groupBy(key, "_s", "_e").agg(_merged(F.collect_list(F.struct(F.col("_at").alias("_place"), "_stretch")), _STRETCH, _followed).alias("_w"))  # two blocks of each size
     worst = checkpointed(worst.select(key, "_s", "_e", "_w.worst.*", "_w.days"))
 
     later = worst.select(key, (F.col("day") + 1).alias("_s"), "_e", "peak").distinct()
@@ -206,3 +205,115 @@ def drawdowns(requests: DataFrame, prices: DataFrame, basis: str = "close", key:
         F.date_from_unix_date("day").alias("trough_date"), round4(F.col("trough")).alias("trough_price"), (F.col("day") - F.col("peak_day")).cast("bigint").alias("drawdown_days"),
         F.date_from_unix_date("_recovery").alias("recovery_date"), F.col("days").alias("records_used")]
     return _answered(asked, found, key, columns, requests.columns)
+
+
+def rate_changes(requests: DataFrame, rates: DataFrame, key: str = "series_key", date: str = "effective_date") -> DataFrame:
+    """Record, change and hold counts, the net move and the levels around each request's window."""
+    asked = checkpointed(clamped(requests, rates, key, date))
+    change = F.col("change_bp")
+    first = F.struct(F.unix_date(date).alias("day"), (F.col("target_bp") - change).alias("bp"))
+    last = F.struct(F.unix_date(date).alias("day"), F.col("target_bp").alias("bp"))
+    counts = {"record_count": F.lit(True), "changed_count": change != 0, "increases": change > 0, "decreases": change < 0, "holds": change == 0}
+    rows = rates.select(key, F.unix_date(date).alias("_day"), first.alias("_first"), last.alias("_last"), change.alias("cumulative_bp"), *[c.cast("bigint").alias(n) for n, c in counts.items()])
+    merged = [F.min("_first").alias("_first"), F.max("_last").alias("_last"), *[F.sum(F.coalesce(n, F.lit(0))).alias(n) for n in (*counts, "cumulative_bp")]]
+    blocks = in_blocks(rows).groupBy(key, *_BLOCK).agg(*merged)
+    found = pieces(asked, key).join(blocks, [key, *_BLOCK]).groupBy(key, "_s", "_e").agg(*merged)
+    columns = [
+        *counts, bp_to_pct(F.col("cumulative_bp")).alias("cumulative_pct"), bp_to_pct(F.col("_first.bp")).alias("rate_before_pct"), bp_to_pct(F.col("_last.bp")).alias("rate_after_pct"),
+        F.date_from_unix_date("_first.day").alias("window_start"), F.date_from_unix_date("_last.day").alias("window_end")]
+    return _answered(asked, found, key, columns, requests.columns)
+
+
+_MOVE = "struct<day: int, bp: bigint>"
+_HOLDS = f"struct<first: {_MOVE}, last: {_MOVE}, best: struct<short: int, from: {_MOVE}, to: {_MOVE}>>"
+
+
+def _held_on(a: Column, b: Column) -> Column:
+    """Two stretches of moves side by side: the hold between them competes with the longest of each."""
+    across = F.struct((a["last"]["day"] - b["first"]["day"]).alias("short"), a["last"].alias("from"), b["first"].alias("to"))
+    return F.struct(a["first"].alias("first"), b["last"].alias("last"), F.array_min(F.array(a["best"], b["best"], across)).alias("best"))
+
+
+def _moves(rates: DataFrame, kind: str, key: str, date: str) -> DataFrame:
+    change = F.col("change_bp")
+    test = {"any_change": change != 0, "hike": change > 0, "cut": change < 0}[kind]
+    return rates.where(test).select(key, F.unix_date(date).alias("_day"), "target_bp", "change_bp")
+
+
+def longest_holds(requests: DataFrame, rates: DataFrame, kind: str = "any_change", key: str = "series_key", date: str = "effective_date") -> DataFrame:
+    """The longest stretch between two consecutive moves of a kind in each request's window, the earliest of equals."""
+    asked = checkpointed(clamped(requests, rates, key, date))
+    move = F.struct(F.col("_day").alias("day"), F.col("target_bp").alias("bp"))
+    alone = F.struct(F.col("_day").alias("_place"), F.struct(move.alias("first"), move.alias("last"), F.lit(None).alias("best")).cast(_HOLDS).alias("_stretch"))
+    blocks = in_blocks(_moves(rates, kind, key, date)).groupBy(key, *_BLOCK).agg(_merged(F.collect_list(alone), _HOLDS, _held_on).alias("_stretch"))
+    met = pieces(asked, key).join(blocks, [key, *_BLOCK])
+    found = met.groupBy(key, "_s", "_e").agg(_merged(F.collect_list(F.struct(F.col("_at").alias("_place"), "_stretch")), _HOLDS, _held_on)["best"].alias("_b")).where("_b IS NOT NULL")
+    columns = [
+        F.date_from_unix_date("_b.from.day").alias("start_date"), F.date_from_unix_date("_b.to.day").alias("end_date"),
+        bp_to_pct(F.col("_b.from.bp")).alias("rate_during_pct"), bp_to_pct(F.col("_b.to.bp")).alias("rate_after_pct"), (-F.col("_b.short")).cast("bigint").alias("gap_days")]
+    return _answered(asked, found, key, columns, requests.columns)
+
+
+_RUN = "struct<up: boolean, moves: bigint, sum: bigint, from: int, to: int, before: bigint, after: bigint>"
+_RUNS = f"struct<first: {_RUN}, last: {_RUN}, one: boolean, best: {_RUN}, found: bigint>"
+
+
+def _joined_run(a: Column, b: Column) -> Column:
+    return F.struct(
+        a["up"].alias("up"), (a["moves"] + b["moves"]).alias("moves"), (a["sum"] + b["sum"]).alias("sum"), a["from"].alias("from"), b["to"].alias("to"),
+        a["before"].alias("before"), b["after"].alias("after"))
+
+
+def _run_order(select: str, run: Column) -> Column:
+    """Smaller is better; earlier runs win ties."""
+    return {"largest": F.struct(-F.abs(run["sum"]), run["from"]), "most_moves": F.struct(-run["moves"], run["from"]), "latest": F.struct(-run["from"])}[select]
+
+
+def _best_run(runs: Column, up: bool, select: str) -> Column:
+    fit = F.filter(runs, lambda r: r.isNotNull() & (r["up"] == up))
+    return F.array_min(F.transform(fit, lambda r: F.struct(_run_order(select, r).alias("o"), r.alias("r"))))["r"]
+
+
+def _run_on(up: bool, select: str):
+    def merge(a: Column, b: Column) -> Column:
+        same = a["last"]["up"] == b["first"]["up"]
+        joined = _joined_run(a["last"], b["first"]).cast(_RUN)
+        # runs that now have others on both sides are complete
+        closed = F.when(same, F.array(F.when(~a["one"] & ~b["one"], joined))).otherwise(F.array(F.when(~a["one"], a["last"]), F.when(~b["one"], b["first"])))
+        new = F.size(F.filter(closed, lambda r: r.isNotNull() & (r["up"] == up))).cast("bigint")
+        return F.struct(
+            F.when(same & a["one"], joined).otherwise(a["first"]).alias("first"), F.when(same & b["one"], joined).otherwise(b["last"]).alias("last"),
+            (same & a["one"] & b["one"]).alias("one"), _best_run(F.concat(F.array(a["best"], b["best"]), closed), up, select).alias("best"), (a["found"] + b["found"] + new).alias("found"))
+
+    return merge
+
+
+def rate_cycles(
+    requests: DataFrame, rates: DataFrame, direction: str = "tightening", select: str = "largest", key: str = "series_key", date: str = "effective_date",
+) -> DataFrame:
+    """One run of same-sign moves in each request's window: the largest by size, the one with most moves, or the latest.
+
+    A block knows its first and last run, which may go on outside of it, and the
+    best of those between them.
+    """
+    up = direction == "tightening"
+    asked = checkpointed(clamped(requests, rates, key, date))
+    change = F.col("change_bp").cast("bigint")
+    run = F.struct(
+        (change > 0).alias("up"), F.lit(1).cast("bigint").alias("moves"), change.alias("sum"), F.col("_day").alias("from"), F.col("_day").alias("to"),
+        (F.col("target_bp") - change).cast("bigint").alias("before"), F.col("target_bp").cast("bigint").alias("after"))
+    alone = F.struct(run.alias("first"), run.alias("last"), F.lit(True).alias("one"), F.lit(None).alias("best"), F.lit(0).cast("bigint").alias("found")).cast(_RUNS)
+    merge = _run_on(up, select)
+    moves = in_blocks(_moves(rates, "any_change", key, date))
+    blocks = moves.groupBy(key, *_BLOCK).agg(_merged(F.collect_list(F.struct(F.col("_day").alias("_place"), alone.alias("_stretch"))), _RUNS, merge).alias("_stretch"))
+    met = pieces(asked, key).join(blocks, [key, *_BLOCK])
+    whole = met.groupBy(key, "_s", "_e").agg(_merged(F.collect_list(F.struct(F.col("_at").alias("_place"), "_stretch")), _RUNS, merge).alias("_w"))
+    ends = F.array(F.col("_w.first"), F.when(~F.col("_w.one"), F.col("_w.last")))
+    found = whole.select(
+        key, "_s", "_e", _best_run(F.concat(F.array("_w.best"), ends), up, select).alias("_r"),
+        (F.col("_w.found") + F.size(F.filter(ends, lambda r: r.isNotNull() & (r["up"] == up)))).alias("cycles_found")).where("_r IS NOT NULL")
+    columns = [
+        F.col("_r.moves").alias("move_count"), F.date_from_unix_date("_r.from").alias("start_date"), F.date_from_unix_date("_r.to").alias("end_date"),
+        (F.col("_r.to") - F.col("_r.from")).cast("bigint").alias("duration_days"), "cycles_found", bp_to_pct(F.col("_r.sum")).alias("cumulative_pct"),
+        bp_to_pct(F.col("_r.before")).alias("rate_before_pct"), bp_to_pct(F.col("_r.after")).alias("rate_after_pct")]
+    return _answered(asked, found, key, columns, requests.columns)

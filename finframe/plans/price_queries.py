@@ -292,13 +292,38 @@ _stat("sum", "sum(close)")
         v.PRICES_BIG,
         """, s AS (SELECT ticker, round(avg(close), 4) AS value, count(*) AS trading_days FROM prices GROUP BY 1)
         SELECT *, row_number() OVER (ORDER BY value DESC, ticker) AS rank, (SELECT value FROM s WHERE ticker = 'Brand#5') AS anchor_value,
-          value > (SELECT value FROM s WHERE ticker = 'Brand#5') AS above, value < (SELECT value FROM s WHERE ticker = 'Brand#5') AS below FROM s""",
+          value > (SELECT value FROM s WHERE ticker = 'Brand#5') AS above, value < (SELECT value FROM s WHERE ticker = 'Brand#5') AS below, 'ok' AS anchor_status FROM s""",
     ),
 )
 def _(spark, d):
     return op.summary_stat(views.prices_big(spark, d), "close", "avg", compare_to="Brand#5")
 
 
+@query(
+    "price_above_below_unknown",
+    with_views(
+        v.PRICES_BIG,
+        """, s AS (SELECT ticker, round(avg(close), 4) AS value, count(*) AS trading_days FROM prices GROUP BY 1)
+        SELECT *, row_number() OVER (ORDER BY value DESC, ticker) AS rank, CAST(NULL AS DOUBLE) AS anchor_value, CAST(NULL AS BOOLEAN) AS above, CAST(NULL AS BOOLEAN) AS below, 'UNKNOWN_TICKER' AS anchor_status FROM s""",
+    ),
+)
+def _(spark, d):
+    return op.summary_stat(views.prices_big(spark, d), "close", "avg", compare_to="Brand#99")
+
+
+@query(
+    "price_window_returns_status",
+    with_views(
+        BARS,
+        windows_sql(WINDOWS[:1]) + """ SELECT ticker, label, CAST(s_date AS VARCHAR) AS resolved_start, e_rn - s_rn + 1 AS trading_days, 'ok' AS status FROM rets
+        UNION ALL SELECT DISTINCT ticker, 'inverted', NULL, NULL, 'DATE_RANGE_INVALID' FROM bars""",
+    ),
+)
+def _(spark, d):
+    out = op.window_returns(bars(spark, d), [WINDOWS[0], ("inverted", "1997-05-01", "1996-05-01")])
+    return shaped(out.select("ticker", "label", "resolved_start", "trading_days", "status"))
+
+
 YEARS = [(str(y), f"{y}-01-02", f"{y}-12-30") for y in range(1995, 2002)]
 
 

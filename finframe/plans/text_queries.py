@@ -31,7 +31,7 @@ def _counts_sql(patterns, whole, cond="true"):
     with_views(v.ARTICLES, f", c AS ({_counts_sql(PATTERNS, True)}) SELECT *, row_number() OVER (ORDER BY article_count DESC, pattern) AS rank FROM c"),
 )
 def _(spark, d):
-    return op.pattern_count(views.articles(spark, d), PATTERNS)
+    return op.pattern_count(views.spread(views.articles(spark, d), "article_id"), PATTERNS)
 
 
 _SPAN = "publication_date BETWEEN DATE '2016-02-01' AND DATE '2018-06-30'"
@@ -42,7 +42,7 @@ _SPAN = "publication_date BETWEEN DATE '2016-02-01' AND DATE '2018-06-30'"
     with_views(v.ARTICLES, f", c AS ({_counts_sql(PATTERNS[:5], False, _SPAN)}) SELECT *, row_number() OVER (ORDER BY article_count DESC, pattern) AS rank FROM c"),
 )
 def _(spark, d):
-    return op.pattern_count(views.articles(spark, d), PATTERNS[:5], False, "2016-02-01", "2018-06-30")
+    return op.pattern_count(views.spread(views.articles(spark, d), "article_id"), PATTERNS[:5], False, "2016-02-01", "2018-06-30")
 
 
 @query(
@@ -50,7 +50,7 @@ def _(spark, d):
     with_views(v.ARTICLES, f", c AS ({_counts_sql(['ou'], True)}) SELECT *, 1 AS rank FROM c"),
 )
 def _(spark, d):
-    return op.pattern_count(views.articles(spark, d), ["ou"], anchor="always").withColumn("rank", F.col("rank").cast("int"))
+    return op.pattern_count(views.spread(views.articles(spark, d), "article_id"), ["ou"], anchor="always").withColumn("rank", F.col("rank").cast("int"))
 
 
 @query(
@@ -214,13 +214,15 @@ SIXTY = [a + b for a in ("an", "er", "on", "th", "in", "es") for b in ("", "an",
     with_views(v.ARTICLES, f", c AS ({_counts_sql(SIXTY, True)}) SELECT *, row_number() OVER (ORDER BY article_count DESC, pattern) AS rank FROM c"),
 )
 def _(spark, d):
-    return op.pattern_count(views.articles(spark, d), SIXTY)
+    return op.pattern_count(views.spread(views.articles(spark, d), "article_id"), SIXTY)
 
 
 # Porter's algorithm as regular expressions over distinct words, one step per table
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
-_M0, _M1, _ONE = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}{_V}{_C}", f"^({_C})?{_V}{_C}({_V})?$"
-_HAS_V, _CVC = f"^({_C})?[aeiouy]", f"^{_C}[aeiouy][^aeiouwxy]$"
+# a leading y is a consonant: a word begins with a vowel that is none, or with consonants
+_LEAD = f"^(?:{_C}{_V}|[aeiou]+)"
+_M0, _M1, _ONE = f"{_LEAD}{_C}", f"{_LEAD}{_C}{_V}{_C}", f"{_LEAD}{_C}({_V})?$"
+_HAS_V, _CVC = f"^(?:{_C}[aeiouy]|[aeiou])", f"^{_C}[aeiouy][^aeiouwxy]$"
 
 
 def _swap(column, table, measure):

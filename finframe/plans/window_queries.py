@@ -118,3 +118,65 @@ def _rates(name, direction, pick):
 
 _rates("rate_extreme_highest_requests", "highest", "max")
 _rates("rate_extreme_lowest_requests", "lowest", "min")
+
+
+_IN_RATES = 'JOIN rates r ON r.series_key = req.series_key AND effective_date BETWEEN start AND "end"'
+_RATE_ASKED = 'request_id, series_key, CAST(start AS VARCHAR) AS start, CAST("end" AS VARCHAR) AS "end"'
+
+
+@query(
+    "rate_change_summary_requests",
+    with_views(
+        v.RATES,
+        f"""{_RATE_REQ}, found AS (SELECT request_id, count(*) AS record_count, count(*) FILTER (change_bp <> 0) AS changed_count, count(*) FILTER (change_bp > 0) AS increases,
+          count(*) FILTER (change_bp < 0) AS decreases, count(*) FILTER (change_bp = 0) AS holds, sum(change_bp) / 100.0 AS cumulative_pct, arg_min(target_bp - change_bp, effective_date) / 100.0 AS rate_before_pct,
+          arg_max(target_bp, effective_date) / 100.0 AS rate_after_pct, CAST(min(effective_date) AS VARCHAR) AS window_start, CAST(max(effective_date) AS VARCHAR) AS window_end FROM req {_IN_RATES} GROUP BY 1)
+        SELECT {_RATE_ASKED}, found.* EXCLUDE (request_id), {_STATUS.format(found='record_count')} FROM req LEFT JOIN found USING (request_id) LEFT JOIN cover USING (series_key)""",
+    ),
+)
+def _(spark, d):
+    return shaped(op.rate_changes(_rate_requests(spark, d), views.rates(spark, d)))
+
+
+def _holds(name, kind, cond):
+    @query(
+        name,
+        with_views(
+            v.RATES,
+            f"""{_RATE_REQ}, m AS (SELECT request_id, lag(effective_date) OVER w AS s, effective_date AS e, lag(target_bp) OVER w AS during, target_bp AS after FROM req {_IN_RATES} AND {cond}
+              WINDOW w AS (PARTITION BY request_id ORDER BY effective_date)),
+            found AS (SELECT * FROM m WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY date_diff('day', s, e) DESC, s) = 1)
+            SELECT {_RATE_ASKED}, CAST(s AS VARCHAR) AS start_date, CAST(e AS VARCHAR) AS end_date, during / 100.0 AS rate_during_pct, after / 100.0 AS rate_after_pct, date_diff('day', s, e) AS gap_days,
+              {_STATUS.format(found='s')} FROM req LEFT JOIN found USING (request_id) LEFT JOIN cover USING (series_key)""",
+        ),
+    )
+    def _(spark, d):
+        return shaped(op.longest_holds(_rate_requests(spark, d), views.rates(spark, d), kind))
+
+
+_holds("rate_longest_hold_requests", "any_change", "change_bp <> 0")
+_holds("rate_longest_hold_cut_requests", "cut", "change_bp < 0")
+
+
+def _cycles(name, direction, select, order):
+    @query(
+        name,
+        with_views(
+            v.RATES,
+            f"""{_RATE_REQ}, m AS (SELECT request_id, effective_date, target_bp, change_bp, CASE WHEN sign(change_bp) = lag(sign(change_bp)) OVER w THEN 0 ELSE 1 END AS turn FROM req {_IN_RATES} AND change_bp <> 0
+              WINDOW w AS (PARTITION BY request_id ORDER BY effective_date)),
+            n AS (SELECT *, sum(turn) OVER (PARTITION BY request_id ORDER BY effective_date) AS run FROM m),
+            runs AS (SELECT request_id, run, count(*) AS move_count, sum(change_bp) AS cumulative_bp, min(effective_date) AS s, max(effective_date) AS e, arg_min(target_bp - change_bp, effective_date) AS before,
+              arg_max(target_bp, effective_date) AS after FROM n GROUP BY 1, 2 HAVING max(change_bp) {'>' if direction == 'tightening' else '<'} 0),
+            found AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS cycles_found FROM runs QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY {order}) = 1)
+            SELECT {_RATE_ASKED}, move_count, CAST(s AS VARCHAR) AS start_date, CAST(e AS VARCHAR) AS end_date, date_diff('day', s, e) AS duration_days, cycles_found, cumulative_bp / 100.0 AS cumulative_pct,
+              before / 100.0 AS rate_before_pct, after / 100.0 AS rate_after_pct, {_STATUS.format(found='s')} FROM req LEFT JOIN found USING (request_id) LEFT JOIN cover USING (series_key)""",
+        ),
+    )
+    def _(spark, d):
+        return shaped(op.rate_cycles(_rate_requests(spark, d), views.rates(spark, d), direction, select))
+
+
+_cycles("rate_largest_cycle_requests", "tightening", "largest", "abs(cumulative_bp) DESC, s")
+_cycles("rate_longest_cycle_requests", "easing", "most_moves", "move_count DESC, s")
+_cycles("rate_latest_cycle_requests", "easing", "latest", "s DESC")

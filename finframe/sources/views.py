@@ -162,3 +162,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("v", F.explode(variants))
         .select("v.label", "v.step", "id", "v.prediction", (F.pmod(F.col("number") + F.col("v.step"), F.lit(400))).cast("double").alias("seconds"))
     )
+
+
+def spread(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """The rows dealt to ``parts`` tasks (the cluster's cores by default) by a key.
+
+    For work on each row that outweighs moving it, over files that few tasks can
+    read, such as a table of one row group.
+    """
+    return rows.repartition(parts or rows.sparkSession.sparkContext.defaultParallelism, key)
