@@ -43,6 +43,21 @@ def literal_regex(pattern: str, whole_word: bool = True, anchor: str = "edge") -
     return "(?iu)" + (before if word[0] else "") + body + (after if word[1] else "")
 
 
+def literal_regex_of(pattern: Column) -> Column:
+    """``literal_regex`` of whole words for a column of patterns."""
+    body = F.regexp_replace(pattern, r"([\\.^$*+?()\[\]{}|])", r"\\$1")
+    before = F.when(pattern.rlike(f"^[{_WORD}]"), f"(?<![{_WORD}])").otherwise("")
+    after = F.when(pattern.rlike(f"[{_WORD}]$"), f"(?![{_WORD}])").otherwise("")
+    return F.concat(F.lit("(?iu)"), before, body, after)
+
+
+def word_runs(text: Column) -> Column:
+    """Distinct lower-case runs of word characters, also of letters that case-blind matching takes for plain ones."""
+    found = F.regexp_extract_all(text, F.lit(f"[{_WORD}]+"), F.lit(0))
+    alike = F.when(text.rlike("[İıſK]"), F.regexp_extract_all(F.translate(text, "İıſK", "iisk"), F.lit(f"[{_WORD}]+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(found, alike), F.lower))
+
+
 def combined(*fields: str) -> Column:
     """Text fields joined by one space, a NULL field counting as empty."""
     parts: list[Column] = []

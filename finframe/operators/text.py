@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finframe.functions.matching import combined, literal_regex, tokens
+from finframe.functions.matching import combined, literal_regex, literal_regex_of, tokens, word_runs
 from finframe.functions.stemming import stem
+from finframe.operators import windows
 from finframe.operators.align import NO_MATCHING_RECORDS, OK
+from finframe.operators.ordering import row_numbers
 from finframe.operators.tables import where
 from finframe.session import checkpointed
 
@@ -63,6 +65,58 @@ def pattern_count(
     return out.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
 
 
+def pattern_hits(articles: DataFrame, patterns: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """``pattern, article_id, publication_date``: the articles that hold each pattern of a table as whole words.
+
+    A text that holds a pattern holds each of its runs of word characters as a
+    whole run.  Texts are cut into runs once; those that occur in some pattern
+    are kept by equality; and a pattern is looked up by the run that fewest
+    articles hold.  Only candidates of patterns that are more than one run are
+    tested on the text.  Patterns without a word character are tested on every
+    text; they are expected to be few.
+    """
+    named = checkpointed(patterns.where(F.col("pattern") != "").select("pattern").distinct().withColumn("_runs", word_runs(F.col("pattern"))))
+    worded, signs = named.where(F.size("_runs") > 0), named.where(F.size("_runs") == 0)
+    rows = in_dates(articles, start, end)
+    texts = rows.select("article_id", DAY, all_text(articles).alias("_text"))
+
+    parts = worded.select("pattern", F.explode("_runs").alias("_run"))
+    found = texts.select("article_id", DAY, F.explode(word_runs(F.col("_text"))).alias("_run"))
+    held = checkpointed(found.join(parts.select("_run").distinct(), "_run", "left_semi"))
+    common = held.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    # a run that no article holds rules its pattern out
+    rarest = parts.join(common, "_run", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_run").alias("run"))).alias("_r"))
+    candidates = rarest.select("pattern", F.col("_r.run").alias("_run")).join(held, "_run")
+    alone = F.lower("pattern") == F.col("_run")
+    sure = candidates.where(alone).select("pattern", "article_id", DAY)
+    doubtful = candidates.where(~alone).select("pattern", "article_id", DAY)
+    tested = doubtful.join(texts.select("article_id", "_text"), "article_id").where(F.regexp_like("_text", literal_regex_of(F.col("pattern"))))
+    listed = signs.agg(F.collect_list("pattern").alias("p")).scalar()
+    by_sign = texts.withColumn("_signs", listed).select("article_id", DAY, F.explode(F.filter("_signs", lambda p: F.contains(F.lower("_text"), F.lower(p)))).alias("pattern"))
+    return sure.unionByName(tested.select("pattern", "article_id", DAY)).unionByName(by_sign.select("pattern", "article_id", DAY))
+
+
+def pattern_table_count(articles: DataFrame, patterns: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Articles that hold each pattern of a table, ranked; patterns without any count 0."""
+    counts = pattern_hits(articles, patterns, start, end).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    total = in_dates(articles, start, end).agg(F.count(F.lit(1)).alias("t")).scalar()
+    out = patterns.where(F.col("pattern") != "").select("pattern").distinct().join(counts, "pattern", "left")
+    out = out.select("pattern", F.coalesce("n", F.lit(0)).alias("article_count"), total.alias("articles_in_window"))
+    return row_numbers(out, [F.col("article_count").desc(), F.col("pattern")])
+
+
+def date_counts(articles: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests(pattern, start, end, ..)``: articles of each window that hold its pattern, the first and the last day.
+
+    From one table of counts by pattern and day, whose windows are summed in blocks.
+    """
+    days = pattern_hits(articles, requests).groupBy("pattern", DAY).agg(F.count(F.lit(1)).alias("n"))
+    out = windows.totals(requests, checkpointed(days), {"article_count": "n"}, key="pattern", date=DAY)
+    # a pattern that no article holds is not unknown
+    status = F.when(F.col("start") > F.col("end"), windows.DATE_RANGE_INVALID).when(F.col("status") == OK, OK).otherwise(NO_MATCHING_RECORDS)
+    return out.withColumn("status", status).withColumn("article_count", F.coalesce("article_count", F.lit(0)))
+
+
 def pattern_share(articles: DataFrame, patterns: Sequence[str], **kw) -> DataFrame:
     out = pattern_count(articles, patterns, **kw)
     return out.withColumn("share_pct", F.round(F.try_divide(F.col("article_count"), F.col("articles_in_window")) * 100, 4))

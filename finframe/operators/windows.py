@@ -15,13 +15,14 @@ missing bound is open.  Nothing raises on data but a series of more than
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finframe.functions.scalars import bp_to_pct, decimal_to_pct, round4
 from finframe.operators.align import DATE_RANGE_INVALID, NO_MATCHING_RECORDS, OK, UNKNOWN_TICKER
+from finframe.operators.ordering import row_numbers
 from finframe.session import checkpointed
 
 LEVELS = 17  # blocks of 1 to 2**16 days
@@ -207,6 +208,41 @@ def drawdowns(requests: DataFrame, prices: DataFrame, basis: str = "close", key:
     return _answered(asked, found, key, columns, requests.columns)
 
 
+def totals(requests: DataFrame, series: DataFrame, sums: Mapping[str, str], *, key: str = "ticker", date: str = "date") -> DataFrame:
+    """Sums of whole numbers over each request's window, with its first and last day and its number of days that have rows."""
+    asked = checkpointed(clamped(requests, series, key, date))
+    rows = series.select(
+        key, F.unix_date(date).alias("_day"), F.unix_date(date).alias("_first"), F.unix_date(date).alias("_last"), F.lit(1).cast("bigint").alias("_days"),
+        *[F.col(c).alias(f"_s_{n}") for n, c in sums.items()])
+    merged = [F.min("_first").alias("_first"), F.max("_last").alias("_last"), *[F.sum(c).alias(c) for c in ("_days", *[f"_s_{n}" for n in sums])]]
+    blocks = in_blocks(rows).groupBy(key, *_BLOCK).agg(*merged)
+    found = pieces(asked, key).join(blocks, [key, *_BLOCK]).groupBy(key, "_s", "_e").agg(*merged)
+    columns = [*[F.col(f"_s_{n}").alias(n) for n in sums], F.date_from_unix_date("_first").alias("earliest"), F.date_from_unix_date("_last").alias("latest"), F.col("_days").alias("days")]
+    return _answered(asked, found, key, columns, requests.columns)
+
+
+def volume_ranks(requests: DataFrame, prices: DataFrame, agg: str = "total") -> DataFrame:
+    """``requests(request_id, start, end, tickers)``: the asked tickers (all that there are, where none is named) ranked by volume in each window.
+
+    A ticker without rows in the window, or an unknown one, keeps its row with a
+    status and no rank.  Requests are ranked in sorted ranges, none in one task.
+    """
+    every = prices.select("ticker").distinct()
+    named = requests.where(F.size("tickers") > 0).select("request_id", "start", "end", F.explode(F.array_distinct("tickers")).alias("ticker"))
+    # all tickers of an open request, by equality on a constant that the requests are salted with
+    salts = 32
+    open_ = requests.where(F.coalesce(F.size("tickers"), F.lit(0)) <= 0).withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int"))
+    spread = every.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = named.unionByName(open_.join(spread, "_salt").select("request_id", "start", "end", "ticker"))
+    out = totals(asked, prices.where(F.col("volume").isNotNull()), {"volume": "volume"})
+    value = F.col("volume") if agg == "total" else F.round(F.col("volume") / F.col("days")).cast("bigint")
+    out = checkpointed(out.withColumn("volume", value))
+    ranked = row_numbers(out.where(F.col("status") == OK), [F.col("volume").desc(), F.col("ticker")], ["request_id"])
+    rest = out.where(F.col("status") != OK).withColumn("rank", F.lit(None).cast("bigint"))
+    columns = ["request_id", "start", "end", "ticker", "rank", F.col("volume").alias(f"{agg}_volume"), F.col("days").alias("trading_days"), "status"]
+    return ranked.select(*columns).unionByName(rest.select(*columns))
+
+
 def rate_changes(requests: DataFrame, rates: DataFrame, key: str = "series_key", date: str = "effective_date") -> DataFrame:
     """Record, change and hold counts, the net move and the levels around each request's window."""
     asked = checkpointed(clamped(requests, rates, key, date))

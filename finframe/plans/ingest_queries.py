@@ -156,29 +156,44 @@ def _(spark, d):
     return shaped(kept)
 
 
-def _ragged_file(spark, d):
-    """The decision lines of one series, every fifth with a field too many."""
+# three orders of columns; the files of the series take one each
+_ORDERS = (("Effective Date", "Change % points", "Cash rate target%"), ("Cash rate target%", "Effective Date", "Change % points"), ("Change % points", "Note", "Cash rate target%", "Effective Date"))
+_ORDER_SQL = "CASE CAST(left(series_key, 1) AS INTEGER) % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
+
+
+def _ragged_files(spark, d):
+    """The decision lines of every series, in one of three orders of columns, every fifth month's with a field too many."""
     path = scratch_path(spark, "rates-ragged")
-    rates = views.rates(spark, d).where("series_key = '1-URGENT'")
-    line = F.concat_ws(",", F.date_format("effective_date", "d MMM yyyy"), F.format_string("%+.2f", F.col("change_bp") / 100.0), F.format_string("%.2f", F.col("target_bp") / 100.0))
+    cell = {
+        "Effective Date": F.date_format("effective_date", "d MMM yyyy"), "Change % points": F.format_string("%+.2f", F.col("change_bp") / 100.0),
+        "Cash rate target%": F.format_string("%.2f", F.col("target_bp") / 100.0), "Note": F.lit('"a, b"')}
+    order = F.substring("series_key", 1, 1).cast("int") % 3
+
+    def by_order(texts):
+        return F.when(order == 0, texts[0]).when(order == 1, texts[1]).otherwise(texts[2])
+
+    rates = views.rates(spark, d)
+    line = by_order([F.concat_ws(",", *[cell[n] for n in names]) for names in _ORDERS])
     line = F.when(F.month("effective_date") % 5 == 0, F.concat(line, F.lit(",surplus"))).otherwise(line)
-    lines = rates.select(F.lit(1).alias("o"), line.alias("value")).unionByName(spark.range(1).select(F.lit(0).alias("o"), F.lit("Effective Date,Change % points,Cash rate target%").alias("value")))
-    lines.coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    heads = rates.select("series_key").distinct().select("series_key", F.lit(0).alias("o"), by_order([F.lit(",".join(names)) for names in _ORDERS]).alias("value"))
+    # a series has a line per month and one file, with its header on top
+    lines = rates.select("series_key", F.lit(1).alias("o"), line.alias("value")).unionByName(heads)
+    lines.repartition("series_key").sortWithinPartitions("series_key", "o").select("series_key", "value").write.partitionBy("series_key").text(path)
     return path
 
 
-@query(
-    "ingest_ragged_lines",
-    with_views(v.RATES, """SELECT strftime(effective_date, '%-d %b %Y') || ',' || printf('%+.2f', change_bp / 100.0) || ',' || printf('%.2f', target_bp / 100.0) || ',surplus' AS line
-       FROM rates WHERE series_key = '1-URGENT' AND month(effective_date) % 5 = 0"""),
-)
+_D, _CH, _L = "strftime(effective_date, '%-d %b %Y')", "printf('%+.2f', change_bp / 100.0)", "printf('%.2f', target_bp / 100.0)"
+_LINE_SQL = _ORDER_SQL.format(f"{_D} || ',' || {_CH} || ',' || {_L}", f"{_L} || ',' || {_D} || ',' || {_CH}", f"""{_CH} || ',"a, b",' || {_L} || ',' || {_D}""")
+
+
+@query("ingest_ragged_lines", with_views(v.RATES, f"SELECT series_key, {_LINE_SQL} || ',surplus' AS line FROM rates WHERE month(effective_date) % 5 = 0"))
 def _(spark, d):
-    return ingest.rates_text(spark, _ragged_file(spark, d))[1]
+    return ingest.rates_text(spark, _ragged_files(spark, d))[1]
 
 
-@query("ingest_ragged_rows", with_views(v.RATES, "SELECT '1-URGENT' AS series_key, CAST(effective_date AS VARCHAR) AS effective_date, target_bp, change_bp FROM rates WHERE series_key = '1-URGENT'"))
+@query("ingest_ragged_rows", with_views(v.RATES, "SELECT series_key, CAST(effective_date AS VARCHAR) AS effective_date, target_bp, change_bp FROM rates"))
 def _(spark, d):
-    return shaped(ingest.read_rates_csv(spark, _ragged_file(spark, d), "1-URGENT")[0])
+    return shaped(ingest.read_rates_csv(spark, _ragged_files(spark, d))[0])
 
 
 @query("ingest_plain_parquet", with_views(v.RATES, "SELECT series_key, CAST(effective_date AS VARCHAR) AS effective_date, target_bp, change_bp FROM rates"))
@@ -221,9 +236,10 @@ def _records(spark, d, form):
         rows.write.json(path)
     else:
         item = F.struct("s_suppkey", "s_name")
-        per_file = rows.groupBy((F.col("s_suppkey") % 4).alias("k")).agg(F.collect_list(item).alias("items"))
+        # at most a hundred records a file, however many there are
+        per_file = rows.groupBy(F.expr("s_suppkey div 100").alias("k")).agg(F.collect_list(item).alias("items"))
         text = F.to_json(F.struct("items")) if form == "object" else F.to_json("items")
-        per_file.select(text.alias("value"), "k").repartition(4, "k").write.partitionBy("k").text(path)
+        per_file.select(text.alias("value"), "k").repartition("k").write.partitionBy("k").text(path)
     return path
 
 
@@ -236,7 +252,7 @@ def _record_query(form):
         return found.select("s_suppkey", "s_name")
 
 
-for _form in ("lines", "object"):
+for _form in ("lines", "object", "list"):
     _record_query(_form)
 
 

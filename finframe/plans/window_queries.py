@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from finframe.functions.scalars import shaped
 from finframe.operators import prices as px
+from finframe.operators import text as tx
 from finframe.operators import windows as op
 from finframe.plans import sqlviews as v
 from finframe.plans.base import query, with_views
@@ -180,3 +181,71 @@ def _cycles(name, direction, select, order):
 _cycles("rate_largest_cycle_requests", "tightening", "largest", "abs(cumulative_bp) DESC, s")
 _cycles("rate_longest_cycle_requests", "easing", "most_moves", "move_count DESC, s")
 _cycles("rate_latest_cycle_requests", "easing", "latest", "s DESC")
+
+
+@query(
+    "price_volume_rank_requests",
+    with_views(
+        v.PRICES_BIG,
+        """, req AS (SELECT o_orderkey AS request_id, CAST(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 50 AS INTEGER) AS DATE) AS start, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 - 60 AS INTEGER) AS DATE) AS "end",
+            CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE ['Brand#' || (o_custkey % 26), 'Brand#1', 'Brand#2', 'Brand#1'] END AS tickers FROM orders WHERE o_orderpriority = '1-URGENT'),
+        every AS (SELECT DISTINCT ticker FROM prices), asked AS (SELECT request_id, start, "end", unnest(list_distinct(tickers)) AS ticker FROM req WHERE tickers IS NOT NULL
+          UNION ALL SELECT request_id, start, "end", ticker FROM req, every WHERE tickers IS NULL),
+        got AS (SELECT request_id, a.ticker, sum(volume) AS v, count(*) AS n FROM asked a JOIN prices p ON p.ticker = a.ticker AND p.date BETWEEN start AND "end" GROUP BY 1, 2)
+        SELECT request_id, CAST(start AS VARCHAR) AS start, CAST("end" AS VARCHAR) AS "end", ticker, CASE WHEN v IS NOT NULL THEN row_number() OVER (PARTITION BY request_id ORDER BY v DESC NULLS LAST, ticker) END AS rank,
+          CAST(v AS BIGINT) AS total_volume, n AS trading_days, CASE WHEN ticker NOT IN (SELECT ticker FROM every) THEN 'UNKNOWN_TICKER' WHEN start > "end" THEN 'DATE_RANGE_INVALID' WHEN v IS NULL THEN 'NO_MATCHING_RECORDS' ELSE 'ok' END AS status
+        FROM asked LEFT JOIN got USING (request_id, ticker)""",
+    ),
+)
+def _(spark, d):
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    brand = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 26).cast("string"))
+    asked = views.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(
+        key.alias("request_id"), F.date_sub(day, (key % 50).cast("int")).alias("start"), F.date_add(day, (key % 90 - 60).cast("int")).alias("end"),
+        F.when(key % 3 != 0, F.array(brand, F.lit("Brand#1"), F.lit("Brand#2"), F.lit("Brand#1"))).alias("tickers"))
+    return shaped(op.volume_ranks(asked, views.prices_big(spark, d)))
+
+
+# patterns of one and two words of the benchmark, some signs, and one that no article holds
+_PATTERNS = """, pats AS (SELECT DISTINCT pattern FROM (
+  SELECT split_part(text, ' ', 2) AS pattern FROM benchmark UNION ALL SELECT split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4) FROM benchmark
+  UNION ALL SELECT upper(split_part(text, ' ', 5)) FROM benchmark UNION ALL SELECT unnest(['.', 'no such words', '(a)', ', the'])) WHERE pattern <> ''),
+edges AS (SELECT pattern, '(?i)' || CASE WHEN regexp_matches(pattern, '^[A-Za-z0-9_]') THEN '(^|[^A-Za-z0-9_])' ELSE '' END || regexp_escape(pattern) || CASE WHEN regexp_matches(pattern, '[A-Za-z0-9_]$') THEN '($|[^A-Za-z0-9_])' ELSE '' END AS re FROM pats),
+hits AS (SELECT pattern, article_id, publication_date FROM edges JOIN articles ON regexp_matches(all_text, re))"""
+
+
+def _patterns(spark, d):
+    word = F.split("text", " ")
+    rows = views.table(spark, d, "benchmark").select(F.explode(F.array(
+        F.get(word, 1), F.concat_ws(" ", F.get(word, 2), F.get(word, 3)), F.upper(F.get(word, 4)), F.lit("."), F.lit("no such words"), F.lit("(a)"), F.lit(", the"))).alias("pattern"))
+    return rows.where("pattern <> ''").distinct()
+
+
+@query(
+    "pattern_table_count",
+    with_views(
+        v.ARTICLES,
+        _PATTERNS + """, c AS (SELECT pattern, count(article_id) AS article_count FROM pats LEFT JOIN hits USING (pattern) GROUP BY 1)
+        SELECT pattern, article_count, (SELECT count(*) FROM articles) AS articles_in_window, row_number() OVER (ORDER BY article_count DESC, pattern) AS rank FROM c""",
+    ),
+)
+def _(spark, d):
+    return tx.pattern_table_count(views.spread(views.articles(spark, d), "article_id"), _patterns(spark, d))
+
+
+@query(
+    "article_count_requests",
+    with_views(
+        v.ARTICLES,
+        _PATTERNS + """, req AS (SELECT row_number() OVER (ORDER BY pattern) AS request_id, pattern, CAST(DATE '2014-10-01' + CAST(length(pattern) * 211 % 2400 AS INTEGER) AS DATE) AS start FROM pats),
+        r AS (SELECT *, CAST(start + CAST(ascii(pattern) * 37 % 900 - 30 AS INTEGER) AS DATE) AS "end" FROM req),
+        c AS (SELECT request_id, count(*) AS n, min(publication_date) AS a, max(publication_date) AS b FROM r JOIN hits USING (pattern) WHERE publication_date BETWEEN start AND "end" GROUP BY 1)
+        SELECT pattern, CAST(start AS VARCHAR) AS start, CAST("end" AS VARCHAR) AS "end", coalesce(n, 0) AS article_count, CAST(a AS VARCHAR) AS earliest, CAST(b AS VARCHAR) AS latest,
+          CASE WHEN start > "end" THEN 'DATE_RANGE_INVALID' WHEN n IS NULL THEN 'NO_MATCHING_RECORDS' ELSE 'ok' END AS status FROM r LEFT JOIN c USING (request_id)""",
+    ),
+)
+def _(spark, d):
+    first = F.date_add(F.lit("2014-10-01").cast("date"), (F.length("pattern") * 211 % 2400).cast("int"))
+    asked = _patterns(spark, d).withColumn("start", first).withColumn("end", F.date_add("start", (F.ascii("pattern") * 37 % 900 - 30).cast("int")))
+    out = tx.date_counts(views.spread(views.articles(spark, d), "article_id"), asked)
+    return shaped(out.select("pattern", "start", "end", "article_count", "earliest", "latest", "status"))

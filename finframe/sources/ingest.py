@@ -6,7 +6,7 @@ and leaves counting to ``ingest_report``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from finframe.functions.scalars import NORMAL_DATE_FORMATS, iso, parse_date, pct_to_bp
 from finframe.operators.ordering import row_numbers
+from finframe.session import checkpointed
 
 
 def _text_schema(names: Sequence[str], corrupt: str | None = None) -> T.StructType:
@@ -49,17 +50,50 @@ def csv_text(spark: SparkSession, path: str, names: Sequence[str]) -> tuple[Data
     return rows.drop("_line"), ragged
 
 
+def csv_by_name(spark: SparkSession, path: str, columns: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, ragged lines) of files that each name their columns in their own order.
+
+    ``columns`` maps names in the files to names in the rows.  The first line of
+    every file is a row of its own here, joined back to the file's lines, so
+    fields are bound by name and file.  Columns that are not asked for are
+    dropped, and so are the extra fields of ragged lines, whose number of fields
+    differs from their header's.  Quoted fields may not hold line ends.
+    """
+    scan = spark.read.text(path)
+    folders = [c for c in scan.columns if c != "value"]
+    # the lines of one file come in order, and only its first block holds its first line
+    lines = scan.select(
+        "*", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_top"),
+        F.monotonically_increasing_id().alias("_line")).where(F.trim("value") != "")
+    first = lines.where("_top").groupBy("_file").agg(F.min(F.struct("_line", "value")).alias("_h"))
+    commas = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
+    fields = F.length(commas) - F.length(F.regexp_replace(commas, ",", "")) + 1
+    headers = checkpointed(first.select("_file", F.col("_h.value").alias("value"), F.col("_h._line").alias("_first")).withColumn("_width", fields))
+    width = headers.agg(F.max("_width")).collect()[0][0] or 1
+
+    def cells(line: Column) -> Column:
+        row = F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
+        return F.array(*[row[f"c{i}"] for i in range(width)])
+
+    names = F.transform(cells(F.regexp_replace("value", "^\ufeff", "")), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    headers = headers.select("_file", "_first", "_width", names.alias("_names"))
+    missing = F.filter(F.array(*[F.lit(c) for c in columns]), lambda c: ~F.array_contains("_names", c))
+    lacking = headers.where(F.size(missing) > 0).select("_file", missing.alias("m")).limit(1).collect()
+    if lacking:
+        raise ValueError(f"the file {lacking[0]['_file']} lacks the columns {lacking[0]['m']}")
+    body = lines.join(headers, "_file").where(F.col("_line") != F.col("_first"))
+    held = body.withColumn("_cells", cells(F.col("value")))
+    rows = held.select(*folders, *[F.element_at("_cells", F.array_position("_names", F.lit(c)).cast("int")).alias(n) for c, n in columns.items()])
+    return rows, body.where(fields != F.col("_width")).select(*folders, F.col("value").alias("line"))
+
+
 # The columns of the raw decision file.
 RATE_COLUMNS = {"Effective Date": "day", "Change % points": "change", "Cash rate target%": "level"}
 
 
 def rates_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, ragged lines) of a decision file, with its columns found by their names in any order."""
-    header = csv_header(spark, path)
-    missing = [c for c in RATE_COLUMNS if c not in header]
-    if missing:
-        raise ValueError(f"the file lacks the columns {missing}; it has {header}")
-    return csv_text(spark, path, [RATE_COLUMNS.get(c, c) for c in header])
+    """(rows, ragged lines) of decision files, with the columns of each file found by their names in any order."""
+    return csv_by_name(spark, path, RATE_COLUMNS)
 
 
 def read_rates_csv(spark: SparkSession, path: str, series_key: str | None = None) -> tuple[DataFrame, DataFrame]:
