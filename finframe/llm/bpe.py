@@ -9,10 +9,11 @@ the input to save encoding a fifth of it.)
 
 A cut may fall inside a word, so joins are repaired.  A chunk is encoded in
 parts, split in front of white space that follows something else, where no token
-reaches across.  At each join the last part before it and the first one after
-it are encoded again as one.  If that agrees with what the two chunks had, the
-chunks' own ids stand; if not, the new ids replace them; and as long as the
-part after the join reaches the end of its chunk, the next chunk is drawn in.
+reaches across.  At each join the last part before it and the first one after it
+are encoded again as one, and as long as that part reaches the end of its chunk
+the next chunk is drawn in.  Outside of the joined part no id can change, as no
+token reaches across its ends; so agreement there holds by construction and is
+not compared, and a chunk's memo keeps no ids for its two end parts.
 
 Defined results: a null text is encoded as empty, with no ids.  Special strings
 in a text become special ids, as the library does by default.  Repeated rows are

@@ -17,7 +17,7 @@ the join back lets Spark choose by their size.
 
 Defined results: a null text has no words and counts 0.  ``base_failed`` rows are
 not kept and take no part in the estimates.  A group of
-any size from ``LEAST`` has its own estimate.  A floor under each coordinate's
+any size has its own estimate.  A floor under each coordinate's
 deviation keeps a coordinate without spread, as in small groups, from rejecting
 what barely differs.  Where half of a group or more is junk of one kind (so a
 group of one or two rows with one of junk), the estimate cannot tell which is

@@ -15,7 +15,8 @@ one file per task.
 
 Defined results: an empty document (or a null text) counts 0 tokens; tokens
 after the last separator are a last document that is not closed; an empty file,
-or none, gives no rows; a file of an odd number of bytes is an error.
+or none, gives no rows; a file of an odd number of bytes is an error, and so is
+an id that 16 bits do not hold.
 """
 
 from __future__ import annotations
@@ -34,6 +35,13 @@ SEPARATOR = 50256
 BLOCK = 1 << 20  # bytes
 
 
+def narrowed(ids: np.ndarray) -> bytes:
+    """Ids as big-endian 16-bit numbers; an id that does not fit is an error."""
+    if len(ids) and ids.max() >= 1 << 16:
+        raise OverflowError(f"the id {ids.max()} does not fit 16 bits")
+    return ids.astype(">u2").tobytes()
+
+
 def write_flat(docs: DataFrame, folder: str, tokenizer_path: str, *, text_col: str = "text", separator: int = SEPARATOR) -> None:
     """Write the documents' ids as flat files, one per partition, in the order of the rows.
 
@@ -47,7 +55,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer_path: str, *, text_col: s
         encode = byte_ids(tokenizer_path, False).encode_all
         for batch in portions(batches, text_col):
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            ids = [np.frombuffer(i, np.uint32).astype(">u2").tobytes() + bytes([high]) for i in encode(texts)]
+            ids = [narrowed(np.frombuffer(i, np.uint32)) + bytes([high]) for i in encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     rows = docs.select(F.col(text_col)).mapInArrow(flat, "ids binary")

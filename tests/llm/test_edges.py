@@ -3,6 +3,7 @@
 import math
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -195,7 +196,7 @@ def test_quality_edges(spark):
     rows = quality.judge(df).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert {r.doc_id: tuple(r[n] for n in names) for r in rows} == {i: brute.base(t) for i, t in enumerate(texts)}
-    assert all(r.kept == (not r.base_failed) and r.distance is None for r in rows)  # too few rows for an estimate
+    assert all(r.kept == (not r.base_failed) and r.distance is None for r in rows)  # one row past the base rules is its own centre
     assert quality.judge(df.limit(0)).count() == 0
 
 
@@ -399,3 +400,9 @@ def test_chunks_are_shared_and_joins_repaired():
     assert len(first & set(coder._chunks(texts[1]))) >= len(first) - 3
     assert coder.encode_all(texts) == [coder.ids.library(t) for t in texts]
     assert any(c[0] != " " for c in coder._chunks(texts[0])[1:])  # cuts fall inside words, too
+
+
+def test_an_id_beyond_16_bits_is_an_error():
+    assert tokencount.narrowed(np.array([1, 65535], np.uint32)) == b"\x00\x01\xff\xff" and tokencount.narrowed(np.array([], np.uint32)) == b""
+    with pytest.raises(OverflowError):
+        tokencount.narrowed(np.array([65536], np.uint32))
