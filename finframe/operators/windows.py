@@ -67,7 +67,7 @@ def pieces(windows: DataFrame, key: str) -> DataFrame:
     return cut.withColumn("_at", F.call_function("shiftleft", F.col("_block"), F.col("_level")))
 
 
-def _answered(asked: DataFrame, found: DataFrame, key: str, columns: Sequence[str], kept: Sequence[str]) -> DataFrame:
+def answered(asked: DataFrame, found: DataFrame, key: str, columns: Sequence[str], kept: Sequence[str]) -> DataFrame:
     """The requests with what was found for their windows."""
     out = asked.join(found.withColumn("_found", F.lit(True)), [key, "_s", "_e"], "left")
     status = F.when((F.col("status") == OK) & F.col("_found").isNull(), NO_MATCHING_RECORDS).otherwise(F.col("status"))
@@ -99,7 +99,7 @@ def extremes(
     found = met.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= n)
     found = found.select(key, "_s", "_e", "rank", F.col("_row._date").alias("_date"), F.col("_value"), *[F.col("_row")[c].alias(f"_c_{c}") for c in carry])
     columns = ["rank", F.col("_date").alias("date"), F.col("_value").alias("value"), *[F.col(f"_c_{c}").alias(c) for c in carry]]
-    return _answered(asked, found, key, columns, requests.columns)
+    return answered(asked, found, key, columns, requests.columns)
 
 
 def price_extremes(requests: DataFrame, prices: DataFrame, field: str = "close", direction: str = "highest", n: int = 1) -> DataFrame:
@@ -133,7 +133,7 @@ def rate_extremes(requests: DataFrame, rates: DataFrame, direction: str = "highe
     columns = [
         bp_to_pct(F.col("target_bp")).alias("target_pct"), F.date_from_unix_date("_first").alias("first_effective_date"),
         F.date_from_unix_date("_last").alias("last_effective_date"), F.col("_held").alias("record_count"), F.col("_used").alias("records_used")]
-    return _answered(asked, found, key, columns, requests.columns)
+    return answered(asked, found, key, columns, requests.columns)
 
 
 _FALL = "struct<fall: double, day: int, peak: double, peak_day: int, trough: double>"
@@ -205,7 +205,7 @@ def drawdowns(requests: DataFrame, prices: DataFrame, basis: str = "close", key:
         decimal_to_pct(F.col("fall")).alias("max_drawdown_pct"), F.date_from_unix_date("peak_day").alias("peak_date"), round4(F.col("peak")).alias("peak_price"),
         F.date_from_unix_date("day").alias("trough_date"), round4(F.col("trough")).alias("trough_price"), (F.col("day") - F.col("peak_day")).cast("bigint").alias("drawdown_days"),
         F.date_from_unix_date("_recovery").alias("recovery_date"), F.col("days").alias("records_used")]
-    return _answered(asked, found, key, columns, requests.columns)
+    return answered(asked, found, key, columns, requests.columns)
 
 
 def totals(requests: DataFrame, series: DataFrame, sums: Mapping[str, str], *, key: str = "ticker", date: str = "date") -> DataFrame:
@@ -218,22 +218,27 @@ def totals(requests: DataFrame, series: DataFrame, sums: Mapping[str, str], *, k
     blocks = in_blocks(rows).groupBy(key, *_BLOCK).agg(*merged)
     found = pieces(asked, key).join(blocks, [key, *_BLOCK]).groupBy(key, "_s", "_e").agg(*merged)
     columns = [*[F.col(f"_s_{n}").alias(n) for n in sums], F.date_from_unix_date("_first").alias("earliest"), F.date_from_unix_date("_last").alias("latest"), F.col("_days").alias("days")]
-    return _answered(asked, found, key, columns, requests.columns)
+    return answered(asked, found, key, columns, requests.columns)
 
 
-def volume_ranks(requests: DataFrame, prices: DataFrame, agg: str = "total") -> DataFrame:
-    """``requests(request_id, start, end, tickers)``: the asked tickers (all that there are, where none is named) ranked by volume in each window.
-
-    A ticker without rows in the window, or an unknown one, keeps its row with a
-    status and no rank.  Requests are ranked in sorted ranges, none in one task.
-    """
+def asked_tickers(requests: DataFrame, prices: DataFrame) -> DataFrame:
+    """``requests(request_id, start, end, tickers)`` by ticker; all that there are, where a request names none."""
     every = prices.select("ticker").distinct()
     named = requests.where(F.size("tickers") > 0).select("request_id", "start", "end", F.explode(F.array_distinct("tickers")).alias("ticker"))
     # all tickers of an open request, by equality on a constant that the requests are salted with
     salts = 32
     open_ = requests.where(F.coalesce(F.size("tickers"), F.lit(0)) <= 0).withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int"))
     spread = every.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = named.unionByName(open_.join(spread, "_salt").select("request_id", "start", "end", "ticker"))
+    return named.unionByName(open_.join(spread, "_salt").select("request_id", "start", "end", "ticker"))
+
+
+def volume_ranks(requests: DataFrame, prices: DataFrame, agg: str = "total") -> DataFrame:
+    """``requests(request_id, start, end, tickers)``: the asked tickers (all that there are, where none is named) ranked by volume in each window.
+
+    A ticker without rows in the window, or an unknown one, keeps its row with a
+    status and no rank.  Requests are ranked in sorted ranges, none in one task.
+    """
+    asked = asked_tickers(requests, prices)
     out = totals(asked, prices.where(F.col("volume").isNotNull()), {"volume": "volume"})
     value = F.col("volume") if agg == "total" else F.round(F.col("volume") / F.col("days")).cast("bigint")
     out = checkpointed(out.withColumn("volume", value))
@@ -257,7 +262,7 @@ def rate_changes(requests: DataFrame, rates: DataFrame, key: str = "series_key",
     columns = [
         *counts, bp_to_pct(F.col("cumulative_bp")).alias("cumulative_pct"), bp_to_pct(F.col("_first.bp")).alias("rate_before_pct"), bp_to_pct(F.col("_last.bp")).alias("rate_after_pct"),
         F.date_from_unix_date("_first.day").alias("window_start"), F.date_from_unix_date("_last.day").alias("window_end")]
-    return _answered(asked, found, key, columns, requests.columns)
+    return answered(asked, found, key, columns, requests.columns)
 
 
 _MOVE = "struct<day: int, bp: bigint>"
@@ -287,7 +292,7 @@ def longest_holds(requests: DataFrame, rates: DataFrame, kind: str = "any_change
     columns = [
         F.date_from_unix_date("_b.from.day").alias("start_date"), F.date_from_unix_date("_b.to.day").alias("end_date"),
         bp_to_pct(F.col("_b.from.bp")).alias("rate_during_pct"), bp_to_pct(F.col("_b.to.bp")).alias("rate_after_pct"), (-F.col("_b.short")).cast("bigint").alias("gap_days")]
-    return _answered(asked, found, key, columns, requests.columns)
+    return answered(asked, found, key, columns, requests.columns)
 
 
 _RUN = "struct<up: boolean, moves: bigint, sum: bigint, from: int, to: int, before: bigint, after: bigint>"
@@ -352,4 +357,4 @@ def rate_cycles(
         F.col("_r.moves").alias("move_count"), F.date_from_unix_date("_r.from").alias("start_date"), F.date_from_unix_date("_r.to").alias("end_date"),
         (F.col("_r.to") - F.col("_r.from")).cast("bigint").alias("duration_days"), "cycles_found", bp_to_pct(F.col("_r.sum")).alias("cumulative_pct"),
         bp_to_pct(F.col("_r.before")).alias("rate_before_pct"), bp_to_pct(F.col("_r.after")).alias("rate_after_pct")]
-    return _answered(asked, found, key, columns, requests.columns)
+    return answered(asked, found, key, columns, requests.columns)

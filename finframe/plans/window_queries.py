@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from finframe.functions.scalars import shaped
+from finframe.functions.scalars import round4, shaped
+from finframe.operators import orderstats as st
 from finframe.operators import prices as px
 from finframe.operators import text as tx
 from finframe.operators import windows as op
@@ -206,6 +207,68 @@ def _(spark, d):
     return shaped(op.volume_ranks(asked, views.prices_big(spark, d)))
 
 
+def _cents(spark, d, field="close"):
+    """Prices as exact decimals, so sums do not depend on their order."""
+    return views.prices_big(spark, d).withColumn(field, F.col(field).cast("decimal(18,2)"))
+
+
+# averages are rounded half-up on whole cents
+_CENTS = "CAST(round({0} * 100) AS HUGEINT)"
+_AVG4 = "CAST((2 * 10000 * sum({c}) + 100 * count(*)) // (200 * count(*)) AS DOUBLE) / 10000"
+_DEV4 = "round(sqrt(CAST(count(*) * sum({c} * {c}) - sum({c}) * sum({c}) AS DOUBLE)) / count(*) / 100, 4)"
+
+
+@query(
+    "price_stat_requests",
+    with_views(
+        v.PRICES_BIG,
+        f"""{_REQ}, hit AS (SELECT request_id, close, {_CENTS.format('close')} AS c FROM req JOIN prices p ON {_INSIDE}),
+        got AS (SELECT request_id, count(*) AS days, {_AVG4.format(c='c')} AS avg, min(close) AS min, max(close) AS max, median(close) AS median, {_DEV4.format(c='c')} AS stddev, CAST(sum(c) AS DOUBLE) / 100 AS sum FROM hit GROUP BY 1)
+        SELECT {_ASKED}, avg, min, max, round(median, 4) AS median, stddev, sum, days AS value_count, days, {_STATUS.format(found='days')} FROM req LEFT JOIN got USING (request_id) LEFT JOIN cover USING (ticker)""",
+    ),
+)
+def _(spark, d):
+    out = st.window_stats(_requests(spark, d), _cents(spark, d), "close")
+    return shaped(out.withColumns({c: round4(F.col(c).cast("double")) for c in st.AGGREGATES}))
+
+
+_GROUP_REQ = """, req AS (SELECT o_orderkey AS request_id, CAST(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 50 AS INTEGER) AS DATE) AS start, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 - 60 AS INTEGER) AS DATE) AS "end",
+    CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE ['Brand#' || (o_custkey % 26), 'Brand#1', 'Brand#2', 'Brand#1'] END AS tickers, CASE WHEN o_orderkey % 5 > 0 THEN 'Brand#' || (o_custkey % 4) END AS compare_to FROM orders WHERE o_orderpriority = '1-URGENT'),
+  every AS (SELECT DISTINCT ticker FROM prices), asked AS (SELECT request_id, start, "end", unnest(list_distinct(tickers)) AS ticker FROM req WHERE tickers IS NOT NULL
+    UNION ALL SELECT request_id, start, "end", ticker FROM req, every WHERE tickers IS NULL)"""
+
+
+def _group_requests(spark, d):
+    """One window per urgent order, for a few tickers or all, some against one of them."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    brand = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 26).cast("string"))
+    return views.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(
+        key.alias("request_id"), F.date_sub(day, (key % 50).cast("int")).alias("start"), F.date_add(day, (key % 90 - 60).cast("int")).alias("end"),
+        F.when(key % 3 != 0, F.array(brand, F.lit("Brand#1"), F.lit("Brand#2"), F.lit("Brand#1"))).alias("tickers"),
+        F.when(key % 5 > 0, F.concat(F.lit("Brand#"), (F.col("o_custkey") % 4).cast("string"))).alias("compare_to"))
+
+
+def _stat_ranks(agg, sql):
+    @query(
+        f"price_stat_rank_{agg}_requests",
+        with_views(
+            v.PRICES_BIG,
+            f"""{_GROUP_REQ}, got AS (SELECT request_id, a.ticker, {sql} AS value, count(*) AS trading_days FROM asked a JOIN (SELECT *, {_CENTS.format('close')} AS c FROM prices) p ON p.ticker = a.ticker AND p.date BETWEEN start AND "end" GROUP BY 1, 2),
+            r AS (SELECT a.*, value, trading_days, CASE WHEN value IS NOT NULL THEN row_number() OVER (PARTITION BY request_id ORDER BY value DESC NULLS LAST, ticker) END AS rank,
+              CASE WHEN ticker NOT IN (SELECT ticker FROM every) THEN 'UNKNOWN_TICKER' WHEN start > "end" THEN 'DATE_RANGE_INVALID' WHEN value IS NULL THEN 'NO_MATCHING_RECORDS' ELSE 'ok' END AS status FROM asked a LEFT JOIN got USING (request_id, ticker)),
+            anchor AS (SELECT q.request_id, compare_to, value AS anchor_value, coalesce(status, 'UNKNOWN_TICKER') AS anchor_status FROM req q LEFT JOIN r ON r.request_id = q.request_id AND r.ticker = compare_to WHERE compare_to IS NOT NULL)
+            SELECT r.request_id, CAST(start AS VARCHAR) AS start, CAST("end" AS VARCHAR) AS "end", ticker, rank, value, trading_days, status, compare_to, anchor_value, anchor_status, value > anchor_value AS above, value < anchor_value AS below
+            FROM r LEFT JOIN anchor USING (request_id)""",
+        ),
+    )
+    def _(spark, d):
+        return shaped(st.stat_ranks(_group_requests(spark, d), _cents(spark, d), "close", agg))
+
+
+_stat_ranks("median", "round(median(close), 4)")
+_stat_ranks("stddev", _DEV4.format(c="c"))
+
+
 # patterns of one and two words of the benchmark, some signs, and one that no article holds
 _PATTERNS = """, pats AS (SELECT DISTINCT pattern FROM (
   SELECT split_part(text, ' ', 2) AS pattern FROM benchmark UNION ALL SELECT split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4) FROM benchmark

@@ -53,6 +53,7 @@ def difference(got, want):
         return f"columns {got[0]} != {want[0]}"
     if got[1] == want[1]:
         return None
-    only_got = [r for r in got[1] if r not in set(want[1])][:2]
-    only_want = [r for r in want[1] if r not in set(got[1])][:2]
+    in_got, in_want = set(got[1]), set(want[1])
+    only_got = [r for r in got[1] if r not in in_want][:2]
+    only_want = [r for r in want[1] if r not in in_got][:2]
     return f"rows {len(got[1])} vs {len(want[1])}\n   spark {only_got}\n   oracle {only_want}"
