@@ -31,6 +31,11 @@ def series(spark, rows):
     return spark.createDataFrame(rows, "ticker string, date date, v double").repartition(5)
 
 
+@pytest.fixture(scope="module")
+def index(series):
+    return st.rank_index(series, "v")
+
+
 @pytest.fixture(scope="module")
 def asked():
     draw = random.Random(12)
@@ -45,9 +50,9 @@ def inside(rows, key, start, end):
     return [r[2] for r in rows if r[0] == key and (start is None or r[1] >= start) and (end is None or r[1] <= end)]
 
 
-def test_all_aggregates(spark, rows, series, asked):
+def test_all_aggregates(spark, rows, series, asked, index):
     requests = spark.createDataFrame(asked, "id int, ticker string, start date, end date")
-    got = {r.id: r for r in st.window_stats(requests, series, "v").collect()}
+    got = {r.id: r for r in st.window_stats(requests, series, "v", index=index).collect()}
     assert len(got) == len(asked)
     for i, key, start, end in asked:
         every = inside(rows, key, start, end)
@@ -68,8 +73,7 @@ def test_all_aggregates(spark, rows, series, asked):
             assert (r.avg, r.stddev) == (pytest.approx(statistics.fmean(known)), pytest.approx(statistics.pstdev(known), abs=1e-9))
 
 
-def test_every_place_of_a_window(spark, rows, series):
-    index = st.rank_index(series, "v")
+def test_every_place_of_a_window(spark, rows, index):
     first = dt.date(1970, 1, 1)
     s, e = (day(40) - first).days, (day(333) - first).days
     want = sorted(inside(rows, "k0", day(40), day(333)))
