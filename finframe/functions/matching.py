@@ -54,7 +54,7 @@ def literal_regex_of(pattern: Column) -> Column:
 def word_runs(text: Column) -> Column:
     """Distinct lower-case runs of word characters, also of letters that case-blind matching takes for plain ones."""
     found = F.regexp_extract_all(text, F.lit(f"[{_WORD}]+"), F.lit(0))
-    alike = F.when(text.rlike("[İıſK]"), F.regexp_extract_all(F.translate(text, "İıſK", "iisk"), F.lit(f"[{_WORD}]+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    alike = F.when(text.rlike("[\u0130\u0131\u017f\u212a]"), F.regexp_extract_all(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"), F.lit(f"[{_WORD}]+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.transform(F.concat(found, alike), F.lower))
 
 

@@ -21,6 +21,7 @@ from finframe.operators import rates as rt
 from finframe.operators import text as tx
 from finframe.operators.align import DATE_OUTSIDE_COVERAGE, OK, in_coverage
 from finframe.operators.ordering import row_numbers
+from finframe.operators.phrases import PhraseIndex, phrase_search
 from finframe.session import checkpointed
 
 
@@ -140,9 +141,12 @@ def literal_queries(spark, queries: Sequence[str]) -> DataFrame:
 
 def news_rate_context(
     articles: DataFrame, index: tx.TextIndex, rates: DataFrame, queries: Sequence[str], limit: int | None = None,
-    start: str | None = None, end: str | None = None, excerpt: int = 600,
+    start: str | None = None, end: str | None = None, excerpt: int = 600, phrases: PhraseIndex | None = None,
 ) -> DataFrame:
-    """BM25 articles per query, whole-word matches for queries without any, and the rate on each day."""
+    """BM25 articles per query, whole-word matches for queries without any, and the rate on each day.
+
+    With an index of places the matches come from its postings, else from the texts of the window.
+    """
     asked = literal_queries(articles.sparkSession, queries)
     # a few rows per query, read twice below
     ranked = checkpointed(tx.retrieve(articles, index, asked, limit, start, end, excerpt))
@@ -153,6 +157,11 @@ def news_rate_context(
     missed = [(i, q) for i, q in enumerate(queries) if i not in hit]
     if not missed:
         return rate_in_force(found, rates, tx.DAY).join(asked, "query_id")
+    if phrases is not None:
+        # a query may be asked twice
+        held = phrase_search(articles, phrases, [q for _, q in missed], limit, start, end, excerpt)
+        held = held.join(asked.where(F.col("query_id").isin([i for i, _ in missed])), held["pattern"] == asked["query"]).withColumn("score", F.lit(None).cast("double"))
+        return rate_in_force(found.unionByName(held.select(*columns)), rates, tx.DAY).join(asked, "query_id")
     rows = tx.in_dates(articles, start, end)
     tests = F.array(*[F.struct(F.lit(i).alias("query_id"), F.col("_text").rlike(literal_regex(q)).alias("hit")) for i, q in missed])
     literal = (

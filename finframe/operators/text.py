@@ -270,13 +270,8 @@ def read_index(spark, path: str, stemmed: bool = True, stop_words: Sequence[str]
 SALT_ROWS = 200_000  # postings of one term that one task scores
 
 
-def bm25(index: TextIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 of every (query, row) that shares a term.
-
-    ``queries(query_id, query)``.  The asked terms are looked up first; each
-    term's postings are spread over as many parts as its document frequency
-    asks for, so no task takes a whole frequent term.
-    """
+def asked_terms(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """``query_id, term, weight, df`` of ``queries(query_id, query)``: the terms that some row holds."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), list(index.stop_words)))).alias("word"))
     if index.stems is None:
         asked = asked.withColumnRenamed("word", "term")
@@ -284,10 +279,21 @@ def bm25(index: TextIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
         # words the corpus lacks have no postings under any stem of their own spelling, but may share one
         known = asked.join(index.stems, "word", "left")
         asked = known.withColumn("term", F.coalesce("term", stem("word"))).select("query_id", "term").distinct()
-    n, mean = index.stats.select("n").scalar(), index.stats.select("mean").scalar()
+    n = index.stats.select("n").scalar()
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return asked.join(index.terms, "term").select("query_id", "term", weight.alias("weight"), "df")
+
+
+def bm25(index: TextIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Okapi BM25 of every (query, row) that shares a term.
+
+    ``queries(query_id, query)``.  The asked terms are looked up first; each
+    term's postings are spread over as many parts as its document frequency
+    asks for, so no task takes a whole frequent term.
+    """
+    mean = index.stats.select("mean").scalar()
     parts = F.ceil(F.col("df") / SALT_ROWS).cast("int")
-    weighted = asked.join(index.terms, "term").select("query_id", "term", weight.alias("weight"), parts.alias("_parts"))
+    weighted = asked_terms(index, queries).select("query_id", "term", "weight", parts.alias("_parts"))
     terms = weighted.select("term", "_parts").distinct()
     # the parts of a term ride with its postings, which are few after this semi-join
     rows = index.postings.join(terms, "term").withColumn("_salt", F.pmod(F.xxhash64(index.id_col), F.col("_parts")).cast("int")).drop("_parts")
