@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finframe.session import checkpointed
+
 # Status of a request row.
 OK = "ok"
 UNKNOWN_TICKER = "UNKNOWN_TICKER"
@@ -120,6 +122,17 @@ def moved_note(requested: Column, resolved: Column, mode: str) -> Column:
     return F.when(requested != resolved, text)
 
 
+def with_moved_note(rows: DataFrame, requested: str, resolved: str, mode: str = "previous") -> DataFrame:
+    """The rows with ``warning``: where the day that answers is not the day asked for, else NULL."""
+    return rows.withColumn("warning", moved_note(F.col(requested), F.col(resolved), mode))
+
+
+def with_available(rows: DataFrame, series: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    """The rows with the first and the last day that the series has of their key; NULL for unknown keys."""
+    days = series.groupBy(*keys).agg(F.min(date).alias("available_start"), F.max(date).alias("available_end"))
+    return rows.join(days, list(keys), "left")
+
+
 def coverage(df: DataFrame, dataset: str, date: str, keys: Sequence[str] = ()) -> DataFrame:
     """First and last day and row count, per key or for the whole frame."""
     out = df.groupBy(*keys).agg(F.min(date).alias("start"), F.max(date).alias("end"), F.count(F.lit(1)).alias("record_count"))
@@ -223,6 +236,14 @@ def unknown_keys(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
     )
 
 
+def key_report(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Requested keys the dataset does not hold and, if there are any, each key it holds; one row per key."""
+    valid, asked = known.select(key).distinct(), requests.select(key).distinct()
+    unknown = checkpointed(asked.join(valid, key, "left_anti").withColumn("status", F.lit(UNKNOWN_TICKER)))
+    some = unknown.agg(F.count(F.lit(1)) > 0).scalar()
+    return unknown.unionByName(valid.withColumn("status", F.lit("VALID")).where(some))
+
+
 def batch_status(results: DataFrame, status: str = "status") -> DataFrame:
     """ok when all rows are ok, error when none is, else partial."""
     good, total = F.count_if(F.col(status) == OK), F.count(F.lit(1))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finframe.functions.matching import combined, literal_regex, literal_regex_of, tokens, word_runs
+from finframe.functions.scalars import present
 from finframe.functions.stemming import stem
 from finframe.operators import windows
 from finframe.operators.align import NO_MATCHING_RECORDS, OK
@@ -327,3 +328,11 @@ def search_table(
     best = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), index.id_col)
     ranked = bm25(index, queries).join(held, index.id_col).withColumn("rank", F.row_number().over(best).cast("bigint"))
     return (ranked if limit is None else ranked.where(F.col("rank") <= limit)).withColumn("score", F.round("score", 4))
+
+
+def search_notes(index: TextIndex, queries: DataFrame, found: DataFrame) -> DataFrame:
+    """``query_id, query, warnings``: queries that found no row, and that stems were searched, not whole words."""
+    hit = found.select("query_id").distinct().withColumn("_hit", F.lit(True))
+    none = F.when(F.col("_hit").isNull(), F.lit("no row holds a word of the query"))
+    stems = F.lit("found by stems: counts differ from those of whole words" if index.stems is not None else None).cast("string")
+    return queries.join(hit, "query_id", "left").select("query_id", "query", present([none, stems]).alias("warnings"))

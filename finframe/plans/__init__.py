@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _FAMILIES = (
-    "table_queries", "align_queries", "rate_queries", "price_queries", "text_queries", "cross_queries", "curate_queries", "score_queries", "corpus_queries", "ingest_queries", "status_queries", "family_queries", "window_queries", "search_queries",
+    "table_queries", "align_queries", "rate_queries", "price_queries", "text_queries", "cross_queries", "curate_queries", "score_queries", "corpus_queries", "ingest_queries", "status_queries", "family_queries", "window_queries", "search_queries", "warning_queries",
 )
 
 
