@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,10 @@ from finframe.operators import prices as px
 from finframe.operators import rates as rt
 from finframe.operators import text as tx
 from finframe.operators.align import OK
-from finframe.operators.corpus import EXTRAPOLATION, UNANSWERABLE, cases, grid, level, said
+from finframe.operators.corpus import (
+    EXTRAPOLATION, UNANSWERABLE, article_cases, build_records, cases, event_cases, extrapolation_cases, grid, level, price_cases, rate_cases,
+    return_cases, said, unanswerable_price_cases, unsupported_span_cases, year_cases,
+)
 
 KEY = F.col
 
@@ -201,3 +205,43 @@ def full_records(records: DataFrame) -> DataFrame:
         F.concat(F.lit("computed by "), "question_type", F.lit(" over "), F.array_join("datasets", ", ")).alias("derivation_methodology"),
         F.lit("operators").alias("generation_method"), F.lit("verified").alias("verification_status"), grading.alias("grading"),
     )
+
+
+@dataclass(frozen=True)
+class Grid:
+    """The parameters over which the families ask."""
+
+    windows: Sequence[tuple[str, str, str]]  # of returns, ranks and baskets
+    rate_window: tuple[str, str, str]
+    periods: tuple[tuple[str, str], tuple[str, str]]  # compared with one another
+    rate_days: Sequence[str]  # asked for a level, inside the decisions' span or not
+    events: Sequence[str]
+    patterns: Sequence[str]  # counted in articles
+    terms: Sequence[str]  # dated, and looked up first
+    absent: Sequence[str]  # asked where no article may hold them
+    future: Sequence[str]
+    unknown: Sequence[str]  # tickers
+    spans: Sequence[tuple[str, str, str]]  # all datasets are asked to support
+
+
+def every_family(
+    rates: DataFrame, bars: DataFrame, articles: DataFrame, moved_rates: DataFrame, returns: DataFrame, summary: DataFrame, context: DataFrame,
+    covers: Sequence[DataFrame], asked: Grid,
+) -> DataFrame:
+    """One corpus over all families: single datasets, crossed ones, unanswerable and future questions.
+
+    ``returns``, ``summary`` and ``context`` are results of the operators on
+    several datasets; ``moved_rates`` are the decisions that meet the prices.
+    Ids tell the families apart, so no id comes twice.
+    """
+    families = [
+        rate_cases(rates, [asked.rate_window]), cycle_cases(rates), comparison_cases(rates, *asked.periods), rate_at_cases(rates, asked.rate_days),
+        return_cases(bars, asked.windows), price_cases(bars), move_cases(bars), rank_cases(bars, asked.windows), volume_rank_cases(bars),
+        event_window_cases(bars, asked.events), basket_cases(bars, asked.windows), average_cases(bars),
+        article_cases(articles, asked.patterns), date_count_cases(articles, asked.terms), retrieve_cases(articles, asked.terms),
+        event_cases(returns), year_cases(summary), news_cases(context),
+        rate_at_cases(rates, asked.rate_days, "unanswerable"), unanswerable_price_cases(bars, asked.future[:1], asked.unknown),
+        unanswerable_article_cases(articles, asked.absent), unanswerable_event_cases(moved_rates, bars), unsupported_span_cases(covers, asked.spans),
+        extrapolation_cases(bars, rates, asked.future), next_decision_cases(rates), trend_cases(bars, "2040"),
+    ]
+    return build_records(reduce(DataFrame.unionByName, families))

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from finframe.functions.matching import STOP_WORDS
-from finframe.operators import corpus, cross, families as op, text
+from finframe.operators import align, corpus, cross, families as op, text
+from finframe.plans import corpus_queries as quest
 from finframe.plans import cross_queries as cq
 from finframe.plans import price_queries as pq
 from finframe.plans import sqlviews as v
-from finframe.plans.base import query, with_views
+from finframe.plans.base import ORACLES, query, with_views
 from finframe.plans.corpus_queries import _level, _pct, _usd
 from finframe.plans.price_queries import windows_sql
 from finframe.plans.text_queries import _match
@@ -157,3 +158,32 @@ def _(spark, d):
     return rows.select(
         "schema_version", "id", "template_family", F.element_at("tool_trace", 1)["operation"].alias("operation"), "steps", "reference_answer", "derivation_methodology",
         "generation_method", "verification_status", last["component_id"].alias("last_component"), last["points"].alias("last_points"))
+
+
+_GRID = op.Grid(
+    pq.YEARS, quest._RATE_WINDOW, (_A, _B), _DAYS, _EVENTS, ["the", "der die"], _PATTERNS, _NONE, ["2035-01-01", "2040-01-01"], ["nobody"], cq._ASKED_WINDOWS)
+_SOURCES = [
+    *[f"qa_{n}" for n in ("rates", "grid_returns", "prices", "articles", "events", "years", "unsupported_spans", "extrapolation")],
+    *[f"qa_family_{n}" for n in (
+        "cycle", "comparison", "rate_at", "unanswerable_rate", "next_decision", "move", "rank", "volume_rank", "event_window", "basket", "average", "trend",
+        "unanswerable_event", "date_count", "retrieve", "unanswerable_article", "news")],
+]
+_EVERY = " UNION ALL ".join(
+    f"SELECT id, prompt, answer FROM ({sql})" for sql in [*[ORACLES[n] for n in _SOURCES], with_views(pq.BARS, quest._NO_BAR + quest._tail("no_bar"))])
+
+
+def _every(spark, d):
+    articles, bars, moved = views.articles(spark, d), pq.bars(spark, d), views.rates_for_articles(spark, d)
+    context = cross.news_rate_context(articles, text.build_index(articles, False, STOP_WORDS), moved, ["the"], 1)
+    summary = cross.year_summary(moved, articles, cq._bars(spark, d), "the", cq.YEARS)
+    covers = [
+        align.coverage(articles, "articles", "publication_date"),
+        align.coverage(views.prices_for_articles(spark, d), "prices", "date"),
+        align.coverage(moved, "rates", "effective_date", ["series_key"]).withColumn("dataset", F.concat_ws(" ", "dataset", "series_key")),
+    ]
+    return op.every_family(views.rates(spark, d), bars, articles, moved, cq._event_returns(spark, d), summary, context, covers, _GRID)
+
+
+@query("qa_every_family", _EVERY)
+def _(spark, d):
+    return _every(spark, d).select("id", "prompt", "answer")
