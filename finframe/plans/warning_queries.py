@@ -66,7 +66,7 @@ def _(spark, d):
     index = tx.build_index(views.articles(spark, d), True, STOP_WORDS)
     lost = views.table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("query_id"), F.concat(F.lit("zzqx"), F.col("item_id").cast("string")).alias("query"))
     asked = benchmark_queries(spark, d).unionByName(lost)
-    return tx.search_notes(index, asked, tx.bm25(index, asked)).withColumn("warnings", F.array_join("warnings", "; "))
+    return tx.search_notes(index, asked, tx.asked_terms(index, asked)).withColumn("warnings", F.array_join("warnings", "; "))
 
 
 def _available(mode):
