@@ -42,8 +42,9 @@ def _(spark, d):
 @query("ingest_prices_partitioned", with_views(v.PRICES_WIDE, _BAR_SQL.format(volume="volume")))
 def _(spark, d):
     path = scratch_path(spark, "prices-parquet")
-    bars = views.prices_wide(spark, d)
-    ingest.write_parquet(bars, path, ["ticker"])
+    # a ticker has a few rows here, so a folder each would cost more than the rows
+    bars = ingest.in_parts(views.prices_wide(spark, d), "ticker")
+    ingest.write_parquet(bars, path, ["ticker_part"])
     back = ingest.read_parquet(spark, path, bars.schema)
     return shaped(back.select("ticker", "date", "open", "high", "low", "close", "volume"))
 

@@ -174,6 +174,20 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
+def in_parts(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """Adds ``<key>_part``, a number below ``parts`` that the key decides, to partition by where keys are many.
+
+    A folder per key would hold a few rows, and the folders would grow with the
+    keys.  A rerun replaces whole parts, so it must hold all keys of a part.
+    """
+    return df.withColumn(f"{key}_part", part_of(F.col(key), parts))
+
+
+def part_of(key: Column, parts: int = 64) -> Column:
+    """The part of a key; a filter on it reads that key's folder alone."""
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Partitioned Parquet with its partition columns typed by the schema, not guessed."""
     return spark.read.schema(schema).parquet(path)

@@ -189,6 +189,17 @@ def test_partitioned_write_is_rerunnable(spark, tmp_path):
     assert got == {"007": 2, "b": 3}
 
 
+def test_many_tickers_lie_in_bounded_folders(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("ticker"), (F.col("id") * 2).alias("v"))
+    parted = ingest.in_parts(rows, "ticker", 8)
+    ingest.write_parquet(parted, path, ["ticker_part"])
+    assert len([f for f in (tmp_path / "parts").iterdir() if f.name.startswith("ticker_part=")]) == 8
+    back = ingest.read_parquet(spark, path, parted.schema)
+    assert back.select("ticker", "v").exceptAll(rows).count() == 0 and back.count() == 3000
+    assert [r.v for r in back.where((F.col("ticker_part") == ingest.part_of(F.lit("77"), 8)) & (F.col("ticker") == "77")).collect()] == [154]
+
+
 def test_ids_with_identical_rows(spark):
     rows = [("h", dt.date(2020, 1, 1))] * 40 + [("g", dt.date(2019, 1, 1))]
     df = spark.createDataFrame(rows, "headline string, publication_date date").repartition(4)
