@@ -200,6 +200,16 @@ def test_many_tickers_lie_in_bounded_folders(spark, tmp_path):
     assert [r.v for r in back.where((F.col("ticker_part") == ingest.part_of(F.lit("77"), 8)) & (F.col("ticker") == "77")).collect()] == [154]
 
 
+def test_words_are_counted_without_a_regex_each(spark):
+    texts = ["an end", "AN-other", "\u0130n it", "in", "ban", None, "a_n an2", "x an", "\u212ait", "kit", "caf\u00e9an an\u00e9", "an.", ""]
+    rows = spark.createDataFrame([(i, t, dt.date(2020, 1, 1)) for i, t in enumerate(texts)], "article_id int, all_text string, publication_date date")
+    patterns = ["an", "in", "KIT", "a_n", "an.", "n", "an end", "caf\u00e9"]
+    want = rows.agg(*[F.count_if(F.col("all_text").rlike(literal_regex(p))).alias(p) for p in patterns]).first().asDict()
+    assert {r.pattern: r.article_count for r in tx.pattern_count(rows, patterns).collect()} == want
+    plan = tx.pattern_count(rows, [f"w{i}" for i in range(10)])._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_replace") == 1 and plan.count("contains(_words") == 10
+
+
 def test_ids_with_identical_rows(spark):
     rows = [("h", dt.date(2020, 1, 1))] * 40 + [("g", dt.date(2019, 1, 1))]
     df = spark.createDataFrame(rows, "headline string, publication_date date").repartition(4)
