@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from finframe.functions.matching import literal_regex
 from finframe.operators import text as tx
 from finframe.operators import windows as w
 
@@ -189,3 +190,13 @@ def test_pattern_tables_equal_the_pattern_list(spark):
     spans = spark.createDataFrame([(1, "bank", None, None), (2, "bank", day(17003), day(17009)), (3, "nobody", None, None), (4, "bank", day(9), day(3))], "id int, pattern string, start date, end date")
     got = {r.id: (r.article_count, r.earliest, r.status) for r in tx.date_counts(df, spans).collect()}
     assert got == {1: (3, day(17000), "ok"), 2: (1, day(17004), "ok"), 3: (0, None, "NO_MATCHING_RECORDS"), 4: (0, None, "DATE_RANGE_INVALID")}
+
+
+def test_a_text_meets_all_its_patterns_at_once(spark):
+    texts = ["the end of σς days", "THE END", "the İnn", "the inn", "thend", "no ΣΣ days", "King a", "king a", "an end, the end"]
+    df = spark.createDataFrame([(i, t, dt.date(2020, 1, 1)) for i, t in enumerate(texts)], "article_id bigint, all_text string, publication_date date")
+    asked = ["the end", "The Inn", "king A", "σσ days", "σς days", "(the)", "end of", ", the"]
+    want = {(p, i) for p in asked for i in [r.article_id for r in df.where(F.col("all_text").rlike(literal_regex(p))).collect()]}
+    hits = tx.pattern_hits(df, spark.createDataFrame([(p,) for p in asked], "pattern string"))
+    assert sorted((r.pattern, r.article_id) for r in hits.collect()) == sorted(want)
+    assert "collect_list(pattern" in hits._jdf.queryExecution().optimizedPlan().toString()
