@@ -3,7 +3,7 @@
 The values of a key are numbered by size, and the numbers are read in four
 steps of four bits.  A step holds, for each row of a node (the rows whose
 numbers agree so far, in the order of days), how many rows up to it go on with
-each of the sixteen digits.  The k-th value of a window is found by looking up
+each of the sixteen digits or a lower one.  The k-th value of a window is found by looking up
 the two ends of the window at each step: equality joins with one row on the
 index's side, so requests for a hot key spread like all others, and no window
 is ever gathered.
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +61,7 @@ def rank_index(series: DataFrame, value: str, key: str = "ticker", date: str = "
         below = BITS * (STEPS - step - 1)
         node, digit = F.shiftright("_rank", below + BITS), F.shiftright("_rank", below).bitwiseAND(F.lit(DIGITS - 1))
         inside = Window.partitionBy(key, "_node").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-        counts = F.array(*[F.sum((F.col("_digit") == d).cast("int")).over(inside).cast("int") for d in range(DIGITS)])
+        counts = F.array(*[F.sum((F.col("_digit") <= d).cast("int")).over(inside).cast("int") for d in range(DIGITS)])
         at_node = placed.select(key, "_at", node.alias("_node"), digit.alias("_digit"))
         steps.append(checkpointed(at_node.select(key, "_node", F.row_number().over(inside).alias("_upto"), counts.alias("_counts"))))
     return RankIndex(days, tuple(steps), checkpointed(placed.select(key, "_rank", "_value").distinct()), key)
@@ -76,23 +78,22 @@ def order_statistics(asked: DataFrame, index: RankIndex) -> DataFrame:
     rows = asked.join(ends, [key, "_e"]).join(starts, [key, "_s"], "left").withColumn("_l", F.coalesce("_l", F.lit(0)))
     rows = rows.where(F.col("_k") < F.col("_r") - F.col("_l")).withColumns({"_node": F.lit(0), "_left": F.col("_k").cast("int")})
 
-    def passed(state: Column, count: Column) -> Column:
-        here = state["found"] | (state["left"] < count)
-        return F.struct(
-            F.when(here, state["digit"]).otherwise(state["digit"] + 1).alias("digit"), F.when(here, state["left"]).otherwise(state["left"] - count).alias("left"),
-            here.alias("found"))
+    def upto(counts: str, digit: Column | int) -> Column:
+        # no row stands for the place before the first, and no count for the digit before zero
+        return F.coalesce(F.get(counts, digit if isinstance(digit, Column) else F.lit(digit)), F.lit(0))
 
     for step in index.steps:
         upper = step.select(key, "_node", F.col("_upto").alias("_r"), F.col("_counts").alias("_high"))
         lower = step.select(key, "_node", F.col("_upto").alias("_l"), F.col("_counts").alias("_low"))
-        # no row stands for the place before the first
-        rows = rows.join(upper, [key, "_node", "_r"]).join(lower, [key, "_node", "_l"], "left").withColumn("_low", F.coalesce("_low", F.array_repeat(F.lit(0), DIGITS)))
-        start = F.struct(F.lit(0).alias("digit"), F.col("_left").alias("left"), F.lit(False).alias("found"))
-        rows = rows.withColumn("_to", F.aggregate(F.zip_with("_high", "_low", lambda h, low: h - low), start, passed))
+        rows = rows.join(upper, [key, "_node", "_r"]).join(lower, [key, "_node", "_l"], "left")
+        # the value's digit is the number of digits whose rows are all passed
+        passed = [(upto("_high", d) - upto("_low", d) <= F.col("_left")).cast("int") for d in range(DIGITS)]
+        rows = rows.withColumn("_digit", reduce(add, passed))
+        at, before = F.col("_digit"), F.col("_digit") - 1
         # written, as a key of the next join that is worked out here would be worked out again in every filter on it
         rows = checkpointed(rows.select(
-            key, "_s", "_e", "_k", (F.col("_node") * DIGITS + F.col("_to.digit")).alias("_node"), F.col("_to.left").alias("_left"),
-            F.get("_low", F.col("_to.digit")).alias("_l"), F.get("_high", F.col("_to.digit")).alias("_r")))
+            key, "_s", "_e", "_k", (F.col("_node") * DIGITS + at).alias("_node"), (F.col("_left") - upto("_high", before) + upto("_low", before)).alias("_left"),
+            (upto("_low", at) - upto("_low", before)).alias("_l"), (upto("_high", at) - upto("_high", before)).alias("_r")))
     return rows.withColumnRenamed("_node", "_rank").join(index.values, [key, "_rank"]).select(key, "_s", "_e", "_k", "_value")
 
 
