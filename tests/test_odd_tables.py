@@ -39,6 +39,13 @@ def test_closes_of_zero(spark, tmp_path, name):
     assert _same(spark, _tables(tmp_path, events=value), name) is None
 
 
+@pytest.mark.parametrize("name", ["price_event_window", "price_top_performer", "price_top_performer_nulls"])
+def test_only_closes_of_zero(spark, tmp_path, name):
+    # every return of these users is zero by zero
+    value = "CASE WHEN user_id % 5 = 0 THEN 0.0 ELSE round(value + 1, 2) END AS value"
+    assert _same(spark, _tables(tmp_path, events=value), name) is None
+
+
 def test_zero_by_zero_leads(spark):
     rows = [("a", "2024-01-01", 0.0), ("a", "2024-01-02", 0.0), ("b", "2024-01-01", 0.0), ("b", "2024-01-02", 5.0), ("c", "2024-01-01", 2.0), ("c", "2024-01-02", 1.0)]
     bars = spark.createDataFrame(rows, "ticker string, date string, close double").withColumn("date", F.col("date").cast("date"))
