@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finframe.functions.scalars import (
@@ -129,13 +129,44 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
+def _alone(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_alone``: no other row has these keys, so what is counted within the row is final."""
+    return answers.withColumn("_alone", F.count(F.lit(1)).over(Window.partitionBy(*reversed(keys))) == 1)
+
+
+def _each(words: Column, **fields: Column) -> Column:
+    """The words as ``w`` of structs, all with the same further fields."""
+    return F.transform(words, lambda x: F.struct(x.alias("w"), *[c.alias(n) for n, c in fields.items()]))
+
+
+def _overlap(ours: Column, gold: Column) -> Column:
+    """Words that two texts share, with multiplicity, from one pass over the sorted words of both."""
+    tagged = F.concat(_each(ours, own=F.lit(1)), _each(gold, own=F.lit(0)))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("p"), F.lit(0).alias("r"), F.lit(0).alias("both"))
+
+    def met(a: Column, t: Column) -> Column:
+        same = a["w"] == t["w"]
+        p, r = F.when(same, a["p"]).otherwise(0) + t["own"], F.when(same, a["r"]).otherwise(0) + 1 - t["own"]
+        # words of the answer come after the same words of the target, so each pairs off with one of those at most
+        return F.struct(t["w"].alias("w"), p.alias("p"), r.alias("r"), (a["both"] + ((t["own"] == 1) & (p <= r)).cast("int")).alias("both"))
+
+    return F.aggregate(F.sort_array(tagged), start, met, lambda a: a["both"])
+
+
 def token_f1(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Token overlap with multiplicity, as ``keys, token_f1``; linear in the text lengths."""
-    ours = F.transform(_words(F.col("prediction")), lambda w: F.struct(w.alias("w"), F.lit(1).alias("p"), F.lit(0).alias("r")))
-    gold = F.transform(_words(F.col("target")), lambda w: F.struct(w.alias("w"), F.lit(0).alias("p"), F.lit(1).alias("r")))
-    tokens = answers.select(*keys, F.explode_outer(F.concat(ours, gold)).alias("t")).select(*keys, "t.*")
-    counts = tokens.groupBy(*keys, "w").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    sums = counts.groupBy(*keys).agg(F.sum(F.least("p", "r")).alias("both"), F.sum("p").alias("np"), F.sum("r").alias("nr"))
+    """Token overlap with multiplicity, as ``keys, token_f1``; rows of the same keys count as one text.
+
+    A row whose keys no other row has is counted within itself and moves as one
+    row of numbers; the words of all others are grouped.
+    """
+    rows = _alone(answers.select(*keys, _words(F.col("prediction")).alias("_ours"), _words(F.col("target")).alias("_gold")), keys)
+    ours, gold = F.coalesce("_ours", F.array().cast("array<string>")), F.coalesce("_gold", F.array().cast("array<string>"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.size(ours).alias("p"), F.size(gold).alias("r"), _overlap(ours, gold).alias("both")))
+    none = F.lit(None).cast("int")
+    each = [_each(ours, p=F.lit(1), r=F.lit(0), both=none), _each(gold, p=F.lit(0), r=F.lit(1), both=none)]
+    counts = rows.select(*keys, F.explode_outer(F.when(F.col("_alone"), whole).otherwise(F.concat(*each))).alias("t")).select(*keys, "t.*")
+    counts = counts.groupBy(*keys, "w").agg(F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum("both").alias("both"))
+    sums = counts.groupBy(*keys).agg(F.sum(F.coalesce("both", F.least("p", "r"))).alias("both"), F.sum("p").alias("np"), F.sum("r").alias("nr"))
     # 2PR/(P+R) with P = both/np and R = both/nr
     return sums.select(*keys, F.coalesce(F.try_divide(2 * F.col("both"), F.col("np") + F.col("nr")), F.lit(0.0)).alias("token_f1"))
 
